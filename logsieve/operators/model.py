@@ -19,7 +19,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsieve.operators.joins import frequency_split_join
@@ -60,6 +61,8 @@ def positions(df: DataFrame, id_col: str = "log_id", tokens_col: str = "tokens",
 def fit(pos: DataFrame, by: tuple = (), weights=DEFAULT_WEIGHTS, alpha=DEFAULT_ALPHA) -> ContextModel:
     """Count contexts (partial counts per partition, then one shuffle of the partials)."""
     counts = pos.groupBy(*by, "l", "t", "r").agg(F.count(F.lit(1)).alias("n"))
+    # the counts are read by every marginal and by the scoring join: keep them
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     return ContextModel(counts, tuple(by), tuple(weights), alpha)
 
 
@@ -84,39 +87,68 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
+def round_loss(x: Column) -> Column:
+    """Round to LOSS_DIGITS through a 9-place decimal: a last-bit difference of `ln`
+    between engines is absorbed before the half-up rounding at 6 places."""
+    return F.round(x.cast("decimal(20,9)"), LOSS_DIGITS).cast("double")
+
+
+def _probability(model: ContextModel) -> Column:
+    w0, w1, w2, w3 = model.weights
+    a = model.alpha
+    return (F.lit(w0) * _ratio(F.col("n3"), F.col("n_lr"))
+            + F.lit(w1) * _ratio(F.col("n_lt"), F.col("n_l"))
+            + F.lit(w2) * _ratio(F.col("n_tr"), F.col("n_r"))
+            + F.lit(w3) * (F.coalesce(F.col("n_t"), F.lit(0)) + F.lit(a))
+            / (F.col("_N") + F.lit(a) * (F.col("_V") + F.lit(1))))
+
+
+def _globals(model: ContextModel) -> DataFrame:
+    return model.counts.groupBy(*model.by).agg(F.sum("n").alias("_N"), F.countDistinct("t").alias("_V"))
+
+
+def _attach_globals(df: DataFrame, model: ContextModel) -> DataFrame:
+    g = _globals(model)          # one row per model (per chunk): bounded
+    by = list(model.by)
+    return df.crossJoin(F.broadcast(g)) if not by else df.join(F.broadcast(g), by, "left")
+
+
 def loss_table(model: ContextModel, queries: DataFrame | None = None) -> DataFrame:
     """Loss for distinct contexts `(by..., l, t, r, m)` -> adds `loss`.
 
-    `queries` holds the contexts to score with `m` = how often they occur; by default
-    the model's own contexts (scoring the fitted corpus).  All lookups are equi-joins on
-    marginal tables; AQE broadcasts the ones that turn out small.
+    Without `queries` the contexts are the model's own (scoring the fitted corpus): every
+    marginal is a window sum over the count table, and windows whose keys share a
+    prefix share one shuffle (by l: c(l,.), c(l,.,r), c(l,t); by t: c(t), c(t,r); by r:
+    c(.,r)) -- three shuffles of the distinct contexts and no joins.
+    With `queries` (a stored model scoring new text) some contexts are unknown to the
+    model, so each marginal is looked up by an equi-join on its own key; AQE broadcasts
+    the marginal tables that turn out small.
     """
     by = list(model.by)
     c3 = model.counts
     if queries is None:
-        q = c3.select(*by, "l", "t", "r", F.col("n").alias("m"), F.col("n").alias("n3"))
+        def w(*keys):
+            return Window.partitionBy(*by, *keys)
+        q = (c3.select(*by, "l", "t", "r", F.col("n").alias("n3"))
+             .withColumn("n_l", F.sum("n3").over(w("l")))
+             .withColumn("n_lr", F.sum("n3").over(w("l", "r")))
+             .withColumn("n_lt", F.sum("n3").over(w("l", "t")))
+             .withColumn("n_t", F.sum("n3").over(w("t")))
+             .withColumn("n_tr", F.sum("n3").over(w("t", "r")))
+             .withColumn("n_r", F.sum("n3").over(w("r")))
+             .withColumn("m", F.col("n3")))
     else:
-        q = queries.join(c3.withColumnRenamed("n", "n3"), by + ["l", "t", "r"], "left")
-
-    def marg(keys, name):
-        return c3.groupBy(*by, *keys).agg(F.sum("n").alias(name))
-
-    glob = c3.groupBy(*by).agg(F.sum("n").alias("_N"), F.countDistinct("t").alias("_V"))
-    q = (q.join(marg(["l", "r"], "n_lr"), by + ["l", "r"], "left")
-          .join(marg(["l", "t"], "n_lt"), by + ["l", "t"], "left")
-          .join(marg(["l"], "n_l"), by + ["l"], "left")
-          .join(marg(["t", "r"], "n_tr"), by + ["t", "r"], "left")
-          .join(marg(["r"], "n_r"), by + ["r"], "left")
-          .join(marg(["t"], "n_t"), by + ["t"], "left"))
-    q = q.crossJoin(F.broadcast(glob)) if not by else q.join(F.broadcast(glob), by, "left")
-    w0, w1, w2, w3 = model.weights
-    a = model.alpha
-    p = (F.lit(w0) * _ratio(F.col("n3"), F.col("n_lr"))
-         + F.lit(w1) * _ratio(F.col("n_lt"), F.col("n_l"))
-         + F.lit(w2) * _ratio(F.col("n_tr"), F.col("n_r"))
-         + F.lit(w3) * (F.coalesce(F.col("n_t"), F.lit(0)) + F.lit(a))
-         / (F.col("_N") + F.lit(a) * (F.col("_V") + F.lit(1))))
-    return q.select(*by, "l", "t", "r", "m", F.round(-F.log(p), LOSS_DIGITS).alias("loss"))
+        def marg(keys, name):
+            return c3.groupBy(*by, *keys).agg(F.sum("n").alias(name))
+        q = (queries.join(c3.withColumnRenamed("n", "n3"), by + ["l", "t", "r"], "left")
+             .join(marg(["l", "r"], "n_lr"), by + ["l", "r"], "left")
+             .join(marg(["l", "t"], "n_lt"), by + ["l", "t"], "left")
+             .join(marg(["l"], "n_l"), by + ["l"], "left")
+             .join(marg(["t", "r"], "n_tr"), by + ["t", "r"], "left")
+             .join(marg(["r"], "n_r"), by + ["r"], "left")
+             .join(marg(["t"], "n_t"), by + ["t"], "left"))
+    q = _attach_globals(q, model)
+    return q.select(*by, "l", "t", "r", "m", round_loss(-F.log(_probability(model))).alias("loss"))
 
 
 def token_losses(pos: DataFrame, model: ContextModel | None = None, max_hot: int = 50_000) -> DataFrame:
@@ -130,7 +162,9 @@ def token_losses(pos: DataFrame, model: ContextModel | None = None, max_hot: int
     else:
         ctx = pos.groupBy(*by, "l", "t", "r").agg(F.count(F.lit(1)).alias("m"))
         table = loss_table(model, ctx)
-    return frequency_split_join(pos, table.select(*by, "l", "t", "r", "m", "loss"),
+    # the loss table (one row per distinct context) is read three times by the split join
+    table = table.select(*by, "l", "t", "r", "m", "loss").persist(StorageLevel.MEMORY_AND_DISK)
+    return frequency_split_join(pos, table,
                                 by + ["l", "t", "r"], "m", max_hot=max_hot)
 
 
@@ -138,16 +172,20 @@ def score(losses: DataFrame, id_col: str = "log_id", max_length: int = MAX_LENGT
           denominator: str = "max_length", top_k: int = 3) -> DataFrame:
     """Per sequence: anomaly_score = sum of losses / max_length (padding adds 0) or /
     number of positions, and the top_k highest-loss tokens (loss desc, position desc)
-    with special tokens removed afterwards.  One shuffle by id; a group holds at most
-    max_length rows."""
-    den = F.lit(float(max_length)) if denominator == "max_length" else F.count(F.lit(1)).cast("double")
-    ranked = F.sort_array(F.collect_list(F.struct(F.col("loss"), F.col("pos"), F.col("t"))), asc=False)
-    agg = losses.groupBy(id_col).agg(
-        F.round(F.sum("loss") / den, LOSS_DIGITS).alias("anomaly_score"),
-        F.slice(ranked, 1, top_k).getField("t").alias("_top"),
-    )
-    return agg.select(id_col, "anomaly_score",
-                      F.filter("_top", lambda t: ~t.isin(*SPECIAL_TOKENS)).alias("top_tokens"))
+    with special tokens removed afterwards.  The rank window and the aggregate share one
+    shuffle by id; a group holds at most max_length rows."""
+    # exact decimal sum and division, then one half-up rounding: the result does not
+    # depend on summation order or on how an engine breaks ties of binary doubles
+    den = F.lit(max_length) if denominator == "max_length" else F.count(F.lit(1))
+    den = den.cast("decimal(10,0)")
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("loss").desc(), F.col("pos").desc()))
+    ranked = losses.select(id_col, "loss", "t", rank.alias("_rk"))
+    top = [F.max(F.when(F.col("_rk") == i, F.col("t"))).alias(f"_t{i}") for i in range(1, top_k + 1)]
+    total = F.sum(F.col("loss").cast("decimal(18,6)"))
+    agg = ranked.groupBy(id_col).agg(F.round(total / den, LOSS_DIGITS).cast("double").alias("anomaly_score"), *top)
+    kept = F.filter(F.array(*[F.col(f"_t{i}") for i in range(1, top_k + 1)]),
+                    lambda t: t.isNotNull() & ~t.isin(*SPECIAL_TOKENS))
+    return agg.select(id_col, "anomaly_score", kept.alias("top_tokens"))
 
 
 def best_tokens(model: ContextModel) -> dict:

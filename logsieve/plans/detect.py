@@ -20,6 +20,14 @@ from logsieve.operators.model import ContextModel, positions, score, token_losse
 from logsieve.operators.parse import drop_blank, parse_positional
 from logsieve.operators.tokens import MAX_LENGTH, tokenize
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an input that arrives in fewer partitions than the cluster has cores
+    (one small file); a large input already has one partition per file split and is
+    left alone (no extra shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 RESULT_COLUMNS = ["log_id", "timestamp", "message", "anomaly_score", "is_anomaly", "rule_based_flag",
                   "is_whitelisted", "combined_anomaly", "confidence_score", "explanation"]
 
@@ -28,7 +36,7 @@ def score_logs(logs: DataFrame, model: ContextModel | None = None, id_col: str =
                message_col: str = "message", max_length: int = MAX_LENGTH,
                denominator: str = "max_length", persist: bool = True) -> DataFrame:
     """(id, anomaly_score, top_tokens) for every log with a message."""
-    toks = tokenize(logs.select(id_col, message_col), message_col)
+    toks = tokenize(spread(logs.select(id_col, message_col)), message_col)
     pos = positions(toks, id_col, "tokens", max_length)
     if persist:
         pos = pos.persist(StorageLevel.MEMORY_AND_DISK)

@@ -1,5 +1,5 @@
 """Sources (log files, event tables, the generator) and sinks."""
 
-from logsieve.sources.logs import read_log_lines, logs_from_events, training_log_from_events
+from logsieve.sources.logs import clean_lines, read_log_lines, logs_from_events, training_log_from_events
 
-__all__ = ["read_log_lines", "logs_from_events", "training_log_from_events"]
+__all__ = ["clean_lines", "read_log_lines", "logs_from_events", "training_log_from_events"]

@@ -15,6 +15,11 @@ from logsieve.functions.text import strip
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
+def clean_lines(df: DataFrame, col: str = "line") -> DataFrame:
+    """Strip both ends (Unicode white space) and drop blank lines."""
+    return df.withColumn(col, strip(F.col(col))).filter(F.col(col) != "")
+
+
 def read_log_lines(spark: SparkSession, path: str, keep_order_key: bool = False) -> DataFrame:
     """UTF-8 text -> one row per non-blank line, stripped.
 
