@@ -117,7 +117,8 @@ def ranked_losses_sql(pos: str) -> str:
 def scores_sql(logs: str) -> str:
     """(log_id, anomaly_score, top_list) for a (log_id, timestamp, message) query."""
     rl = ranked_losses_sql(positions_sql(logs))
-    return (f"SELECT log_id, CAST(round(sum(CAST(loss AS DECIMAL(18,6))) / CAST(64 AS DECIMAL(10,0)), 6) "
+    # DuckDB divides decimals as doubles; multiplying by the exact decimal 1/64 keeps it exact
+    return (f"SELECT log_id, CAST(round(sum(CAST(loss AS DECIMAL(18,6))) * CAST(0.015625 AS DECIMAL(10,6)), 6) "
             f"AS DOUBLE) AS anomaly_score, "
             f"coalesce(list(t ORDER BY rk) FILTER (WHERE rk <= 3 AND t NOT IN {SPECIALS_SQL}), []) AS top_list "
             f"FROM ({rl}) GROUP BY log_id")
