@@ -116,3 +116,70 @@ def mask_tokens(encoded: DataFrame, vocab_size: int, id_col: str = "log_id", see
     return encoded.withColumn("labels", F.transform(ids, lambda x, i: F.when(chosen(x, i), x)
                                                     .otherwise(F.lit(IGNORE_LABEL)))) \
                   .withColumn("input_ids", F.transform(ids, new_id))
+
+
+# ---------------------------------------------------------------- word pieces
+MAX_WORD_CHARS = 100
+
+
+def greedy_pieces(word: str, pieces: set, unk: str = UNK, max_chars: int = MAX_WORD_CHARS) -> list:
+    """Greedy longest-match word pieces; continuation pieces start with `##`.  A word
+    that cannot be covered becomes one unknown token."""
+    if len(word) > max_chars:
+        return [unk]
+    out, start = [], 0
+    while start < len(word):
+        end, cur = len(word), None
+        while start < end:
+            sub = word[start:end] if start == 0 else "##" + word[start:end]
+            if sub in pieces:
+                cur = sub
+                break
+            end -= 1
+        if cur is None:
+            return [unk]
+        out.append(cur)
+        start = end
+    return out
+
+
+def word_pieces(vocab: DataFrame, tokens_df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """A piece table: the (bounded, top-k) vocabulary words as word starts and as `##`
+    continuations, plus every character of the corpus in both roles."""
+    words = vocab.filter(~F.col("token").isin(*SPECIAL_TOKENS)).select(F.col("token").alias("piece"))
+    chars = (tokens_df.select(F.explode(F.split(F.array_join(tokens_col, ""), "")).alias("piece"))
+             .filter(F.col("piece") != "").distinct())
+    base = words.unionByName(chars).distinct()
+    return base.unionByName(base.select(F.concat(F.lit("##"), F.col("piece")).alias("piece"))).distinct()
+
+
+def encode_subword(df: DataFrame, pieces: DataFrame, id_col: str = "log_id",
+                   tokens_col: str = "tokens", out: str = "pieces", max_pieces: int = 200_000) -> DataFrame:
+    """Split every token into word pieces.  The greedy match runs once per *distinct*
+    word, in Arrow batches (`mapInPandas`) with the piece set broadcast; the pieces are
+    then joined back to the token positions (hot words broadcast, see joins)."""
+    spark = df.sparkSession
+    n_pieces = pieces.count()
+    if n_pieces > max_pieces:
+        raise ValueError(f"piece table has {n_pieces} rows; the broadcast bound is {max_pieces}")
+    bc = spark.sparkContext.broadcast(frozenset(r[0] for r in pieces.collect()))
+    from logsieve.functions.ship import ship_by_value
+    ship_by_value(__name__)
+
+    def split_words(batches):
+        import pandas as pd
+        ps = bc.value
+        for b in batches:
+            yield pd.DataFrame({"word": b["word"], "wp": [greedy_pieces(w, ps) for w in b["word"]]})
+
+    words = (df.select(F.explode(tokens_col).alias("word")).groupBy("word")
+             .agg(F.count(F.lit(1)).alias("m")))
+    split = words.select("word").mapInPandas(split_words, "word string, wp array<string>")
+    table = split.join(words, "word")
+    pos = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "word"))
+    known = frequency_split_join(pos.filter(F.col("word").isNotNull()), table, ["word"], "m", how="left")
+    empty = pos.filter(F.col("word").isNull()).withColumn("wp", F.lit(None).cast("array<string>"))
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "wp"))
+    return (known.unionByName(empty).groupBy(id_col)
+            .agg(F.flatten(F.coalesce(F.array_sort(F.collect_list(item)).getField("wp"),
+                                      F.array().cast("array<array<string>>"))).alias(out)))

@@ -330,3 +330,168 @@ def q_train_loss(spark, sf_dir):
 def q_lr(spark, sf_dir):
     d = mt.lr_by_chunk(training_log_from_events(table(spark, sf_dir, "events")))
     return mt.round_all(d, ["avg_learning_rate"], 12)
+
+
+# ---------------------------------------------------------------- tokens
+VOCAB_SIZE = 2000
+_TOKS_SQL = f"SELECT doc_id, regexp_extract_all(lower(text), {S.TOKEN_RE_SQL}) AS tks FROM documents"
+_SPECIAL_ROWS = " UNION ALL ".join(f"SELECT {i} AS token_id, {S.q(t)} AS token, CAST(0 AS BIGINT) AS count"
+                                   for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]))
+
+
+def _vocab_sql(max_size: int | None) -> str:
+    counts = (f"SELECT t AS token, count(*) AS count FROM (SELECT unnest(tks) AS t FROM ({_TOKS_SQL})) "
+              f"WHERE t NOT IN {S.SPECIALS_SQL} GROUP BY t")
+    ranked = (f"SELECT CAST(row_number() OVER (ORDER BY count DESC, token ASC) + 4 AS INTEGER) AS token_id, "
+              f"token, count FROM ({counts})")
+    if max_size is not None:
+        ranked = f"SELECT * FROM ({ranked}) WHERE token_id < {max_size}"
+    return f"{_SPECIAL_ROWS} UNION ALL SELECT * FROM ({ranked})"
+
+
+def _docs_tokens(spark, sf_dir):
+    return tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+def _docs_vocab(spark, sf_dir, max_size=VOCAB_SIZE):
+    from logsieve.operators.tokens import build_vocab
+    return build_vocab(_docs_tokens(spark, sf_dir), "tokens", max_size=max_size)
+
+
+def _docs_encoded(spark, sf_dir):
+    from logsieve.operators.tokens import encode
+    return encode(_docs_tokens(spark, sf_dir), _docs_vocab(spark, sf_dir), "doc_id", "tokens")
+
+
+@register("tokens", f"SELECT doc_id, CAST(len(tks) AS INTEGER) AS n_tokens, array_to_string(tks, ' ') AS tokens "
+                    f"FROM ({_TOKS_SQL})")
+def q_tokens(spark, sf_dir):
+    d = _docs_tokens(spark, sf_dir)
+    return d.select("doc_id", F.size("tokens").alias("n_tokens"), as_text(F.col("tokens")).alias("tokens"))
+
+
+@register("vocabulary", _vocab_sql(None))
+def q_vocabulary(spark, sf_dir):
+    return _docs_vocab(spark, sf_dir, max_size=None)
+
+
+_IDS_SQL = (f"WITH tk AS (SELECT doc_id, tks[1:62] AS tks FROM ({_TOKS_SQL})), vocab AS ({_vocab_sql(VOCAB_SIZE)}), "
+            f"ex AS (SELECT doc_id, tks, unnest(generate_series(1, len(tks))) AS pos FROM tk), "
+            f"ids AS (SELECT ex.doc_id, list(coalesce(v.token_id, 1) ORDER BY ex.pos) AS ids, "
+            f"list(coalesce(v.token, '[UNK]') ORDER BY ex.pos) AS words "
+            f"FROM ex LEFT JOIN vocab v ON v.token = ex.tks[ex.pos] GROUP BY ex.doc_id) "
+            f"SELECT tk.doc_id, coalesce(ids.ids, []) AS ids, coalesce(ids.words, []) AS words "
+            f"FROM tk LEFT JOIN ids ON tk.doc_id = ids.doc_id")
+_ENC_SQL = (f"SELECT doc_id, list_concat([2], ids, [3], list_transform(range(62 - len(ids)), lambda x: 0)) AS input_ids, "
+            f"list_concat(list_transform(range(len(ids) + 2), lambda x: 1), "
+            f"list_transform(range(62 - len(ids)), lambda x: 0)) AS attention_mask FROM ({_IDS_SQL})")
+
+
+@register("encoded", f"SELECT doc_id, array_to_string(input_ids, ' ') AS input_ids, "
+                     f"array_to_string(attention_mask, ' ') AS attention_mask FROM ({_ENC_SQL})")
+def q_encoded(spark, sf_dir):
+    e = _docs_encoded(spark, sf_dir)
+    return e.select("doc_id", as_text(F.col("input_ids")).alias("input_ids"),
+                    as_text(F.col("attention_mask")).alias("attention_mask"))
+
+
+@register("decoded", f"SELECT doc_id, array_to_string(list_concat(['[CLS]'], words, ['[SEP]'], "
+                     f"list_transform(range(62 - len(words)), lambda x: '[PAD]')), ' ') AS decoded FROM ({_IDS_SQL})")
+def q_decoded(spark, sf_dir):
+    from logsieve.operators.tokens import decode
+    d = decode(_docs_encoded(spark, sf_dir), _docs_vocab(spark, sf_dir), "doc_id", "input_ids")
+    return d.select("doc_id", as_text(F.col("decoded")).alias("decoded"))
+
+
+def _mask_sql(seed=42, p=0.15):
+    pick = S.h01_sql(str(seed), "doc_id", "i - 1", "'pick'")
+    kind = S.h01_sql(str(seed), "doc_id", "i - 1", "'kind'")
+    word = S.h01_sql(str(seed), "doc_id", "i - 1", "'word'")
+    vs = "v.vs"
+    chosen = f"(x >= 5 AND {pick} < {p})"
+    new = (f"CASE WHEN NOT {chosen} THEN x WHEN {kind} < 0.8 THEN 4 "
+           f"WHEN {kind} < 0.9 THEN CAST(5 + floor({word} * ({vs} - 5)) AS INTEGER) ELSE x END")
+    lab = f"CASE WHEN {chosen} THEN x ELSE -100 END"
+    return (f"SELECT doc_id, array_to_string(list_transform(input_ids, lambda x, i: {new}), ' ') AS input_ids, "
+            f"array_to_string(list_transform(input_ids, lambda x, i: {lab}), ' ') AS labels FROM ({_ENC_SQL}) e, "
+            f"(SELECT count(*) AS vs FROM ({_vocab_sql(VOCAB_SIZE)})) v")
+
+
+@register("masked_examples", _mask_sql())
+def q_masked(spark, sf_dir):
+    from logsieve.operators.tokens import mask_tokens
+    vs = _docs_vocab(spark, sf_dir).count()
+    m = mask_tokens(_docs_encoded(spark, sf_dir), vs, "doc_id", seed=42)
+    return m.select("doc_id", as_text(F.col("input_ids")).alias("input_ids"), as_text(F.col("labels")).alias("labels"))
+
+
+@register("subword_tokens")
+def q_subword(spark, sf_dir):
+    from logsieve.operators.tokens import encode_subword, word_pieces
+    toks = _docs_tokens(spark, sf_dir)
+    pieces = word_pieces(_docs_vocab(spark, sf_dir, max_size=VOCAB_SIZE), toks)
+    out = encode_subword(toks, pieces, "doc_id", "tokens")
+    return out.select("doc_id", F.size("pieces").alias("n_pieces"), as_text(F.col("pieces")).alias("pieces"))
+
+
+# ---------------------------------------------------------------- index, split, chunks
+@register("global_index", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events")
+def q_global_index(spark, sf_dir):
+    from logsieve.operators.prep import with_global_index
+    ev = table(spark, sf_dir, "events").select("event_id", "ts")
+    return with_global_index(ev, ["ts", "event_id"], "idx").select("event_id", "idx")
+
+
+SEED = 42
+_LAB_SQL = ("SELECT log_id, split_part(line, '##', 1) AS message, "
+            "CAST(CASE WHEN contains(line, '##ANOMALY') THEN 1 ELSE 0 END AS INTEGER) AS label "
+            f"FROM ({S.clean_sql(S.lines_sql('labelled'))}) "
+            "WHERE contains(line, '##ANOMALY') OR contains(line, '##NORMAL')")
+_SPLIT_SQL = (f"SELECT log_id, message, label, rk < (SELECT ceil(count(*) * 0.2) FROM ({_LAB_SQL})) AS is_test "
+              f"FROM (SELECT *, row_number() OVER (ORDER BY {S.h01_sql(str(SEED), chr(39) + 'split' + chr(39), 'log_id')}, "
+              f"log_id) - 1 AS rk FROM ({_LAB_SQL}))")
+
+
+def _labelled(spark, sf_dir):
+    return parse_labelled(clean_lines(lines(spark, sf_dir, "labelled")))
+
+
+def _split(spark, sf_dir):
+    from logsieve.operators.prep import train_test_split
+    return train_test_split(_labelled(spark, sf_dir), "log_id", 0.2, seed=SEED, exact=True)
+
+
+@register("split_rows", f"SELECT log_id, is_test FROM ({_SPLIT_SQL})")
+def q_split_rows(spark, sf_dir):
+    return _split(spark, sf_dir).select("log_id", "is_test")
+
+
+@register("split_counts", f"SELECT is_test, count(*) AS n FROM ({_SPLIT_SQL}) GROUP BY is_test")
+def q_split_counts(spark, sf_dir):
+    return _split(spark, sf_dir).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _chunk_sql(src, k, remainder):
+    idx = f"SELECT *, row_number() OVER (ORDER BY log_id) - 1 AS idx, count(*) OVER () AS n FROM ({src})"
+    size = f"(n // {k})"
+    if remainder == "last":
+        c = f"CASE WHEN {size} = 0 THEN {k} ELSE least(idx // {size}, {k - 1}) + 1 END"
+        return f"SELECT log_id, CAST({c} AS INTEGER) AS chunk FROM ({idx})"
+    c = f"CASE WHEN {size} > 0 AND idx // {size} + 1 <= {k} THEN idx // {size} + 1 END"
+    return f"SELECT log_id, CAST({c} AS INTEGER) AS chunk FROM ({idx}) WHERE {c} IS NOT NULL"
+
+
+@register("chunks_keep", _chunk_sql(_LAB_SQL, 10, "last"))
+def q_chunks_keep(spark, sf_dir):
+    from logsieve.operators.prep import chunk
+    return chunk(_labelled(spark, sf_dir), 10, ["log_id"], "last").select("log_id", "chunk")
+
+
+_TRAIN_SQL = f"SELECT log_id, message, label FROM ({_SPLIT_SQL}) WHERE NOT is_test"
+
+
+@register("chunks_drop", _chunk_sql(_TRAIN_SQL, 5, "drop"))
+def q_chunks_drop(spark, sf_dir):
+    from logsieve.operators.prep import chunk
+    train = _split(spark, sf_dir).filter(~F.col("is_test"))
+    return chunk(train, 5, ["log_id"], "drop").select("log_id", "chunk")
