@@ -42,7 +42,7 @@ class ContextModel:
 
 
 def positions(df: DataFrame, id_col: str = "log_id", tokens_col: str = "tokens",
-              max_length: int = MAX_LENGTH, keep: tuple = ()) -> DataFrame:
+              max_length: int = MAX_LENGTH, keep: tuple = (), with_len: bool = False) -> DataFrame:
     """One row per sequence position: (id, pos 1..L, l, t, r).  Built in-row with array
     shifts and one `inline` (no lambdas, no window)."""
     seq = token_sequence(F.col(tokens_col), max_length)
@@ -55,6 +55,9 @@ def positions(df: DataFrame, id_col: str = "log_id", tokens_col: str = "tokens",
         F.col("_seq").alias("t"),
         F.concat(F.slice("_seq", 2, n - 1), F.array(F.lit(PAD))).alias("r"),
     )
+    if with_len:
+        arrays = arrays.withColumn("seq_len", F.size("t"))
+        keep = (*keep, "seq_len")
     return arrays.select(id_col, *keep, F.inline(F.arrays_zip("pos", "l", "t", "r")))
 
 

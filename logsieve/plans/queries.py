@@ -283,10 +283,11 @@ def q_argmax(spark, sf_dir):
     return e.select("vec_id", "label", argmax(F.slice("embedding", 1, 10)).alias("prediction"))
 
 
-def _metrics_sql(src: str, by: str | None = None) -> str:
+def _metrics_sql(src: str, by: str | None = None, ignore: bool = True) -> str:
     """Weighted metrics of (label, prediction[, by]) rows, as classification_metrics."""
     g = f"{by}, " if by else ""
-    conf = f"SELECT {g}label AS y, prediction AS p, count(*) AS n FROM ({src}) WHERE label IS NOT NULL AND label <> -100 GROUP BY ALL"
+    cond = "label IS NOT NULL" + (" AND label <> -100" if ignore else "")
+    conf = f"SELECT {g}label AS y, prediction AS p, count(*) AS n FROM ({src}) WHERE {cond} GROUP BY ALL"
     sup = f"SELECT {g}y, sum(n) AS s, sum(CASE WHEN y = p THEN n ELSE 0 END) AS tp FROM conf GROUP BY ALL"
     prd = f"SELECT {g}p AS y, sum(n) AS pc FROM conf GROUP BY ALL"
     on = f"a.{by} = b.{by} AND " if by else ""
@@ -495,3 +496,139 @@ def q_chunks_drop(spark, sf_dir):
     from logsieve.operators.prep import chunk
     train = _split(spark, sf_dir).filter(~F.col("is_test"))
     return chunk(train, 5, ["log_id"], "drop").select("log_id", "chunk")
+
+
+# ---------------------------------------------------------------- model, chunked fit, evaluation
+K_CHUNKS = 5
+_PLAIN_LOGS_SQL = S.nonblank_sql(S.positional_sql(S.clean_sql(S.lines_sql("plain"))))
+_BASE_POS_SQL = S.positions_sql(_PLAIN_LOGS_SQL)
+_BASE_C3_SQL = f"SELECT l, t, r, count(*) AS n FROM ({_BASE_POS_SQL}) GROUP BY l, t, r"
+_TRAIN_CHUNKS_SQL = (f"SELECT t.log_id, c.chunk, t.message FROM ({_TRAIN_SQL}) t "
+                     f"JOIN ({_chunk_sql(_TRAIN_SQL, K_CHUNKS, 'drop')}) c ON t.log_id = c.log_id")
+_CUM_SQL = (f"SELECT CAST(c AS INTEGER) AS chunk, l, t, r, CAST(sum(n) AS BIGINT) AS n FROM ("
+            f"SELECT unnest(generate_series(greatest(chunk, 1), {K_CHUNKS})) AS c, l, t, r, n FROM ("
+            f"SELECT 0 AS chunk, l, t, r, n FROM ({_BASE_C3_SQL}) UNION ALL "
+            f"SELECT chunk, l, t, r, count(*) AS n FROM ({S.positions_sql(_TRAIN_CHUNKS_SQL, keep='chunk')}) "
+            f"GROUP BY chunk, l, t, r)) GROUP BY c, l, t, r")
+
+
+def _chosen_sql(j: str) -> str:
+    return f"({j} > 1 AND {j} < seq_len AND {S.h01_sql(str(SEED), 'log_id', j, chr(39) + 'pick' + chr(39))} < 0.15)"
+
+
+_EVAL_POS_SQL = (f"SELECT log_id, pos, CASE WHEN {_chosen_sql('(pos - 1)')} THEN '[MASK]' ELSE l END AS l, t, "
+                 f"CASE WHEN {_chosen_sql('(pos + 1)')} THEN '[MASK]' ELSE r END AS r "
+                 f"FROM ({S.positions_sql(f'SELECT log_id, message FROM ({_SPLIT_SQL}) WHERE is_test')}) "
+                 f"WHERE {_chosen_sql('pos')}")
+
+
+def _best_sql(keys: str, name: str) -> str:
+    k = f"{keys}, " if keys else ""
+    return (f"SELECT chunk, {k}arg_min(t, (-n, t)) AS {name} FROM (SELECT chunk, {k}t, sum(n) AS n FROM cum "
+            f"GROUP BY chunk, {k}t) GROUP BY chunk{', ' + keys if keys else ''}")
+
+
+_P_SQL = ("0.4 * coalesce(n3 / n_lr, 0) + 0.2 * coalesce(n_lt / n_l, 0) + 0.2 * coalesce(n_tr / n_r, 0) "
+          "+ 0.2 * (coalesce(n_t, 0) + 0.1) / (big_n + 0.1 * (big_v + 1))")
+_FT_CTES = (f"WITH cum AS ({_CUM_SQL}), ev AS ({_EVAL_POS_SQL}), "
+            f"ev5 AS (SELECT CAST(c.chunk AS INTEGER) AS chunk, e.* FROM ev e, "
+            f"(SELECT unnest(generate_series(1, {K_CHUNKS})) AS chunk) c), "
+            f"pr AS (SELECT ev5.*, coalesce(p_lr, p_l, p_r, p_all) AS prediction FROM ev5 "
+            f"LEFT JOIN ({_best_sql('l, r', 'p_lr')}) USING (chunk, l, r) "
+            f"LEFT JOIN ({_best_sql('l', 'p_l')}) USING (chunk, l) "
+            f"LEFT JOIN ({_best_sql('r', 'p_r')}) USING (chunk, r) "
+            f"LEFT JOIN ({_best_sql('', 'p_all')}) USING (chunk)), "
+            f"lo AS (SELECT pr.*, CAST(round(CAST(-ln({_P_SQL}) AS DECIMAL(20,9)), 6) AS DOUBLE) AS loss FROM pr "
+            f"LEFT JOIN (SELECT chunk, l, t, r, n AS n3 FROM cum) USING (chunk, l, t, r) "
+            f"LEFT JOIN (SELECT chunk, l, r, sum(n) AS n_lr FROM cum GROUP BY ALL) USING (chunk, l, r) "
+            f"LEFT JOIN (SELECT chunk, l, t, sum(n) AS n_lt FROM cum GROUP BY ALL) USING (chunk, l, t) "
+            f"LEFT JOIN (SELECT chunk, l, sum(n) AS n_l FROM cum GROUP BY ALL) USING (chunk, l) "
+            f"LEFT JOIN (SELECT chunk, t, r, sum(n) AS n_tr FROM cum GROUP BY ALL) USING (chunk, t, r) "
+            f"LEFT JOIN (SELECT chunk, r, sum(n) AS n_r FROM cum GROUP BY ALL) USING (chunk, r) "
+            f"LEFT JOIN (SELECT chunk, t, sum(n) AS n_t FROM cum GROUP BY ALL) USING (chunk, t) "
+            f"LEFT JOIN (SELECT chunk, sum(n) AS big_n, count(DISTINCT t) AS big_v FROM cum GROUP BY chunk) "
+            f"USING (chunk)) ")
+_EVAL_SQL = (f"SELECT e.chunk, round(e.eval_loss, 4) AS eval_loss, round(m.accuracy, 4) AS eval_accuracy, "
+             f"round(m.precision, 4) AS eval_precision, round(m.recall, 4) AS eval_recall, "
+             f"round(m.f1, 4) AS eval_f1 FROM (SELECT chunk, avg(loss) AS eval_loss FROM lo GROUP BY chunk) e "
+             f"JOIN ({_metrics_sql('SELECT chunk, t AS label, prediction FROM pr', 'chunk', ignore=False)}) m "
+             f"ON e.chunk = m.chunk")
+
+
+def _base_model(spark, sf_dir):
+    from logsieve.operators.model import fit, positions
+    logs = drop_blank(parse_positional(lines(spark, sf_dir, "plain")))
+    return fit(positions(tokenize(logs)))
+
+
+def _finetune(spark, sf_dir):
+    from logsieve.plans import finetune as ft
+    train, test = ft.prepare(_labelled(spark, sf_dir), K_CHUNKS, seed=SEED)
+    model = ft.fit_finetune(_base_model(spark, sf_dir), train, K_CHUNKS)
+    ev = ft.masked_eval_positions(test, seed=SEED)
+    return model, ev
+
+
+@register("context_counts", _BASE_C3_SQL)
+def q_context_counts(spark, sf_dir):
+    return _base_model(spark, sf_dir).counts
+
+
+@register("token_losses",
+          f"SELECT log_id, pos, t, loss FROM ({S.ranked_losses_sql(_BASE_POS_SQL)})")
+def q_token_losses(spark, sf_dir):
+    from logsieve.operators.model import positions, token_losses
+    logs = drop_blank(parse_positional(lines(spark, sf_dir, "plain")))
+    return token_losses(positions(tokenize(logs))).select("log_id", "pos", "t", "loss")
+
+
+@register("cumulative_counts", _CUM_SQL)
+def q_cumulative_counts(spark, sf_dir):
+    return _finetune(spark, sf_dir)[0].counts
+
+
+@register("predictions", _FT_CTES + "SELECT chunk, log_id, pos, t AS label_token, prediction FROM pr")
+def q_predictions(spark, sf_dir):
+    from logsieve.plans import finetune as ft
+    model, ev = _finetune(spark, sf_dir)
+    pr = ft.chunk_predictions(model, ev, K_CHUNKS)
+    return pr.select("chunk", "log_id", "pos", F.col("t").alias("label_token"), "prediction")
+
+
+def _eval(spark, sf_dir):
+    from logsieve.plans import finetune as ft
+    model, ev = _finetune(spark, sf_dir)
+    return ft.evaluate_chunks(model, ev, K_CHUNKS)
+
+
+@register("eval_by_chunk", _FT_CTES + _EVAL_SQL)
+def q_eval_by_chunk(spark, sf_dir):
+    return _eval(spark, sf_dir)
+
+
+@register("best_chunk", _FT_CTES + f"SELECT arg_min(chunk, (eval_loss, chunk)) AS best_chunk, "
+                                   f"min(eval_loss) AS best_eval_loss FROM ({_EVAL_SQL})")
+def q_best_chunk(spark, sf_dir):
+    from logsieve.operators.model import best_chunk
+    return best_chunk(_eval(spark, sf_dir))
+
+
+@register("overall_metrics", _FT_CTES + " UNION ALL ".join(
+    f"SELECT {S.q(n)} AS Metric, round(avg({c}), 2) AS Value FROM ({_EVAL_SQL})" for c, n in mt.METRIC_NAMES))
+def q_overall_metrics(spark, sf_dir):
+    return mt.overall_metrics(_eval(spark, sf_dir))
+
+
+@register("metrics_joined", _FT_CTES + f"SELECT e.*, t.avg_train_loss FROM ({_EVAL_SQL}) e "
+                                       f"LEFT JOIN ({_TRAIN_LOSS_SQL}) t ON e.chunk = t.chunk")
+def q_metrics_joined(spark, sf_dir):
+    return mt.join_metrics(_eval(spark, sf_dir), q_train_loss(spark, sf_dir))
+
+
+@register("metric_series", _FT_CTES + "SELECT chunk, series, value FROM (" + " UNION ALL ".join(
+    [f"SELECT e.chunk, {S.q(c)} AS series, CAST({'t.' if c == 'avg_train_loss' else 'e.'}{c} AS DOUBLE) AS value "
+     f"FROM ({_EVAL_SQL}) e LEFT JOIN ({_TRAIN_LOSS_SQL}) t ON e.chunk = t.chunk"
+     for c in ["eval_accuracy", "eval_precision", "eval_recall", "eval_f1", "avg_train_loss", "eval_loss"]]
+    + [f"SELECT chunk, 'avg_learning_rate', avg_learning_rate FROM ({_LR_SQL})"]) + ")")
+def q_metric_series(spark, sf_dir):
+    return mt.metric_series(_eval(spark, sf_dir), q_train_loss(spark, sf_dir), q_lr(spark, sf_dir))

@@ -85,13 +85,14 @@ def nonblank_sql(src: str) -> str:
     return f"SELECT * FROM ({src}) WHERE message IS NOT NULL AND {strip_sql('message')} <> ''"
 
 
-def positions_sql(src: str, id_col: str = "log_id", text_col: str = "message") -> str:
-    """(id, pos, l, t, r) over a query with an id and a text column."""
-    seq = (f"SELECT {id_col}, list_concat(['[CLS]'], regexp_extract_all(lower({text_col}), {TOKEN_RE_SQL})[1:62], "
+def positions_sql(src: str, id_col: str = "log_id", text_col: str = "message", keep: str = "") -> str:
+    """(id, [keep,] pos, l, t, r, seq_len) over a query with an id and a text column."""
+    k = f"{keep}, " if keep else ""
+    seq = (f"SELECT {id_col}, {k}list_concat(['[CLS]'], regexp_extract_all(lower({text_col}), {TOKEN_RE_SQL})[1:62], "
            f"['[SEP]']) AS seq FROM ({src})")
-    return (f"SELECT {id_col}, i AS pos, CASE WHEN i = 1 THEN '[PAD]' ELSE seq[i - 1] END AS l, seq[i] AS t, "
-            f"CASE WHEN i = len(seq) THEN '[PAD]' ELSE seq[i + 1] END AS r "
-            f"FROM (SELECT {id_col}, seq, unnest(generate_series(1, len(seq))) AS i FROM ({seq}))")
+    return (f"SELECT {id_col}, {k}i AS pos, CASE WHEN i = 1 THEN '[PAD]' ELSE seq[i - 1] END AS l, seq[i] AS t, "
+            f"CASE WHEN i = len(seq) THEN '[PAD]' ELSE seq[i + 1] END AS r, len(seq) AS seq_len "
+            f"FROM (SELECT {id_col}, {k}seq, unnest(generate_series(1, len(seq))) AS i FROM ({seq}))")
 
 
 def loss_table_sql(pos: str) -> str:
