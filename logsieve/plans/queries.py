@@ -632,3 +632,25 @@ def q_metrics_joined(spark, sf_dir):
     + [f"SELECT chunk, 'avg_learning_rate', avg_learning_rate FROM ({_LR_SQL})"]) + ")")
 def q_metric_series(spark, sf_dir):
     return mt.metric_series(_eval(spark, sf_dir), q_train_loss(spark, sf_dir), q_lr(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- generator
+def _gen(spark, sf_dir, mode):
+    from logsieve.sources.generate import generate_logs
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    return generate_logs(ids, mode, seed=SEED)
+
+
+@register("gen_raw", S.generate_sql("raw", SEED))
+def q_gen_raw(spark, sf_dir):
+    return _gen(spark, sf_dir, "raw")
+
+
+@register("gen_labelled", S.generate_sql("finetuned", SEED))
+def q_gen_labelled(spark, sf_dir):
+    return _gen(spark, sf_dir, "finetuned")
+
+
+@register("gen_test", S.generate_sql("test", SEED))
+def q_gen_test(spark, sf_dir):
+    return _gen(spark, sf_dir, "test")

@@ -155,3 +155,63 @@ def detect_sql(view: str = "plain") -> str:
             f"ELSE {q(ex.TEXT_NORMAL_HEAD)} || {det} || {q(ex.TEXT_NORMAL_MID)} || "
             f"CASE WHEN rule_based_flag THEN {q(ex.REASON_RULE)} ELSE {q(ex.REASON_NORMAL)} END END")
     return f"WITH sc AS ({sc}) SELECT *, {expl} AS explanation FROM ({comb})"
+
+
+# ---------------------------------------------------------------- generator twin
+def placeholder_sql(name: str, kind: str, spec, seed: int, key: str) -> str:
+    h = h01_sql(str(seed), key, q(name))
+    if kind == "int":
+        lo, hi = spec
+        return f"CAST(CAST({lo} + floor({h} * {hi - lo + 1}) AS BIGINT) AS VARCHAR)"
+    if kind == "choice":
+        return f"[{', '.join(q(c) for c in spec)}][CAST(floor({h} * {len(spec)}) AS BIGINT) + 1]"
+    if kind == "fmt":
+        pre, lo, hi, suf = spec
+        return f"({q(pre)} || CAST(CAST({lo} + floor({h} * {hi - lo + 1}) AS BIGINT) AS VARCHAR) || {q(suf)})"
+    if kind == "sample":
+        k, cands = spec
+        items = ", ".join(f"{{'h': {h01_sql(str(seed), key, q(name), str(i))}, 'v': {q(c)}}}"
+                          for i, c in enumerate(cands))
+        return f"array_to_string(list_transform(list_sort([{items}])[1:{k}], lambda x: x.v), ',')"
+    raise ValueError(kind)
+
+
+def fill_sql(text: str, seed: int, key: str) -> str:
+    from logsieve.sources.generate import DOMAINS
+    out = text
+    for name, kind, spec in DOMAINS:
+        out = f"replace({out}, {q('{' + name + '}')}, {placeholder_sql(name, kind, spec, seed, key)})"
+    return out
+
+
+def pick_sql(templates: list, seed: int, key: str, draw: str = "tpl") -> str:
+    return (f"[{', '.join(q(t) for t in templates)}]"
+            f"[CAST(floor({h01_sql(str(seed), key, q(draw))} * {len(templates)}) AS BIGINT) + 1]")
+
+
+def ts_sql(base_ts: str, secs: str) -> str:
+    return f"strftime(TIMESTAMP '{base_ts}' + to_seconds(CAST({secs} AS BIGINT)), '%Y-%m-%d %H:%M:%S')"
+
+
+def generate_sql(mode: str, seed: int, ids: str = "SELECT event_id AS id FROM events") -> str:
+    from logsieve.sources import generate as G
+    from logsieve.sources import templates as T
+    b = G.DEFAULT_BASE_TS
+    if mode == "raw":
+        line = (f"{ts_sql(b, f'id * {G.RAW_STEP_S}')} || ' ' || "
+                f"{fill_sql(pick_sql(T.NORMAL_UNLABELLED, seed, 'id'), seed, 'id')}")
+        return f"SELECT id AS log_id, {line} AS line FROM ({ids})"
+    if mode == "finetuned":
+        tpl = (f"CASE WHEN id % {G.ANOMALY_EVERY} = 0 THEN {pick_sql(T.ANOMALY_LABELLED, seed, 'id')} "
+               f"ELSE {pick_sql(T.NORMAL_LABELLED, seed, 'id')} END")
+        step = f"CAST(1 + floor({h01_sql(str(seed), 'id', q('step'))} * 3) AS BIGINT)"
+        tag = f"CASE WHEN id % {G.ANOMALY_EVERY} = 0 THEN ' ##ANOMALY' ELSE ' ##NORMAL' END"
+        line = f"{ts_sql(b, f'{step} * id')} || ' ' || {fill_sql(tpl, seed, 'id')} || {tag}"
+        return f"SELECT id AS log_id, {line} AS line FROM ({ids})"
+    tpl = (f"CASE WHEN id < nn THEN {pick_sql(T.NORMAL_TEST, seed, 'id')} "
+           f"ELSE {pick_sql(T.ANOMALY_TEST, seed, 'id')} END")
+    secs = f"CASE WHEN id < nn THEN id ELSE {G.TEST_ANOMALY_OFFSET_S} + id - nn END"
+    line = f"{ts_sql(b, secs)} || ' ' || {fill_sql(tpl, seed, 'id')}"
+    return (f"SELECT id AS log_id, {line} AS line, row_number() OVER (ORDER BY "
+            f"{h01_sql(str(seed), 'id', q('shuffle'))}, id) - 1 AS position "
+            f"FROM ({ids}) i, (SELECT CAST(floor(count(*) * {G.TEST_NORMAL_SHARE}) AS BIGINT) AS nn FROM ({ids})) c")
