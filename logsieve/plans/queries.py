@@ -654,3 +654,13 @@ def q_gen_labelled(spark, sf_dir):
 @register("gen_test", S.generate_sql("test", SEED))
 def q_gen_test(spark, sf_dir):
     return _gen(spark, sf_dir, "test")
+
+
+# ---------------------------------------------------------------- custom scorer
+@register("custom_scorer",
+          f"SELECT doc_id, round(list_avg(list_transform(input_ids, lambda x: ln(1 + x))), 6) AS score "
+          f"FROM ({_ENC_SQL})")
+def q_custom_scorer(spark, sf_dir):
+    from logsieve.operators.scorers import make_mean_log1p, score_with
+    e = score_with(_docs_encoded(spark, sf_dir), make_mean_log1p, "input_ids", "score")
+    return e.select("doc_id", F.round("score", 6).alias("score"))
