@@ -5,23 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# White space as Python's str.isspace defines it (what str.strip / str.split use),
+# built from that rule; strip is a character-set trim and split a character class, so
+# neither needs a Unicode-mode regular expression.
+WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+WS_CLASS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE) + "]"
 # Regular expressions (Java syntax, as Spark sees them).
-# (?U) makes \s match Unicode white space, like Python's str.strip / str.split.
-STRIP_PATTERN = r"(?U)^\s+|\s+$"
-WORD_SPLIT_PATTERN = r"(?U)\s+"
+WORD_SPLIT_PATTERN = WS_CLASS + "+"
+STRIP_PATTERN = "^" + WS_CLASS + "+|" + WS_CLASS + "+$"
 # A token is a run of characters that are neither ASCII punctuation nor white space,
 # or a single ASCII punctuation mark (basic uncased word splitting).
 TOKEN_PATTERN = r"([^\p{Punct}\s]+|\p{Punct})"
 
 
 def strip(c: Column) -> Column:
-    """Remove leading and trailing (Unicode) white space."""
-    return F.regexp_replace(c, F.lit(STRIP_PATTERN), F.lit(""))
+    """Remove leading and trailing white space."""
+    return F.btrim(c, F.lit(WHITESPACE))
+
+
+# The same set as a Java class: the White_Space property plus U+001C..U+001F (the
+# explicit 29-entry class matches the same characters but is several times slower).
+WORD_PATTERN = r"([^\p{IsWhite_Space}\x{1c}-\x{1f}]+)"
 
 
 def split_words(c: Column) -> Column:
-    """Split an already stripped string on runs of white space."""
-    return F.split(c, WORD_SPLIT_PATTERN)
+    """Words (runs of non-white-space) of a string.  `regexp_extract_all` keeps its
+    compiled pattern across rows (`split` with a multi-character pattern recompiles it
+    for every row)."""
+    return F.regexp_extract_all(c, F.lit(WORD_PATTERN), 1)
 
 
 def contains_any(c: Column, keywords) -> Column:

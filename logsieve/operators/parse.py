@@ -18,22 +18,24 @@ def parse_strict(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Timestamp = a leading `yyyy-MM-dd HH:mm:ss` shape (not validated), message = the
     stripped rest; lines without it keep the whole line as message and a null time."""
     line = F.col(line_col)
-    ts = F.nullif(F.regexp_extract(line, STRICT_TS_PATTERN, 1), F.lit(""))
-    msg = F.when(ts.isNull(), line).otherwise(strip(F.substring(line, 20, 1 << 30)))
-    return lines.withColumn("timestamp", ts).withColumn("message", msg).drop(line_col)
+    d = lines.withColumn("_ts", F.nullif(F.regexp_extract(line, STRICT_TS_PATTERN, 1), F.lit("")))
+    msg = F.when(F.col("_ts").isNull(), line).otherwise(strip(F.substring(line, 20, 1 << 30)))
+    return (d.withColumn("message", msg).withColumnRenamed("_ts", "timestamp")
+            .drop(line_col).select(*[c for c in d.columns if c not in (line_col, "_ts")], "timestamp", "message"))
 
 
 def parse_positional(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Split on white space: the first two words are the timestamp (not validated), the
-    rest joined by single spaces is the message; a one-word line gets `N/A`."""
-    s = strip(F.col(line_col))
-    words = split_words(s)
-    n = F.size(words)
-    ts = F.when(n >= 2, F.concat_ws(" ", F.get(words, 0), F.get(words, 1))).otherwise(F.lit("N/A"))
-    msg = F.when(n >= 2, F.array_join(F.slice(words, 3, F.greatest(n - 2, F.lit(0))), " ")).otherwise(s)
-    return (lines.withColumn("_w", words)
-            .withColumn("timestamp", ts).withColumn("message", msg)
-            .drop("_w", line_col))
+    rest joined by single spaces is the message; a one-word line gets `N/A`.
+    The stripped line and its words are computed once, as columns (an expression object
+    reused in several places would be evaluated once per use)."""
+    rest = [c for c in lines.columns if c != line_col]
+    d = lines.select(*rest, strip(F.col(line_col)).alias("_s"))
+    d = d.select(*rest, "_s", split_words(F.col("_s")).alias("_w"))
+    w, n = F.col("_w"), F.size(F.col("_w"))
+    ts = F.when(n >= 2, F.concat_ws(" ", F.get(w, 0), F.get(w, 1))).otherwise(F.lit("N/A"))
+    msg = F.when(n >= 2, F.array_join(F.slice(w, 3, F.greatest(n - 2, F.lit(0))), " ")).otherwise(F.col("_s"))
+    return d.select(*rest, ts.alias("timestamp"), msg.alias("message"))
 
 
 def parse_labelled(lines: DataFrame, line_col: str = "line") -> DataFrame:
@@ -50,8 +52,8 @@ def parse_labelled(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 def drop_blank(df: DataFrame, col: str = "message") -> DataFrame:
     """Drop rows whose message is null or only white space."""
-    c = F.col(col)
-    return df.filter(c.isNotNull() & (strip(c) != ""))
+    # one reference to the column: the optimizer inlines its definition per reference
+    return df.filter(F.coalesce(strip(F.col(col)) != "", F.lit(False)))
 
 
 def coerce_timestamp(c: Column, fmt: str = TS_TEXT_FORMAT) -> Column:

@@ -22,10 +22,13 @@ from logsieve.operators.tokens import MAX_LENGTH, tokenize
 
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin an input that arrives in fewer partitions than the cluster has cores
-    (one small file); a large input already has one partition per file split and is
-    left alone (no extra shuffle)."""
+    (one small file) and cache it, so that filters pushed down by the optimizer run on
+    all cores instead of inside the single scan task.  A large input already has one
+    partition per file split and is returned as it is (no shuffle, no cache)."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 RESULT_COLUMNS = ["log_id", "timestamp", "message", "anomaly_score", "is_anomaly", "rule_based_flag",
@@ -36,7 +39,7 @@ def score_logs(logs: DataFrame, model: ContextModel | None = None, id_col: str =
                message_col: str = "message", max_length: int = MAX_LENGTH,
                denominator: str = "max_length", persist: bool = True) -> DataFrame:
     """(id, anomaly_score, top_tokens) for every log with a message."""
-    toks = tokenize(spread(logs.select(id_col, message_col)), message_col)
+    toks = tokenize(logs.select(id_col, message_col), message_col)
     pos = positions(toks, id_col, "tokens", max_length)
     if persist:
         pos = pos.persist(StorageLevel.MEMORY_AND_DISK)
@@ -48,7 +51,10 @@ def detect(lines: DataFrame, model: ContextModel | None = None, percentile: floa
            threshold_method: str = "scalable", ignore_case: bool = False,
            keep_top_tokens: bool = False, persist: bool = True) -> DataFrame:
     """`lines` = (log_id, line).  Returns the scored log table (RESULT_COLUMNS)."""
-    logs = drop_blank(parse_positional(lines))
+    # parse once: the parsed logs feed both the scoring and the result rows
+    logs = drop_blank(parse_positional(spread(lines)))
+    if persist:
+        logs = logs.persist(StorageLevel.MEMORY_AND_DISK)
     scores = score_logs(logs, model, persist=persist)
     scored = logs.join(scores, "log_id", "inner")
     if persist:

@@ -21,8 +21,18 @@ SPECIALS_SQL = "(" + ", ".join(q(t) for t in SPECIAL_TOKENS) + ")"
 TOKEN_RE_SQL = r"'[^[:punct:]\s]+|[[:punct:]]'"
 
 
+def _ws_chars_sql() -> str:
+    from logsieve.functions.text import WHITESPACE
+    return "(" + " || ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
+
+
 def strip_sql(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"trim({x}, {_ws_chars_sql()})"
+
+
+def split_ws_sql(x: str) -> str:
+    from logsieve.functions.text import WORD_SPLIT_PATTERN
+    return f"regexp_split_to_array({x}, {q(WORD_SPLIT_PATTERN)})"
 
 
 def h01_sql(*parts: str) -> str:
@@ -71,7 +81,7 @@ def positional_sql(src: str) -> str:
     """parse_positional over a (log_id, line) query."""
     return (f"SELECT log_id, CASE WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] ELSE 'N/A' END AS timestamp, "
             f"CASE WHEN len(w) >= 2 THEN array_to_string(w[3:], ' ') ELSE s END AS message "
-            rf"FROM (SELECT log_id, s, regexp_split_to_array(s, '\s+') AS w "
+            f"FROM (SELECT log_id, s, {split_ws_sql('s')} AS w "
             f"FROM (SELECT log_id, {strip_sql('line')} AS s FROM ({src})))")
 
 
