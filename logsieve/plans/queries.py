@@ -188,8 +188,9 @@ def q_token_meanings(spark, sf_dir):
                     explain_tokens(F.array(F.col("token")), ignore_case=True).alias("phrase"))
 
 
-_SUMMARY_SQL = (f"SELECT count(*) AS total_logs, count_if(is_anomaly) AS mlm_anomalies, "
-                f"count_if(rule_based_flag) AS rule_anomalies, count_if(combined_anomaly) AS combined_anomalies "
+_SUMMARY_SQL = (f"SELECT count(*) AS total_logs, CAST(count_if(is_anomaly) AS BIGINT) AS mlm_anomalies, "
+                f"CAST(count_if(rule_based_flag) AS BIGINT) AS rule_anomalies, "
+                f"CAST(count_if(combined_anomaly) AS BIGINT) AS combined_anomalies "
                 f"FROM ({_DET_MESSY})")
 
 

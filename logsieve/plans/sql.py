@@ -100,7 +100,7 @@ def positions_sql(src: str, id_col: str = "log_id", text_col: str = "message", k
     k = f"{keep}, " if keep else ""
     seq = (f"SELECT {id_col}, {k}list_concat(['[CLS]'], regexp_extract_all(lower({text_col}), {TOKEN_RE_SQL})[1:62], "
            f"['[SEP]']) AS seq FROM ({src})")
-    return (f"SELECT {id_col}, {k}i AS pos, CASE WHEN i = 1 THEN '[PAD]' ELSE seq[i - 1] END AS l, seq[i] AS t, "
+    return (f"SELECT {id_col}, {k}CAST(i AS INTEGER) AS pos, CASE WHEN i = 1 THEN '[PAD]' ELSE seq[i - 1] END AS l, seq[i] AS t, "
             f"CASE WHEN i = len(seq) THEN '[PAD]' ELSE seq[i + 1] END AS r, len(seq) AS seq_len "
             f"FROM (SELECT {id_col}, {k}seq, unnest(generate_series(1, len(seq))) AS i FROM ({seq}))")
 
