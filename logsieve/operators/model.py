@@ -132,14 +132,11 @@ def loss_table(model: ContextModel, queries: DataFrame | None = None) -> DataFra
     if queries is None:
         def w(*keys):
             return Window.partitionBy(*by, *keys)
-        q = (c3.select(*by, "l", "t", "r", F.col("n").alias("n3"))
-             .withColumn("n_l", F.sum("n3").over(w("l")))
-             .withColumn("n_lr", F.sum("n3").over(w("l", "r")))
-             .withColumn("n_lt", F.sum("n3").over(w("l", "t")))
-             .withColumn("n_t", F.sum("n3").over(w("t")))
-             .withColumn("n_tr", F.sum("n3").over(w("t", "r")))
-             .withColumn("n_r", F.sum("n3").over(w("r")))
-             .withColumn("m", F.col("n3")))
+        n = F.col("n")
+        q = c3.select(*by, "l", "t", "r", n.alias("n3"), n.alias("m"),
+                      F.sum(n).over(w("l")).alias("n_l"), F.sum(n).over(w("l", "r")).alias("n_lr"),
+                      F.sum(n).over(w("l", "t")).alias("n_lt"), F.sum(n).over(w("t")).alias("n_t"),
+                      F.sum(n).over(w("t", "r")).alias("n_tr"), F.sum(n).over(w("r")).alias("n_r"))
     else:
         def marg(keys, name):
             return c3.groupBy(*by, *keys).agg(F.sum("n").alias(name))

@@ -8,8 +8,7 @@ with one row per partition, so broadcasting it is bounded by the partition count
 
 from __future__ import annotations
 
-import math
-
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ _LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row withi
 
 
 def with_global_index(df: DataFrame, order: list, index_col: str = "idx",
-                      rows_per_partition: int = 1_000_000) -> DataFrame:
+                      num_partitions: int | None = None) -> DataFrame:
     """Add `index_col` = 0..n-1 following `order` (columns or sort expressions).
 
     The order must be total (end it with a unique key), otherwise the numbering of
@@ -28,14 +27,20 @@ def with_global_index(df: DataFrame, order: list, index_col: str = "idx",
     checkpoint folder so that a lost executor cannot renumber a partition.
     """
     spark = df.sparkSession
-    n = df.count()
-    parts = max(1, math.ceil(n / rows_per_partition))
+    if num_partitions is None:
+        # no extra pass to count rows: as many range partitions as the input has
+        # partitions (file splits at scale), at least the configured shuffle width
+        num_partitions = max(df.rdd.getNumPartitions(),
+                             int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    numbered = (df.repartitionByRange(parts, *cols)
+    # the range partitioner samples the input, then the shuffle reads it again: keep it
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    numbered = (src.repartitionByRange(num_partitions, *cols)
                 .sortWithinPartitions(*cols)
                 .withColumn("_mid", F.monotonically_increasing_id()))
     checkpoint_dir(spark)
     numbered = numbered.checkpoint(eager=True)
+    src.unpersist()
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     sizes = numbered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))

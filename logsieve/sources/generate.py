@@ -127,12 +127,14 @@ def generate_logs(ids: DataFrame, mode: str = "raw", seed: int = 0, base_ts: str
         line = F.concat(_ts(base_ts, step * i), F.lit(" "), fill_template(tpl, seed, i), tag)
         return ids.select(i.alias("log_id"), line.alias("line"))
     # test: the split point depends on n -- a one-row aggregate attached to every row
+    from logsieve.operators.prep import with_global_index
     n = ids.agg(F.floor(F.count(F.lit(1)) * F.lit(TEST_NORMAL_SHARE)).alias("_nn"))
-    d = ids.select(i).crossJoin(F.broadcast(n))
+    # number the shuffled order on (id, draw) only; lines are built once, afterwards
+    keyed = ids.select(i.alias("log_id"), h01(seed, i, "shuffle").alias("_h"))
+    d = with_global_index(keyed, ["_h", "log_id"], "position").crossJoin(F.broadcast(n))
+    i = F.col("log_id")
     normal = i < F.col("_nn")
     tpl = F.when(normal, pick_template(T.NORMAL_TEST, seed, i)).otherwise(pick_template(T.ANOMALY_TEST, seed, i))
     secs = F.when(normal, i).otherwise(F.lit(TEST_ANOMALY_OFFSET_S) + i - F.col("_nn"))
     line = F.concat(_ts(base_ts, secs), F.lit(" "), fill_template(tpl, seed, i))
-    out = d.select(i.alias("log_id"), line.alias("line"), h01(seed, i, "shuffle").alias("_h"))
-    from logsieve.operators.prep import with_global_index
-    return with_global_index(out, ["_h", "log_id"], "position").drop("_h")
+    return d.select("log_id", line.alias("line"), "position")

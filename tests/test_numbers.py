@@ -43,7 +43,7 @@ def test_chunk_sizes(spark):
 
 def test_global_index_is_a_permutation(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), F.col("id")).repartition(7)
-    idx = with_global_index(df, ["k", "id"], "idx", rows_per_partition=600).orderBy("idx").collect()
+    idx = with_global_index(df, ["k", "id"], "idx", num_partitions=9).orderBy("idx").collect()
     assert [r["idx"] for r in idx] == list(range(5000))
     keys = [(r["k"], r["id"]) for r in idx]
     assert keys == sorted(keys)
