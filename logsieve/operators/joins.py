@@ -11,6 +11,7 @@ line of defence (the counts may come from another corpus than the big side).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,10 @@ def frequency_split_join(big: DataFrame, keyed: DataFrame, keys: list[str], freq
     if how not in ("inner", "left"):
         raise ValueError(how)
     total = keyed.agg(F.sum(freq_col).alias("_total"))
+    # one row per distinct key, read by the hot and the cold side: computed once
     marked = (keyed.crossJoin(F.broadcast(total))
               .withColumn("_hot", F.col(freq_col) * F.lit(max_hot) >= F.col("_total"))
-              .drop("_total"))
+              .drop("_total").persist(StorageLevel.MEMORY_AND_DISK))
     payload = [c for c in keyed.columns if c != freq_col]
     hot = marked.filter("_hot").select(*payload)          # <= max_hot rows
     cold = marked.filter("NOT _hot").select(*payload)

@@ -28,10 +28,9 @@ def with_global_index(df: DataFrame, order: list, index_col: str = "idx",
     """
     spark = df.sparkSession
     if num_partitions is None:
-        # no extra pass to count rows: as many range partitions as the input has
-        # partitions (file splits at scale), at least the configured shuffle width
-        num_partitions = max(df.rdd.getNumPartitions(),
-                             int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        # the configured shuffle width: no pass over the data to count rows (and no
+        # `df.rdd.getNumPartitions()`, which under AQE runs the input's shuffles)
+        num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     # the range partitioner samples the input, then the shuffle reads it again: keep it
     src = df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -4,6 +4,7 @@ joins against the vocabulary, never driver-side dictionaries."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,8 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "log_id", tokens_col:
     """(id, input_ids, attention_mask, labels): `[CLS]` + ids of the first max_length-2
     tokens (unknown -> `[UNK]`) + `[SEP]`, padded with 0 to max_length."""
     pos = df.select(id_col, F.posexplode_outer(F.slice(tokens_col, 1, max_length - 2)).alias("pos", "token"))
+    # read by the hot join, the cold anti-join/join and the empty-row branch
+    pos = pos.persist(StorageLevel.MEMORY_AND_DISK)
     known = frequency_split_join(pos.filter(F.col("token").isNotNull()),
                                  vocab.select("token", "token_id", "count"), ["token"], "count", how="left")
     empty = pos.filter(F.col("token").isNull()).withColumn("token_id", F.lit(None).cast("int"))
@@ -79,7 +82,7 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "log_id", tokens_col:
 def decode(df: DataFrame, vocab: DataFrame, id_col: str = "log_id", ids_col: str = "input_ids",
            out: str = "decoded") -> DataFrame:
     """Ids -> token strings (same order, same length)."""
-    pos = df.select(id_col, F.posexplode(ids_col).alias("pos", "token_id"))
+    pos = df.select(id_col, F.posexplode(ids_col).alias("pos", "token_id")).persist(StorageLevel.MEMORY_AND_DISK)
     joined = frequency_split_join(pos, vocab.select("token_id", "token", "count"),
                                   ["token_id"], "count", how="left")
     return (joined.groupBy(id_col)
@@ -176,7 +179,7 @@ def encode_subword(df: DataFrame, pieces: DataFrame, id_col: str = "log_id",
              .agg(F.count(F.lit(1)).alias("m")))
     split = words.select("word").mapInPandas(split_words, "word string, wp array<string>")
     table = split.join(words, "word")
-    pos = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "word"))
+    pos = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "word")).persist(StorageLevel.MEMORY_AND_DISK)
     known = frequency_split_join(pos.filter(F.col("word").isNotNull()), table, ["word"], "m", how="left")
     empty = pos.filter(F.col("word").isNull()).withColumn("wp", F.lit(None).cast("array<string>"))
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", "wp"))

@@ -26,6 +26,7 @@ def spread(df: DataFrame) -> DataFrame:
     all cores instead of inside the single scan task.  A large input already has one
     partition per file split and is returned as it is (no shuffle, no cache)."""
     par = df.sparkSession.sparkContext.defaultParallelism
+    # meant for source frames: on a frame with shuffles, AQE would run them to answer
     if df.rdd.getNumPartitions() >= par:
         return df
     return df.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)

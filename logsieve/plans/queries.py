@@ -352,7 +352,11 @@ def _vocab_sql(max_size: int | None) -> str:
 
 
 def _docs_tokens(spark, sf_dir):
-    return tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    from logsieve.plans.detect import spread
+    from pyspark import StorageLevel
+    # read by the vocabulary and by the encoding: tokenize the documents once
+    return tokenize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _docs_vocab(spark, sf_dir, max_size=VOCAB_SIZE):
