@@ -27,7 +27,15 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # intermediates cached by an earlier query are not needed any more; dropping
+            # them keeps a long session's memory at one query's working set (a dropped
+            # cache only means recomputation from lineage, never a different result)
+            spark.catalog.clearCache()
+            return fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -39,7 +47,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark, sf_dir, view="plain") -> DataFrame:
-    return logs_from_events(table(spark, sf_dir, "events"), view)
+    from logsieve.plans.detect import spread
+    return spread(logs_from_events(table(spark, sf_dir, "events"), view))
 
 
 def as_text(c) -> F.Column:

@@ -26,6 +26,12 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # the status store keeps every job, stage and SQL execution of a session (with or
+    # without the UI); long sessions of many small queries keep only recent ones
+    "spark.ui.retainedJobs": "100",
+    "spark.ui.retainedStages": "200",
+    "spark.ui.retainedTasks": "10000",
+    "spark.sql.ui.retainedExecutions": "50",
 }
 
 

@@ -53,35 +53,43 @@ def logs_from_events(events: DataFrame, view: str = "plain") -> DataFrame:
     labelled:  plain + ` ##ANOMALY` for errors, ` ##NORMAL` for others, no tag for signups
     messy:     plain lines damaged by `event_id % 7` (doubled spaces and a tab, missing
                timestamp, one word, two words, blank, month 13, both severity tags)
+
+    The time text and the body are projected once as columns and the variants refer to
+    them (an expression object reused in several branches would be evaluated, and
+    printed in every plan, once per use).
     """
+    if view not in ("plain", "labelled", "messy"):
+        raise ValueError(f"unknown view {view!r}")
     et = F.col("event_type")
-    ts = F.date_format(F.col("ts"), TS_FORMAT)
-    body = F.concat(
-        F.lit("log_channel("), _channel(et), F.lit(") log ["), _severity(et), F.lit("] : "),
-        et, F.lit(" user "), F.col("user_id").cast("string"),
-        F.lit(" k "), F.get_json_object(F.col("props"), "$.k"),
-    )
-    plain = F.concat(ts, F.lit(" "), body)
-    eid = F.col("event_id")
+    base = events.select(
+        F.col("event_id").alias("log_id"), et,
+        F.col("user_id").cast("string").alias("_u"),
+        F.date_format(F.col("ts"), TS_FORMAT).alias("_ts"),
+        F.concat(
+            F.lit("log_channel("), _channel(et), F.lit(") log ["), _severity(et), F.lit("] : "),
+            et, F.lit(" user "), F.col("user_id").cast("string"),
+            F.lit(" k "), F.get_json_object(F.col("props"), "$.k"),
+        ).alias("_body"))
+    base = base.select("log_id", "event_type", "_u", "_ts", "_body",
+                       F.concat(F.col("_ts"), F.lit(" "), F.col("_body")).alias("_plain"))
+    plain, body, ts = F.col("_plain"), F.col("_body"), F.col("_ts")
     if view == "plain":
         line = plain
     elif view == "labelled":
         line = (F.when(et == "error", F.concat(plain, F.lit(" ##ANOMALY")))
                 .when(et == "signup", plain)
                 .otherwise(F.concat(plain, F.lit(" ##NORMAL"))))
-    elif view == "messy":
-        r = eid % 7
+    else:
+        r = F.col("log_id") % 7
         line = (F.when(r == 0, F.concat(F.replace(plain, F.lit(" "), F.lit("  ")), F.lit("\t")))
                 .when(r == 1, F.concat(F.lit(" "), body))
                 .when(r == 2, et)
-                .when(r == 3, F.concat(et, F.lit(" "), F.col("user_id").cast("string")))
+                .when(r == 3, F.concat(et, F.lit(" "), F.col("_u")))
                 .when(r == 4, F.lit(" \t "))
                 .when(r == 5, F.concat(F.substring(ts, 1, 5), F.lit("13"), F.substring(ts, 8, 12),
                                        F.lit(" "), body))
                 .otherwise(F.concat(plain, F.lit(" [ERR] [OK]"))))
-    else:
-        raise ValueError(f"unknown view {view!r}")
-    return events.select(eid.alias("log_id"), line.alias("line"))
+    return base.select("log_id", line.alias("line"))
 
 
 def training_log_from_events(events: DataFrame) -> DataFrame:
