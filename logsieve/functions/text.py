@@ -43,9 +43,13 @@ def contains_any(c: Column, keywords) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def tokenize_expr(c: Column) -> Column:
-    """Lower-case and split into word and punctuation tokens (array<string>)."""
-    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), 1)
+def tokenize_expr(c: Column, accents: bool = True) -> Column:
+    """Lower-case and split into word and punctuation tokens (array<string>);
+    accents=False also strips accents after lower-casing."""
+    low = F.lower(c)
+    if not accents:
+        low = strip_accents(low)
+    return F.regexp_extract_all(low, F.lit(TOKEN_PATTERN), 1)
 
 
 def lookup(c: Column, mapping: dict, default=None) -> Column:
@@ -55,3 +59,25 @@ def lookup(c: Column, mapping: dict, default=None) -> Column:
         kv += [F.lit(k), F.lit(v)]
     hit = F.try_element_at(F.create_map(*kv), c)
     return hit if default is None else F.coalesce(hit, F.lit(default))
+
+
+def _accent_table():
+    """(accented, base) characters: every character of the Latin blocks whose canonical
+    decomposition is a base letter followed only by combining marks (a rule, not a list)."""
+    import unicodedata
+    src, dst = [], []
+    for code in range(0x00C0, 0x0250):
+        ch = chr(code)
+        d = unicodedata.normalize("NFD", ch)
+        if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:]):
+            src.append(ch)
+            dst.append(d[0])
+    return "".join(src), "".join(dst)
+
+
+ACCENTED, ACCENT_BASE = _accent_table()
+
+
+def strip_accents(c: Column) -> Column:
+    """Replace accented Latin letters by their base letter (JVM-side `translate`)."""
+    return F.translate(c, ACCENTED, ACCENT_BASE)

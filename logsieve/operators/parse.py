@@ -38,15 +38,20 @@ def parse_positional(lines: DataFrame, line_col: str = "line") -> DataFrame:
     return d.select(*rest, ts.alias("timestamp"), msg.alias("message"))
 
 
-def parse_labelled(lines: DataFrame, line_col: str = "line") -> DataFrame:
+def parse_labelled(lines: DataFrame, line_col: str = "line", strip_timestamp: bool = False) -> DataFrame:
     """`##ANOMALY` anywhere -> label 1, else `##NORMAL` -> 0, else the row is dropped.
-    The message is the text before the first `##` (timestamp and trailing space kept)."""
+    The message is the text before the first `##` (timestamp and trailing space kept,
+    unless strip_timestamp=True, which removes a leading timestamp as parse_strict does
+    so that fitted text looks like scored text)."""
     line = F.col(line_col)
     label = (F.when(line.contains(ANOMALY_TAG), F.lit(1))
              .when(line.contains(NORMAL_TAG), F.lit(0)))
+    msg = F.split_part(line, F.lit("##"), F.lit(1))
+    if strip_timestamp:
+        msg = strip(F.regexp_replace(msg, STRICT_TS_PATTERN, ""))
     return (lines.withColumn("label", label.cast("int"))
             .filter(F.col("label").isNotNull())
-            .withColumn("message", F.split_part(line, F.lit("##"), F.lit(1)))
+            .withColumn("message", msg)
             .drop(line_col))
 
 

@@ -21,9 +21,10 @@ MAX_LENGTH = 64
 IGNORE_LABEL = -100
 
 
-def tokenize(df: DataFrame, col: str = "message", out: str = "tokens") -> DataFrame:
-    """Lower-case word / punctuation tokens as array<string>."""
-    return df.withColumn(out, tokenize_expr(F.col(col)))
+def tokenize(df: DataFrame, col: str = "message", out: str = "tokens",
+             strip_accents: bool = False) -> DataFrame:
+    """Lower-case word / punctuation tokens as array<string> (optionally without accents)."""
+    return df.withColumn(out, tokenize_expr(F.col(col), accents=not strip_accents))
 
 
 def token_sequence(tokens: Column, max_length: int = MAX_LENGTH) -> Column:

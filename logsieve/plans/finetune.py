@@ -44,7 +44,13 @@ def prepare(labelled: DataFrame, k: int = 5, seed: int = 0, test_size: float = 0
     return train, test
 
 
-def fit_finetune(base: ContextModel | None, train_chunks: DataFrame, k: int = 5) -> ContextModel:
+def fit_finetune(base: ContextModel | None, train_chunks: DataFrame, k: int = 5,
+                 label_filter: str | None = None) -> ContextModel:
+    """Continued fit over the chunks.  By default every training line is learned (the
+    labels are not used, as in masked-token training); label_filter (e.g. "label = 0")
+    fits on the normal lines only."""
+    if label_filter:
+        train_chunks = train_chunks.filter(label_filter)
     pos = positions(tokenize(train_chunks.select("log_id", "chunk", "message")), "log_id", "tokens", keep=("chunk",))
     model = fit_chunks(base, pos, k)
     model.counts = model.counts.persist(StorageLevel.MEMORY_AND_DISK)
@@ -74,3 +80,15 @@ def evaluate_chunks(model: ContextModel, eval_pos: DataFrame, k: int, metrics=No
     el = pr.groupBy("chunk").agg(F.avg("loss").alias("eval_loss"))
     out = el.join(m, "chunk")
     return mt.round_all(out, [c for c in out.columns if c != "chunk"], EVAL_DIGITS)
+
+
+def fit_base(logs: DataFrame, k: int = 10, scope: str = "all") -> ContextModel:
+    """Base fit on unlabelled logs (log_id, message).  scope='all' fits on every line;
+    scope='last_chunk' cuts the lines into k contiguous chunks (the last takes the rest)
+    and keeps only the last chunk's model, as a fresh model per chunk would."""
+    from logsieve.operators.model import fit
+    if scope == "last_chunk":
+        logs = chunk(logs, k, ["log_id"], "last").filter(F.col("chunk") == k).drop("chunk")
+    elif scope != "all":
+        raise ValueError(scope)
+    return fit(positions(tokenize(logs.select("log_id", "message"))))

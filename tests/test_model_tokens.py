@@ -104,3 +104,16 @@ def test_top_tokens_fixture(spark):
     r = M.score(losses).first()
     assert r["top_tokens"] == ["b", "a"]
     assert abs(r["anomaly_score"] - round(22.0 / 64, 6)) < 1e-12
+
+
+def test_options(spark):
+    from logsieve.operators.parse import parse_labelled
+    from logsieve.plans.finetune import fit_base
+    toks = tokenize(texts(spark), "text", strip_accents=True)
+    got = {r["doc_id"]: r["tokens"] for r in toks.collect()}
+    assert got[4] == ["deja", "vu", ":", "ete"]
+    lab = spark.createDataFrame([(1, "2024-01-01 00:00:01 ok ##NORMAL")], "log_id bigint, line string")
+    assert parse_labelled(lab, strip_timestamp=True).first()["message"] == "ok"
+    logs = spark.createDataFrame([(i, f"w{i}") for i in range(23)], "log_id bigint, message string")
+    last = {r["t"] for r in fit_base(logs, 10, "last_chunk").counts.collect()}
+    assert last == {"[CLS]", "[SEP]", "w18", "w19", "w20", "w21", "w22"}
