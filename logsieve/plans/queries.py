@@ -136,21 +136,29 @@ def q_detect(spark, sf_dir):
     return _detect(spark, sf_dir).drop("top_tokens")
 
 
+def _scored(spark, sf_dir):
+    """Parsed logs with their anomaly scores (no flags or explanations)."""
+    from pyspark import StorageLevel
+    from logsieve.plans.detect import score_logs
+    logs = drop_blank(parse_positional(lines(spark, sf_dir, "plain"))).persist(StorageLevel.MEMORY_AND_DISK)
+    return logs.join(score_logs(logs), "log_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @register("log_scores", f"SELECT log_id, anomaly_score FROM ({_DET_PLAIN})")
 def q_log_scores(spark, sf_dir):
-    return _detect(spark, sf_dir).select("log_id", "anomaly_score")
+    return _scored(spark, sf_dir).select("log_id", "anomaly_score")
 
 
 @register("scored_logs", f"SELECT log_id, timestamp, message, anomaly_score FROM ({_DET_PLAIN})")
 def q_scored_logs(spark, sf_dir):
-    return _detect(spark, sf_dir).select("log_id", "timestamp", "message", "anomaly_score")
+    return _scored(spark, sf_dir).select("log_id", "timestamp", "message", "anomaly_score")
 
 
 @register("threshold",
           f"SELECT round(quantile_cont(anomaly_score, 0.7), 6) AS threshold, count(*) AS n_scores "
           f"FROM ({_DET_PLAIN})")
 def q_threshold(spark, sf_dir):
-    d = _detect(spark, sf_dir)
+    d = _scored(spark, sf_dir)
     thr = fl.score_threshold(d, "anomaly_score", 70, method="scalable")
     return thr.crossJoin(d.agg(F.count(F.lit(1)).alias("n_scores"))).select(
         F.round("threshold", 6).alias("threshold"), "n_scores")
@@ -160,14 +168,14 @@ def q_threshold(spark, sf_dir):
           f"SELECT log_id, anomaly_score, anomaly_score > (SELECT quantile_cont(anomaly_score, 0.7) "
           f"FROM ({_DET_PLAIN})) AS above_threshold FROM ({_DET_PLAIN})")
 def q_score_flags(spark, sf_dir):
-    d = _detect(spark, sf_dir).select("log_id", "anomaly_score")
+    d = _scored(spark, sf_dir).select("log_id", "anomaly_score")
     thr = fl.score_threshold(d, "anomaly_score", 70, method="exact")
     return fl.flag_scores(d, thr).withColumnRenamed("is_anomaly", "above_threshold")
 
 
 @register("confidence", f"SELECT log_id, confidence_score FROM ({_DET_PLAIN})")
 def q_confidence(spark, sf_dir):
-    return _detect(spark, sf_dir).select("log_id", "confidence_score")
+    return fl.confidence(_scored(spark, sf_dir)).select("log_id", "confidence_score")
 
 
 @register("combined_flags",
