@@ -117,3 +117,29 @@ def test_options(spark):
     logs = spark.createDataFrame([(i, f"w{i}") for i in range(23)], "log_id bigint, message string")
     last = {r["t"] for r in fit_base(logs, 10, "last_chunk").counts.collect()}
     assert last == {"[CLS]", "[SEP]", "w18", "w19", "w20", "w21", "w22"}
+
+
+def test_hot_line_third_of_rows(spark):
+    """One line holds a third of all rows: the hot contexts are broadcast, the rest
+    shuffled, and the scores equal those of a plain join."""
+    from logsieve.operators.joins import frequency_split_join as fsj
+    rows = [(i, "2024-01-01 00:00:00 log [INF] : same line" if i % 3 == 0
+             else f"2024-01-01 00:00:00 log [ERR] : other {i % 17} {i % 5}") for i in range(3000)]
+    lines = spark.createDataFrame(rows, "log_id bigint, line string")
+    from logsieve.operators.parse import drop_blank, parse_positional
+    logs = drop_blank(parse_positional(lines))
+    pos = M.positions(tokenize(logs))
+    table = M.loss_table(M.fit(pos)).select("l", "t", "r", "m", "loss")
+    split = M.score(fsj(pos, table, ["l", "t", "r"], "m", max_hot=20))
+    plain = M.score(pos.join(table.drop("m"), ["l", "t", "r"]))
+    a = {r["log_id"]: (r["anomaly_score"], tuple(r["top_tokens"])) for r in split.collect()}
+    b = {r["log_id"]: (r["anomaly_score"], tuple(r["top_tokens"])) for r in plain.collect()}
+    assert a == b and len(a) == 3000
+
+
+def test_empty_input(spark):
+    from logsieve.operators import flags as fl
+    lines = spark.createDataFrame([], "log_id bigint, line string")
+    assert detect(lines).count() == 0
+    empty = spark.createDataFrame([], "anomaly_score double")
+    assert fl.score_threshold(empty).first()["threshold"] is None
