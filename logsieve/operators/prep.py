@@ -67,11 +67,49 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int
     h = h01(seed, "split", F.col(key))
     if not exact:
         return df.withColumn(out, h < F.lit(test_size))
-    n_test = df.select(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).alias("_nt"))
-    ranked = with_global_index(df.withColumn("_h", h), [F.col("_h"), F.col(key)], "_rank")
-    return (ranked.crossJoin(F.broadcast(n_test))
-            .withColumn(out, F.col("_rank") < F.col("_nt"))
-            .drop("_h", "_rank", "_nt"))
+    import math
+    d = df.withColumn("_h", h)
+    n = d.count()
+    k = math.ceil(n * test_size)
+    if k == 0:
+        return d.withColumn(out, F.lit(False)).drop("_h")
+    kth = kth_smallest(d, "_h", key, k)
+    if kth is None:
+        # the approximate bracket missed: number the rows instead (range-partitioned)
+        ranked = with_global_index(d, [F.col("_h"), F.col(key)], "_rank")
+        return ranked.withColumn(out, F.col("_rank") < F.lit(k)).drop("_h", "_rank")
+    hk, kk = kth
+    test = (F.col("_h") < F.lit(hk)) | ((F.col("_h") == F.lit(hk)) & (F.col(key) <= F.lit(kk)))
+    return d.withColumn(out, test).drop("_h")
+
+
+def kth_smallest(df: DataFrame, value: str, key: str, k: int, accuracy: int = 10_000,
+                 max_sort_rows: int = 200_000) -> tuple | None:
+    """(value, key) of the k-th smallest row (1-based) in (value, key) order, without
+    sorting everything: bracket the rank with `approx_percentile` on value, count the
+    rows below the bracket, narrow until at most `max_sort_rows` rows remain, then a
+    bounded top-k inside the bracket (ties of value are all inside it, ordered by key).
+    None when a bracket misses (the caller then numbers the rows)."""
+    sub = df.select(F.col(value).alias("v"), F.col(key).alias("k"))
+    below, sub_n = 0, sub.count()
+    for _ in range(8):
+        if sub_n <= max_sort_rows:
+            break
+        q = (k - 1 - below) / max(sub_n - 1, 1)
+        eps = 4.0 / accuracy
+        a, b = sub.agg(F.percentile_approx("v", [max(0.0, q - eps), min(1.0, q + eps)], accuracy)).first()[0]
+        st = sub.agg(F.count_if(F.col("v") < a).alias("lt"),
+                     F.count_if((F.col("v") >= a) & (F.col("v") <= b)).alias("mid")).first()
+        if not (below + st["lt"] < k <= below + st["lt"] + st["mid"]):
+            return None
+        below += st["lt"]
+        sub = sub.filter((F.col("v") >= a) & (F.col("v") <= b))
+        sub_n = st["mid"]
+    if sub_n > max_sort_rows:
+        return None
+    rows = sub.orderBy("v", "k").limit(k - below).collect()
+    last = rows[-1]
+    return last["v"], last["k"]
 
 
 def chunk_of(idx: Column, n: Column, k: int, remainder: str = "last") -> Column:

@@ -92,3 +92,14 @@ def test_cross_entropy_and_argmax(spark):
         want = np.log(np.exp(x - x.max()).sum()) + x.max() - x[y]
         assert abs(r["ce"] - want) < 1e-12
         assert r["am"] == int(np.argmax(x))
+
+
+def test_exact_split_matches_global_numbering(spark):
+    from logsieve.functions.hashing import h01
+    from logsieve.operators.prep import kth_smallest, train_test_split
+    df = spark.range(5000).withColumnRenamed("id", "log_id").repartition(5)
+    got = {r["log_id"] for r in train_test_split(df, "log_id", 0.2, seed=4).filter("is_test").collect()}
+    hs = sorted((r["h"], r["log_id"]) for r in df.select(h01(4, "split", F.col("log_id")).alias("h"), "log_id").collect())
+    assert got == {k for _, k in hs[:1000]}
+    d = df.select(F.floor(F.col("log_id") / 7).cast("double").alias("v"), "log_id")
+    assert kth_smallest(d, "v", "log_id", 777, max_sort_rows=100) == (110.0, 776)
