@@ -122,3 +122,23 @@ def test_streaming(spark, tmpdir_path):
     batch = {r["log_id"]: r["anomaly_score"] for r in detect(lines).collect()}
     streamed = {r["log_id"]: r["anomaly_score"] for r in out.collect()}
     assert streamed == batch
+
+
+def test_read_metrics_and_tables(spark, tmpdir_path):
+    from logsieve.operators.metrics import join_metrics, metric_series, overall_metrics
+    d = tmpdir_path
+    with open(os.path.join(d, "eval_metrics.csv"), "w") as f:
+        f.write("eval_loss,eval_accuracy,eval_precision,eval_recall,eval_f1,eval_runtime,"
+                "eval_samples_per_second,eval_steps_per_second,epoch,chunk\n")
+        f.write("0.5,0.8,0.9,0.8,0.85,10.0,2.0,0.5,5.0,1\n0.4,0.9,0.95,0.9,0.9,11.0,2.1,0.6,5.0,2\n")
+    with open(os.path.join(d, "train_loss.csv"), "w") as f:
+        f.write("chunk,avg_train_loss\n1,0.6\n2,0.45\n")
+    with open(os.path.join(d, "learning_rate_log.csv"), "w") as f:
+        f.write("chunk,avg_learning_rate\n1,1.5e-05\n2,1.5e-05\n")
+    m = io.read_metrics(spark, d)
+    assert m["eval"].schema["chunk"].dataType.simpleString() == "int"
+    ov = {r["Metric"]: r["Value"] for r in overall_metrics(m["eval"]).collect()}
+    assert ov == {"Accuracy": 0.85, "Precision": 0.93, "Recall": 0.85, "F1-Score": 0.88}
+    j = {r["chunk"]: r["avg_train_loss"] for r in join_metrics(m["eval"], m["train_loss"]).collect()}
+    assert j == {1: 0.6, 2: 0.45}
+    assert metric_series(m["eval"], m["train_loss"], m["learning_rate"]).count() == 14
