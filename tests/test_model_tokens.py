@@ -143,3 +143,15 @@ def test_empty_input(spark):
     assert detect(lines).count() == 0
     empty = spark.createDataFrame([], "anomaly_score double")
     assert fl.score_threshold(empty).first()["threshold"] is None
+
+
+def test_plan_shape(spark):
+    """Hot contexts are joined by broadcast; the scan reads only the columns it needs."""
+    from logsieve.operators.parse import drop_blank, parse_positional
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    logs = drop_blank(parse_positional(logs_from_events(ev)))
+    s = score_logs(logs, persist=False)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    scan = logs._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,props:string>" in scan
