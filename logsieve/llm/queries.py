@@ -8,13 +8,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsieve.llm import bpe, exact_dedup, packing, url_filter
+from logsieve.llm import bpe, exact_dedup, packing, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_packing": packing.op2_packing,
     "op4_bpe": bpe.op4_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_token_counts": token_counts.op8_token_counts,
 }
 
 ORACLE: dict[str, str] = {
