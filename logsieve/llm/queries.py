@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsieve.llm import bpe, exact_dedup, packing, secret_scan, token_counts, toxicity, url_filter
+from logsieve.llm import ann, bpe, exact_dedup, packing, secret_scan, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_nearest": ann.op9_nearest,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
