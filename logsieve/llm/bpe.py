@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.ship import ship_by_value
 from logsieve.llm import lookup, word_bpe
-from logsieve.llm.common import chunks, map_batches, table
+from logsieve.llm.common import chunks, cut, map_batches, table
 from logsieve.llm.lookup import KeyTable, byte_matrix
 
 #: Words in the transducer, and the longest of them in bytes: bounds of the shared file.
@@ -172,10 +172,23 @@ def compile_transducer(words: list[bytes], ids: list[bytes]) -> dict[str, np.nda
         "starts": np.cumsum([0] + [len(x) // 4 for x in ids])}
 
 
+def most_frequent(counts: DataFrame, size: int) -> list[str]:
+    """At most `size` words of `counts` (word, n), by classes of frequency: an eighth of an
+    octave is taken whole or not, so no task sends more than the words taken."""
+    level = F.floor(F.log2("n") * 8)
+    taken, least = 0, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        taken += r["count"]
+        if taken > size:
+            break
+        least = r["level"]
+    return [] if least is None else [r.word for r in counts.filter(level >= least).select("word").collect()]
+
+
 def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORDS) -> str:
-    """Compile the `size` most frequent words and share the file; returns its name."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).collect()
-    words = sorted(r.word.encode() for r in top)
+    """Compile the most frequent words, `size` at most, and share the file; returns its name."""
+    counts = cut(word_counts(docs).filter("n > 1"))
+    words = sorted(w.encode() for w in most_frequent(counts, size))
     ids = word_bpe.Merges(tokenizer_path).merge(words)
     return lookup.share_arrays(docs.sparkSession, compile_transducer(words, ids))
 
