@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsieve.llm import ann, bpe, exact_dedup, ngram_join, packing, secret_scan, token_counts, toxicity, url_filter
+from logsieve.llm import ann, bpe, exact_dedup, ngram_join, packing, secret_scan, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_bpe": bpe.op4_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_nearest": ann.op9_nearest,
