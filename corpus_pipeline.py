@@ -1,8 +1,63 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: five filtering and packing stages over the documents table.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the driver (or `run`) writes it as
+Parquet and reads it again as the next stage's documents.  All stages but the last return
+the columns of documents."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from logsieve.llm import exact_dedup, ngram_join, packing, secret_scan, toxicity
+from logsieve.llm.common import table
+from logsieve.session import checkpoint_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose expected severity stays below the rejection limit."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest identifier."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the row with the smallest identifier."""
+    return ngram_join.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced."""
+    return secret_scan.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in training sequences."""
+    import public_tokenizers
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("secret scans", redact_secrets),
+    ("packing", pack_sequences),
+]
+
+#: Trained models, MinHash and the tokenizer have no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs

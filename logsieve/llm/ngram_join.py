@@ -109,7 +109,7 @@ def signature_of(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, content, k0.. (trie prefixes), s0.. (sketch); content null without shingles."""
+    """doc_id, text_key, content, k0.. (trie prefixes), s0.. (sketch); content null without shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"k{i}" for i in range(trees)] + [f"s{i}" for i in range(SKETCH // 8)]
 
@@ -128,10 +128,11 @@ def signatures(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame
                 sketch = np.ascontiguousarray((letters[:, :SKETCH] & np.uint64(255)).astype(np.uint8)).view(np.int64)
                 content = pa.array(list(map(fingerprint, sets)), pa.int64())
                 cols = [pa.array(c) for c in (*prefix.view(np.int64).T, *sketch.T)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), content, *cols],
-                                                 ["doc_id", "content", *names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 2)), content, *cols],
+                                                 ["doc_id", "text_key", "content", *names])
 
-    return map_batches(docs, run, f"doc_id {kind}, content long, " + ", ".join(f"{c} long" for c in names))
+    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return map_batches(keyed, run, f"doc_id {kind}, text_key long, content long, " + ", ".join(f"{c} long" for c in names))
 
 
 def groups_in(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -302,10 +303,10 @@ def verified(grouped: DataFrame, docs: DataFrame, words: int, threshold: float)
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES,
                     recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, content; classes: content, class_content, rep, class_id, copies, n_links)."""
+    """(rows: doc_id, text_key, content; classes: content, class_content, rep, class_id, copies, n_links)."""
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = cut(signatures(slim, words, trees, prefix_length(threshold, trees, recall)))
-    marks = [c for c in signed.columns if c not in ("doc_id", "content")]
+    marks = [c for c in signed.columns if c not in ("doc_id", "text_key", "content")]
     contents = cut(signed.filter("content IS NOT NULL").groupBy("content")
                    .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
                         *[F.min(c).alias(c) for c in marks]))
@@ -323,7 +324,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     out = cut(linked.join(names, "root").select(
         "content", F.col("root").alias("class_content"), "rep", "class_id", "copies",
         (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")))
-    return signed.select("doc_id", "content"), out
+    return signed.select("doc_id", "text_key", "content"), out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input with one document of each class: that of the smallest identifier (of the
+    smallest text hash, should several texts have it).  Rows with equal identifier and text are
+    one document: they stay or go together."""
+    rows, classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    members = cut(rows.join(classes.select("content", "class_content"), "content").drop("content"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    best = (members.groupBy("class_content").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
+            .filter("n > 1"))
+    gone = (members.join(best, "class_content").filter(order != F.col("best"))
+            .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    key = F.xxhash64(F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")))
+    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["__id"]) & (key == gone["__key"]), "left_anti")
 
 
 def ngram_join(docs: DataFrame, **options) -> DataFrame:

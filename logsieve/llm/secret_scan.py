@@ -195,8 +195,8 @@ def redact(docs: DataFrame, models=None, margin: float = MARGIN, id_col: str = "
             new = [t and clean(t) for t in texts]
             arrays = list(batch.columns)
             arrays[at] = pa.array(new, pa.string())
-            if length_col in columns:
-                i = columns.index(length_col)
+            i = columns.index(length_col) if length_col in columns else at
+            if pa.types.is_integer(batch.schema.field(i).type):
                 old = batch.column(i).to_pylist()
                 arrays[i] = pa.array([o if t == u else len(u) for o, t, u in zip(old, texts, new, strict=True)],
                                      batch.schema.field(i).type)
