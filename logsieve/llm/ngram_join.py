@@ -228,7 +228,7 @@ def candidate_edges(contents: DataFrame, trees: int) -> DataFrame:
 
 def common_shingles(sets: list[np.ndarray], left: int) -> np.ndarray:
     """Sizes of the intersections of the first `left` sets with the others (with all sets if
-    `left` is their number)."""
+    `left` is their number; a set's count with itself is then not meant)."""
     sizes = [len(s) for s in sets]
     flat = np.concatenate(sets)
     _, number, times = np.unique(flat, return_inverse=True, return_counts=True)

@@ -5,7 +5,7 @@ judge every other unbroken run of key characters: one of random strings, one of
 identifiers.  The mean log-likelihood ratio per character says which explains a run better.
 
 Both models are trained on labelled samples from the corpus: values that the base patterns
-found count as random strings, runs without digits as ordinary identifiers.  The sample is
+found count as random strings, words and names joined from neighbouring words as ordinary identifiers.  The sample is
 bounded by documented parameters (SAMPLE_DOCS documents of smallest hash, SAMPLE_RUNS
 strings of each label); the values are cut into pieces so that both labels have like lengths.
 The threshold MARGIN is in natural logarithms per character.  Seeded random strings over the
@@ -49,7 +49,7 @@ MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
 SAMPLE_DOCS = 2_000
 SAMPLE_RUNS = 20_000
 SMOOTHING_STRINGS = 400
-MARGIN = 0.9
+MARGIN = 0.4
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ALPHABET = LETTERS + LETTERS.upper() + "0123456789+/_=-"
@@ -104,6 +104,18 @@ def random_strings(n: int, seed: int = 7) -> list[str]:
     return ["".join(draw.choice(kinds[i % 4]) for _ in range(24)) for i in range(n)]
 
 
+def identifiers(text: str) -> set[str]:
+    """Ordinary identifiers: a text's words, and names joined from neighbouring words as
+    programs and file names do."""
+    words = re.findall(r"[A-Za-z]{2,}", text)
+    out = set(words)
+    for i in range(0, len(words) - 2, 3):
+        a, b, c = (w.lower() for w in words[i:i + 3])
+        out.add((f"{a}_{b}_{c}", f"{a}{b.title()}{c.title()}", f"{a}-{b}-{c}", f"{a.upper()}_{b.upper()}_{c.upper()}",
+                 f"{a}/{b}/{c}", f"{a}_{b}{i}", f"{a}{b.title()}{i}", f"{a}-{b}-{1900 + i % 200}")[i // 3 % 8])
+    return out
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
           sample_runs: int = SAMPLE_RUNS) -> tuple[MarkovModel, MarkovModel]:
     """Models of random strings and of ordinary identifiers."""
@@ -119,7 +131,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text or "")
                 rows |= {(text[a:b], True) for a, b, _ in spans}
-                rows |= {(w, False) for w in re.findall(r"[A-Za-z_-]{4,}", text or "")}
+                rows |= {(w, False) for w in identifiers(text or "")}
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.string()),
                                               pa.array([x for _, x in rows], pa.bool_())], ["s", "random"])
 
