@@ -27,7 +27,9 @@ earlier; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ from logsieve.llm.common import chunks, map_batches, table
 WINDOW = 20
 PHRASE = 6
 MAX_WORDS = 600_000
+#: Different words that fit into the code points from 0xE000 on.
+CHARACTERS = 0x110000 - 0xE000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,31 +59,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Words(dict):
+    """word -> number, by order of appearance; `hashes` has a 64-bit hash for each number."""
+
+    def __init__(self):
+        import xxhash
+        super().__init__()
+        self.digest, self.hashes = xxhash.xxh3_64_intdigest, array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.hashes)
+        self.hashes.append(self.digest(word))
+        return n
+
+
 class Texts:
     """The words of several documents in one row, with hashes of their phrases and windows."""
 
-    def __init__(self, words: list[list[bytes]], known: dict[bytes, int], window: int, phrase: int):
-        import xxhash
-        for w in set().union(*words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+    def __init__(self, words: list[list[bytes]], known: Words, window: int, phrase: int):
         lens = np.array([len(w) for w in words], np.int64)
         self.ends = np.cumsum(lens)
         self.begins = self.ends - lens
         total = int(self.ends[-1]) if len(words) else 0
-        self.hashes = np.fromiter((x for ws in words for x in map(known.__getitem__, ws)), np.uint64, total)
+        self.words = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint32, total)
+        self.hashes = np.array(known.hashes, np.uint64)[self.words]
         self.doc = np.repeat(np.arange(len(words)), lens)
         # starts of windows that lie in one document
         start = np.arange(max(0, total - window + 1))
         self.starts = start[self.doc[start] == self.doc[start + window - 1]]
         self.window, self.phrase = window, phrase
         self.phrases = self.rolled(phrase)
-        if len(self.starts):
-            inside = np.lib.stride_tricks.sliding_window_view(self.phrases, window - phrase + 1)
-            #: the place of each window's anchor
-            self.anchor = np.concatenate([s + inside[s].argmin(axis=1) for s in np.array_split(
-                self.starts, max(1, len(self.starts) // 100_000))])
-        else:
-            self.anchor = self.starts
+        #: the place of each window's anchor
+        self.anchor = self.leftmost_least(self.phrases, window - phrase + 1)[self.starts]
+
+    @staticmethod
+    def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
+        """For each place the place of the smallest (leftmost among equals) of `width` values from
+        it on, by the values' upper 32 bits: place and value share a number, and minima over
+        doubled spans meet."""
+        low = np.uint64((1 << 32) - 1)
+        least = (x & ~low) | np.arange(len(x), dtype=np.uint64)
+        span = 1
+        while span < width:
+            step = min(span, width - span)
+            least = np.minimum(least[:max(0, len(least) - step)], least[step:])
+            span += step
+        return (least & low).astype(np.int64)
 
     def rolled(self, n: int) -> np.ndarray:
         """Hashes of n consecutive words, also across documents."""
@@ -94,12 +119,12 @@ def anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = Words()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks([t or "" for t in texts]):
                 if len(known) > MAX_WORDS:
-                    known = {}
+                    known = Words()
                 t = Texts([words_of(x) for x in texts[a:b]], known, window, phrase)
                 place = np.unique(t.anchor)
                 if not len(place):
@@ -125,17 +150,15 @@ def located(listed: DataFrame, window: int, phrase: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
-        known: dict[bytes, int] = {}
+        known = Words()
         for batch in batches:
             batch = batch.filter(pa.compute.is_valid(batch.column(2)))
             texts = batch.column(1).to_pylist()
             for a, b in chunks([t or "" for t in texts]):
                 if len(known) > MAX_WORDS:
-                    known = {}
+                    known = Words()
                 words = [words_of(x) for x in texts[a:b]]
                 t = Texts(words, known, window, phrase)
-                number: dict[bytes, int] = {w: i for i, w in enumerate(set().union(*words))}
-                ids = np.fromiter((x for ws in words for x in map(number.__getitem__, ws)), np.int64, len(t.hashes))
                 listed_h = batch.column(2).slice(a, b - a)
                 lists = np.array_split(listed_h.flatten().to_numpy().view(np.uint64), np.cumsum(
                     pa.compute.list_value_length(listed_h).to_numpy())[:-1])
@@ -148,16 +171,19 @@ def located(listed: DataFrame, window: int, phrase: int) -> DataFrame:
                 at = np.concatenate(recurring)
                 if not len(at):
                     continue
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-                for p in np.unique(ids[at[:, None] + np.arange(phrase)], axis=0).tolist():
-                    automaton.add_word(tuple(p), 1)
-                automaton.make_automaton()
-
-                # stream the documents through it
-                found = np.zeros(len(t.hashes), bool)
-                for x, y in zip(t.begins.tolist(), t.ends.tolist(), strict=True):
-                    hits = [end for end, _ in automaton.iter(tuple(ids[x:y].tolist()))] if y - x >= window else []
-                    found[np.array(hits, np.int64) + (x - phrase + 1)] = True
+                # a word of the shard is one character: its number there, past the surrogates
+                distinct, number = np.unique(t.words, return_inverse=True)
+                found = np.zeros(len(t.words), bool)
+                if len(distinct) < CHARACTERS:
+                    line = (number.astype("<u4") + 0xE000).tobytes().decode("utf-32-le")
+                    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+                    for p in {line[i:i + phrase] for i in at.tolist()}:
+                        automaton.add_word(p, 1)
+                    automaton.make_automaton()
+                    # stream the documents; what is found across two documents is no anchor
+                    found[np.fromiter((end for end, _ in automaton.iter(line)), np.int64) - (phrase - 1)] = True
+                else:       # one text of over a million different words: by the phrases' hashes
+                    found[at] = True
                 keep = found[t.anchor]
                 start = t.starts[keep]
                 if not len(start):
@@ -197,15 +223,20 @@ def without_marked(marked: DataFrame, window: int, texts: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            marks = batch.column(2)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(marks), 0).to_numpy()
+            flat = marks.flatten()
+            first = np.append(0, np.cumsum(sizes))
+            starts = flat.field("start").to_numpy(zero_copy_only=False)
+            stops = starts + flat.field("n").to_numpy(zero_copy_only=False) + (window - 1)
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 words = words_of(text)
                 kept = words
-                if marks:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, [m["start"] for m in marks], 1)
-                    np.add.at(edge, [m["start"] + m["n"] + window - 1 for m in marks], -1)
-                    covered = np.cumsum(edge)[:-1] > 0
-                    kept = [words[i] for i in np.flatnonzero(~covered).tolist()]
+                if sizes[k]:
+                    mine = slice(first[k], first[k + 1])
+                    edge = (np.bincount(starts[mine], minlength=len(words) + 1)
+                            - np.bincount(stops[mine], minlength=len(words) + 1))
+                    kept = list(compress(words, (np.cumsum(edge)[:-1] == 0).tolist()))
                 joined = b" ".join(kept)
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(),
                              joined.decode() if texts else None))
