@@ -13,9 +13,15 @@ WS_CLASS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE) + "]"
 # Regular expressions (Java syntax, as Spark sees them).
 WORD_SPLIT_PATTERN = WS_CLASS + "+"
 STRIP_PATTERN = "^" + WS_CLASS + "+|" + WS_CLASS + "+$"
-# A token is a run of characters that are neither ASCII punctuation nor white space,
-# or a single ASCII punctuation mark (basic uncased word splitting).
-TOKEN_PATTERN = r"([^\p{Punct}\s]+|\p{Punct})"
+# Uncased word splitting: after lower-casing, accents and control characters are removed; a token is
+# one punctuation mark (Unicode category P, or an ASCII symbol), one CJK ideograph, or a run of
+# other characters between white space.
+CJK_RANGES = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F),
+              (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F)]
+_CJK = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in CJK_RANGES)
+_SINGLE = r"\p{P}$+<=>^`|~" + _CJK
+TOKEN_PATTERN = rf"([{_SINGLE}]|[^{_SINGLE}\p{{Z}}\t\n\r]+)"
+CONTROL_PATTERN = r"[\p{C}\x{fffd}&&[^\t\n\r]]"
 
 
 def strip(c: Column) -> Column:
@@ -43,13 +49,10 @@ def contains_any(c: Column, keywords) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def tokenize_expr(c: Column, accents: bool = True) -> Column:
-    """Lower-case and split into word and punctuation tokens (array<string>);
-    accents=False also strips accents after lower-casing."""
-    low = F.lower(c)
-    if not accents:
-        low = strip_accents(low)
-    return F.regexp_extract_all(low, F.lit(TOKEN_PATTERN), 1)
+def tokenize_expr(c: Column, accents: bool = False) -> Column:
+    """Uncased word and punctuation tokens (array<string>); accents=True keeps accents."""
+    low = F.lower(F.regexp_replace(c, CONTROL_PATTERN, ""))
+    return F.regexp_extract_all(low if accents else strip_accents(low), F.lit(TOKEN_PATTERN), 1)
 
 
 def lookup(c: Column, mapping: dict, default=None) -> Column:
@@ -62,14 +65,14 @@ def lookup(c: Column, mapping: dict, default=None) -> Column:
 
 
 def _accent_table():
-    """(accented, base) characters: every character of the Latin blocks whose canonical
-    decomposition is a base letter followed only by combining marks (a rule, not a list)."""
+    """(accented, base) characters: every character of the basic plane whose canonical decomposition
+    is one letter followed only by combining marks (a rule, not a list)."""
     import unicodedata
     src, dst = [], []
-    for code in range(0x00C0, 0x0250):
+    for code in range(0x00C0, 0xFFFE):
         ch = chr(code)
         d = unicodedata.normalize("NFD", ch)
-        if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:]):
+        if len(d) > 1 and all(unicodedata.category(x) == "Mn" for x in d[1:]) and unicodedata.category(d[0]) != "Mn":
             src.append(ch)
             dst.append(d[0])
     return "".join(src), "".join(dst)
@@ -79,5 +82,5 @@ ACCENTED, ACCENT_BASE = _accent_table()
 
 
 def strip_accents(c: Column) -> Column:
-    """Replace accented Latin letters by their base letter (JVM-side `translate`)."""
-    return F.translate(c, ACCENTED, ACCENT_BASE)
+    """Accented letters become their base letters (JVM-side `translate`), and combining marks go."""
+    return F.regexp_replace(F.translate(c, ACCENTED, ACCENT_BASE), r"\p{Mn}", "")

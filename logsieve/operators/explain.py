@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions.text import lookup
+from logsieve.operators.joins import frequency_split_join
 
 # Token meanings (keys are upper case while tokens are lower case, so by
 # default they never match -- pass ignore_case=True to look tokens up in upper case),
@@ -34,6 +35,14 @@ def token_meaning(tok: Column, ignore_case: bool = False) -> Column:
     return lookup(key, TOKEN_MEANINGS, DEFAULT_MEANING)
 
 
+def lookup_meanings(df: DataFrame, mapping: DataFrame, token_col: str = "token", out: str = "meaning",
+                    default: str = DEFAULT_MEANING) -> DataFrame:
+    """Meanings from a table (token, meaning, freq) of any size: a join that broadcasts only its
+    hot tokens (see joins); tokens that it does not have get `default`."""
+    keyed = mapping.select(F.col("token").alias(token_col), F.col("meaning").alias(out), "freq")
+    return frequency_split_join(df, keyed, [token_col], "freq", "left").withColumn(out, F.coalesce(out, F.lit(default)))
+
+
 def explain_tokens(arr: Column, ignore_case: bool = False) -> Column:
     """`'tok' (meaning)` phrases joined by `, `."""
     phrases = F.transform(arr, lambda t: F.concat(F.lit("'"), t, F.lit("' ("),

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions.text import contains_any
+from logsieve.operators.rank import value_at_rank
 
 # Keyword lists (literal, case-sensitive) and the confidence scaling.
 ANOMALY_KEYWORDS = ["[ERR]", "[WRN]", "[CRIT]"]
@@ -43,54 +42,28 @@ def flag_scores(df: DataFrame, threshold: DataFrame, col: str = "anomaly_score")
               .drop("threshold"))
 
 
-def _exact_threshold(df: DataFrame, col: str, p: float) -> DataFrame:
-    return df.agg(F.percentile(F.col(col), F.lit(p / 100.0)).alias("threshold"))
-
-
 def score_threshold(df: DataFrame, col: str = "anomaly_score", p: float = DEFAULT_PERCENTILE,
-                    method: str = "scalable", accuracy: int = 10_000,
-                    max_sort_rows: int = 200_000) -> DataFrame:
-    """p-th percentile with linear interpolation (as NumPy's default), as a 1-row frame.
-
-    exact:    Spark's `percentile` (one reducer merges a value -> count map).
-    scalable: bracket the two order statistics with `approx_percentile`, count the rows
-              below the bracket, narrow until at most `max_sort_rows` rows remain, then
-              take the two values by a bounded top-k and interpolate.  Same value as
-              exact; falls back to exact when a bracket misses.
+                    method: str = "select") -> DataFrame:
+    """p-th percentile with linear interpolation (as NumPy's default), as a one-row frame
+    (null for no scores).
+
+    select: two neighbouring order statistics by a radix select (operators.rank).
+    exact:  Spark's `percentile` (one reducer merges a value -> count map).
     """
     if method == "exact":
-        return _exact_threshold(df, col, p)
-    spark = df.sparkSession
-    x = F.col(col)
-    vals = df.select(x.alias("v")).filter(F.col("v").isNotNull())
-    n = vals.count()
-    if n == 0:
-        return spark.createDataFrame([(None,)], "threshold double")
-    rank = (n - 1) * p / 100.0
-    lo_rank, hi_rank = math.floor(rank), math.ceil(rank)
-    frac = rank - lo_rank
-    below, sub, sub_n = 0, vals, n
-    for _ in range(6):
-        if sub_n <= max_sort_rows:
-            break
-        q = (lo_rank - below) / max(sub_n - 1, 1)
-        eps = 4.0 / accuracy
-        a, b = sub.agg(F.percentile_approx("v", [max(0.0, q - eps), min(1.0, q + eps)], accuracy)
-                       ).first()[0]
-        stats = sub.agg(F.count_if(F.col("v") < a).alias("lt"),
-                        F.count_if((F.col("v") >= a) & (F.col("v") <= b)).alias("mid")).first()
-        if not (below + stats["lt"] <= lo_rank and below + stats["lt"] + stats["mid"] > hi_rank):
-            return _exact_threshold(df, col, p)
-        below += stats["lt"]
-        sub = sub.filter((F.col("v") >= a) & (F.col("v") <= b))
-        sub_n = stats["mid"]
-    if sub_n > max_sort_rows:
-        return _exact_threshold(df, col, p)
-    k = hi_rank - below + 1
-    top = [r[0] for r in sub.orderBy("v").limit(k).collect()]
-    v_lo, v_hi = top[lo_rank - below], top[hi_rank - below]
-    thr = v_lo + (v_hi - v_lo) * frac
-    return spark.createDataFrame([(float(thr),)], "threshold double")
+        return df.agg(F.percentile(F.col(col), F.lit(p / 100.0)).alias("threshold"))
+    vals = df.select(F.col(col).cast("double").alias("v")).filter("v IS NOT NULL")
+    place = (F.count(F.lit(1)) - 1) * F.lit(p) / 100.0
+    wanted = vals.agg(place.alias("place")).select("place", F.floor("place").alias("rank"))
+    low = value_at_rank(vals, "v", wanted).crossJoin(wanted)
+    # the next order statistic: the same value again, or the smallest one above it
+    around = vals.crossJoin(F.broadcast(low)).agg(
+        F.count_if(F.col("v") <= F.col("value")).alias("upto"),
+        F.min(F.when(F.col("v") > F.col("value"), F.col("v"))).alias("above"),
+        *[F.max(c).alias(c) for c in ("value", "place", "rank")])
+    share = F.col("place") - F.col("rank")
+    high = F.when((F.col("rank") + 1 < F.col("upto")) | (share == 0), F.col("value")).otherwise(F.col("above"))
+    return around.select((F.col("value") + (high - F.col("value")) * share).alias("threshold"))
 
 
 def confidence(df: DataFrame, col: str = "anomaly_score", out: str = "confidence_score",

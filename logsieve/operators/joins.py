@@ -3,36 +3,37 @@
 `frequency_split_join` joins a big frame to a keyed table that knows how often each
 key occurs (a count column).  Keys whose count is at least total/max_hot are "hot":
 there are at most `max_hot` of them by construction, so that slice of the keyed
-table has a proven size bound and is broadcast -- hot rows of the big side are joined
-map-side and never shuffled.  The remaining (cold) rows are shuffle-joined; each cold
-key holds less than total/max_hot rows.  AQE's skew-join split stays on as a second
-line of defence (the counts may come from another corpus than the big side).
+table has a proven size bound and is broadcast.  The cold rest of the table is joined by
+a shuffle in which every cold key holds less than total/max_hot rows; rows that the hot
+slice has served travel under a spread key that matches nothing, so they are dealt evenly.
+The big frame is read once, so lookups can be chained without the plan doubling.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def frequency_split_join(big: DataFrame, keyed: DataFrame, keys: list[str], freq_col: str,
                          how: str = "inner", max_hot: int = 50_000) -> DataFrame:
+    """`keyed` has one row per key; its columns other than the keys and `freq_col` are added.
+    Every read of `keyed` (its total, hot and cold rows) should be cheap: pass a written table
+    or an aggregate whose exchange can be reused.  Null keys match nothing."""
     if how not in ("inner", "left"):
         raise ValueError(how)
-    total = keyed.agg(F.sum(freq_col).alias("_total"))
-    # one row per distinct key, read by the hot and the cold side: computed once
-    marked = (keyed.crossJoin(F.broadcast(total))
-              .withColumn("_hot", F.col(freq_col) * F.lit(max_hot) >= F.col("_total"))
-              .drop("_total").persist(StorageLevel.MEMORY_AND_DISK))
-    payload = [c for c in keyed.columns if c != freq_col]
-    hot = marked.filter("_hot").select(*payload)          # <= max_hot rows
-    cold = marked.filter("NOT _hot").select(*payload)
-    hot_rows = big.join(F.broadcast(hot), keys, "inner")
-    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
-    return hot_rows.unionByName(rest)
-
-
-def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (map-side)."""
-    return df.crossJoin(F.broadcast(one_row))
+    payload = [c for c in keyed.columns if c != freq_col and c not in keys]
+    # a scalar subquery, so that the planner still knows how small the keyed table is
+    total = keyed.agg(F.sum(freq_col)).scalar()
+    marked = keyed.withColumn("_hot", F.col(freq_col) * F.lit(max_hot) >= total)
+    found = lambda name: F.struct(*[F.col(c) for c in payload], F.lit(True).alias("_ok")).alias(name)
+    hot = marked.filter("_hot").select(*keys, found("_served"))          # <= max_hot rows
+    cold = marked.filter("NOT _hot").select(*keys, F.lit(0).cast("long").alias("_spread"), found("_other"))
+    row = F.xxhash64(*[F.col(c) for c in big.columns]).bitwiseOR(F.lit(1))
+    out = (big.join(F.broadcast(hot), keys, "left")
+           .withColumn("_spread", F.when(F.col("_served").isNull(), F.lit(0)).otherwise(row))
+           .join(cold, [*keys, "_spread"], "left"))
+    if how == "inner":
+        out = out.filter("_served IS NOT NULL OR _other IS NOT NULL")
+    value = lambda c: F.coalesce(F.col("_served").getField(c), F.col("_other").getField(c)).alias(c)
+    return out.select(*big.columns, *[value(c) for c in payload])

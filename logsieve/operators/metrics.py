@@ -11,9 +11,10 @@ METRIC_NAMES = [("eval_accuracy", "Accuracy"), ("eval_precision", "Precision"),
 
 
 def classification_metrics(df: DataFrame, label: str = "label", pred: str = "prediction",
-                           by: list | None = None, ignore_label=-100) -> DataFrame:
+                           by: list | None = None, ignore_label=-100, weight: str | None = None) -> DataFrame:
     """Accuracy and support-weighted precision, recall and F1 (a class's score is 0 when
-    its denominator is 0); rows whose label is `ignore_label` or null are left out.
+    its denominator is 0); rows whose label is `ignore_label` or null are left out.  `weight`
+    is a column with the number of examples that a row stands for.
 
     Plan: one confusion-count aggregate (partial counts, so a label holding most rows
     is no problem), then per-class totals over the small confusion table.
@@ -22,7 +23,8 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
     d = df.filter(F.col(label).isNotNull())
     if ignore_label is not None:
         d = d.filter(F.col(label) != F.lit(ignore_label))
-    conf = d.groupBy(*by, F.col(label).alias("_y"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    conf = d.groupBy(*by, F.col(label).alias("_y"), F.col(pred).alias("_p")).agg(
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     support = conf.groupBy(*by, "_y").agg(F.sum("_n").alias("_s"),
                                           F.sum(F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0)).alias("_tp"))
     predicted = conf.groupBy(*by, F.col("_p").alias("_y")).agg(F.sum("_n").alias("_pc"))

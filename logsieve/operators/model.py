@@ -11,34 +11,56 @@ count is a marginal of it.  Probability (weights w, smoothing alpha):
 a term with a zero denominator counts 0; N = total positions, V = distinct tokens.
 The loss of a position is -ln p, rounded to 6 places so that ranks and flags do not
 depend on summation order.  Fitting is one aggregation (map-side partial counts);
-fitting in chunks is a running sum of per-chunk counts; scoring is joins on context
-keys, with hot contexts broadcast (see joins.frequency_split_join).
+fitting in chunks is a running sum of per-chunk counts; scoring is lookups on context
+keys, with hot keys broadcast (see joins.frequency_split_join).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.operators.joins import frequency_split_join
 from logsieve.operators.tokens import MAX_LENGTH, PAD, SPECIAL_TOKENS, token_sequence
+from logsieve.session import written
 
 # Default mixture weights and smoothing.
 DEFAULT_WEIGHTS = (0.4, 0.2, 0.2, 0.2)
 DEFAULT_ALPHA = 0.1
 LOSS_DIGITS = 6
+# Marginals of c(l,t,r) that the mixture needs: name -> keys.
+MARGINALS = {"n_lr": ["l", "r"], "n_lt": ["l", "t"], "n_tr": ["t", "r"], "n_l": ["l"], "n_r": ["r"], "n_t": ["t"]}
 
 
 @dataclass
 class ContextModel:
-    """Context counts `(by..., l, t, r, n)`; `by` is e.g. ["chunk"] for a model per chunk."""
+    """Context counts `(by..., l, t, r, n)`; `by` is e.g. ["chunk"] for a model per chunk.
+    `tables` holds marginals that are already summed (of a stored model)."""
     counts: DataFrame
     by: tuple = ()
     weights: tuple = DEFAULT_WEIGHTS
     alpha: float = DEFAULT_ALPHA
+    tables: dict = field(default_factory=dict)
+
+    def marginal(self, name: str) -> DataFrame:
+        """(by..., keys, <name>, rows): the sum of n per key, and its number of contexts."""
+        if name not in self.tables:
+            return self.counts.groupBy(*self.by, *MARGINALS[name]).agg(
+                F.sum("n").alias(name), F.count(F.lit(1)).alias("rows"))
+        return self.tables[name]
+
+    def totals(self) -> DataFrame:
+        """(by..., _N positions, _V distinct tokens): one row per model."""
+        if "totals" not in self.tables:
+            return self.counts.groupBy(*self.by).agg(F.sum("n").alias("_N"), F.countDistinct("t").alias("_V"))
+        return self.tables["totals"]
+
+    def summed(self) -> "ContextModel":
+        """The same model with its marginals written once, for scoring many batches."""
+        tables = {name: written(self.marginal(name)) for name in MARGINALS} | {"totals": written(self.totals())}
+        return ContextModel(self.counts, self.by, self.weights, self.alpha, tables)
 
 
 def positions(df: DataFrame, id_col: str = "log_id", tokens_col: str = "tokens",
@@ -61,11 +83,13 @@ def positions(df: DataFrame, id_col: str = "log_id", tokens_col: str = "tokens",
     return arrays.select(id_col, *keep, F.inline(F.arrays_zip("pos", "l", "t", "r")))
 
 
-def fit(pos: DataFrame, by: tuple = (), weights=DEFAULT_WEIGHTS, alpha=DEFAULT_ALPHA) -> ContextModel:
-    """Count contexts (partial counts per partition, then one shuffle of the partials)."""
-    counts = pos.groupBy(*by, "l", "t", "r").agg(F.count(F.lit(1)).alias("n"))
-    # the counts are read by every marginal and by the scoring join: keep them
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+def fit(pos: DataFrame, by: tuple = (), weights=DEFAULT_WEIGHTS, alpha=DEFAULT_ALPHA,
+        times: str | None = None) -> ContextModel:
+    """Count contexts (partial counts per partition, then one shuffle of the partials);
+    `times` is a column with the number of sequences that a position stands for."""
+    n = F.count(F.lit(1)) if times is None else F.sum(times)
+    # the counts are read by every marginal and by the scoring: one written table
+    counts = written(pos.groupBy(*by, "l", "t", "r").agg(n.cast("long").alias("n")))
     return ContextModel(counts, tuple(by), tuple(weights), alpha)
 
 
@@ -106,65 +130,44 @@ def _probability(model: ContextModel) -> Column:
             / (F.col("_N") + F.lit(a) * (F.col("_V") + F.lit(1))))
 
 
-def _globals(model: ContextModel) -> DataFrame:
-    return model.counts.groupBy(*model.by).agg(F.sum("n").alias("_N"), F.countDistinct("t").alias("_V"))
-
-
-def _attach_globals(df: DataFrame, model: ContextModel) -> DataFrame:
-    g = _globals(model)          # one row per model (per chunk): bounded
+def _attach_totals(df: DataFrame, model: ContextModel) -> DataFrame:
+    g = model.totals()          # one row per model (per chunk): bounded
     by = list(model.by)
     return df.crossJoin(F.broadcast(g)) if not by else df.join(F.broadcast(g), by, "left")
 
 
-def loss_table(model: ContextModel, queries: DataFrame | None = None) -> DataFrame:
+def loss_table(model: ContextModel, queries: DataFrame | None = None, max_hot: int = 50_000) -> DataFrame:
     """Loss for distinct contexts `(by..., l, t, r, m)` -> adds `loss`.
 
-    Without `queries` the contexts are the model's own (scoring the fitted corpus): every
-    marginal is a window sum over the count table, and windows whose keys share a
-    prefix share one shuffle (by l: c(l,.), c(l,.,r), c(l,t); by t: c(t), c(t,r); by r:
-    c(.,r)) -- three shuffles of the distinct contexts and no joins.
-    With `queries` (a stored model scoring new text) some contexts are unknown to the
-    model, so each marginal is looked up by an equi-join on its own key; AQE broadcasts
-    the marginal tables that turn out small.
+    Without `queries` the contexts are the model's own (scoring the fitted corpus).  Every
+    marginal is an aggregate with map-side partial sums, looked up on its own key by a
+    split join whose frequency is the key's number of contexts: a token in most
+    contexts never puts them in one task.
     """
     by = list(model.by)
-    c3 = model.counts
     if queries is None:
-        def w(*keys):
-            return Window.partitionBy(*by, *keys)
-        n = F.col("n")
-        q = c3.select(*by, "l", "t", "r", n.alias("n3"), n.alias("m"),
-                      F.sum(n).over(w("l")).alias("n_l"), F.sum(n).over(w("l", "r")).alias("n_lr"),
-                      F.sum(n).over(w("l", "t")).alias("n_lt"), F.sum(n).over(w("t")).alias("n_t"),
-                      F.sum(n).over(w("t", "r")).alias("n_tr"), F.sum(n).over(w("r")).alias("n_r"))
+        q = model.counts.select(*by, "l", "t", "r", F.col("n").alias("n3"), F.col("n").alias("m"))
     else:
-        def marg(keys, name):
-            return c3.groupBy(*by, *keys).agg(F.sum("n").alias(name))
-        q = (queries.join(c3.withColumnRenamed("n", "n3"), by + ["l", "t", "r"], "left")
-             .join(marg(["l", "r"], "n_lr"), by + ["l", "r"], "left")
-             .join(marg(["l", "t"], "n_lt"), by + ["l", "t"], "left")
-             .join(marg(["l"], "n_l"), by + ["l"], "left")
-             .join(marg(["t", "r"], "n_tr"), by + ["t", "r"], "left")
-             .join(marg(["r"], "n_r"), by + ["r"], "left")
-             .join(marg(["t"], "n_t"), by + ["t"], "left"))
-    q = _attach_globals(q, model)
+        own = model.counts.select(*by, "l", "t", "r", F.col("n").alias("n3"))
+        q = queries.select(*by, "l", "t", "r", "m").join(own, [*by, "l", "t", "r"], "left")
+    for name, keys in MARGINALS.items():
+        q = frequency_split_join(q, model.marginal(name), [*by, *keys], "rows", "left", max_hot)
+    q = _attach_totals(q, model)
     return q.select(*by, "l", "t", "r", "m", round_loss(-F.log(_probability(model))).alias("loss"))
 
 
-def token_losses(pos: DataFrame, model: ContextModel | None = None, max_hot: int = 50_000) -> DataFrame:
+def token_losses(pos: DataFrame, model: ContextModel | None = None, max_hot: int = 50_000,
+                 times: str | None = None, keep=written) -> DataFrame:
     """Loss of every position.  Without a model, the positions themselves are the fit
-    corpus.  The position frame is read twice (distinct contexts, then the join): pass a
-    persisted or checkpointed frame."""
+    corpus.  `keep` stores the loss table (one row per distinct context), which the
+    join reads three times."""
     by = list(model.by) if model is not None else []
     if model is None:
-        model = fit(pos)
-        table = loss_table(model)
+        table = loss_table(fit(pos, times=times), max_hot=max_hot)
     else:
-        ctx = pos.groupBy(*by, "l", "t", "r").agg(F.count(F.lit(1)).alias("m"))
-        table = loss_table(model, ctx)
-    # the loss table (one row per distinct context) is read three times by the split join
-    table = table.select(*by, "l", "t", "r", "m", "loss").persist(StorageLevel.MEMORY_AND_DISK)
-    return frequency_split_join(pos, table,
+        n = F.count(F.lit(1)) if times is None else F.sum(times)
+        table = loss_table(model, pos.groupBy(*by, "l", "t", "r").agg(n.alias("m")), max_hot)
+    return frequency_split_join(pos, keep(table.select(*by, "l", "t", "r", "m", "loss")),
                                 by + ["l", "t", "r"], "m", max_hot=max_hot)
 
 
@@ -172,44 +175,41 @@ def score(losses: DataFrame, id_col: str = "log_id", max_length: int = MAX_LENGT
           denominator: str = "max_length", top_k: int = 3) -> DataFrame:
     """Per sequence: anomaly_score = sum of losses / max_length (padding adds 0) or /
     number of positions, and the top_k highest-loss tokens (loss desc, position desc)
-    with special tokens removed afterwards.  The rank window and the aggregate share one
-    shuffle by id; a group holds at most max_length rows."""
+    with special tokens removed afterwards.  One aggregate by id."""
     # exact decimal sum and division, then one half-up rounding: the result does not
     # depend on summation order or on how an engine breaks ties of binary doubles
     den = F.lit(max_length) if denominator == "max_length" else F.count(F.lit(1))
     den = den.cast("decimal(10,0)")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("loss").desc(), F.col("pos").desc()))
-    ranked = losses.select(id_col, "loss", "t", rank.alias("_rk"))
-    top = [F.max(F.when(F.col("_rk") == i, F.col("t"))).alias(f"_t{i}") for i in range(1, top_k + 1)]
     total = F.sum(F.col("loss").cast("decimal(18,6)"))
-    agg = ranked.groupBy(id_col).agg(F.round(total / den, LOSS_DIGITS).cast("double").alias("anomaly_score"), *top)
-    kept = F.filter(F.array(*[F.col(f"_t{i}") for i in range(1, top_k + 1)]),
-                    lambda t: t.isNotNull() & ~t.isin(*SPECIAL_TOKENS))
+    # a group holds at most max_length positions
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("loss")).alias("a"), (-F.col("pos")).alias("b"), "t")))
+    agg = losses.groupBy(id_col).agg(F.round(total / den, LOSS_DIGITS).cast("double").alias("anomaly_score"),
+                                     F.slice(ranked, 1, top_k).getField("t").alias("_top"))
+    kept = F.filter("_top", lambda t: ~t.isin(*SPECIAL_TOKENS))
     return agg.select(id_col, "anomaly_score", kept.alias("top_tokens"))
 
 
 def best_tokens(model: ContextModel) -> dict:
     """Most likely token per context for back-off prediction: by (l,r), by l, by r and
-    overall; ties broken by the smaller token."""
+    overall; ties broken by the smaller token.  (keys..., p_<name>, rows)."""
     by = list(model.by)
-    c3 = model.counts
     pick = F.min_by(F.col("t"), F.struct((-F.col("n")).alias("k"), F.col("t").alias("s")))
 
     def best(keys, name):
-        return (c3.groupBy(*by, *keys, "t").agg(F.sum("n").alias("n"))
-                .groupBy(*by, *keys).agg(pick.alias(name)))
+        return (model.counts.groupBy(*by, *keys, "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
+                .groupBy(*by, *keys).agg(pick.alias(name), F.sum("c").alias("rows")))
 
     return {"lr": best(["l", "r"], "p_lr"), "l": best(["l"], "p_l"),
-            "r": best(["r"], "p_r"), "all": best([], "p_all")}
+            "r": best(["r"], "p_r"), "all": best([], "p_all").drop("rows")}
 
 
-def predict(masked: DataFrame, model: ContextModel) -> DataFrame:
-    """Prediction for positions `(by..., l, r, ...)`: back-off (l,r) -> l -> r -> overall."""
+def predict(contexts: DataFrame, model: ContextModel, max_hot: int = 50_000) -> DataFrame:
+    """Prediction for distinct contexts `(by..., l, r, ...)`: back-off (l,r) -> l -> r -> overall."""
     by = list(model.by)
     b = best_tokens(model)
-    out = (masked.join(b["lr"], by + ["l", "r"], "left")
-           .join(b["l"], by + ["l"], "left")
-           .join(b["r"], by + ["r"], "left"))
+    out = contexts
+    for name, keys in (("lr", ["l", "r"]), ("l", ["l"]), ("r", ["r"])):
+        out = frequency_split_join(out, b[name], [*by, *keys], "rows", "left", max_hot)
     out = out.crossJoin(F.broadcast(b["all"])) if not by else out.join(F.broadcast(b["all"]), by, "left")
     return (out.withColumn("prediction", F.coalesce("p_lr", "p_l", "p_r", "p_all"))
             .drop("p_lr", "p_l", "p_r", "p_all"))

@@ -9,6 +9,9 @@ from logsieve.functions.text import split_words, strip
 
 # The timestamp shape at the start of a line, and the label tags.
 STRICT_TS_PATTERN = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
+# Strings a CSV reader treats as missing by default.
+DEFAULT_NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+                     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 ANOMALY_TAG = "##ANOMALY"
 NORMAL_TAG = "##NORMAL"
 TS_TEXT_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -66,6 +69,6 @@ def coerce_timestamp(c: Column, fmt: str = TS_TEXT_FORMAT) -> Column:
     return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
 
 
-def null_tokens(c: Column, na_values=("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None")) -> Column:
+def null_tokens(c: Column, na_values=tuple(DEFAULT_NA_VALUES)) -> Column:
     """CSV-style missing-value strings become null (as a CSV reader does by default)."""
     return F.when(c.isin(*na_values), F.lit(None).cast("string")).otherwise(c)

@@ -1,59 +1,74 @@
 """Row positions, splits, chunks and shuffles.
 
-A global position (`with_global_index`) never uses an un-partitioned window: rows are
-range-partitioned on a total order, sorted inside each partition, numbered inside the
-partition, and shifted by the running count of the partitions before them (a table
-with one row per partition, so broadcasting it is bounded by the partition count).
+A global position (`with_global_index`) never uses an un-partitioned window: the order keys are
+range-partitioned, sorted inside each partition, numbered inside the partition, and
+shifted by the running count of the partitions before them (a table with one row per
+partition, so broadcasting it is bounded by the partition count).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsieve.functions.hashing import h01
-from logsieve.session import checkpoint_dir
+from logsieve.operators.rank import value_at_rank
+from logsieve.session import written
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row within partition
+#: Rows that one partition numbers.
+INDEX_ROWS = 1_000_000
 
 
-def with_global_index(df: DataFrame, order: list, index_col: str = "idx",
-                      num_partitions: int | None = None) -> DataFrame:
-    """Add `index_col` = 0..n-1 following `order` (columns or sort expressions).
+def with_global_index(df: DataFrame, order: list, index_col: str = "idx", id_col: str | None = None,
+                      rows_per_partition: int = INDEX_ROWS) -> DataFrame:
+    """Add `index_col` = 0..n-1 following `order` (names, expressions, or `descending(...)` of one).
 
     The order must be total (end it with a unique key), otherwise the numbering of
-    ties is arbitrary.  The numbered frame is checkpointed to the session's shared
-    checkpoint folder so that a lost executor cannot renumber a partition.
+    ties is arbitrary.  With `id_col` (a unique column) only it and the order keys are
+    sorted and numbered, and the number is joined back to the rows; without it the
+    whole rows are (for narrow frames).  The numbered keys are written to the shared
+    folder, so that a lost executor cannot renumber a partition.
     """
-    spark = df.sparkSession
-    if num_partitions is None:
-        # the configured shuffle width: no pass over the data to count rows (and no
-        # `df.rdd.getNumPartitions()`, which under AQE runs the input's shuffles)
-        num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    # the range partitioner samples the input, then the shuffle reads it again: keep it
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    numbered = (src.repartitionByRange(num_partitions, *cols)
-                .sortWithinPartitions(*cols)
-                .withColumn("_mid", F.monotonically_increasing_id()))
-    checkpoint_dir(spark)
-    numbered = numbered.checkpoint(eager=True)
-    src.unpersist()
+    keys = [F.col(id_col).alias("_id")] if id_col else [F.col(c) for c in df.columns]
+    names = [f"_o{i}" for i in range(len(order))]
+    terms, sorts = [], []
+    for c, name in zip(order, names):
+        backwards = isinstance(c, Descending)
+        inner = c.inner if backwards else c
+        terms.append((F.col(inner) if isinstance(inner, str) else inner).alias(name))
+        sorts.append(F.col(name).desc() if backwards else F.col(name).asc())
+    narrow = written(df.select(*keys, *terms))
+    parts = max(1, -(-narrow.count() // rows_per_partition))
+    numbered = written(narrow.repartitionByRange(parts, *sorts).sortWithinPartitions(*sorts).drop(*names)
+                       .withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
-    local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     sizes = numbered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: the running sum runs in one task on a table of `parts` rows
     offsets = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    return (numbered.withColumn("_pid", pid).withColumn("_local", local)
-            .join(F.broadcast(offsets), "_pid")
-            .withColumn(index_col, (F.col("_off") + F.col("_local")).cast("bigint"))
-            .drop("_mid", "_pid", "_local", "_off"))
+    local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    indexed = (numbered.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")
+               .withColumn(index_col, (F.col("_off") + local).cast("bigint")).drop("_mid", "_pid", "_off"))
+    if id_col is None:
+        return indexed
+    return df.join(indexed.withColumnRenamed("_id", id_col), id_col)
+
+
+@dataclass
+class Descending:
+    inner: object
+
+
+def descending(c) -> Descending:
+    """A descending term for `with_global_index`."""
+    return Descending(c)
 
 
-def shuffle(df: DataFrame, key: str, seed: int = 0, out: str = "shuffle_key") -> DataFrame:
-    """A seeded random order: sort by `h01(seed, key)` (ties by key)."""
-    return df.withColumn(out, h01(seed, "shuffle", F.col(key))).orderBy(out, key)
+def shuffle(df: DataFrame, key: str, seed: int = 0, out: str = "place") -> DataFrame:
+    """A seeded random order: `out` = 0..n-1 by `h01(seed, 'shuffle', key)` (ties by key)."""
+    return with_global_index(df, [h01(seed, "shuffle", F.col(key)), key], out, key)
 
 
 def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 0,
@@ -61,55 +76,24 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int
     """Random split marked in `out` (no rows dropped).
 
     exact: the test part has exactly ceil(test_size * n) rows -- the rows with the
-    smallest `h01(seed, key)` (one global numbering).  Otherwise each row is test when
+    smallest `h01(seed, key)`, ties by the (whole-number) key, found by a radix select.  Otherwise each row is test when
     its draw is below `test_size` (no extra job, size only approximately right).
     """
     h = h01(seed, "split", F.col(key))
     if not exact:
         return df.withColumn(out, h < F.lit(test_size))
-    import math
-    d = df.withColumn("_h", h)
-    n = d.count()
-    k = math.ceil(n * test_size)
-    if k == 0:
-        return d.withColumn(out, F.lit(False)).drop("_h")
-    kth = kth_smallest(d, "_h", key, k)
-    if kth is None:
-        # the approximate bracket missed: number the rows instead (range-partitioned)
-        ranked = with_global_index(d, [F.col("_h"), F.col(key)], "_rank")
-        return ranked.withColumn(out, F.col("_rank") < F.lit(k)).drop("_h", "_rank")
-    hk, kk = kth
-    test = (F.col("_h") < F.lit(hk)) | ((F.col("_h") == F.lit(hk)) & (F.col(key) <= F.lit(kk)))
-    return d.withColumn(out, test).drop("_h")
-
-
-def kth_smallest(df: DataFrame, value: str, key: str, k: int, accuracy: int = 10_000,
-                 max_sort_rows: int = 200_000) -> tuple | None:
-    """(value, key) of the k-th smallest row (1-based) in (value, key) order, without
-    sorting everything: bracket the rank with `approx_percentile` on value, count the
-    rows below the bracket, narrow until at most `max_sort_rows` rows remain, then a
-    bounded top-k inside the bracket (ties of value are all inside it, ordered by key).
-    None when a bracket misses (the caller then numbers the rows)."""
-    sub = df.select(F.col(value).alias("v"), F.col(key).alias("k"))
-    below, sub_n = 0, sub.count()
-    for _ in range(8):
-        if sub_n <= max_sort_rows:
-            break
-        q = (k - 1 - below) / max(sub_n - 1, 1)
-        eps = 4.0 / accuracy
-        a, b = sub.agg(F.percentile_approx("v", [max(0.0, q - eps), min(1.0, q + eps)], accuracy)).first()[0]
-        st = sub.agg(F.count_if(F.col("v") < a).alias("lt"),
-                     F.count_if((F.col("v") >= a) & (F.col("v") <= b)).alias("mid")).first()
-        if not (below + st["lt"] < k <= below + st["lt"] + st["mid"]):
-            return None
-        below += st["lt"]
-        sub = sub.filter((F.col("v") >= a) & (F.col("v") <= b))
-        sub_n = st["mid"]
-    if sub_n > max_sort_rows:
-        return None
-    rows = sub.orderBy("v", "k").limit(k - below).collect()
-    last = rows[-1]
-    return last["v"], last["k"]
+    draws = written(df.select(F.col(key).alias("_k"), h.alias("_h")))
+    wanted = draws.agg((F.ceil(F.count(F.lit(1)) * F.lit(test_size)) - 1).alias("rank"))
+    draw = written(value_at_rank(draws, "_h", wanted))            # one row
+    # ties of the draw go by key
+    at = draws.crossJoin(F.broadcast(draw))
+    below = at.agg(F.count_if(F.col("_h") < F.col("value")).alias("below"))
+    rest = wanted.crossJoin(below).select((F.col("rank") - F.col("below")).alias("rank"))
+    last = value_at_rank(at.filter(F.col("_h") == F.col("value")).select("_k"), "_k", rest)
+    edge = draw.select(F.col("value").alias("_edge")).crossJoin(last.select(F.col("value").alias("_last")))
+    test = (F.col("_h") < F.col("_edge")) | ((F.col("_h") == F.col("_edge")) & (F.col(key) <= F.col("_last")))
+    return (df.withColumn("_h", h).crossJoin(F.broadcast(edge))
+            .withColumn(out, F.coalesce(test, F.lit(False))).drop("_h", "_edge", "_last"))
 
 
 def chunk_of(idx: Column, n: Column, k: int, remainder: str = "last") -> Column:
@@ -126,11 +110,11 @@ def chunk_of(idx: Column, n: Column, k: int, remainder: str = "last") -> Column:
     raise ValueError(remainder)
 
 
-def chunk(df: DataFrame, k: int, order: list, remainder: str = "last",
-          out: str = "chunk", keep_index: bool = False) -> DataFrame:
+def chunk(df: DataFrame, k: int, order: list, remainder: str = "last", out: str = "chunk",
+          keep_index: bool = False, id_col: str = "log_id") -> DataFrame:
     """Contiguous chunks over `order`; with remainder='drop' the rest rows are removed."""
-    indexed = with_global_index(df, order, "_idx")
-    n = indexed.select(F.count(F.lit(1)).alias("_n"))
+    indexed = with_global_index(df, order, "_idx", id_col)
+    n = df.select(F.count(F.lit(1)).alias("_n"))
     res = (indexed.crossJoin(F.broadcast(n))
            .withColumn(out, chunk_of(F.col("_idx"), F.col("_n"), k, remainder))
            .drop("_n"))

@@ -31,7 +31,8 @@ def report_row(df: DataFrame) -> DataFrame:
     flag = lambda c: F.col(c).cast("int").cast("string")
     cls = F.when(F.col("combined_anomaly"), F.lit("anomaly-log")).otherwise(F.lit("normal-log"))
     html = F.concat(
-        F.lit("<div class='"), cls, F.lit("'><p><strong>Timestamp:</strong> "), html_escape(F.col("timestamp")),
+        F.lit("<div class='"), cls, F.lit("'><p><strong>Timestamp:</strong> "),
+        html_escape(F.coalesce("timestamp", F.lit("N/A"))),
         F.lit("<br/><strong>Log:</strong> "), html_escape(F.col("message")),
         F.lit("<br/><strong>Anomaly Score:</strong> "), fixed(F.col("anomaly_score"), 4),
         F.lit(" | <strong>Confidence:</strong> "), fixed(F.col("confidence_score"), 2),

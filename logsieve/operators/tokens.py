@@ -4,14 +4,14 @@ joins against the vocabulary, never driver-side dictionaries."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions.hashing import h01
 from logsieve.functions.text import tokenize_expr
 from logsieve.operators.joins import frequency_split_join
-from logsieve.operators.prep import with_global_index
+from logsieve.operators.prep import descending, with_global_index
+from logsieve.session import written
 
 # Special tokens and their ids, sequence length and the ignore label.
 PAD, UNK, CLS, SEP, MASK = "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"
@@ -21,10 +21,9 @@ MAX_LENGTH = 64
 IGNORE_LABEL = -100
 
 
-def tokenize(df: DataFrame, col: str = "message", out: str = "tokens",
-             strip_accents: bool = False) -> DataFrame:
-    """Lower-case word / punctuation tokens as array<string> (optionally without accents)."""
-    return df.withColumn(out, tokenize_expr(F.col(col), accents=not strip_accents))
+def tokenize(df: DataFrame, col: str = "message", out: str = "tokens", accents: bool = False) -> DataFrame:
+    """Lower-case word / punctuation tokens as array<string>, without accents unless `accents`."""
+    return df.withColumn(out, tokenize_expr(F.col(col), accents))
 
 
 def token_sequence(tokens: Column, max_length: int = MAX_LENGTH) -> Column:
@@ -35,18 +34,14 @@ def token_sequence(tokens: Column, max_length: int = MAX_LENGTH) -> Column:
 def build_vocab(df: DataFrame, tokens_col: str = "tokens", min_count: int = 1,
                 max_size: int | None = None) -> DataFrame:
     """(token_id INT, token STRING, count BIGINT): specials 0-4, then tokens by count
-    desc, token asc.  With max_size the top list is a bounded top-k; without it the ids
-    come from one distributed global numbering."""
+    desc, token asc, numbered by one distributed global numbering; max_size keeps the
+    smallest ids."""
     counts = (df.select(F.explode(tokens_col).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
               .filter((F.col("count") >= min_count) & ~F.col("token").isin(*SPECIAL_TOKENS)))
-    order = [F.col("count").desc(), F.col("token").asc()]
+    ranked = with_global_index(counts, [descending("count"), "token"], "_rank")
     if max_size is not None:
-        top = counts.orderBy(*order).limit(max(0, max_size - len(SPECIAL_TOKENS)))
-        from pyspark.sql import Window
-        ranked = top.withColumn("_rank", F.row_number().over(Window.orderBy(*order)) - 1)
-    else:
-        ranked = with_global_index(counts, order, "_rank")
+        ranked = ranked.filter(F.col("_rank") < max_size - len(SPECIAL_TOKENS))
     words = ranked.select((F.col("_rank") + len(SPECIAL_TOKENS)).cast("int").alias("token_id"),
                           "token", "count")
     spark = df.sparkSession
@@ -60,12 +55,10 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "log_id", tokens_col:
     """(id, input_ids, attention_mask, labels): `[CLS]` + ids of the first max_length-2
     tokens (unknown -> `[UNK]`) + `[SEP]`, padded with 0 to max_length."""
     pos = df.select(id_col, F.posexplode_outer(F.slice(tokens_col, 1, max_length - 2)).alias("pos", "token"))
-    # read by the hot join, the cold anti-join/join and the empty-row branch
-    pos = pos.persist(StorageLevel.MEMORY_AND_DISK)
-    known = frequency_split_join(pos.filter(F.col("token").isNotNull()),
-                                 vocab.select("token", "token_id", "count"), ["token"], "count", how="left")
-    empty = pos.filter(F.col("token").isNull()).withColumn("token_id", F.lit(None).cast("int"))
-    looked = known.unionByName(empty)
+    # a row without tokens gets a key of its own that no word has, so such rows are dealt evenly
+    alone = F.concat(F.lit("\u0000"), F.col(id_col).cast("string"))
+    looked = frequency_split_join(pos.withColumn("token", F.coalesce("token", alone)),
+                                  vocab.select("token", "token_id", "count"), ["token"], "count", how="left")
     item = F.when(F.col("pos").isNotNull(),
                   F.struct(F.col("pos"), F.coalesce(F.col("token_id"), F.lit(UNK_ID)).alias("id")))
     grouped = looked.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_items"))
@@ -83,7 +76,7 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "log_id", tokens_col:
 def decode(df: DataFrame, vocab: DataFrame, id_col: str = "log_id", ids_col: str = "input_ids",
            out: str = "decoded") -> DataFrame:
     """Ids -> token strings (same order, same length)."""
-    pos = df.select(id_col, F.posexplode(ids_col).alias("pos", "token_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    pos = df.select(id_col, F.posexplode(ids_col).alias("pos", "token_id"))
     joined = frequency_split_join(pos, vocab.select("token_id", "token", "count"),
                                   ["token_id"], "count", how="left")
     return (joined.groupBy(id_col)
@@ -91,99 +84,91 @@ def decode(df: DataFrame, vocab: DataFrame, id_col: str = "log_id", ids_col: str
                  .getField("t").alias(out)))
 
 
-def drop_special(arr: Column) -> Column:
-    """Remove special tokens from an array of token strings."""
-    return F.filter(arr, lambda t: ~t.isin(*SPECIAL_TOKENS))
-
-
 def mask_tokens(encoded: DataFrame, vocab_size: int, id_col: str = "log_id", seed: int = 0,
                 p: float = 0.15, mask_share: float = 0.8, random_share: float = 0.1) -> DataFrame:
     """Masked-example builder, in-row (no shuffle).  Each real, non-special position is
     chosen with probability p; a chosen id becomes `[MASK]` (80 %), a random word id
     (10 %) or stays (10 %).  labels = original id where chosen, else -100.  Draws are
     h01(seed, row id, position, name), so the result is reproducible."""
-    rid = F.col(id_col)
+    rid, first = F.col(id_col), len(SPECIAL_TOKENS)
 
-    def chosen(x, i):
-        return (x >= len(SPECIAL_TOKENS)) & (h01(seed, rid, i, "pick") < F.lit(p))
+    def drawn(x, i):
+        """(new id, label): the pick is drawn once and both outputs follow from it."""
+        kind = h01(seed, rid, i, "kind")
+        word = (F.lit(first) + F.floor(h01(seed, rid, i, "word") * F.lit(vocab_size - first))).cast("int")
+        new = F.when(kind < F.lit(mask_share), F.lit(MASK_ID)).when(kind < F.lit(mask_share + random_share), word).otherwise(x)
+        picked = (x >= first) & (h01(seed, rid, i, "pick") < F.lit(p))
+        return F.when(picked, F.struct(new.alias("id"), x.alias("label"))).otherwise(
+            F.struct(x.alias("id"), F.lit(IGNORE_LABEL).alias("label")))
 
-    def new_id(x, i):
-        k = h01(seed, rid, i, "kind")
-        word = (F.lit(len(SPECIAL_TOKENS))
-                + F.floor(h01(seed, rid, i, "word") * F.lit(vocab_size - len(SPECIAL_TOKENS)))).cast("int")
-        return (F.when(~chosen(x, i), x)
-                .when(k < F.lit(mask_share), F.lit(MASK_ID))
-                .when(k < F.lit(mask_share + random_share), word)
-                .otherwise(x))
-
-    ids = F.col("input_ids")
-    return encoded.withColumn("labels", F.transform(ids, lambda x, i: F.when(chosen(x, i), x)
-                                                    .otherwise(F.lit(IGNORE_LABEL)))) \
-                  .withColumn("input_ids", F.transform(ids, new_id))
+    both = F.transform(F.col("input_ids"), drawn)
+    rest = [c for c in encoded.columns if c not in ("input_ids", "labels")]
+    return (encoded.select(*rest, both.alias("_both"))
+            .select(*rest, F.col("_both.id").alias("input_ids"), F.col("_both.label").alias("labels")))
 
 
 # ---------------------------------------------------------------- word pieces
-MAX_WORD_CHARS = 100
-
-
-def greedy_pieces(word: str, pieces: set, unk: str = UNK, max_chars: int = MAX_WORD_CHARS) -> list:
-    """Greedy longest-match word pieces; continuation pieces start with `##`.  A word
-    that cannot be covered becomes one unknown token."""
-    if len(word) > max_chars:
-        return [unk]
-    out, start = [], 0
-    while start < len(word):
-        end, cur = len(word), None
-        while start < end:
-            sub = word[start:end] if start == 0 else "##" + word[start:end]
-            if sub in pieces:
-                cur = sub
-                break
-            end -= 1
-        if cur is None:
-            return [unk]
-        out.append(cur)
-        start = end
-    return out
-
-
-def word_pieces(vocab: DataFrame, tokens_df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """A piece table: the (bounded, top-k) vocabulary words as word starts and as `##`
-    continuations, plus every character of the corpus in both roles."""
-    words = vocab.filter(~F.col("token").isin(*SPECIAL_TOKENS)).select(F.col("token").alias("piece"))
-    chars = (tokens_df.select(F.explode(F.split(F.array_join(tokens_col, ""), "")).alias("piece"))
-             .filter(F.col("piece") != "").distinct())
-    base = words.unionByName(chars).distinct()
+def word_pieces(vocab: DataFrame, words: DataFrame) -> DataFrame:
+    """A piece table: the vocabulary words as word starts and as `##` continuations, plus every
+    character of `words` (distinct words, column `word`) in both roles."""
+    whole = vocab.filter(~F.col("token").isin(*SPECIAL_TOKENS)).select(F.col("token").alias("piece"))
+    chars = words.select(F.explode(F.split("word", "")).alias("piece")).filter(F.col("piece") != "")
+    base = whole.unionByName(chars).distinct()
     return base.unionByName(base.select(F.concat(F.lit("##"), F.col("piece")).alias("piece"))).distinct()
 
 
-def encode_subword(df: DataFrame, pieces: DataFrame, id_col: str = "log_id",
-                   tokens_col: str = "tokens", out: str = "pieces", max_pieces: int = 200_000) -> DataFrame:
-    """Split every token into word pieces.  The greedy match runs once per *distinct*
-    word, in Arrow batches (`mapInPandas`) with the piece set broadcast; the pieces are
-    then joined back to the token positions (hot words broadcast, see joins)."""
-    spark = df.sparkSession
-    n_pieces = pieces.count()
-    if n_pieces > max_pieces:
-        raise ValueError(f"piece table has {n_pieces} rows; the broadcast bound is {max_pieces}")
-    bc = spark.sparkContext.broadcast(frozenset(r[0] for r in pieces.collect()))
-    from logsieve.functions.ship import ship_by_value
-    ship_by_value(__name__)
-
-    def split_words(batches):
-        import pandas as pd
-        ps = bc.value
-        for b in batches:
-            yield pd.DataFrame({"word": b["word"], "wp": [greedy_pieces(w, ps) for w in b["word"]]})
-
-    words = (df.select(F.explode(tokens_col).alias("word")).groupBy("word")
-             .agg(F.count(F.lit(1)).alias("m")))
-    split = words.select("word").mapInPandas(split_words, "word string, wp array<string>")
-    table = split.join(words, "word")
-    pos = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "word")).persist(StorageLevel.MEMORY_AND_DISK)
-    known = frequency_split_join(pos.filter(F.col("word").isNotNull()), table, ["word"], "m", how="left")
-    empty = pos.filter(F.col("word").isNull()).withColumn("wp", F.lit(None).cast("array<string>"))
+def distinct_words(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """(word, m): each distinct token and how often it occurs."""
+    return df.select(F.explode(tokens_col).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("m"))
+
+
+def split_words_greedily(words: DataFrame, pieces: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(word, wp): greedy longest-match pieces of each distinct word; continuation pieces start
+    with `##`; a word that cannot be covered becomes `[UNK]`, as does one longer than `max_chars`.
+
+    Every place of a word is paired with the lengths that pieces have, the candidates are
+    joined with the piece table, and a word keeps the longest match of each place.  The
+    greedy walk over those is an in-row fold.  So the work is linear in a word's length and
+    the piece table may have any size."""
+    body = F.regexp_replace("piece", "^##(?=.)", "")
+    sizes = pieces.agg(F.collect_set(F.length(body)).alias("sizes"))     # one row: distinct lengths
+    n = F.length("word")
+    short = words.select("word") if max_chars is None else words.select("word").filter(n <= max_chars)
+    places = short.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("at")).crossJoin(F.broadcast(sizes))
+    spans = places.select("word", "at", F.explode("sizes").alias("size")).filter(F.col("at") + F.col("size") <= n)
+    part = F.substring(F.col("word"), F.col("at") + 1, F.col("size"))
+    spelled = F.when(F.col("at") == 0, part).otherwise(F.concat(F.lit("##"), part))
+    # one row per piece on the other side; candidates of a frequent piece are split by AQE
+    hits = spans.withColumn("piece", spelled).join(pieces, "piece")
+    longest = hits.groupBy("word", "at").agg(F.max("size").alias("size"))
+    found = longest.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "size"))).alias("best"))
+    cover = words.select("word").join(found, "word", "left")
+    best = F.coalesce("best", F.create_map().cast("map<int,int>"))
+
+    def step(acc, i):
+        size = F.try_element_at(best, i)
+        text = F.substring(F.col("word"), i + 1, size)
+        piece = F.when(i == 0, text).otherwise(F.concat(F.lit("##"), text))
+        return F.when(i != acc["next"], acc).when(size.isNull(), F.struct(
+            F.lit(-1).alias("next"), acc["out"].alias("out"))).otherwise(
+            F.struct((i + size).alias("next"), F.concat(acc["out"], F.array(piece)).alias("out")))
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
+    walk = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
+    return (cover.withColumn("_walk", walk)
+            .select("word", F.when(F.col("_walk.next") == n, F.col("_walk.out")).otherwise(F.array(F.lit(UNK))).alias("wp")))
+
+
+def encode_subword(df: DataFrame, pieces: DataFrame, id_col: str = "log_id", tokens_col: str = "tokens",
+                   out: str = "pieces", max_chars: int | None = None) -> DataFrame:
+    """Split every token into word pieces: once per distinct word, then joined back to the token
+    positions (hot words broadcast, see joins)."""
+    words = written(distinct_words(df, tokens_col))
+    table = written(split_words_greedily(words, written(pieces), max_chars).join(words, "word"))
+    pos = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "word"))
+    alone = F.concat(F.lit("\u0000"), F.col(id_col).cast("string"))
+    looked = frequency_split_join(pos.withColumn("word", F.coalesce("word", alone)), table, ["word"], "m", how="left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", "wp"))
-    return (known.unionByName(empty).groupBy(id_col)
+    return (looked.groupBy(id_col)
             .agg(F.flatten(F.coalesce(F.array_sort(F.collect_list(item)).getField("wp"),
                                       F.array().cast("array<array<string>>"))).alias(out)))

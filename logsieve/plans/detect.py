@@ -1,16 +1,17 @@
 """End-to-end detection: lines -> parsed logs -> token losses -> scores -> flags ->
 confidence -> explanations.
 
-Plan shape: the position frame (one row per token position, only ids and context
-strings) is checkpointed or persisted because the fit and the scoring join both read it;
-the scored frame is persisted because the threshold, the min/max and the rows all read
-it.  Shuffles: the context count, the (cold-only) context join, one group-by log id,
-and one join back to the logs on log id.
+Plan shape: equal messages are scored once.  The parsed logs, the distinct messages (with how
+often each occurs), the context counts, the loss table and the scored logs are written to the shared
+checkpoint folder as tables, so nothing is cached, each is computed once, and the threshold and
+the min/max read single columns of the scored table.  Token positions are never stored: they are
+exploded again where they are read.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,49 +20,60 @@ from logsieve.operators import flags as fl
 from logsieve.operators.model import ContextModel, positions, score, token_losses
 from logsieve.operators.parse import drop_blank, parse_positional
 from logsieve.operators.tokens import MAX_LENGTH, tokenize
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an input that arrives in fewer partitions than the cluster has cores
-    (one small file) and cache it, so that filters pushed down by the optimizer run on
-    all cores instead of inside the single scan task.  A large input already has one
-    partition per file split and is returned as it is (no shuffle, no cache)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    # meant for source frames: on a frame with shuffles, AQE would run them to answer
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    return df.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
-
+from logsieve.session import dealt, written
 
 RESULT_COLUMNS = ["log_id", "timestamp", "message", "anomaly_score", "is_anomaly", "rule_based_flag",
                   "is_whitelisted", "combined_anomaly", "confidence_score", "explanation"]
 
+#: positions (id, pos, l, t, r) -> the same with a loss
+Losses = Callable[[DataFrame], DataFrame]
+
+
+def distinct_messages(logs: DataFrame, message_col: str = "message") -> DataFrame:
+    """(_text, _times, _mid): each distinct message, how often it occurs, and a number."""
+    counted = (logs.filter(F.col(message_col).isNotNull()).groupBy(F.col(message_col).alias("_text"))
+               .agg(F.count(F.lit(1)).alias("_times")))
+    # numbered in the tasks that write, so that a number never changes once it was seen
+    return written(dealt(counted).withColumn("_mid", F.monotonically_increasing_id()))
+
+
+def score_messages(logs: DataFrame, model: ContextModel | None = None, message_col: str = "message",
+                   max_length: int = MAX_LENGTH, denominator: str = "max_length",
+                   losses: Losses | None = None) -> DataFrame:
+    """(message, anomaly_score, top_tokens) of every distinct message.  `losses` replaces the
+    count model: any function that adds a column `loss` to positions (_mid, pos, l, t, r)."""
+    distinct = distinct_messages(logs, message_col)
+    pos = positions(tokenize(distinct, "_text"), "_mid", "tokens", max_length, keep=("_times",))
+    found = losses(pos) if losses is not None else token_losses(pos, model, times="_times")
+    scores = score(found, "_mid", max_length, denominator)
+    return (distinct.join(scores, "_mid")
+            .select(F.col("_text").alias(message_col), "anomaly_score", "top_tokens"))
+
 
 def score_logs(logs: DataFrame, model: ContextModel | None = None, id_col: str = "log_id",
                message_col: str = "message", max_length: int = MAX_LENGTH,
-               denominator: str = "max_length", persist: bool = True) -> DataFrame:
+               denominator: str = "max_length", losses: Losses | None = None) -> DataFrame:
     """(id, anomaly_score, top_tokens) for every log with a message."""
-    toks = tokenize(logs.select(id_col, message_col), message_col)
-    pos = positions(toks, id_col, "tokens", max_length)
-    if persist:
-        pos = pos.persist(StorageLevel.MEMORY_AND_DISK)
-    losses = token_losses(pos, model)
-    return score(losses, id_col, max_length, denominator)
+    scores = score_messages(logs, model, message_col, max_length, denominator, losses)
+    return logs.select(id_col, message_col).join(scores, message_col).drop(message_col)
+
+
+def scored_logs(lines: DataFrame, model: ContextModel | None = None, losses: Losses | None = None) -> DataFrame:
+    """Parsed logs with anomaly_score and top_tokens, as a written table."""
+    # parsed once, before the blank filter: pushed below the parse, the filter would parse again
+    logs = drop_blank(written(parse_positional(lines)))
+    # both sides of the join by message are plain exchanges, so a line in a third of all rows is split
+    scores = written(score_messages(logs, model, losses=losses))
+    return written(logs.join(scores, "message"))
 
 
 def detect(lines: DataFrame, model: ContextModel | None = None, percentile: float = fl.DEFAULT_PERCENTILE,
-           threshold_method: str = "scalable", ignore_case: bool = False,
-           keep_top_tokens: bool = False, persist: bool = True) -> DataFrame:
-    """`lines` = (log_id, line).  Returns the scored log table (RESULT_COLUMNS)."""
-    # parse once: the parsed logs feed both the scoring and the result rows
-    logs = drop_blank(parse_positional(spread(lines)))
-    if persist:
-        logs = logs.persist(StorageLevel.MEMORY_AND_DISK)
-    scores = score_logs(logs, model, persist=persist)
-    scored = logs.join(scores, "log_id", "inner")
-    if persist:
-        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    thr = fl.score_threshold(scored, "anomaly_score", percentile, method=threshold_method)
-    out = fl.flag_scores(scored, thr)
+           threshold_method: str = "select", ignore_case: bool = False, keep_top_tokens: bool = False,
+           losses: Losses | None = None) -> DataFrame:
+    """`lines` = (log_id, line).  Returns the scored log table (RESULT_COLUMNS).  Scores come from
+    the lines' own counts, from a stored `model`, or from `losses` (see score_messages)."""
+    scored = scored_logs(lines, model, losses)
+    out = fl.flag_scores(scored, fl.score_threshold(scored, "anomaly_score", percentile, method=threshold_method))
     out = fl.rule_flags(out)
     out = fl.apply_allowlist(out)
     out = fl.combine_flags(out)

@@ -16,9 +16,10 @@ from logsieve.operators import report as rp
 from logsieve.operators.explain import explain_tokens, token_meaning
 from logsieve.operators.parse import (coerce_timestamp, drop_blank, null_tokens, parse_labelled,
                                       parse_positional, parse_strict)
-from logsieve.operators.tokens import tokenize
+from logsieve.operators.tokens import build_vocab, tokenize
 from logsieve.plans import sql as S
-from logsieve.plans.detect import detect
+from logsieve.plans.detect import detect, distinct_messages, scored_logs
+from logsieve.session import written
 from logsieve.sources.logs import clean_lines, logs_from_events, training_log_from_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,15 +28,7 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # intermediates cached by an earlier query are not needed any more; dropping
-            # them keeps a long session's memory at one query's working set (a dropped
-            # cache only means recomputation from lineage, never a different result)
-            spark.catalog.clearCache()
-            return fn(spark, sf_dir)
-        run.__name__ = fn.__name__
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -47,8 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark, sf_dir, view="plain") -> DataFrame:
-    from logsieve.plans.detect import spread
-    return spread(logs_from_events(table(spark, sf_dir, "events"), view))
+    return logs_from_events(table(spark, sf_dir, "events"), view)
 
 
 def as_text(c) -> F.Column:
@@ -99,7 +91,9 @@ def q_coerce_ts(spark, sf_dir):
     return d.select("log_id", "timestamp", coerce_timestamp(F.col("timestamp")).alias("ts"))
 
 
-_NA = ", ".join(S.q(v) for v in ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None"))
+_NA = ", ".join(S.q(v) for v in (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null"))
 
 
 @register("parsed_null_tokens",
@@ -138,10 +132,7 @@ def q_detect(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     """Parsed logs with their anomaly scores (no flags or explanations)."""
-    from pyspark import StorageLevel
-    from logsieve.plans.detect import score_logs
-    logs = drop_blank(parse_positional(lines(spark, sf_dir, "plain"))).persist(StorageLevel.MEMORY_AND_DISK)
-    return logs.join(score_logs(logs), "log_id").persist(StorageLevel.MEMORY_AND_DISK)
+    return scored_logs(lines(spark, sf_dir, "plain"))
 
 
 @register("log_scores", f"SELECT log_id, anomaly_score FROM ({_DET_PLAIN})")
@@ -159,7 +150,7 @@ def q_scored_logs(spark, sf_dir):
           f"FROM ({_DET_PLAIN})")
 def q_threshold(spark, sf_dir):
     d = _scored(spark, sf_dir)
-    thr = fl.score_threshold(d, "anomaly_score", 70, method="scalable")
+    thr = fl.score_threshold(d, "anomaly_score", 70)
     return thr.crossJoin(d.agg(F.count(F.lit(1)).alias("n_scores"))).select(
         F.round("threshold", 6).alias("threshold"), "n_scores")
 
@@ -169,7 +160,7 @@ def q_threshold(spark, sf_dir):
           f"FROM ({_DET_PLAIN})) AS above_threshold FROM ({_DET_PLAIN})")
 def q_score_flags(spark, sf_dir):
     d = _scored(spark, sf_dir).select("log_id", "anomaly_score")
-    thr = fl.score_threshold(d, "anomaly_score", 70, method="exact")
+    thr = fl.score_threshold(d, "anomaly_score", 70)
     return fl.flag_scores(d, thr).withColumnRenamed("is_anomaly", "above_threshold")
 
 
@@ -276,7 +267,8 @@ def q_report_rows(spark, sf_dir):
           "LATERAL (VALUES ('Anomaly Score', v1), ('Confidence Score', v2), ('Combined Anomaly', v3)) m(measure, value)")
 def q_heatmap_long(spark, sf_dir):
     from logsieve.operators.prep import with_global_index
-    d = with_global_index(_detect(spark, sf_dir, "messy"), ["log_id"], "idx")
+    d = with_global_index(_detect(spark, sf_dir, "messy").select("log_id", "anomaly_score", "confidence_score", "combined_anomaly"),
+                          ["log_id"], "idx", "log_id")
     return rp.heatmap_long(d)
 
 
@@ -292,13 +284,13 @@ def q_cross_entropy(spark, sf_dir):
 
 
 _ARGMAX_SQL = ("SELECT vec_id, label, CAST(list_position(e, list_max(e)) - 1 AS INTEGER) AS prediction "
-               "FROM (SELECT vec_id, label, embedding[1:10] AS e FROM embeddings)")
+               "FROM (SELECT vec_id, label, embedding AS e FROM embeddings)")
 
 
 @register("argmax", _ARGMAX_SQL)
 def q_argmax(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", argmax(F.slice("embedding", 1, 10)).alias("prediction"))
+    return e.select("vec_id", "label", argmax(F.col("embedding")).alias("prediction"))
 
 
 def _metrics_sql(src: str, by: str | None = None, ignore: bool = True) -> str:
@@ -352,38 +344,34 @@ def q_lr(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- tokens
-VOCAB_SIZE = 2000
-_TOKS_SQL = f"SELECT doc_id, regexp_extract_all(lower(text), {S.TOKEN_RE_SQL}) AS tks FROM documents"
+_TOKS_SQL = f"SELECT doc_id, {S.tokens_sql('text')} AS tks FROM documents"
 _SPECIAL_ROWS = " UNION ALL ".join(f"SELECT {i} AS token_id, {S.q(t)} AS token, CAST(0 AS BIGINT) AS count"
                                    for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]))
 
 
-def _vocab_sql(max_size: int | None) -> str:
-    counts = (f"SELECT t AS token, count(*) AS count FROM (SELECT unnest(tks) AS t FROM ({_TOKS_SQL})) "
-              f"WHERE t NOT IN {S.SPECIALS_SQL} GROUP BY t")
+def _vocab_sql(src: str = _TOKS_SQL, min_count: int = 1) -> str:
+    counts = (f"SELECT t AS token, count(*) AS count FROM (SELECT unnest(tks) AS t FROM ({src})) "
+              f"WHERE t NOT IN {S.SPECIALS_SQL} GROUP BY t HAVING count(*) >= {min_count}")
     ranked = (f"SELECT CAST(row_number() OVER (ORDER BY count DESC, token ASC) + 4 AS INTEGER) AS token_id, "
               f"token, count FROM ({counts})")
-    if max_size is not None:
-        ranked = f"SELECT * FROM ({ranked}) WHERE token_id < {max_size}"
     return f"{_SPECIAL_ROWS} UNION ALL SELECT * FROM ({ranked})"
 
 
 def _docs_tokens(spark, sf_dir):
-    from logsieve.plans.detect import spread
-    from pyspark import StorageLevel
-    # read by the vocabulary and by the encoding: tokenize the documents once
-    return tokenize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    return tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
 
 
-def _docs_vocab(spark, sf_dir, max_size=VOCAB_SIZE):
+def _docs_vocab(toks, min_count=1):
     from logsieve.operators.tokens import build_vocab
-    return build_vocab(_docs_tokens(spark, sf_dir), "tokens", max_size=max_size)
+    return build_vocab(toks, "tokens", min_count)
 
 
 def _docs_encoded(spark, sf_dir):
+    """(encoded documents, vocabulary); the documents are tokenized once."""
     from logsieve.operators.tokens import encode
-    return encode(_docs_tokens(spark, sf_dir), _docs_vocab(spark, sf_dir), "doc_id", "tokens")
+    toks = written(_docs_tokens(spark, sf_dir))
+    vocab = _docs_vocab(toks)
+    return encode(toks, vocab, "doc_id", "tokens"), vocab
 
 
 @register("tokens", f"SELECT doc_id, CAST(len(tks) AS INTEGER) AS n_tokens, array_to_string(tks, ' ') AS tokens "
@@ -393,12 +381,12 @@ def q_tokens(spark, sf_dir):
     return d.select("doc_id", F.size("tokens").alias("n_tokens"), as_text(F.col("tokens")).alias("tokens"))
 
 
-@register("vocabulary", _vocab_sql(None))
+@register("vocabulary", _vocab_sql())
 def q_vocabulary(spark, sf_dir):
-    return _docs_vocab(spark, sf_dir, max_size=None)
+    return _docs_vocab(_docs_tokens(spark, sf_dir))
 
 
-_IDS_SQL = (f"WITH tk AS (SELECT doc_id, tks[1:62] AS tks FROM ({_TOKS_SQL})), vocab AS ({_vocab_sql(VOCAB_SIZE)}), "
+_IDS_SQL = (f"WITH tk AS (SELECT doc_id, tks[1:62] AS tks FROM ({_TOKS_SQL})), vocab AS ({_vocab_sql()}), "
             f"ex AS (SELECT doc_id, tks, unnest(generate_series(1, len(tks))) AS pos FROM tk), "
             f"ids AS (SELECT ex.doc_id, list(coalesce(v.token_id, 1) ORDER BY ex.pos) AS ids, "
             f"list(coalesce(v.token, '[UNK]') ORDER BY ex.pos) AS words "
@@ -413,7 +401,7 @@ _ENC_SQL = (f"SELECT doc_id, list_concat([2], ids, [3], list_transform(range(62
 @register("encoded", f"SELECT doc_id, array_to_string(input_ids, ' ') AS input_ids, "
                      f"array_to_string(attention_mask, ' ') AS attention_mask FROM ({_ENC_SQL})")
 def q_encoded(spark, sf_dir):
-    e = _docs_encoded(spark, sf_dir)
+    e, _ = _docs_encoded(spark, sf_dir)
     return e.select("doc_id", as_text(F.col("input_ids")).alias("input_ids"),
                     as_text(F.col("attention_mask")).alias("attention_mask"))
 
@@ -422,7 +410,7 @@ def q_encoded(spark, sf_dir):
                      f"list_transform(range(62 - len(words)), lambda x: '[PAD]')), ' ') AS decoded FROM ({_IDS_SQL})")
 def q_decoded(spark, sf_dir):
     from logsieve.operators.tokens import decode
-    d = decode(_docs_encoded(spark, sf_dir), _docs_vocab(spark, sf_dir), "doc_id", "input_ids")
+    d = decode(*_docs_encoded(spark, sf_dir), "doc_id", "input_ids")
     return d.select("doc_id", as_text(F.col("decoded")).alias("decoded"))
 
 
@@ -437,22 +425,47 @@ def _mask_sql(seed=42, p=0.15):
     lab = f"CASE WHEN {chosen} THEN x ELSE -100 END"
     return (f"SELECT doc_id, array_to_string(list_transform(input_ids, lambda x, i: {new}), ' ') AS input_ids, "
             f"array_to_string(list_transform(input_ids, lambda x, i: {lab}), ' ') AS labels FROM ({_ENC_SQL}) e, "
-            f"(SELECT count(*) AS vs FROM ({_vocab_sql(VOCAB_SIZE)})) v")
+            f"(SELECT count(*) AS vs FROM ({_vocab_sql()})) v")
 
 
 @register("masked_examples", _mask_sql())
 def q_masked(spark, sf_dir):
     from logsieve.operators.tokens import mask_tokens
-    vs = _docs_vocab(spark, sf_dir).count()
-    m = mask_tokens(_docs_encoded(spark, sf_dir), vs, "doc_id", seed=42)
+    encoded, vocab = _docs_encoded(spark, sf_dir)
+    m = mask_tokens(encoded, vocab.count(), "doc_id", seed=42)
     return m.select("doc_id", as_text(F.col("input_ids")).alias("input_ids"), as_text(F.col("labels")).alias("labels"))
 
 
-@register("subword_tokens")
+# word pieces: words seen at least twice are whole pieces, rarer ones are split
+_PIECES_SQL = (f"SELECT DISTINCT p FROM (SELECT unnest([token, '##' || token]) AS p FROM ({_vocab_sql(min_count=2)}) WHERE token_id > 4 "
+               f"UNION ALL SELECT unnest([c, '##' || c]) FROM (SELECT DISTINCT unnest(string_split(w, '')) AS c FROM words))")
+_SUBWORD_SQL = f"""
+WITH RECURSIVE tk AS ({_TOKS_SQL}),
+words AS (SELECT DISTINCT unnest(tks) AS w FROM tk),
+pieces AS ({_PIECES_SQL}),
+sizes AS (SELECT DISTINCT length(CASE WHEN p LIKE '##_%' THEN substr(p, 3) ELSE p END) AS n FROM pieces),
+walk(w, place, out) AS (
+  SELECT w, 0, CAST([] AS VARCHAR[]) FROM words
+  UNION ALL
+  SELECT s.w, CASE WHEN max(s.n) IS NULL THEN -1 ELSE s.place + max(s.n) END,
+         CASE WHEN max(s.n) IS NULL THEN ['[UNK]'] ELSE list_append(any_value(s.out), any_value(s.mark) || substr(s.w, CAST(s.place + 1 AS BIGINT), CAST(max(s.n) AS BIGINT))) END
+  FROM (SELECT c.w, c.place, c.out, c.mark, CASE WHEN p.p IS NOT NULL THEN c.n END AS n
+        FROM (SELECT walk.*, sizes.n, CASE WHEN walk.place = 0 THEN '' ELSE '##' END AS mark FROM walk, sizes
+              WHERE walk.place >= 0 AND walk.place < length(walk.w) AND walk.place + sizes.n <= length(walk.w)) c
+        LEFT JOIN pieces p ON p.p = c.mark || substr(c.w, CAST(c.place + 1 AS BIGINT), CAST(c.n AS BIGINT))) s
+  GROUP BY s.w, s.place),
+done AS (SELECT w, out FROM walk WHERE place = length(w) OR place = -1),
+ex AS (SELECT doc_id, tks, unnest(generate_series(1, len(tks))) AS pos FROM tk),
+per AS (SELECT ex.doc_id, flatten(list(d.out ORDER BY ex.pos)) AS ps FROM ex JOIN done d ON d.w = ex.tks[ex.pos] GROUP BY ex.doc_id)
+SELECT tk.doc_id, CAST(coalesce(len(per.ps), 0) AS INTEGER) AS n_pieces, coalesce(array_to_string(per.ps, ' '), '') AS pieces
+FROM tk LEFT JOIN per ON tk.doc_id = per.doc_id"""
+
+
+@register("subword_tokens", _SUBWORD_SQL)
 def q_subword(spark, sf_dir):
-    from logsieve.operators.tokens import encode_subword, word_pieces
-    toks = _docs_tokens(spark, sf_dir)
-    pieces = word_pieces(_docs_vocab(spark, sf_dir, max_size=VOCAB_SIZE), toks)
+    from logsieve.operators.tokens import distinct_words, encode_subword, word_pieces
+    toks = written(_docs_tokens(spark, sf_dir))
+    pieces = word_pieces(_docs_vocab(toks, min_count=2), distinct_words(toks))
     out = encode_subword(toks, pieces, "doc_id", "tokens")
     return out.select("doc_id", F.size("pieces").alias("n_pieces"), as_text(F.col("pieces")).alias("pieces"))
 
@@ -462,7 +475,7 @@ def q_subword(spark, sf_dir):
 def q_global_index(spark, sf_dir):
     from logsieve.operators.prep import with_global_index
     ev = table(spark, sf_dir, "events").select("event_id", "ts")
-    return with_global_index(ev, ["ts", "event_id"], "idx").select("event_id", "idx")
+    return with_global_index(ev, ["ts", "event_id"], "idx", "event_id").select("event_id", "idx")
 
 
 SEED = 42
@@ -494,8 +507,8 @@ def q_split_counts(spark, sf_dir):
     return _split(spark, sf_dir).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _chunk_sql(src, k, remainder):
-    idx = f"SELECT *, row_number() OVER (ORDER BY log_id) - 1 AS idx, count(*) OVER () AS n FROM ({src})"
+def _chunk_sql(src, k, remainder, order="log_id"):
+    idx = f"SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS idx, count(*) OVER () AS n FROM ({src})"
     size = f"(n // {k})"
     if remainder == "last":
         c = f"CASE WHEN {size} = 0 THEN {k} ELSE least(idx // {size}, {k - 1}) + 1 END"
@@ -513,11 +526,19 @@ def q_chunks_keep(spark, sf_dir):
 _TRAIN_SQL = f"SELECT log_id, message, label FROM ({_SPLIT_SQL}) WHERE NOT is_test"
 
 
-@register("chunks_drop", _chunk_sql(_TRAIN_SQL, 5, "drop"))
+_SHUFFLED = f"{S.h01_sql(str(SEED), chr(39) + 'shuffle' + chr(39), 'log_id')}, log_id"
+
+
+@register("chunks_drop", _chunk_sql(_TRAIN_SQL, 5, "drop", _SHUFFLED))
 def q_chunks_drop(spark, sf_dir):
-    from logsieve.operators.prep import chunk
-    train = _split(spark, sf_dir).filter(~F.col("is_test"))
-    return chunk(train, 5, ["log_id"], "drop").select("log_id", "chunk")
+    from logsieve.plans.finetune import prepare
+    return prepare(_labelled(spark, sf_dir), 5, seed=SEED)[0].select("log_id", "chunk")
+
+
+@register("shuffled_logs", f"SELECT log_id, row_number() OVER (ORDER BY {_SHUFFLED}) - 1 AS place FROM ({_LAB_SQL})")
+def q_shuffled_logs(spark, sf_dir):
+    from logsieve.operators.prep import shuffle
+    return shuffle(_labelled(spark, sf_dir), "log_id", SEED, out="place").select("log_id", "place")
 
 
 # ---------------------------------------------------------------- model, chunked fit, evaluation
@@ -526,7 +547,7 @@ _PLAIN_LOGS_SQL = S.nonblank_sql(S.positional_sql(S.clean_sql(S.lines_sql("plain
 _BASE_POS_SQL = S.positions_sql(_PLAIN_LOGS_SQL)
 _BASE_C3_SQL = f"SELECT l, t, r, count(*) AS n FROM ({_BASE_POS_SQL}) GROUP BY l, t, r"
 _TRAIN_CHUNKS_SQL = (f"SELECT t.log_id, c.chunk, t.message FROM ({_TRAIN_SQL}) t "
-                     f"JOIN ({_chunk_sql(_TRAIN_SQL, K_CHUNKS, 'drop')}) c ON t.log_id = c.log_id")
+                     f"JOIN ({_chunk_sql(_TRAIN_SQL, K_CHUNKS, 'drop', _SHUFFLED)}) c ON t.log_id = c.log_id")
 _CUM_SQL = (f"SELECT CAST(c AS INTEGER) AS chunk, l, t, r, CAST(sum(n) AS BIGINT) AS n FROM ("
             f"SELECT unnest(generate_series(greatest(chunk, 1), {K_CHUNKS})) AS c, l, t, r, n FROM ("
             f"SELECT 0 AS chunk, l, t, r, n FROM ({_BASE_C3_SQL}) UNION ALL "
@@ -538,9 +559,20 @@ def _chosen_sql(j: str) -> str:
     return f"({j} > 1 AND {j} < seq_len AND {S.h01_sql(str(SEED), 'log_id', j, chr(39) + 'pick' + chr(39))} < 0.15)"
 
 
-_EVAL_POS_SQL = (f"SELECT log_id, pos, CASE WHEN {_chosen_sql('(pos - 1)')} THEN '[MASK]' ELSE l END AS l, t, "
-                 f"CASE WHEN {_chosen_sql('(pos + 1)')} THEN '[MASK]' ELSE r END AS r "
-                 f"FROM ({S.positions_sql(f'SELECT log_id, message FROM ({_SPLIT_SQL}) WHERE is_test')}) "
+_TRAIN_VOCAB_SQL = _vocab_sql(f"SELECT {S.tokens_sql('message')} AS tks FROM ({_TRAIN_CHUNKS_SQL})")
+
+
+def _seen_sql(c: str, j: str) -> str:
+    """What a neighbour at place j shows: itself, [MASK] (80 %), a random word (10 %) or itself."""
+    kind = S.h01_sql(str(SEED), "log_id", j, "'kind'")
+    word = S.h01_sql(str(SEED), "log_id", j, "'word'")
+    return (f"CASE WHEN NOT {_chosen_sql(j)} THEN {c} WHEN {kind} < 0.8 THEN '[MASK]' WHEN {kind} < 0.9 THEN "
+            f"words[CAST(1 + floor({word} * len(words)) AS BIGINT)] ELSE {c} END AS {c}")
+
+
+_EVAL_POS_SQL = (f"SELECT log_id, pos, {_seen_sql('l', '(pos - 1)')}, t, {_seen_sql('r', '(pos + 1)')} "
+                 f"FROM ({S.positions_sql(f'SELECT log_id, message FROM ({_SPLIT_SQL}) WHERE is_test')}), "
+                 f"(SELECT list(token ORDER BY token_id) AS words FROM ({_TRAIN_VOCAB_SQL}) WHERE token_id > 4) "
                  f"WHERE {_chosen_sql('pos')}")
 
 
@@ -579,16 +611,17 @@ _EVAL_SQL = (f"SELECT e.chunk, round(e.eval_loss, 4) AS eval_loss, round(m.accur
 
 def _base_model(spark, sf_dir):
     from logsieve.operators.model import fit, positions
-    logs = drop_blank(parse_positional(lines(spark, sf_dir, "plain")))
-    return fit(positions(tokenize(logs)))
+    logs = drop_blank(written(parse_positional(lines(spark, sf_dir, "plain"))))
+    return fit(positions(tokenize(distinct_messages(logs), "_text"), "_mid", keep=("_times",)), times="_times")
 
 
 def _finetune(spark, sf_dir):
     from logsieve.plans import finetune as ft
     train, test = ft.prepare(_labelled(spark, sf_dir), K_CHUNKS, seed=SEED)
+    train = written(train, spread=True)
     model = ft.fit_finetune(_base_model(spark, sf_dir), train, K_CHUNKS)
-    ev = ft.masked_eval_positions(test, seed=SEED)
-    return model, ev
+    vocab = build_vocab(tokenize(train.select("message")), "tokens")
+    return model, ft.masked_eval_positions(test, vocab, seed=SEED)
 
 
 @register("context_counts", _BASE_C3_SQL)
@@ -684,5 +717,45 @@ def q_gen_test(spark, sf_dir):
           f"FROM ({_ENC_SQL})")
 def q_custom_scorer(spark, sf_dir):
     from logsieve.operators.scorers import make_mean_log1p, score_with
-    e = score_with(_docs_encoded(spark, sf_dir), make_mean_log1p, "input_ids", "score")
+    e = score_with(_docs_encoded(spark, sf_dir)[0], make_mean_log1p, "input_ids", "score")
     return e.select("doc_id", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- stored model, large lookup
+_STORED_SQL = f"""
+WITH cum AS (SELECT l, t, r, count(*) AS n FROM ({S.positions_sql(f"SELECT log_id, regexp_replace(message, '^[0-9-]+ [0-9:]+ ', '') AS message FROM ({_TRAIN_SQL})")}) GROUP BY l, t, r),
+po AS ({S.positions_sql(_PLAIN_LOGS_SQL)}),
+lo AS (SELECT po.log_id, po.pos, po.t, CAST(round(CAST(-ln({_P_SQL}) AS DECIMAL(20,9)), 6) AS DOUBLE) AS loss FROM po
+  LEFT JOIN (SELECT l, t, r, n AS n3 FROM cum) USING (l, t, r) LEFT JOIN (SELECT l, r, sum(n) AS n_lr FROM cum GROUP BY ALL) USING (l, r)
+  LEFT JOIN (SELECT l, t, sum(n) AS n_lt FROM cum GROUP BY ALL) USING (l, t) LEFT JOIN (SELECT l, sum(n) AS n_l FROM cum GROUP BY ALL) USING (l)
+  LEFT JOIN (SELECT t, r, sum(n) AS n_tr FROM cum GROUP BY ALL) USING (t, r) LEFT JOIN (SELECT r, sum(n) AS n_r FROM cum GROUP BY ALL) USING (r)
+  LEFT JOIN (SELECT t, sum(n) AS n_t FROM cum GROUP BY ALL) USING (t), (SELECT sum(n) AS big_n, count(DISTINCT t) AS big_v FROM cum)),
+sc AS (SELECT log_id, CAST(round(sum(CAST(loss AS DECIMAL(18,6))) * CAST(0.015625 AS DECIMAL(10,6)), 6) AS DOUBLE) AS anomaly_score FROM lo GROUP BY log_id)
+SELECT log_id, anomaly_score, anomaly_score > (SELECT quantile_cont(anomaly_score, 0.7) FROM sc)
+  AND NOT {S.contains_any_sql('message', fl.ALLOW_KEYWORDS)} AS is_anomaly
+FROM sc JOIN ({_PLAIN_LOGS_SQL}) USING (log_id)"""
+
+
+@register("detect_stored", _STORED_SQL)
+def q_detect_stored(spark, sf_dir):
+    """A model fitted on the training part of the labelled logs scores the plain logs."""
+    from logsieve.operators.model import fit, positions
+    labelled = parse_labelled(clean_lines(lines(spark, sf_dir, "labelled")), strip_timestamp=True)
+    train = _split(spark, sf_dir).filter(~F.col("is_test")).select("log_id")
+    model = fit(positions(tokenize(labelled.join(train, "log_id")))).summed()
+    return detect(lines(spark, sf_dir, "plain"), model).select("log_id", "anomaly_score", "is_anomaly")
+
+
+_DOC_WORDS_SQL = f"SELECT doc_id, t AS token, count(*) AS n FROM (SELECT doc_id, unnest(tks) AS t FROM ({_TOKS_SQL})) GROUP BY ALL"
+
+
+@register("word_meanings", f"SELECT doc_id, w.token, n, coalesce('seen ' || CAST(v.count AS VARCHAR) || ' times', 'rare') AS meaning "
+                           f"FROM ({_DOC_WORDS_SQL}) w LEFT JOIN ({_vocab_sql(min_count=2)}) v ON v.token = w.token AND v.token_id > 4")
+def q_word_meanings(spark, sf_dir):
+    """Token meanings from a table of any size (here the vocabulary), not a literal map."""
+    from logsieve.operators.explain import lookup_meanings
+    toks = written(_docs_tokens(spark, sf_dir))
+    words = toks.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    known = _docs_vocab(toks, min_count=2).filter("token_id > 4")
+    mapping = known.select("token", F.format_string("seen %d times", "count").alias("meaning"), F.col("count").alias("freq"))
+    return lookup_meanings(words, mapping, default="rare")

@@ -1,8 +1,9 @@
 """DuckDB SQL twins of the Spark queries (the correctness oracle).
 
 Each builder returns SQL text over the shared tables (`events`, `documents`, ...).
-They are written independently of the DataFrame code, from the operator definitions;
-only the fixed values (keywords, texts, patterns) are shared.
+They are written independently of the DataFrame code, from the operator definitions, and
+spell out their own patterns and character sets; only fixed texts (keywords, explanations)
+are shared.
 """
 
 from __future__ import annotations
@@ -18,21 +19,28 @@ def q(s: str) -> str:
 
 
 SPECIALS_SQL = "(" + ", ".join(q(t) for t in SPECIAL_TOKENS) + ")"
-TOKEN_RE_SQL = r"'[^[:punct:]\s]+|[[:punct:]]'"
+# Uncased word splitting, spelled out for DuckDB's regular expressions: punctuation marks, ASCII
+# symbols and CJK ideographs stand alone, other characters between white space make words.
+_ALONE = (r"\p{P}$+<=>^`|~\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
+          r"\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}")
+_REMOVED = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}\p{Co}\x{FFFD}]"
 
 
-def _ws_chars_sql() -> str:
-    from logsieve.functions.text import WHITESPACE
-    return "(" + " || ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
+def tokens_sql(x: str) -> str:
+    clean = f"strip_accents(lower(regexp_replace({x}, {q(_REMOVED)}, '', 'g')))"
+    return f"regexp_extract_all({clean}, {q(f'[{_ALONE}]|[^{_ALONE}{chr(92)}p{{Z}}{chr(92)}t{chr(92)}n{chr(92)}r]+')})"
+
+
+# white space as str.isspace has it
+_SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 
 
 def strip_sql(x: str) -> str:
-    return f"trim({x}, {_ws_chars_sql()})"
+    return f"trim({x}, {' || '.join(f'chr({c})' for c in _SPACES)})"
 
 
 def split_ws_sql(x: str) -> str:
-    from logsieve.functions.text import WORD_SPLIT_PATTERN
-    return f"regexp_split_to_array({x}, {q(WORD_SPLIT_PATTERN)})"
+    return f"regexp_split_to_array({x}, {q('[' + ''.join(f'{chr(92)}x{{{c:X}}}' for c in _SPACES) + ']+')})"
 
 
 def h01_sql(*parts: str) -> str:
@@ -98,7 +106,7 @@ def nonblank_sql(src: str) -> str:
 def positions_sql(src: str, id_col: str = "log_id", text_col: str = "message", keep: str = "") -> str:
     """(id, [keep,] pos, l, t, r, seq_len) over a query with an id and a text column."""
     k = f"{keep}, " if keep else ""
-    seq = (f"SELECT {id_col}, {k}list_concat(['[CLS]'], regexp_extract_all(lower({text_col}), {TOKEN_RE_SQL})[1:62], "
+    seq = (f"SELECT {id_col}, {k}list_concat(['[CLS]'], ({tokens_sql(text_col)})[1:62], "
            f"['[SEP]']) AS seq FROM ({src})")
     return (f"SELECT {id_col}, {k}CAST(i AS INTEGER) AS pos, CASE WHEN i = 1 THEN '[PAD]' ELSE seq[i - 1] END AS l, seq[i] AS t, "
             f"CASE WHEN i = len(seq) THEN '[PAD]' ELSE seq[i + 1] END AS r, len(seq) AS seq_len "

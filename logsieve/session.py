@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on.  AQE re-plans joins at run time: it turns a join into a
 # broadcast only after measuring the real size of a side (so no broadcast is made on
@@ -68,3 +69,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="logsieve-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def written(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Write the frame as a table in the shared checkpoint folder and go on from the files.
+
+    Used where several later steps read one result: the plan above is run once, nothing stays
+    in the executors' memory, and a lost executor costs no recomputation.  The tables live
+    as long as the folder.  With `spread` the rows are dealt over the shuffle partitions first: for
+    narrow rows that much work follows on (token positions), which may come from one file."""
+    spark = df.sparkSession
+    if spread:
+        df = dealt(df)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows, dealt evenly over the session's shuffle partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

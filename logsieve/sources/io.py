@@ -7,11 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from logsieve.operators.model import ContextModel
-
-# Strings a CSV reader treats as missing by default.
-DEFAULT_NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
-                     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+from logsieve.operators.model import MARGINALS, ContextModel
+from logsieve.operators.parse import DEFAULT_NA_VALUES, null_tokens
 
 PARSED_SCHEMA = StructType([StructField("timestamp", StringType()), StructField("message", StringType())])
 EVAL_SCHEMA = StructType([StructField(c, DoubleType()) for c in
@@ -31,9 +28,7 @@ def read_parsed_csv(spark: SparkSession, path: str, na_values=DEFAULT_NA_VALUES)
     """Parsed logs back from CSV with a fixed schema; missing-value strings become null."""
     df = (spark.read.schema(PARSED_SCHEMA).option("header", True).option("escape", '"')
           .option("nullValue", None).option("emptyValue", "").csv(path))
-    na = list(na_values)
-    return df.select(*[F.when(F.col(c).isin(*na) | F.col(c).isNull(), F.lit(None).cast("string"))
-                       .otherwise(F.col(c)).alias(c) for c in df.columns])
+    return df.select(*[null_tokens(F.col(c), na_values).alias(c) for c in df.columns])
 
 
 def write_encoded(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -63,22 +58,45 @@ def read_metrics(spark: SparkSession, directory: str) -> dict:
 
 def save_model(model: ContextModel, path: str, vocab: DataFrame | None = None) -> None:
     """Context counts as Parquet (partitioned by chunk for a chunked model, so one
-    chunk's model is read by partition pruning); the vocabulary beside it."""
-    w = model.counts.write.mode("overwrite")
-    if model.by:
-        w = w.partitionBy(*model.by)
-    w.parquet(f"{path.rstrip('/')}/counts")
+    chunk's model is read by partition pruning), their marginals, the mixture weights and alpha,
+    and the vocabulary, side by side."""
+    root = path.rstrip("/")
+
+    def put(df: DataFrame, name: str) -> None:
+        w = df.write.mode("overwrite")
+        (w.partitionBy(*model.by) if model.by else w).parquet(f"{root}/{name}")
+
+    put(model.counts, "counts")
+    for name in MARGINALS:
+        put(model.marginal(name), name)
+    put(model.totals(), "totals")
+    spark = model.counts.sparkSession
+    settings = spark.createDataFrame([(list(model.weights), float(model.alpha), list(model.by))],
+                                     "weights array<double>, alpha double, by array<string>")
+    settings.coalesce(1).write.mode("overwrite").parquet(f"{root}/settings")
     if vocab is not None:
-        vocab.write.mode("overwrite").parquet(f"{path.rstrip('/')}/vocab")
+        vocab.write.mode("overwrite").parquet(f"{root}/vocab")
 
 
 def load_model(spark: SparkSession, path: str, chunk: int | None = None, chunk_col: str = "chunk") -> ContextModel:
-    counts = spark.read.parquet(f"{path.rstrip('/')}/counts")
-    if chunk_col in counts.columns:
-        if chunk is None:
-            return ContextModel(counts, (chunk_col,))
-        counts = counts.filter(F.col(chunk_col) == chunk).drop(chunk_col)
-    return ContextModel(counts.select("l", "t", "r", "n"))
+    """The stored model, with its weights, alpha and marginals; `chunk` picks one chunk's model."""
+    root = path.rstrip("/")
+    settings = spark.read.parquet(f"{root}/settings").first()
+    by = tuple(settings["by"])
+    one = chunk is not None and chunk_col in by
+
+    def get(name: str) -> DataFrame:
+        df = spark.read.parquet(f"{root}/{name}")
+        return df.filter(F.col(chunk_col) == chunk).drop(chunk_col) if one else df
+
+    by = tuple(c for c in by if not (one and c == chunk_col))
+    tables = {name: get(name) for name in (*MARGINALS, "totals")}
+    return ContextModel(get("counts").select(*by, "l", "t", "r", "n"), by, tuple(settings["weights"]),
+                        settings["alpha"], tables)
+
+
+def load_vocab(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path.rstrip('/')}/vocab")
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -91,11 +109,11 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
         df.write.mode(mode).parquet(path)
 
 
-def write_report_rows(df: DataFrame, path: str, partitions: int | None = None) -> None:
+def write_report_rows(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
     """One HTML fragment per log, files in log order: range partitioning by log id, each
     partition sorted -- part files concatenated in name order give the whole report."""
     from logsieve.operators.report import report_row
     rows = report_row(df).select("log_id", "html")
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-df.count() // rows_per_file))
     (rows.repartitionByRange(n, "log_id").sortWithinPartitions("log_id")
      .select("html").write.mode("overwrite").text(path))

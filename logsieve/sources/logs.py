@@ -7,7 +7,7 @@ shared test tables.  Both return `(log_id BIGINT, line STRING)`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logsieve.functions.text import strip
@@ -20,20 +20,23 @@ def clean_lines(df: DataFrame, col: str = "line") -> DataFrame:
     return df.withColumn(col, strip(F.col(col))).filter(F.col(col) != "")
 
 
-def read_log_lines(spark: SparkSession, path: str, keep_order_key: bool = False) -> DataFrame:
-    """UTF-8 text -> one row per non-blank line, stripped.
-
-    `log_id` is unique and, together with the file path and split offset, gives the
-    file order (`order by file_path, block_start, log_id`): the id alone does not,
-    because Spark packs splits of several files into partitions by size.
-    """
-    df = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("log_id"),
-        strip(F.col("value")).alias("line"),
-    ).filter(F.col("line") != "")
-    return df if keep_order_key else df.select("log_id", "line")
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """UTF-8 text -> one row per non-blank line, stripped; `log_id` 0..n-1 follows the file order
+    (files by path, lines as they stand).
+
+    Spark packs the splits of several files into partitions by size, but the lines of one split
+    stay together and in order.  So the splits are numbered (one row per split: its path, offset,
+    first row number and line count), and a line's id is the count of lines before its
+    split plus its place in it: no sort, no exchange of lines."""
+    at = ["file_path", "block_start"]
+    df = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"),
+                                       F.col("_metadata.file_block_start").alias("block_start"),
+                                       strip(F.col("value")).alias("line"))
+          .filter(F.col("line") != "").withColumn("_row", F.monotonically_increasing_id()))
+    splits = df.groupBy(*at).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*at)) - F.col("_n")        # one task over the splits
+    return (df.join(splits.withColumn("_before", before), at)
+            .select((F.col("_before") + F.col("_row") - F.col("_first")).cast("bigint").alias("log_id"), "line"))
 
 
 def _channel(et):

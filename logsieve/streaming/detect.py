@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from logsieve.operators import explain as ex
 from logsieve.operators import flags as fl
-from logsieve.operators.model import ContextModel
+from logsieve.operators.model import ContextModel, positions, score, token_losses
 from logsieve.operators.parse import drop_blank, parse_positional
+from logsieve.operators.tokens import tokenize
 from logsieve.plans.detect import RESULT_COLUMNS, score_logs
 
 
@@ -41,18 +42,21 @@ class StoredDetector:
 
     @classmethod
     def fit(cls, lines: DataFrame, percentile: float = fl.DEFAULT_PERCENTILE) -> "StoredDetector":
-        from logsieve.operators.model import fit, positions
-        from logsieve.operators.tokens import tokenize
+        from logsieve.operators.model import fit
+        from logsieve.session import written
         logs = drop_blank(parse_positional(lines))
-        model = fit(positions(tokenize(logs)))
-        scores = score_logs(logs, model)
+        # the marginals are summed here, once, not again in every batch
+        model = fit(positions(tokenize(logs))).summed()
+        scores = written(score_logs(logs, model))
         thr = fl.score_threshold(scores, "anomaly_score", percentile).first()["threshold"]
         mm = scores.agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
         return cls(model, float(thr), float(mm[0]), float(mm[1]))
 
     def score_batch(self, lines: DataFrame) -> DataFrame:
         logs = drop_blank(parse_positional(lines))
-        s = score_logs(logs, self.model, persist=False)
+        # straight from the logs' positions: a batch stores and caches nothing
+        pos = positions(tokenize(logs.select("log_id", "message")))
+        s = score(token_losses(pos, self.model, keep=lambda table: table))
         out = logs.join(s, "log_id")
         out = out.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(self.threshold))
         out = fl.combine_flags(fl.apply_allowlist(fl.rule_flags(out)))

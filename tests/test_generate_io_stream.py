@@ -1,6 +1,8 @@
 """Generator, sinks and streaming."""
 
 import os
+
+import numpy as np
 import re
 import tempfile
 
@@ -88,14 +90,26 @@ def test_model_save_load_and_report(spark, tmpdir_path):
     from logsieve.operators.model import fit, positions
     from logsieve.operators.tokens import tokenize
     df = spark.createDataFrame([(i, f"a b {i % 3}") for i in range(30)], "log_id bigint, message string")
-    m = fit(positions(tokenize(df)))
-    io.save_model(m, os.path.join(tmpdir_path, "model"))
+    from logsieve.operators.model import loss_table
+    from logsieve.operators.tokens import build_vocab
+    m = fit(positions(tokenize(df)), weights=(0.1, 0.2, 0.3, 0.4), alpha=0.7)
+    vocab = build_vocab(tokenize(df), "tokens")
+    io.save_model(m, os.path.join(tmpdir_path, "model"), vocab)
     back = io.load_model(spark, os.path.join(tmpdir_path, "model"))
     assert sorted(back.counts.collect()) == sorted(m.counts.collect())
+    assert (back.weights, back.alpha) == ((0.1, 0.2, 0.3, 0.4), 0.7)
+    assert sorted(loss_table(back).collect()) == sorted(loss_table(m).collect())
+    assert sorted(io.load_vocab(spark, os.path.join(tmpdir_path, "model")).collect()) == sorted(vocab.collect())
+    chunked = fit(positions(tokenize(df.withColumn("chunk", (F.col("log_id") % 2 + 1).cast("int"))), "log_id", "tokens", keep=("chunk",)),
+                  by=("chunk",))
+    io.save_model(chunked, os.path.join(tmpdir_path, "chunked"))
+    one = io.load_model(spark, os.path.join(tmpdir_path, "chunked"), chunk=2)
+    assert one.by == () and sorted(one.counts.collect()) == sorted(chunked.counts.filter("chunk = 2").drop("chunk").collect())
+    assert io.load_model(spark, os.path.join(tmpdir_path, "chunked")).by == ("chunk",)
     ev = spark.read.parquet(f"{SF001}/events.parquet")
     res = detect(logs_from_events(ev))
     rp = os.path.join(tmpdir_path, "report")
-    io.write_report_rows(res, rp, partitions=3)
+    io.write_report_rows(res, rp, rows_per_file=400)
     files = sorted(f for f in os.listdir(rp) if f.startswith("part-"))
     html = "".join(open(os.path.join(rp, f)).read() for f in files).splitlines()
     assert len(html) == res.count() and all(h.startswith("<div class='") for h in html)
@@ -119,6 +133,10 @@ def test_streaming(spark, tmpdir_path):
     q2.awaitTermination()
     out = spark.read.parquet(sink)
     assert out.count() == lines.count()
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for i in range(3):
+        det.score_batch(lines.filter(f"log_id % 3 = {i}")).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
     batch = {r["log_id"]: r["anomaly_score"] for r in detect(lines).collect()}
     streamed = {r["log_id"]: r["anomaly_score"] for r in out.collect()}
     assert streamed == batch
@@ -142,3 +160,53 @@ def test_read_metrics_and_tables(spark, tmpdir_path):
     j = {r["chunk"]: r["avg_train_loss"] for r in join_metrics(m["eval"], m["train_loss"]).collect()}
     assert j == {1: 0.6, 2: 0.45}
     assert metric_series(m["eval"], m["train_loss"], m["learning_rate"]).count() == 14
+
+
+def test_ids_follow_file_order(spark, tmpdir_path):
+    """Three files, the middle one largest: Spark packs by size, ids go by path."""
+    d = os.path.join(tmpdir_path, "files")
+    os.makedirs(d)
+    want = []
+    for name, n in (("a.log", 3), ("b.log", 4000), ("c.log", 5)):
+        rows = [f"{name} line {i}" for i in range(n)]
+        want += rows
+        with open(os.path.join(d, name), "w") as f:
+            f.write("\n \n".join(rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = sorted((r["log_id"], r["line"]) for r in read_log_lines(spark, d).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate(want))
+
+
+def test_sinks_and_options(spark, tmpdir_path):
+    from logsieve.operators.metrics import classification_metrics
+    from logsieve.operators.model import positions, score, token_losses
+    from logsieve.operators.prep import train_test_split
+    from logsieve.operators.scorers import make_token_log1p, score_with
+    from logsieve.operators.tokens import build_vocab, encode, tokenize
+    from logsieve.plans import finetune as ft
+    df = spark.createDataFrame([(i, f"a b{i % 3} c", i % 2) for i in range(60)], "log_id bigint, message string, label int")
+    toks = tokenize(df)
+    enc = encode(toks, build_vocab(toks, "tokens"), "log_id", "tokens", max_length=8)
+    path = os.path.join(tmpdir_path, "encoded")
+    io.write_encoded(enc, path)
+    assert sorted(io.read_encoded(spark, path).collect()) == sorted(enc.collect())
+    per = score_with(enc, make_token_log1p, per_token=True, max_length=8).first()
+    assert len(per["score"]) == 8 and abs(per["score"][0] - np.log1p(2)) < 1e-9
+    res = detect(logs_from_events(spark.read.parquet(f"{SF001}/events.parquet")), keep_top_tokens=True)
+    for fmt in ("parquet", "csv"):
+        out = os.path.join(tmpdir_path, fmt)
+        io.write_results(res, out, fmt)
+        assert spark.read.format(fmt).load(out).count() >= res.count()
+    part = train_test_split(df, "log_id", 0.3, exact=False).filter("is_test").count()
+    assert 5 < part < 35
+    mean = score(token_losses(positions(toks, "log_id", "tokens")), denominator="tokens").agg(F.min("anomaly_score")).first()[0]
+    assert mean > 0
+    train, test = ft.prepare(df, 2, seed=1)
+    normal = ft.fit_finetune(None, train, 2, label_filter="label = 0")
+    assert normal.counts.agg(F.sum("n")).first()[0] < ft.fit_finetune(None, train, 2).counts.agg(F.sum("n")).first()[0]
+    own = ft.evaluate_chunks(normal, ft.masked_eval_positions(test, seed=1, p=0.9), 2,
+                             metrics=lambda d: classification_metrics(d, by=["chunk"], ignore_label=None, weight="m").select("chunk", "f1"))
+    assert set(own.columns) == {"chunk", "eval_loss", "eval_f1"} and own.count() == 2

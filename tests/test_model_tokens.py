@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from logsieve.operators import model as M
 from logsieve.operators.joins import frequency_split_join
-from logsieve.operators.tokens import build_vocab, decode, encode, greedy_pieces, mask_tokens, tokenize
+from logsieve.operators.tokens import build_vocab, decode, encode, mask_tokens, split_words_greedily, tokenize
 from logsieve.plans.detect import detect, score_logs
 from logsieve.sources.logs import logs_from_events
 
@@ -20,7 +20,10 @@ def test_tokenize(spark):
     got = {r["doc_id"]: r["tokens"] for r in tokenize(texts(spark), "text").collect()}
     assert got[1] == ["hello", ",", "world", "!", "a", "[", "err", "]", "b"]
     assert got[2] == []
-    assert got[4] == ["déjà", "vu", ":", "été"]
+    assert got[4] == ["deja", "vu", ":", "ete"]
+    hard = "“quoted”—dash 日本語 café a\u00a0b x\u200by\u0301 $5+3 Ångström ИЙ"
+    got = tokenize(spark.createDataFrame([(hard,)], "text string"), "text").first()["tokens"]
+    assert got == ["“", "quoted", "”", "—", "dash", "日", "本", "語", "cafe", "a", "b", "xy", "$", "5", "+", "3", "angstrom", "ии"]
 
 
 def test_encode_decode_mask(spark):
@@ -49,11 +52,30 @@ def test_encode_decode_mask(spark):
                 assert lab == x and x >= 5
 
 
-def test_word_pieces():
-    ps = {"un", "##aff", "##able", "a", "##b"}
-    assert greedy_pieces("unaffable", ps) == ["un", "##aff", "##able"]
-    assert greedy_pieces("ab", ps) == ["a", "##b"]
-    assert greedy_pieces("zz", ps) == ["[UNK]"]
+def greedy(word, pieces):
+    out, start = [], 0
+    while start < len(word):
+        mark = "##" if start else ""
+        end = next((e for e in range(len(word), start, -1) if mark + word[start:e] in pieces), None)
+        if end is None:
+            return ["[UNK]"]
+        out.append(mark + word[start:end])
+        start = end
+    return out
+
+
+def test_word_pieces(spark):
+    import random
+    rnd = random.Random(8)
+    some = lambda n: {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))) for _ in range(n)}
+    pieces = {"un", "##aff", "##able", "a", "##b"} | some(6) | {"##" + p for p in some(9)}
+    words = ["unaffable", "ab", "zz", "##", "#", *{"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 12))) for _ in range(80)}]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    table = spark.createDataFrame([(p,) for p in pieces], "piece string")
+    got = {r["word"]: r["wp"] for r in split_words_greedily(df, table).collect()}
+    assert got == {w: greedy(w, pieces) for w in words}
+    short = {r["word"]: r["wp"] for r in split_words_greedily(df, table, max_chars=3).collect()}
+    assert short["unaffable"] == ["[UNK]"] and short["ab"] == got["ab"]
 
 
 def test_frequency_split_join_equals_plain_join(spark):
@@ -109,14 +131,16 @@ def test_top_tokens_fixture(spark):
 def test_options(spark):
     from logsieve.operators.parse import parse_labelled
     from logsieve.plans.finetune import fit_base
-    toks = tokenize(texts(spark), "text", strip_accents=True)
+    toks = tokenize(texts(spark), "text", accents=True)
     got = {r["doc_id"]: r["tokens"] for r in toks.collect()}
-    assert got[4] == ["deja", "vu", ":", "ete"]
+    assert got[4] == ["déjà", "vu", ":", "été"]
     lab = spark.createDataFrame([(1, "2024-01-01 00:00:01 ok ##NORMAL")], "log_id bigint, line string")
     assert parse_labelled(lab, strip_timestamp=True).first()["message"] == "ok"
     logs = spark.createDataFrame([(i, f"w{i}") for i in range(23)], "log_id bigint, message string")
-    last = {r["t"] for r in fit_base(logs, 10, "last_chunk").counts.collect()}
+    last = {r["t"] for r in fit_base(logs, 10, "last_chunk", test_size=0).counts.collect()}
     assert last == {"[CLS]", "[SEP]", "w18", "w19", "w20", "w21", "w22"}
+    split = {r["t"] for r in fit_base(logs, 10, "last_chunk").counts.collect()}
+    assert split < last and len(split) == 2 + 4
 
 
 def test_hot_line_third_of_rows(spark):
@@ -145,13 +169,50 @@ def test_empty_input(spark):
     assert fl.score_threshold(empty).first()["threshold"] is None
 
 
+def test_hot_token_in_nine_of_ten_contexts(spark):
+    """One token in 90 % of the contexts: equal losses, and no task holds much more than the others."""
+    rows = [(i, f"a{i} hot b{i}" if i % 10 else f"x{i} cold{i} y{i}") for i in range(2000)]
+    pos = M.positions(tokenize(spark.createDataFrame(rows, "log_id bigint, message string")), "log_id", "tokens")
+    model = M.fit(pos)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tight, loose = (M.loss_table(model, max_hot=h).select("l", "t", "r", "loss") for h in (50, 100_000))
+        assert sorted(tight.collect()) == sorted(loose.collect())
+        assert "Window" not in tight._jdf.queryExecution().executedPlan().toString()
+        keyed = model.marginal("n_t")
+        sizes = [r["n"] for r in frequency_split_join(model.counts, keyed, ["t"], "rows", "left", 50)
+                 .groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_own_losses_feed_detection(spark):
+    """Losses of the user's own network (here: the length of the token) drive score, tokens and flags."""
+    lines = spark.createDataFrame([(i, f"2024-01-01 00:00:0{i} {'long' * i} b [ERR]") for i in range(1, 8)],
+                                  "log_id bigint, line string")
+    got = {r["log_id"]: r for r in detect(lines, losses=lambda pos: pos.withColumn("loss", F.length("t").cast("double")),
+                                          keep_top_tokens=True).collect()}
+    assert all(got[i]["top_tokens"][0] == "long" * i for i in range(2, 8))
+    assert got[7]["is_anomaly"] and not got[1]["is_anomaly"]
+    assert got[3]["anomaly_score"] == round((5 + 12 + 1 + 1 + 3 + 1 + 5) / 64, 6)
+
+
+def test_nothing_stays_cached(spark):
+    spark.catalog.clearCache()
+    detect(logs_from_events(spark.read.parquet(f"{SF001}/events.parquet"))).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
 def test_plan_shape(spark):
     """Hot contexts are joined by broadcast; the scan reads only the columns it needs."""
     from logsieve.operators.parse import drop_blank, parse_positional
     ev = spark.read.parquet(f"{SF001}/events.parquet")
     logs = drop_blank(parse_positional(logs_from_events(ev)))
-    s = score_logs(logs, persist=False)
-    plan = s._jdf.queryExecution().executedPlan().toString()
+    pos = M.positions(tokenize(logs), "log_id", "tokens")
+    plan = M.token_losses(pos)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     scan = logs._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,props:string>" in scan
