@@ -12,7 +12,8 @@ from conftest import SF001
 
 SUBSET = ["event_logs", "parse_positional", "parse_labelled", "detect", "top_tokens", "explanations",
           "vocabulary", "encoded", "masked_examples", "split_rows", "chunks_drop", "eval_by_chunk",
-          "gen_test", "weighted_metrics", "report_rows"]
+          "gen_test", "weighted_metrics", "report_rows", "tokens", "subword_tokens", "threshold", "chunks_keep",
+          "heatmap_long", "parsed_null_tokens", "detect_stored", "word_meanings", "shuffled_logs", "predictions"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("LOGSIEVE_ALL_ORACLE") else SUBSET
 
 
