@@ -215,7 +215,7 @@ def encode(docs: DataFrame, tokenizer_path: str, digests: bool = False, id_col:
         names = {i: str(i) for i in strings}
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, word_bpe.CHUNK_CHARS):
                 ids = [array("I", x) for x in ids_of.encode(texts[a:b])]
                 decoded = [" ".join(map(strings.__getitem__, x)) for x in ids]
                 if digests:

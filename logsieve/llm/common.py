@@ -55,11 +55,11 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str,
     return df.mapInArrow(fn, schema)
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of at least one text and at most about CHUNK_CHARS characters."""
+def chunks(texts: list[str], size_limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of at least one text and at most about `size_limit` characters."""
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if i > start and size + len(t) > CHUNK_CHARS:
+        if i > start and size + len(t) > size_limit:
             yield start, i
             start, size = i, 0
         size += len(t)

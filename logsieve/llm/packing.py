@@ -88,7 +88,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, groups: int, length: int = S
         for batch in batches:
             doc_ids = batch.column(0)
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, word_bpe.CHUNK_CHARS):
                 rows = []
                 for k, ids in enumerate(ids_of.encode(texts[a:b]), a):
                     ids += closing

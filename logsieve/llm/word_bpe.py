@@ -30,6 +30,8 @@ WORDS = re.compile(rf"[^\W\d_{OTHER_NUMBERS}]+|'(?:[stmd]|re|ve|ll)|[\d{OTHER_NU
 
 #: Words kept in a task's memory; beyond that the store starts anew.
 MAX_WORDS = 600_000
+#: Text encoded at once: merging many new words at a time costs less for each.
+CHUNK_CHARS = 4_000_000
 #: Longer strings are not kept.
 LONG_WORD = 100
 #: Words of more bytes are merged one by one, with a heap.
@@ -199,8 +201,8 @@ class WordIds:
                 self.learn(words)
             for s, ws in zip(new, split, strict=True):
                 strings[s] = known[s] if len(ws) == 1 else b"".join([known[w] for w in ws])
-        out = [self.whole(t) if c is None else b"".join([strings[s] for s in c])
-               for t, c in zip(texts, cut, strict=True)]
+        ids = strings.__getitem__
+        out = [self.whole(t) if c is None else b"".join(map(ids, c)) for t, c in zip(texts, cut, strict=True)]
         for s in [s for s in new if len(s) > LONG_WORD]:
             del strings[s]
             for w in WORDS.findall(s):
