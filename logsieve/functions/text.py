@@ -21,6 +21,8 @@ CJK_RANGES = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700,
 _CJK = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in CJK_RANGES)
 _SINGLE = r"\p{P}$+<=>^`|~" + _CJK
 TOKEN_PATTERN = rf"([{_SINGLE}]|[^{_SINGLE}\p{{Z}}\t\n\r]+)"
+# The same for printable ASCII text, where the classes are small and fast.
+ASCII_TOKEN_PATTERN = r"([^\p{Punct}\s]+|\p{Punct})"
 CONTROL_PATTERN = r"[\p{C}\x{fffd}&&[^\t\n\r]]"
 
 
@@ -50,9 +52,12 @@ def contains_any(c: Column, keywords) -> Column:
 
 
 def tokenize_expr(c: Column, accents: bool = False) -> Column:
-    """Uncased word and punctuation tokens (array<string>); accents=True keeps accents."""
-    low = F.lower(F.regexp_replace(c, CONTROL_PATTERN, ""))
-    return F.regexp_extract_all(low if accents else strip_accents(low), F.lit(TOKEN_PATTERN), 1)
+    """Uncased word and punctuation tokens (array<string>); accents=True keeps accents.  Printable
+    ASCII text has neither accents nor control characters and skips their removal."""
+    clean = F.lower(F.regexp_replace(c, CONTROL_PATTERN, ""))
+    clean = clean if accents else strip_accents(clean)
+    return (F.when(c.rlike(r"[^\x20-\x7e\t\n\r]"), F.regexp_extract_all(clean, F.lit(TOKEN_PATTERN), 1))
+            .otherwise(F.regexp_extract_all(F.lower(c), F.lit(ASCII_TOKEN_PATTERN), 1)))
 
 
 def lookup(c: Column, mapping: dict, default=None) -> Column:

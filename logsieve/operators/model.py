@@ -80,7 +80,9 @@ def positions(df: DataFrame, id_col: str = "log_id", tokens_col: str = "tokens",
     if with_len:
         arrays = arrays.withColumn("seq_len", F.size("t"))
         keep = (*keep, "seq_len")
-    return arrays.select(id_col, *keep, F.inline(F.arrays_zip("pos", "l", "t", "r")))
+    # outer (a sequence is never empty): for a plain inline the optimizer adds a filter on the
+    # arrays, which would tokenize once more
+    return arrays.select(id_col, *keep, F.inline_outer(F.arrays_zip("pos", "l", "t", "r")))
 
 
 def fit(pos: DataFrame, by: tuple = (), weights=DEFAULT_WEIGHTS, alpha=DEFAULT_ALPHA,

@@ -36,7 +36,8 @@ def build_vocab(df: DataFrame, tokens_col: str = "tokens", min_count: int = 1,
     """(token_id INT, token STRING, count BIGINT): specials 0-4, then tokens by count
     desc, token asc, numbered by one distributed global numbering; max_size keeps the
     smallest ids."""
-    counts = (df.select(F.explode(tokens_col).alias("token"))
+    # outer: for a plain explode the optimizer adds a filter that would tokenize once more
+    counts = (df.select(F.explode_outer(tokens_col).alias("token")).filter(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
               .filter((F.col("count") >= min_count) & ~F.col("token").isin(*SPECIAL_TOKENS)))
     ranked = with_global_index(counts, [descending("count"), "token"], "_rank")
@@ -119,7 +120,8 @@ def word_pieces(vocab: DataFrame, words: DataFrame) -> DataFrame:
 
 def distinct_words(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """(word, m): each distinct token and how often it occurs."""
-    return df.select(F.explode(tokens_col).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("m"))
+    words = df.select(F.explode_outer(tokens_col).alias("word")).filter(F.col("word").isNotNull())
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("m"))
 
 
 def split_words_greedily(words: DataFrame, pieces: DataFrame, max_chars: int | None = None) -> DataFrame:
