@@ -1,16 +1,22 @@
 """Secret scans.
 
 Base kinds are fixed patterns (ASSIGN, ACCESS, HEX).  Beside them, two character Markov models
-judge every other unbroken run of key characters: one of random strings, one of ordinary
-identifiers.  The mean log-likelihood ratio per character says which explains a run better.
+judge what the base spans leave of every unbroken run of SHORTEST key characters or more: one
+of random strings, one of ordinary identifiers.  A run is cut into its parts (letters and
+digits between other key characters).  The parts' log-likelihood ratios, less a margin for each
+character, decide which stretches of whole parts the random model explains better: the
+maximal scoring segments, so neither a path before a key nor a name after it is averaged
+with it.  Segments of SHORTEST characters or more are spans; no letter class is asked for.
 
 Both models are trained on labelled samples from the corpus: values that the base patterns
-found count as random strings, words and names joined from neighbouring words as ordinary identifiers.  The sample is
+found count as random strings, words, names joined from neighbouring words and numbers as ordinary identifiers.  The sample is
 bounded by documented parameters (SAMPLE_DOCS documents of smallest hash, SAMPLE_RUNS
 strings of each label); the values are cut into pieces so that both labels have like lengths.
-The threshold MARGIN is in natural logarithms per character.  Seeded random strings over the
-usual key alphabets smooth the first model, so that it also knows letters that the corpus'
-own secrets lack.
+The threshold MARGIN is in natural logarithms per character; a segment of less than FULL
+characters needs as much in all as one of FULL, so the margin grows for short ones.  Seeded
+random strings over the usual key alphabets smooth the first model, so that it also knows
+letters that the corpus' own secrets lack; repeated letters and alphabets in order (fillers)
+smooth the second.
 
 Spans are in code points, end exclusive.  A method's span never overlaps a base span.
 
@@ -42,8 +48,14 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ["assign", "access", "hex", "markov"]
 
-#: What the models judge: runs of key characters of at least this length with a digit.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What the models judge: runs of key characters of at least this length, in these parts.
+SHORTEST, FULL = 12, 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+PART = re.compile(r"[A-Za-z0-9]+")
+JOINING = "+/_=-"
+#: Characters between parts that a span takes in at either end of its run, at most.
+EDGE = 2
+#: Strings with a digit and a letter, for choosing samples; the scan asks for neither.
 MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
 
 SAMPLE_DOCS = 2_000
@@ -89,14 +101,6 @@ class MarkovModel:
                 np.add.at(counts, ([n] + codes[:-1], codes), 1)
         self.table = np.log(counts / counts.sum(axis=1, keepdims=True)).tolist()
 
-    def mean(self, s: str) -> float:
-        total, before, t = 0.0, len(ALPHABET), self.table
-        for c in s:
-            k = CODE[c]
-            total += t[before][k]
-            before = k
-        return total / max(1, len(s))
-
 
 def random_strings(n: int, seed: int = 7) -> list[str]:
     draw = random.Random(seed)
@@ -104,11 +108,19 @@ def random_strings(n: int, seed: int = 7) -> list[str]:
     return ["".join(draw.choice(kinds[i % 4]) for _ in range(24)) for i in range(n)]
 
 
+#: Runs of key characters without a letter.
+NUMBER = re.compile(r"(?<![A-Za-z0-9+/_=-])[0-9][0-9+/_=-]++(?![A-Za-z])")
+
+
+def fillers() -> list[str]:
+    return [c * 24 for c in ALPHABET] + [LETTERS, LETTERS.upper(), "0123456789"] * 8
+
+
 def identifiers(text: str) -> set[str]:
-    """Ordinary identifiers: a text's words, and names joined from neighbouring words as
-    programs and file names do."""
+    """Ordinary identifiers: a text's words and numbers, and names joined from neighbouring
+    words as programs and file names do."""
     words = re.findall(r"[A-Za-z]{2,}", text)
-    out = set(words)
+    out = set(words) | set(NUMBER.findall(text))
     for i in range(0, len(words) - 2, 3):
         a, b, c = (w.lower() for w in words[i:i + 3])
         out.add((f"{a}_{b}_{c}", f"{a}{b.title()}{c.title()}", f"{a}-{b}-{c}", f"{a.upper()}_{b.upper()}_{c.upper()}",
@@ -138,16 +150,70 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     labelled = map_batches(sample, label, "s string, random boolean").distinct()
     both = [[r.s for r in labelled.filter(F.col("random") == kind).orderBy(F.xxhash64("s"), "s").limit(sample_runs)
              .collect()] for kind in (True, False)]
-    return MarkovModel(both[0] + random_strings(SMOOTHING_STRINGS)), MarkovModel(both[1])
+    return MarkovModel(both[0] + random_strings(SMOOTHING_STRINGS)), MarkovModel(both[1] + fillers())
+
+
+def segments(run: str, models, margin: float) -> list[tuple[int, int, float]]:
+    """(start, end, score) of the maximal scoring segments of whole parts, in order.  A
+    segment takes in a part of negative score only where both sides outweigh it."""
+    noise, names = (m.table for m in models)
+    total, before, done = 0.0, len(ALPHABET), 0
+    # start, end, total before and after, and the last segment that began at a lower total
+    found: list[tuple[int, int, float, float, int]] = []
+
+    def score(a: int, b: int) -> float:
+        nonlocal before
+        out = -margin * (b - a)
+        for c in run[a:b]:
+            k = CODE[c]
+            out += noise[before][k] - names[before][k]
+            before = k
+        return out
+
+    for m in PART.finditer(run):
+        start, end = m.span()
+        if done:
+            total += min(0.0, score(done, start))
+        low, total, done = total, total + score(start, end), end
+        if total <= low:
+            continue
+        while True:
+            i = len(found) - 1
+            while i >= 0 and found[i][2] >= low:
+                i = found[i][4]
+            if i < 0 or found[i][3] >= total:
+                break
+            start, low = found[i][0], found[i][2]
+            del found[i:]
+        found.append((start, end, low, total, i))
+    return [(a, b, y - x) for a, b, x, y, _ in found]
+
+
+def left_over(start: int, end: int, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What spans, ordered by start, leave of a range."""
+    for a, b, _ in taken:
+        if b > start and a < end:
+            if a > start:
+                yield start, a
+            start = max(start, b)
+    if start < end:
+        yield start, end
 
 
 def markov_spans(text: str, taken: list[tuple[int, int, str]], models, margin: float) -> list[tuple[int, int, str]]:
-    noise, names = models
     out = []
     for m in RUN.finditer(text):
-        if MIXED.match(m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in taken) \
-                and noise.mean(m[0]) - names.mean(m[0]) >= margin:
-            out.append((*m.span(), "markov"))
+        for at, end in left_over(*m.span(), taken):
+            run = text[at:end]
+            if len(run) < SHORTEST:
+                continue
+            edges = len(run) - len(run.lstrip(JOINING)), len(run.rstrip(JOINING))
+            for a, b, score in segments(run, models, margin):
+                # a key may begin or end with such a character, or have padding
+                first = max(0, a - EDGE) if a == edges[0] else a
+                last = min(len(run), b + EDGE) if b == edges[1] else b
+                if last - first >= SHORTEST and score >= margin * (FULL - min(FULL, b - a)):
+                    out.append((at + first, at + last, "markov"))
     return out
 
 
