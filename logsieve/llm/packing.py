@@ -2,8 +2,8 @@
 
 Each document is tokenized once, where it is read; its ids (with the closing id) are cut into
 pieces of the sequence length and a remainder, and from here on only the pieces' sizes and
-checksums travel.  The pieces are dealt to random groups of about GROUP_PIECES pieces, and
-every group is packed by itself: first-fit decreasing, where a tournament tree over the
+checksums travel.  They are written as a table and counted, and the count gives the number of
+groups: the pieces are dealt to random groups of about GROUP_PIECES pieces, and every group is packed by itself: first-fit decreasing, where a tournament tree over the
 sequences' free capacities finds the first sequence that a piece fits.  A sequence id holds the
 group in its upper and the sequence's number in its lower 32 bits.
 
@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.ship import ship_by_value
 from logsieve.llm import common, lookup, word_bpe
-from logsieve.llm.common import chunks, map_batches, table
+from logsieve.llm.common import chunks, cut, map_batches, table
 
 SEQUENCE = 4096
 CLOSING_ID = 2
 #: Pieces in a group, on average.
 GROUP_PIECES = 4096
 
-PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long")
+PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, draw long")
 PACKED = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -76,9 +76,9 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
     return place
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str, groups: int, length: int = SEQUENCE,
+def pieces_of(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE,
               closing_id: int = CLOSING_ID, seed: int = 0) -> DataFrame:
-    """`docs` has doc_id and text."""
+    """`docs` has doc_id and text; `draw` is a random number that deals the pieces."""
     ship_by_value(lookup.__name__, word_bpe.__name__)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +98,8 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, groups: int, length: int = S
                 place += len(at)
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.take(pa.array(at)), *map(pa.array, (start, size, crc, tokens)),
-                     pa.array((order % np.uint64(groups)).astype(np.int64))],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp"])
+                     pa.array((order >> np.uint64(1)).astype(np.int64))],
+                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "draw"])
 
     return map_batches(docs, run, PIECES)
 
@@ -108,8 +108,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, closing_i
          id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    groups = max(1, round(docs.select(F.lit(1)).count() / GROUP_PIECES))
-    pieces = pieces_of(slim, tokenizer_path, groups, length, closing_id, seed)
+    drawn = cut(pieces_of(slim, tokenizer_path, length, closing_id, seed))
+    groups = max(1, round(drawn.count() / GROUP_PIECES))
+    pieces = drawn.withColumn("grp", F.col("draw") % groups).drop("draw")
     ship_by_value(__name__, common.__name__)
 
     def run(group: pa.Table) -> pa.Table:

@@ -56,3 +56,13 @@ def test_little_padding(spark):
     docs = spark.createDataFrame([(i, "the cat sat " * (i % 97)) for i in range(3000)], "doc_id long, text string")
     got = packing.pack(docs, PATH, length=512).toPandas()
     assert got.length.sum() / (512 * got.sequence_id.nunique()) > 0.99
+
+
+def test_groups_come_from_the_pieces(spark):
+    # few documents of many pieces: 6 x 3,001 words in pieces of 1 id
+    docs = spark.createDataFrame([(i, "the cat sat " * 1000) for i in range(6)], "doc_id long, text string")
+    got = packing.pack(docs, PATH, length=1).toPandas()
+    sizes = got.groupby(got.sequence_id // 2**32).size()
+    assert len(got) > 4 * packing.GROUP_PIECES and got.sequence_id.is_unique
+    assert len(sizes) == round(len(got) / packing.GROUP_PIECES)
+    assert sizes.max() < 1.2 * packing.GROUP_PIECES
