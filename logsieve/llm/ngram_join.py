@@ -1,17 +1,18 @@
-"""N-gram Jaccard join: near-duplicate documents by a MinHash LSH forest.
+"""N-gram Jaccard join: near-duplicate documents by MinHash bands.
 
 Words are lower-cased runs of letters, digits and underscores; a shingle is WORDS consecutive
 words (a shorter text is one shingle).  Two documents are linked when the Jaccard similarity of
 their shingle sets is THRESHOLD or more; classes are the connected components of the links.
 
-1. Every document gets its shingle set's fingerprint, TREES trie labels of MinHash letters and
+1. Every document gets its shingle set's fingerprint, TREES bands of MinHash letters and
    a short sketch.  Documents with equal sets become one content with a multiplicity.
-2. The forest: a label is a path in its tree's prefix trie.  Prefixes are shortened from
-   DEPTH letters until 1 - (1 - THRESHOLD**d)**TREES reaches RECALL; contents that share a
-   prefix of that length meet in a node.  Nodes of one content drop out; the others are sorted
-   by prefix and streamed.  Members whose sketches agree in AGREE letters or more are
-   joined (a sketch letter agrees with the probability of the similarity; AGREE lies over three
-   standard deviations below THRESHOLD).  A node sends one edge per member, no pairs.
+2. Fixed bands, no trie: the letters of a band are hashed into one key, and contents that share
+   a key meet in a node.  All bands have the same length, the longest up to DEPTH whose recall
+   reaches RECALL at THRESHOLD; it depends on the parameters only, not on a node's members.
+   Nodes of one content drop out; the others are sorted by key and streamed.  Members whose
+   sketches agree in enough letters are joined (a sketch letter agrees with the probability of
+   the similarity); what the sketches miss is counted in the recall.  A node sends one edge per
+   member, no pairs.
 3. Connected components of these edges are candidate groups.  Their texts come together, and
    all shingle sets of a group are compared exactly, by counting common shingles.
 4. Links are counted with the partners' multiplicities; components of the verified links are
@@ -29,6 +30,7 @@ Contents are told apart by 64-bit fingerprints of their sets.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -53,9 +55,28 @@ MAX_WORDS = 600_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def sketch_misses(threshold: float, agree: int) -> float:
+    """The probability that the sketches of a pair at the threshold agree in fewer letters."""
+    return sum(math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k) for k in range(agree))
+
+
+def agreement(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The most letters, AGREE at most, whose misses take a fifth of what the recall allows."""
+    agree = AGREE
+    while agree > 0 and sketch_misses(threshold, agree) > (1 - recall) / 5:
+        agree -= 1
+    return agree
+
+
+def least_recall(threshold: float, trees: int, depth: int, agree: int) -> float:
+    """Of pairs at the threshold: the bands' misses and the sketches' misses add up at most."""
+    return 1 - (1 - threshold**depth) ** trees - sketch_misses(threshold, agree)
+
+
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> int:
-    """The longest prefix, `depth` at most, whose matches reach the recall at the threshold."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    """The longest band, `depth` letters at most, whose matches reach the recall at the threshold."""
+    agree = agreement(threshold, recall)
+    while depth > 1 and least_recall(threshold, trees, depth, agree) < recall:
         depth -= 1
     return depth
 
@@ -109,7 +130,7 @@ def signature_of(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, text_key, content, k0.. (trie prefixes), s0.. (sketch); content null without shingles."""
+    """doc_id, text_key, content, k0.. (band keys), s0.. (sketch); content null without shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"k{i}" for i in range(trees)] + [f"s{i}" for i in range(SKETCH // 8)]
 
@@ -189,7 +210,7 @@ def in_blocks(df: DataFrame, size: str, node: str) -> DataFrame:
             .drop("other", size))
 
 
-def candidate_edges(contents: DataFrame, trees: int) -> DataFrame:
+def candidate_edges(contents: DataFrame, trees: int, agree: int = AGREE) -> DataFrame:
     """a, b: edges that connect the contents of a node whose sketches agree."""
     sketch = [f"s{i}" for i in range(SKETCH // 8)]
     rows = cut(contents.select("content", F.explode(F.array(*[f"k{i}" for i in range(trees)])).alias("node")))
@@ -213,7 +234,7 @@ def candidate_edges(contents: DataFrame, trees: int) -> DataFrame:
                 # two different blocks meet here only to be compared with one another
                 keep = ~cross[i] | (own[i] != own[j])
                 i, j = i[keep], j[keep]
-                good = (letters[i] == letters[j]).sum(axis=1) >= AGREE
+                good = (letters[i] == letters[j]).sum(axis=1) >= agree
                 left.append(i[good])
                 right.append(j[good])
             if not left:
@@ -310,7 +331,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     contents = cut(signed.filter("content IS NOT NULL").groupBy("content")
                    .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
                         *[F.min(c).alias(c) for c in marks]))
-    groups = connected_components(candidate_edges(contents, trees))
+    groups = connected_components(candidate_edges(contents, trees, agreement(threshold, recall)))
     sizes = cut(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
     grouped = groups.join(sizes, "root").join(contents.select(F.col("content").alias("node"), "rep", "copies"), "node")
     links = cut(verified(grouped.withColumnRenamed("node", "content"), slim, words, threshold))

@@ -114,3 +114,13 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "x long, y long")).collect()}
     assert got == {n: root[n] for p in pairs for n in p}
     assert connected_components(spark.createDataFrame([], "x long, y long")).collect() == []
+
+
+def test_sketches_count_in_the_recall(spark):
+    for threshold in (0.5, 0.6, 0.7, 0.8, 0.9):
+        depth, agree = nj.prefix_length(threshold), nj.agreement(threshold)
+        assert nj.least_recall(threshold, nj.TREES, depth, agree) >= nj.RECALL
+    # similarity 70 / 130: sketches agree in 26 of 48 letters on average
+    rows = [(2 * i + k, " ".join([f"c{i}x{j}" for j in range(74)] + [f"o{i}y{k}z{j}" for j in range(30)])) for i in range(40) for k in (0, 1)]
+    _, classes = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5)
+    assert classes.filter("n_links = 1").count() == len(rows)
