@@ -1,4 +1,4 @@
-"""Substring deduplication by repeated-phrase automata.
+"""Substring deduplication by recurring anchor phrases.
 
 A window is WINDOW consecutive words of one document.  A word goes when a window that covers it
 also starts earlier (in a smaller identifier, or earlier in the same document); windows are
@@ -8,9 +8,10 @@ judged on the input.
    among equals.  Equal windows have equal anchors, and neighbouring windows mostly share one, so
    there are about eight times fewer anchors than words.  Anchors that occur twice anywhere
    are recurring; only windows with a recurring anchor can recur.
-2. Documents are sharded.  For the documents of a shard, the phrases of their recurring anchors
-   are compiled into an Aho-Corasick automaton over words; all documents of the shard stream
-   through it, which locates every occurrence and confirms the phrases word by word.
+2. Documents are sharded.  The hashes of recurring anchors locate their phrases in the documents
+   of a shard.  These phrases, and no other shard's, are compiled into an Aho-Corasick automaton
+   over words, and only the shard's documents stream through it.  It confirms the places that
+   the hashes gave; the rows come from the hash joins alone.
 3. Windows around located anchors are compared over all shards by a 64-bit hash: all but
    the earliest occurrence are marked, and the marks go back to their documents.
 
