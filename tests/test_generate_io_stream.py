@@ -16,7 +16,7 @@ from logsieve.sources import io
 from logsieve.sources.generate import DOMAINS, generate_logs
 from logsieve.sources.logs import logs_from_events, read_log_lines
 
-from conftest import SF001
+from paths import SF001
 
 
 def test_generator_modes(spark):

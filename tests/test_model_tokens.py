@@ -8,7 +8,7 @@ from logsieve.operators.tokens import build_vocab, decode, encode, mask_tokens,
 from logsieve.plans.detect import detect, score_logs
 from logsieve.sources.logs import logs_from_events
 
-from conftest import SF001
+from paths import SF001
 
 
 def texts(spark):

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from paths import SF001
 
 SUBSET = ["event_logs", "parse_positional", "parse_labelled", "detect", "top_tokens", "explanations",
           "vocabulary", "encoded", "masked_examples", "split_rows", "chunks_drop", "eval_by_chunk",
