@@ -12,10 +12,14 @@
    phrase is extended by one word to the right.  So a phrase of d + 1 words is counted exactly where both phrases
    of d words in it are frequent over all shards.  The counts of all shards are summed, the frequent ones go
    back to the shards, and rows that no frequent phrase begins are dropped from the index.
+   Phrases travel as pairs of numbers (the phrase without its last word, the last word), packed by shard and by
+   part, a hash of the pair: a part holds about PART_ENTRIES counts, sums them, numbers the frequent
+   phrases and tells every shard which of its intervals they are.
 5. Cuts, scores and the removal of phrases inside longer ones are joins of the summed counts.
 
-Rounds are as many as words in the longest phrase.  Between rounds only counts of phrases travel, and the indexes
-(two to three bytes a word), dealt by shard; both are written as tables, so a lost executor repeats one round.
+Rounds are as many as words in the longest phrase.  Between rounds only packed counts travel (some eight bytes a
+phrase and shard), and the indexes (two to three bytes a word), dealt by shard; both are written as tables, so
+a lost executor repeats one round.
 
 Defined results: null text has no words; null lang is `und`, also beside rows that say so; rows with equal text,
 equal or null identifiers count each; a language without frequent phrases has no rows, and neither has an empty
@@ -29,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,9 +53,18 @@ NUMBERED = 1_000_000
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BREAKS = bytes.maketrans(PIECE_ENDS, b"." * len(PIECE_ENDS))
 
-#: shard, lang; of a phrase: first row of its interval, count, words joined by spaces, last word; of the
-#: shard itself: start -1 and the packed numbers.
-LEVEL = "shard long, lang string, start int, n long, phrase string, last string, data binary"
+#: Counts that a part sums, about.
+PART_ENTRIES = 1_000_000
+
+#: Level 1: a row for each word of a shard (its number, count and letters), and one for the shard itself: start -1
+#: and the packed sequence.
+WORDS = "shard long, lang string, start int, n long, word string, data binary"
+#: Later levels: a row for each part of a shard's phrases (the packed numbers of their two halves, first rows and
+#: counts), and one for the shard itself: part -1 and the packed index.
+PHRASES = "shard long, lang string, part int, prefix binary, last binary, start binary, n binary"
+#: Sums: a row for each frequent phrase (shard -1), and one for each shard that has some in this part.
+FREQUENT = ("shard long, lang string, id long, prefix_id long, last_id long, f long, "
+            "start binary, n binary, ids binary, lasts binary")
 
 
 class Numbers(dict):
@@ -67,26 +79,60 @@ class Numbers(dict):
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Whole numbers below 2**31 by byte planes: the upper ones are nearly all zeros, which compresses well."""
-    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Whole numbers by byte planes: the upper ones are nearly all zeros, which compresses well.  Up to 2**31 in size
+    as 4 bytes, larger ones as 8, told apart by the first byte."""
+    kind = "<i4" if not len(numbers) or np.abs(numbers).max() < 2**31 else "<i8"
+    width = int(kind[-1])
+    return kind[-1].encode() + numbers.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1).astype(np.int64)
+    width = int(data[:1])
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    return planes.T.copy().view(f"<i{width}").reshape(-1).astype(np.int64)
+
+
+def pack_steps(numbers: np.ndarray) -> bytes:
+    """For numbers that mostly ascend: their differences."""
+    return pack(np.diff(numbers, prepend=0))
+
+
+def unpack_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data))
+
+
+def part_of(prefix: np.ndarray, last: np.ndarray, parts: int) -> np.ndarray:
+    x = prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def rows_of(shard: int, lang: str, starts, counts, phrases: pa.Array, lasts: pa.Array, data: bytes) -> pa.Table:
-    """One row of the shard itself and one for each phrase."""
-    n = len(starts)
+def word_rows(shard: int, lang: str, counts: np.ndarray, names: pa.Array, data: bytes) -> pa.Table:
+    n = len(counts)
     return pa.table({
         "shard": pa.array(np.full(n + 1, shard, np.int64)), "lang": pa.array([lang] * (n + 1), pa.string()),
-        "start": pa.array(np.append(np.int32(-1), starts).astype(np.int32)),
+        "start": pa.array(np.append(-1, np.arange(1, n + 1)).astype(np.int32)),
         "n": pa.array(np.append(0, counts).astype(np.int64)),
-        "phrase": pa.concat_arrays([pa.array([None], pa.string()), phrases]),
-        "last": pa.concat_arrays([pa.array([None], pa.string()), lasts]),
+        "word": pa.concat_arrays([pa.array([None], pa.string()), names]),
         "data": pa.concat_arrays([pa.array([data], pa.binary()), pa.nulls(n, pa.binary())])})
 
 
+def phrase_rows(shard: int, lang: str, parts: int, prefix, last, starts, counts, data: bytes) -> pa.Table:
+    """The shard's row and one row for each part that has phrases."""
+    part = part_of(prefix, last, parts)
+    order = np.argsort(part, kind="stable")                        # first rows ascend within a part
+    part, prefix, last, starts, counts = (x[order] for x in (part, prefix, last, starts, counts))
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    columns = {"prefix": [data], "last": [b""], "start": [b""], "n": [b""]}
+    for a, b in zip(at, np.append(at, len(part))[1:], strict=True):
+        for name, how, x in (("prefix", pack, prefix), ("last", pack, last), ("start", pack_steps, starts), ("n", pack, counts)):
+            columns[name].append(how(x[a:b]))
+    rows = len(at) + 1
+    return pa.table({"shard": pa.array(np.full(rows, shard, np.int64)), "lang": pa.array([lang] * rows, pa.string()),
+                     "part": pa.array(np.append(-1, part[at]).astype(np.int32))}
+                    | {name: pa.array(x, pa.binary()) for name, x in columns.items()})
+
+
 def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Level 1: the shards' words with their counts; `docs` has lang and text."""
 
@@ -104,7 +150,7 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
             counts = np.bincount(words, minlength=len(numbers))[1:]
             names = pa.array(list(numbers)[1:], pa.binary()).cast(pa.string())
             number += 1
-            return rows_of(number, lang, np.arange(1, len(numbers)), counts, names, names, pack(words)).to_batches()
+            return word_rows(number, lang, counts, names, pack(words)).to_batches()
 
         for batch in batches:
             langs = batch.column(0).to_pylist()
@@ -124,7 +170,7 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         for lang in list(open_):
             yield from close(lang)
 
-    return map_batches(docs, run, LEVEL, __name__)
+    return map_batches(docs, run, WORDS, __name__)
 
 
 def without_rare(words: np.ndarray, kept: np.ndarray) -> np.ndarray:
@@ -180,47 +226,86 @@ def compact(source: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(source >= 0, number[source], -1), held[keep]
 
 
-def step_of(depth: int, longest: int):
-    """The task of one shard: its row and the frequent phrases of `depth` words in it -> level depth + 1."""
+def step_of(depth: int, longest: int, parts: int):
+    """The task of one shard: its row and its frequent phrases of `depth` words -> its phrases of depth + 1."""
 
-    def run(state: pa.Table, phrases: pa.Table) -> pa.Table:
-        if not phrases.num_rows or not state.num_rows:
-            return rows_of(0, "", np.zeros(0), np.zeros(0), pa.array([], pa.string()), pa.array([], pa.string()), b"").slice(1)
-        phrases = phrases.sort_by("start").combine_chunks()
-        start = phrases["start"].to_numpy().astype(np.int64)
-        data = unpack(state["data"][0].as_py())
+    def run(state: pa.Table, kept: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        if not kept.num_rows or not state.num_rows:
+            return phrase_rows(0, "", 1, none, none, none, none, b"").slice(1)
+        shard, lang, data = (state[c][0].as_py() for c in ("shard", "lang", "data"))
         if depth == 1:
-            first, source = last_to_first(without_rare(data, start), longest)
-            held = first - 1                                  # words are numbered in the order of `start`
+            start, ids = (kept[c].to_numpy().astype(np.int64) for c in ("start", "id"))
+            order = np.argsort(start)
+            start, ids = start[order], ids[order]
+            lasts = ids
+            first, source = last_to_first(without_rare(unpack(data), start), longest)
+            held = first - 1                                       # words are numbered in the order of `start`
             source = np.where(held >= 0, source, -1)
         else:
-            size = phrases["n"].to_numpy()
-            held = np.full(len(data), -1, np.int64)
+            gather = lambda name, how: np.concatenate([how(x) for x in kept[name].to_pylist()])
+            start, size, ids, lasts = gather("start", unpack_steps), gather("n", unpack), gather("ids", unpack), gather("lasts", unpack)
+            source = unpack_steps(data) - 1                        # stored one higher
+            held = np.full(len(source), -1, np.int64)
             ends = np.cumsum(size)
             rows = np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
+            # phrases by their first rows, so that neighbours in the index keep the order
             held[rows] = np.repeat(np.arange(len(start)), size)
-            source = np.cumsum(data) - 1                       # stored as differences
         source, held = compact(source, held)
         starts, counts, before, after = extend(source, held)
-        names = phrases["phrase"].combine_chunks()
-        last = phrases["last"].combine_chunks().take(pa.array(after))
-        longer = pc.binary_join_element_wise(names.take(pa.array(before)), last, " ")
-        stored = pack_differences(source) if depth + 1 < longest else b""
-        return rows_of(state["shard"][0].as_py(), state["lang"][0].as_py(), starts, counts, longer, last, stored)
+        stored = pack_steps(source + 1) if depth + 1 < longest else b""
+        return phrase_rows(shard, lang, parts, ids[before], lasts[after], starts, counts, stored)
 
     return run
 
 
-def pack_differences(source: np.ndarray) -> bytes:
-    """Rows ascend among the suffixes that begin with one word, so most differences are small."""
-    steps = np.diff(source + 1, prepend=0)
-    return pack(steps)
+def sum_part(min_count: int):
+    """The task of one part: sums the counts of all shards, numbers the frequent phrases and returns each shard's intervals."""
+
+    def run(group: pa.Table) -> pa.Table:
+        get = lambda name, how: [how(x) for x in group[name].to_pylist()]
+        prefixes, lasts, starts, counts = get("prefix", unpack), get("last", unpack), get("start", unpack_steps), get("n", unpack)
+        sizes = np.array([len(x) for x in counts])
+        prefix, last, count = np.concatenate(prefixes), np.concatenate(lasts), np.concatenate(counts)
+        order = np.lexsort((last, prefix))
+        p, q = prefix[order], last[order]
+        new = np.append(True, (np.diff(p) != 0) | (np.diff(q) != 0))
+        at = np.flatnonzero(new)
+        f = np.add.reduceat(count[order], at)
+        number = np.empty(len(p), np.int64)
+        number[order] = np.cumsum(new) - 1
+        frequent = f >= min_count
+        part = group["part"][0].as_py()
+        ids = np.where(frequent, (part << 32) + np.arange(len(f)), -1)
+        langs = group["lang"].to_pylist()
+        row = np.repeat(np.arange(len(langs)), sizes)[order][at]     # a shard that has the phrase, for its language
+        hit = np.flatnonzero(frequent)
+        out = [{"shard": np.full(len(hit), -1, np.int64), "lang": [langs[i] for i in row[hit]], "id": ids[hit], "prefix_id": p[at][hit],
+                "last_id": q[at][hit], "f": f[hit]}]
+        ends = np.cumsum(sizes)
+        shards_, packed = [], {"start": [], "n": [], "ids": [], "lasts": []}
+        for i, shard in enumerate(group["shard"].to_pylist()):
+            own = ids[number[ends[i] - sizes[i]:ends[i]]]
+            keep = own >= 0
+            if keep.any():
+                shards_.append((shard, langs[i]))
+                for name, how, x in (("start", pack_steps, starts[i]), ("n", pack, counts[i]), ("ids", pack, own), ("lasts", pack, lasts[i])):
+                    packed[name].append(how(x[keep]))
+        n, m = len(hit), len(shards_)
+        long = lambda name: pa.concat_arrays([pa.array(out[0][name], pa.int64()), pa.nulls(m, pa.int64())])
+        return pa.table({
+            "shard": pa.concat_arrays([pa.array(out[0]["shard"]), pa.array([s for s, _ in shards_], pa.int64())]),
+            "lang": pa.array(out[0]["lang"] + [x for _, x in shards_], pa.string()),
+            **{c: long(c) for c in ("id", "prefix_id", "last_id", "f")},
+            **{c: pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(x, pa.binary())]) for c, x in packed.items()}})
+
+    return run
 
 
-def summed(level: DataFrame, min_count: int) -> DataFrame:
-    """lang, phrase, f: the counts of all shards, where they reach the least count."""
-    return written(level.filter("start >= 0").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-                   .filter(F.col("f") >= min_count))
+def parts_for(frequent: DataFrame) -> int:
+    """A phrase of one word more occurs at most as often as the frequent ones that begin it."""
+    total = frequent.agg(F.sum("f")).first()[0] or 0
+    return max(1, -(-int(total) // PART_ENTRIES))
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
@@ -229,21 +314,28 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     """(lang, phrase, f, words) of all phrases of 1 to `max_words` words with f >= min_count, and (lang, n)."""
     slim = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                        F.col(f"`{text_col}`").cast("string").alias("text"))
-    level = written(shards(slim, shard_words))
-    sizes = written(level.filter("start >= 0").groupBy("lang").agg(F.sum("n").alias("n")))
     ship_by_value(__name__)
-    out = None
-    for depth in range(1, max_words + 1):
-        frequent = summed(level, min_count)
-        part = frequent.withColumn("words", F.lit(depth))
-        out = part if out is None else out.unionByName(part)
-        if depth == max_words:
-            break
-        state = level.filter("start = -1").select("shard", "lang", "data")
-        kept = (level.filter("start >= 0").join(frequent.select("lang", "phrase"), ["lang", "phrase"])
-                .select(F.col("shard").alias("of"), "start", "n", "phrase", "last"))
+    level = written(shards(slim, shard_words))
+    own = level.filter("start >= 0")
+    sizes = written(own.groupBy("lang").agg(F.sum("n").alias("n")))
+    words = written(own.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+                    .withColumn("id", F.monotonically_increasing_id()))        # numbered where it is written
+    frequent = words.select("lang", F.col("word").alias("phrase"), "f", "id")
+    state = level.filter("start = -1").select("shard", "lang", "data")
+    kept = (own.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("of"), "start", "id"))
+    out = frequent.select("lang", "phrase", "f").withColumn("words", F.lit(1))
+    for depth in range(1, max_words):
         level = written(state.groupBy("shard").cogroup(kept.groupBy("of"))
-                        .applyInArrow(step_of(depth, max_words), LEVEL))
+                        .applyInArrow(step_of(depth, max_words, parts_for(frequent)), PHRASES))
+        sums = written(level.filter("part >= 0").groupBy("part").applyInArrow(sum_part(min_count), FREQUENT))
+        shorter = frequent.select(F.col("id").alias("prefix_id"), F.col("phrase").alias("_prefix"))
+        last = words.select(F.col("id").alias("last_id"), F.col("word").alias("_last"))
+        frequent = written(sums.filter("shard = -1").select("lang", "id", "prefix_id", "last_id", "f")
+                           .join(shorter, "prefix_id").join(last, "last_id")
+                           .select("lang", F.concat_ws(" ", "_prefix", "_last").alias("phrase"), "f", "id"))
+        out = out.unionByName(frequent.select("lang", "phrase", "f").withColumn("words", F.lit(depth + 1)))
+        state = level.filter("part = -1").select("shard", "lang", F.col("prefix").alias("data"))
+        kept = sums.filter("shard >= 0").select(F.col("shard").alias("of"), "start", "n", "ids", "lasts")
     return out, sizes
 
 
