@@ -11,8 +11,9 @@ count is a marginal of it.  Probability (weights w, smoothing alpha):
 a term with a zero denominator counts 0; N = total positions, V = distinct tokens.
 The loss of a position is -ln p, rounded to 6 places so that ranks and flags do not
 depend on summation order.  Fitting is one aggregation (map-side partial counts);
-fitting in chunks is a running sum of per-chunk counts; scoring is lookups on context
-keys, with hot keys broadcast (see joins.frequency_split_join).
+fitting in chunks is a running sum of per-chunk counts.  A model scores its own contexts by three
+exchanges of them (`own_marginals`); other contexts look the marginals up (joins.frequency_split_join).
+The weights can be fitted on held-out contexts (`fit_weights`).
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from logsieve.operators.joins import frequency_split_join
+from logsieve.operators.joins import frequency_split_join, heavy_keys, key_hash
 from logsieve.operators.tokens import MAX_LENGTH, PAD, SPECIAL_TOKENS, token_sequence
 from logsieve.session import written
 
@@ -122,53 +124,159 @@ def round_loss(x: Column) -> Column:
     return F.round(x.cast("decimal(20,9)"), LOSS_DIGITS).cast("double")
 
 
-def _probability(model: ContextModel) -> Column:
-    w0, w1, w2, w3 = model.weights
-    a = model.alpha
-    return (F.lit(w0) * _ratio(F.col("n3"), F.col("n_lr"))
-            + F.lit(w1) * _ratio(F.col("n_lt"), F.col("n_l"))
-            + F.lit(w2) * _ratio(F.col("n_tr"), F.col("n_r"))
-            + F.lit(w3) * (F.coalesce(F.col("n_t"), F.lit(0)) + F.lit(a))
-            / (F.col("_N") + F.lit(a) * (F.col("_V") + F.lit(1))))
-
-
 def _attach_totals(df: DataFrame, model: ContextModel) -> DataFrame:
     g = model.totals()          # one row per model (per chunk): bounded
     by = list(model.by)
     return df.crossJoin(F.broadcast(g)) if not by else df.join(F.broadcast(g), by, "left")
 
 
-def loss_table(model: ContextModel, queries: DataFrame | None = None, max_hot: int = 50_000) -> DataFrame:
-    """Loss for distinct contexts `(by..., l, t, r, m)` -> adds `loss`.
+# The lookups by their first key: one exchange each gives the sums of the key and of the pair.
+EXCHANGES = (("l", "t", "r", "n_l", "n_lt"), ("r", "l", "t", "n_r", "n_lr"), ("t", "r", "l", "n_t", "n_tr"))
+
+
+def own_marginals(counts: DataFrame, by: tuple = ()) -> DataFrame:
+    """(by..., l, t, r, n) with all marginals of MARGINALS, summed beside the rows.
+
+    Three exchanges: by l (sums of l and of l,t), by r (r and l,r) and by t (t and t,r).  Keys that
+    hold a large share of the rows are found by sketches first; their sums are few and are
+    broadcast, and their rows are dealt by a second key too (and by all three where a pair is heavy), so
+    that no exchange brings more rows of a key into a task than a light key has.  `counts` is a written table."""
+    by = list(by)
+    sets = {name: [*by, *keys] for name, keys in MARGINALS.items()}
+    heavy = heavy_keys(counts, sets)
+    # exact sums of the heavy keys, in one pass: every row is offered under the keys that it has
+    kinds = [F.struct(F.lit(name).alias("_kind"), *[(F.col(c) if c in keys else F.lit(None).cast("string")).alias(f"_{c}") for c in "ltr"],
+                      key_hash(sets[name]).alias("_heavy")) for name, keys in MARGINALS.items()]
+    named = None
+    for name, keys in heavy.items():
+        part = keys.withColumn("_kind", F.lit(name))
+        named = part if named is None else named.unionByName(part)
+    sums = written(counts.select(*by, "n", F.inline(F.array(*kinds))).join(F.broadcast(named), ["_kind", "_heavy"])
+                   .groupBy(*by, "_kind", "_l", "_t", "_r").agg(F.sum("n").alias("_sum")))
+
+    def with_heavy(df: DataFrame, name: str) -> DataFrame:
+        keys = MARGINALS[name]
+        few = sums.filter(F.col("_kind") == name).select(*by, *[F.col(f"_{c}").alias(c) for c in keys],
+                                                         F.col("_sum").alias(f"_{name}"))
+        return df.join(F.broadcast(few), [*by, *keys], "left")      # at most HEAVY_KEYS and hash collisions
+
+    out = counts
+    for x, y, z, one, pair in EXCHANGES:
+        out = with_heavy(with_heavy(out, one), pair)
+        is_heavy = F.col(f"_{one}").isNotNull()
+        out = (out.withColumn("_a", F.when(is_heavy, F.col(y)))
+               .withColumn("_b", F.when(is_heavy & F.col(f"_{pair}").isNotNull(), F.col(z)))
+               .repartition(*by, x, "_a", "_b"))
+        inner = Window.partitionBy(*by, x, "_a", "_b", y)
+        outer = Window.partitionBy(*by, x, "_a", "_b")
+        out = (out.withColumn(pair, F.coalesce(f"_{pair}", F.sum("n").over(inner)))
+               .withColumn(one, F.coalesce(f"_{one}", F.sum("n").over(outer)))
+               .drop("_a", "_b", f"_{one}", f"_{pair}"))
+    return out
+
+
+def looked_up(model: ContextModel, contexts: DataFrame, max_hot: int = 50_000, sketched: bool = True) -> DataFrame:
+    """`contexts` (by..., l, t, r, m: distinct) with n3 and all marginals, null where the model has none.
+    With `sketched`, keys that hold a large share of the contexts are found first, so that a token
+    that the model never saw is dealt evenly too; `contexts` should then be a written table."""
+    by = list(model.by)
+    own = model.counts.select(*by, "l", "t", "r", F.col("n").alias("n3"))
+    q = contexts.select(*by, "l", "t", "r", "m")
+    heavy = heavy_keys(q, {name: [*by, *keys] for name, keys in MARGINALS.items()}) if sketched else {}
+    q = q.join(own, [*by, "l", "t", "r"], "left")
+    for name, keys in MARGINALS.items():
+        q = frequency_split_join(q, model.marginal(name), [*by, *keys], "rows", "left", max_hot, heavy.get(name))
+    return q
+
 
-    Without `queries` the contexts are the model's own (scoring the fitted corpus).  Every
-    marginal is an aggregate with map-side partial sums, looked up on its own key by a
-    split join whose frequency is the key's number of contexts: a token in most
-    contexts never puts them in one task.
-    """
+def components(model: ContextModel, contexts: DataFrame | None = None, max_hot: int = 50_000,
+               sketched: bool = True) -> DataFrame:
+    """(by..., l, t, r, m, p1..p4): the four estimates that the mixture weighs, for the model's own
+    contexts or for others."""
     by = list(model.by)
-    if queries is None:
-        q = model.counts.select(*by, "l", "t", "r", F.col("n").alias("n3"), F.col("n").alias("m"))
+    if contexts is None:
+        q = own_marginals(model.counts, model.by).withColumn("n3", F.col("n")).withColumn("m", F.col("n"))
     else:
-        own = model.counts.select(*by, "l", "t", "r", F.col("n").alias("n3"))
-        q = queries.select(*by, "l", "t", "r", "m").join(own, [*by, "l", "t", "r"], "left")
-    for name, keys in MARGINALS.items():
-        q = frequency_split_join(q, model.marginal(name), [*by, *keys], "rows", "left", max_hot)
+        q = looked_up(model, contexts, max_hot, sketched)
     q = _attach_totals(q, model)
-    return q.select(*by, "l", "t", "r", "m", round_loss(-F.log(_probability(model))).alias("loss"))
+    a = F.lit(model.alpha)
+    smooth = (F.coalesce(F.col("n_t"), F.lit(0)) + a) / (F.col("_N") + a * (F.col("_V") + F.lit(1)))
+    return q.select(*by, "l", "t", "r", "m", _ratio(F.col("n3"), F.col("n_lr")).alias("p1"),
+                    _ratio(F.col("n_lt"), F.col("n_l")).alias("p2"), _ratio(F.col("n_tr"), F.col("n_r")).alias("p3"),
+                    smooth.alias("p4"))
+
+
+def mixture(weights) -> Column:
+    """The weighted sum of p1..p4; `weights` are numbers or columns."""
+    w = [x if isinstance(x, Column) else F.lit(x) for x in weights]
+    return w[0] * F.col("p1") + w[1] * F.col("p2") + w[2] * F.col("p3") + w[3] * F.col("p4")
+
+
+def loss_table(model: ContextModel, queries: DataFrame | None = None, max_hot: int = 50_000,
+               sketched: bool = True) -> DataFrame:
+    """Loss for distinct contexts `(by..., l, t, r, m)` -> adds `loss`.  Without `queries` the contexts
+    are the model's own (scoring the fitted corpus)."""
+    parts = components(model, queries, max_hot, sketched)
+    return parts.select(*model.by, "l", "t", "r", "m", round_loss(-F.log(mixture(model.weights))).alias("loss"))
+
+
+#: Rounds of the weights' fit, and the places that its numbers are rounded to, so that they do not
+#: depend on summation order.
+WEIGHT_ROUNDS, WEIGHT_DIGITS = 8, 9
+
+
+def fit_weights(model: ContextModel, held_out: DataFrame, rounds: int = WEIGHT_ROUNDS,
+                start=DEFAULT_WEIGHTS, max_hot: int = 50_000) -> DataFrame:
+    """Mixture weights by expectation-maximisation on held-out contexts (l, t, r, m; not those that the model
+    was fitted on, else the exact context takes all the weight): (round, w1..w4, loss), round 0
+    being `start`.  `loss` is the mean held-out loss under the row's weights, which no round raises.
+
+    The estimates of all contexts are written once; a round is one aggregate over them, and the state between
+    rounds a one-row table.  No held-out contexts leave the weights as they are, with a null loss."""
+    if model.by:
+        raise ValueError("weights are fitted for one model at a time")
+    parts = written(components(model, held_out, max_hot))
+    names = ["w1", "w2", "w3", "w4"]
+    state = held_out.sparkSession.range(1).select(*[F.lit(float(w)).alias(n) for n, w in zip(names, start, strict=True)])
+    out = None
+    mixed = mixture([F.col(n) for n in names])
+    for i in range(rounds + 1):
+        each = parts.crossJoin(F.broadcast(state)).withColumn("_mix", mixed)
+        total = F.sum("m")
+        share = [F.coalesce(F.round(F.sum(F.col("m") * F.col(n) * F.col(f"p{k}") / F.col("_mix")) / total, WEIGHT_DIGITS),
+                            F.max(n)).alias(f"_{n}") for k, n in enumerate(names, 1)]
+        # the state joined in from the left: it stays when there are no contexts
+        found = written(state.crossJoin(each.agg((F.sum(F.col("m") * -F.log("_mix")) / total).alias("loss"), *share)))
+        row = found.select(F.lit(i).alias("round"), *names, F.round("loss", WEIGHT_DIGITS).alias("loss"))
+        out = row if out is None else out.unionByName(row)
+        state = found.select(*[F.coalesce(f"_{n}", n).alias(n) for n in names])
+    return out
+
+
+#: Share that every estimate keeps: a fitted smoothing weight of zero would make unseen tokens impossible.
+LEAST_WEIGHT = 0.001
+
+
+def with_weights(model: ContextModel, fitted: DataFrame, digits: int = 6, least: float = LEAST_WEIGHT) -> ContextModel:
+    """The model under the weights of the last round of `fit_weights` (one row goes to the driver), drawn a little
+    towards equal ones so that none is below `least`."""
+    row = fitted.orderBy(F.desc("round")).first()
+    weights = tuple(round(least + (1 - 4 * least) * row[f"w{k}"], digits) for k in range(1, 5))
+    return ContextModel(model.counts, model.by, weights, model.alpha, model.tables)
 
 
 def token_losses(pos: DataFrame, model: ContextModel | None = None, max_hot: int = 50_000,
                  times: str | None = None, keep=written) -> DataFrame:
     """Loss of every position.  Without a model, the positions themselves are the fit
-    corpus.  `keep` stores the loss table (one row per distinct context), which the
-    join reads three times."""
+    corpus.  `keep` stores the distinct contexts and the loss table (one row per distinct context), which
+    several joins read; without storing (in a micro-batch) heavy keys are not looked for."""
     by = list(model.by) if model is not None else []
     if model is None:
         table = loss_table(fit(pos, times=times), max_hot=max_hot)
     else:
         n = F.count(F.lit(1)) if times is None else F.sum(times)
-        table = loss_table(model, pos.groupBy(*by, "l", "t", "r").agg(n.alias("m")), max_hot)
+        contexts = keep(pos.groupBy(*by, "l", "t", "r").agg(n.alias("m")))
+        table = loss_table(model, contexts, max_hot, sketched=keep is written)
     return frequency_split_join(pos, keep(table.select(*by, "l", "t", "r", "m", "loss")),
                                 by + ["l", "t", "r"], "m", max_hot=max_hot)
 

@@ -721,29 +721,84 @@ def q_custom_scorer(spark, sf_dir):
     return e.select("doc_id", F.round("score", 6).alias("score"))
 
 
-# ---------------------------------------------------------------- stored model, large lookup
-_STORED_SQL = f"""
-WITH cum AS (SELECT l, t, r, count(*) AS n FROM ({S.positions_sql(f"SELECT log_id, regexp_replace(message, '^[0-9-]+ [0-9:]+ ', '') AS message FROM ({_TRAIN_SQL})")}) GROUP BY l, t, r),
+# ---------------------------------------------------------------- fitted weights, stored model, large lookup
+def _labelled_pos_sql(test: bool) -> str:
+    """Positions of one part of the labelled logs, without their timestamps."""
+    message = "regexp_replace(message, '^[0-9-]+ [0-9:]+ ', '') AS message"
+    return S.positions_sql(f"SELECT log_id, {message} FROM ({_SPLIT_SQL}) WHERE {'' if test else 'NOT '}is_test")
+
+
+_MARGINALS_SQL = ("LEFT JOIN (SELECT l, t, r, n AS n3 FROM cum) USING (l, t, r) LEFT JOIN (SELECT l, r, sum(n) AS n_lr FROM cum GROUP BY ALL) USING (l, r) "
+                  "LEFT JOIN (SELECT l, t, sum(n) AS n_lt FROM cum GROUP BY ALL) USING (l, t) LEFT JOIN (SELECT l, sum(n) AS n_l FROM cum GROUP BY ALL) USING (l) "
+                  "LEFT JOIN (SELECT t, r, sum(n) AS n_tr FROM cum GROUP BY ALL) USING (t, r) LEFT JOIN (SELECT r, sum(n) AS n_r FROM cum GROUP BY ALL) USING (r) "
+                  "LEFT JOIN (SELECT t, sum(n) AS n_t FROM cum GROUP BY ALL) USING (t), "
+                  "(SELECT sum(n) AS big_n, count(DISTINCT t) AS big_v FROM cum)")
+_FOUR_SQL = ["coalesce(n3 / n_lr, 0)", "coalesce(n_lt / n_l, 0)", "coalesce(n_tr / n_r, 0)",
+             "(coalesce(n_t, 0) + 0.1) / (big_n + 0.1 * (big_v + 1))"]
+_MIX_SQL = "(w1 * p1 + w2 * p2 + w3 * p3 + w4 * p4)"
+WEIGHT_ROUNDS = 8
+
+
+def _weights_ctes() -> str:
+    """cum: the model of the training part; s0..s8: the weights after each round on the held-out part."""
+    parts = ", ".join(f"CAST({x} AS DOUBLE) AS p{k}" for k, x in enumerate(_FOUR_SQL, 1))
+    held = f"SELECT l, t, r, count(*) AS m FROM ({_labelled_pos_sql(True)}) GROUP BY l, t, r"
+    out = [f"cum AS MATERIALIZED (SELECT l, t, r, count(*) AS n FROM ({_labelled_pos_sql(False)}) GROUP BY l, t, r)",
+           f"parts AS MATERIALIZED (SELECT m, {parts} FROM ({held}) {_MARGINALS_SQL})",
+           "s0 AS (SELECT 0.4::DOUBLE AS w1, 0.2::DOUBLE AS w2, 0.2::DOUBLE AS w3, 0.2::DOUBLE AS w4)"]
+    for i in range(WEIGHT_ROUNDS):
+        new = ", ".join(f"round(sum(m * w{k} * p{k} / {_MIX_SQL}) / sum(m), 9) AS w{k}" for k in range(1, 5))
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT {new} FROM parts, s{i})")
+    return ", ".join(out)
+
+
+_WEIGHTS_SQL = f"WITH {_weights_ctes()} " + " UNION ALL ".join(
+    f"SELECT {i} AS round, " + ", ".join(f"round(any_value(w{k}), 6) AS w{k}" for k in range(1, 5))
+    + f", round(sum(m * -ln({_MIX_SQL})) / sum(m), 6) AS loss FROM parts, s{i}" for i in range(WEIGHT_ROUNDS + 1))
+
+
+def _labelled_model(spark, sf_dir):
+    """(model of the labelled logs' training part, its weights by round, fitted on the held-out part)."""
+    from logsieve.operators.model import fit, fit_weights, positions
+    labelled = parse_labelled(clean_lines(lines(spark, sf_dir, "labelled")), strip_timestamp=True)
+    split = written(_split(spark, sf_dir).select("log_id", "is_test").join(labelled, "log_id"))
+    of = lambda part: positions(tokenize(split.filter(part).select("log_id", "message")))
+    model = fit(of(~F.col("is_test"))).summed()
+    held = written(of(F.col("is_test")).groupBy("l", "t", "r").agg(F.count(F.lit(1)).alias("m")))
+    return model, fit_weights(model, held, WEIGHT_ROUNDS)
+
+
+@register("fitted_weights", _WEIGHTS_SQL)
+def q_fitted_weights(spark, sf_dir):
+    """Mixture weights after each round of expectation-maximisation, and the held-out loss under them."""
+    fitted = _labelled_model(spark, sf_dir)[1]
+    return fitted.select("round", *[F.round(c, 6).alias(c) for c in ("w1", "w2", "w3", "w4", "loss")])
+
+
+_FITTED_P_SQL = " + ".join(f"round(0.001::DOUBLE + 0.996::DOUBLE * w{k}, 6) * {x}" for k, x in enumerate(_FOUR_SQL, 1))
+_STORED_CTES = f"""
+WITH {_weights_ctes()},
 po AS ({S.positions_sql(_PLAIN_LOGS_SQL)}),
-lo AS (SELECT po.log_id, po.pos, po.t, CAST(round(CAST(-ln({_P_SQL}) AS DECIMAL(20,9)), 6) AS DOUBLE) AS loss FROM po
-  LEFT JOIN (SELECT l, t, r, n AS n3 FROM cum) USING (l, t, r) LEFT JOIN (SELECT l, r, sum(n) AS n_lr FROM cum GROUP BY ALL) USING (l, r)
-  LEFT JOIN (SELECT l, t, sum(n) AS n_lt FROM cum GROUP BY ALL) USING (l, t) LEFT JOIN (SELECT l, sum(n) AS n_l FROM cum GROUP BY ALL) USING (l)
-  LEFT JOIN (SELECT t, r, sum(n) AS n_tr FROM cum GROUP BY ALL) USING (t, r) LEFT JOIN (SELECT r, sum(n) AS n_r FROM cum GROUP BY ALL) USING (r)
-  LEFT JOIN (SELECT t, sum(n) AS n_t FROM cum GROUP BY ALL) USING (t), (SELECT sum(n) AS big_n, count(DISTINCT t) AS big_v FROM cum)),
+lo AS (SELECT po.log_id, po.pos, po.t, CAST(round(CAST(-ln({_FITTED_P_SQL}) AS DECIMAL(20,9)), 6) AS DOUBLE) AS loss
+  FROM po {_MARGINALS_SQL}, s{WEIGHT_ROUNDS}),
 sc AS (SELECT log_id, CAST(round(sum(CAST(loss AS DECIMAL(18,6))) * CAST(0.015625 AS DECIMAL(10,6)), 6) AS DOUBLE) AS anomaly_score FROM lo GROUP BY log_id)
+"""
+_STORED_SQL = f"""{_STORED_CTES}
 SELECT log_id, anomaly_score, anomaly_score > (SELECT quantile_cont(anomaly_score, 0.7) FROM sc)
   AND NOT {S.contains_any_sql('message', fl.ALLOW_KEYWORDS)} AS is_anomaly
 FROM sc JOIN ({_PLAIN_LOGS_SQL}) USING (log_id)"""
 
 
+def _fitted_model(spark, sf_dir):
+    from logsieve.operators.model import with_weights
+    return with_weights(*_labelled_model(spark, sf_dir))
+
+
 @register("detect_stored", _STORED_SQL)
 def q_detect_stored(spark, sf_dir):
-    """A model fitted on the training part of the labelled logs scores the plain logs."""
-    from logsieve.operators.model import fit, positions
-    labelled = parse_labelled(clean_lines(lines(spark, sf_dir, "labelled")), strip_timestamp=True)
-    train = _split(spark, sf_dir).filter(~F.col("is_test")).select("log_id")
-    model = fit(positions(tokenize(labelled.join(train, "log_id")))).summed()
-    return detect(lines(spark, sf_dir, "plain"), model).select("log_id", "anomaly_score", "is_anomaly")
+    """A model fitted on the training part of the labelled logs, with weights fitted on the
+    held-out part, scores the plain logs."""
+    return detect(lines(spark, sf_dir, "plain"), _fitted_model(spark, sf_dir)).select("log_id", "anomaly_score", "is_anomaly")
 
 
 _DOC_WORDS_SQL = f"SELECT doc_id, t AS token, count(*) AS n FROM (SELECT doc_id, unnest(tks) AS t FROM ({_TOKS_SQL})) GROUP BY ALL"

@@ -1,5 +1,8 @@
 """Tokens, encoding, masking, the count model and its properties."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from logsieve.operators import model as M
@@ -179,7 +182,10 @@ def test_hot_token_in_nine_of_ten_contexts(spark):
     try:
         tight, loose = (M.loss_table(model, max_hot=h).select("l", "t", "r", "loss") for h in (50, 100_000))
         assert sorted(tight.collect()) == sorted(loose.collect())
-        assert "Window" not in tight._jdf.queryExecution().executedPlan().toString()
+        wide = M.own_marginals(model.counts)
+        assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+        sizes = [r["n"] for r in wide.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("n_t")).collect()]
+        assert max(sizes) <= 2 * sum(sizes) / len(sizes)       # the last of the three exchanges is by t
         keyed = model.marginal("n_t")
         sizes = [r["n"] for r in frequency_split_join(model.counts, keyed, ["t"], "rows", "left", 50)
                  .groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
@@ -189,6 +195,71 @@ def test_hot_token_in_nine_of_ten_contexts(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_own_marginals_equal_plain_sums(spark):
+    """Heavy single keys, heavy pairs and light keys, with and without models side by side."""
+    rows = [(i % 2, f"l{i % 3 if i % 4 else i}", f"t{i % 5 if i % 3 else i}", f"r{i % 2 if i % 5 else i}", 1 + i % 7) for i in range(3000)]
+    counts = (spark.createDataFrame(rows, "chunk int, l string, t string, r string, n long")
+              .groupBy("chunk", "l", "t", "r").agg(F.sum("n").alias("n")))
+    for by in ((), ("chunk",)):
+        own = counts if by else counts.drop("chunk").groupBy("l", "t", "r").agg(F.sum("n").alias("n"))
+        own = M.written(own)
+        want = own
+        for name, keys in M.MARGINALS.items():
+            want = want.join(own.groupBy(*by, *keys).agg(F.sum("n").alias(name)), [*by, *keys])
+        cols = [*by, "l", "t", "r", "n", *M.MARGINALS]
+        got = M.own_marginals(own, by).select(*cols)
+        assert sorted(got.collect()) == sorted(want.select(*cols).collect())
+
+
+def test_unseen_token_in_half_of_the_contexts(spark):
+    """A token that the model never saw stands in half of the scored contexts: the sketch of the scored side
+    names it, the losses stay the same and its rows are dealt evenly."""
+    seen = spark.createDataFrame([(i, f"a{i % 50} b{i % 7}") for i in range(300)], "log_id bigint, message string")
+    new = spark.createDataFrame([(i, f"a{i % 50} never c{i}" if i % 2 else f"b{i % 7} d{i}") for i in range(3000)], "log_id bigint, message string")
+    model = M.fit(M.positions(tokenize(seen), "log_id", "tokens"))
+    contexts = M.written(M.positions(tokenize(new), "log_id", "tokens").groupBy("l", "t", "r").agg(F.count("*").alias("m")))
+    heavy = M.heavy_keys(contexts, {"t": ["t"], "r": ["r"]})
+    assert {r["_heavy"] for r in contexts.filter("t = 'never'").select(M.key_hash(["t"]).alias("_heavy")).distinct().collect()} \
+        <= {r["_heavy"] for r in heavy["t"].collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cols = ["l", "t", "r", "m", "loss"]
+        a, b = (M.loss_table(model, contexts, sketched=x).select(*cols) for x in (True, False))
+        assert sorted(a.collect()) == sorted(b.collect())
+        share = {}
+        for name, found in (("plain", None), ("sketched", heavy["t"])):
+            joined = frequency_split_join(contexts, model.marginal("n_t"), ["t"], "rows", "left", 50, found)
+            sizes = [r["n"] for r in joined.withColumn("p", F.spark_partition_id()).groupBy("p")
+                     .agg(F.count("*").alias("n"), F.max("n_t")).collect()]
+            share[name] = max(sizes) / sum(sizes)
+        assert share["sketched"] < 0.4 < share["plain"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_weights_by_expectation_maximisation(spark):
+    """Each round equals a plain loop, and the held-out loss never rises."""
+    seen = spark.createDataFrame([(i, f"a{i % 9} b{i % 4} c{i % 3}") for i in range(200)], "log_id bigint, message string")
+    other = spark.createDataFrame([(i, f"a{i % 11} b{i % 5} c{i % 2} x{i % 3}") for i in range(120)], "log_id bigint, message string")
+    model = M.fit(M.positions(tokenize(seen), "log_id", "tokens"))
+    held = M.written(M.positions(tokenize(other), "log_id", "tokens").groupBy("l", "t", "r").agg(F.count("*").alias("m")))
+    got = [tuple(r) for r in M.fit_weights(model, held, rounds=5).orderBy("round").collect()]
+    parts = [(r["m"], [r[f"p{k}"] for k in range(1, 5)]) for r in M.components(model, held).collect()]
+    w, total = list(M.DEFAULT_WEIGHTS), sum(m for m, _ in parts)
+    for i in range(6):
+        mixed = [sum(a * b for a, b in zip(w, p)) for _, p in parts]
+        loss = sum(m * -math.log(x) for (m, _), x in zip(parts, mixed)) / total
+        assert got[i][0] == i and got[i][1:] == pytest.approx((*w, loss), abs=1e-7)
+        w = [sum(m * w[k] * p[k] / x for (m, p), x in zip(parts, mixed)) / total for k in range(4)]
+    assert all(a[-1] >= b[-1] for a, b in zip(got, got[1:])) and got[0][-1] > got[-1][-1]
+    fitted = M.with_weights(model, M.fit_weights(model, held, rounds=2))
+    assert sum(fitted.weights) == pytest.approx(1, abs=1e-5) and fitted.weights != M.DEFAULT_WEIGHTS
+    none = M.fit_weights(model, held.filter("m < 0"), rounds=1).orderBy("round").collect()
+    assert [tuple(r)[1:] for r in none] == [(*M.DEFAULT_WEIGHTS, None)] * 2
+
+
 def test_own_losses_feed_detection(spark):
     """Losses of the user's own network (here: the length of the token) drive score, tokens and flags."""
     lines = spark.createDataFrame([(i, f"2024-01-01 00:00:0{i} {'long' * i} b [ERR]") for i in range(1, 8)],
