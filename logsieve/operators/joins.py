@@ -21,11 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from logsieve.session import written
-
 #: Heavy keys that a sketch names at most, and keys that it tracks: with so many, every key that holds more
-#: than about a thousandth of the rows is named.
-HEAVY_KEYS, TRACKED = 1024, 4096
+#: than about a thousandth of the rows is named.  A key of fewer than LEAST_ROWS rows burdens no task.
+HEAVY_KEYS, TRACKED, LEAST_ROWS = 1024, 4096, 250_000
 
 
 def key_hash(keys: list[str]) -> Column:
@@ -33,15 +31,19 @@ def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*[F.col(k).cast("string") for k in keys])
 
 
-def heavy_keys(rows: DataFrame, key_sets: dict[str, list[str]]) -> dict[str, DataFrame]:
-    """name -> (_heavy): hashes of the keys that hold a large share of the rows, one pass for all key sets.
-    Each partition makes a frequent-items sketch per set, and the sketches are merged: nothing is
-    shuffled but those.  `rows` should be a written table."""
+def heavy_keys(rows: DataFrame, key_sets: dict[str, list[str]], least_rows: int = LEAST_ROWS) -> dict[str, DataFrame]:
+    """name -> (_heavy): hashes of the keys that hold a large share of the rows, and at least `least_rows`;
+    names without such keys are left out.  One pass for all key sets: each partition makes a frequent-items
+    sketch per set, and the sketches are merged, so nothing is shuffled but those; the driver gets at most
+    HEAVY_KEYS numbers per set.  `rows` should be a written table."""
+    if rows.count() < least_rows:
+        return {}
     sketches = [F.expr(f"approx_top_k(_{name}, {HEAVY_KEYS}, {TRACKED})").alias(name) for name in key_sets]
-    found = written(rows.select(*[key_hash(keys).alias(f"_{name}") for name, keys in key_sets.items()])
-                    .agg(F.count(F.lit(1)).alias("_rows"), *sketches))
-    return {name: (found.select("_rows", F.inline(name)).filter(F.col("count") * F.lit(HEAVY_KEYS) >= F.col("_rows"))
-                   .select(F.col("item").alias("_heavy"))) for name in key_sets}
+    found = (rows.select(*[key_hash(keys).alias(f"_{name}") for name, keys in key_sets.items()])
+             .agg(F.count(F.lit(1)).alias("_rows"), *sketches).first())
+    share = max(least_rows, found["_rows"] / HEAVY_KEYS)
+    named = {name: [(x["item"],) for x in found[name] if x["count"] >= share] for name in key_sets}
+    return {name: rows.sparkSession.createDataFrame(x, "_heavy long") for name, x in named.items() if x}
 
 
 def frequency_split_join(big: DataFrame, keyed: DataFrame, keys: list[str], freq_col: str,

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logsieve.operators.joins import frequency_split_join, heavy_keys, key_hash
+from logsieve.operators.joins import LEAST_ROWS, frequency_split_join, heavy_keys, key_hash
 from logsieve.operators.tokens import MAX_LENGTH, PAD, SPECIAL_TOKENS, token_sequence
 from logsieve.session import written
 
@@ -134,7 +134,7 @@ def _attach_totals(df: DataFrame, model: ContextModel) -> DataFrame:
 EXCHANGES = (("l", "t", "r", "n_l", "n_lt"), ("r", "l", "t", "n_r", "n_lr"), ("t", "r", "l", "n_t", "n_tr"))
 
 
-def own_marginals(counts: DataFrame, by: tuple = ()) -> DataFrame:
+def own_marginals(counts: DataFrame, by: tuple = (), least_rows: int = LEAST_ROWS) -> DataFrame:
     """(by..., l, t, r, n) with all marginals of MARGINALS, summed beside the rows.
 
     Three exchanges: by l (sums of l and of l,t), by r (r and l,r) and by t (t and t,r).  Keys that
@@ -143,18 +143,22 @@ def own_marginals(counts: DataFrame, by: tuple = ()) -> DataFrame:
     that no exchange brings more rows of a key into a task than a light key has.  `counts` is a written table."""
     by = list(by)
     sets = {name: [*by, *keys] for name, keys in MARGINALS.items()}
-    heavy = heavy_keys(counts, sets)
-    # exact sums of the heavy keys, in one pass: every row is offered under the keys that it has
-    kinds = [F.struct(F.lit(name).alias("_kind"), *[(F.col(c) if c in keys else F.lit(None).cast("string")).alias(f"_{c}") for c in "ltr"],
-                      key_hash(sets[name]).alias("_heavy")) for name, keys in MARGINALS.items()]
-    named = None
-    for name, keys in heavy.items():
-        part = keys.withColumn("_kind", F.lit(name))
-        named = part if named is None else named.unionByName(part)
-    sums = written(counts.select(*by, "n", F.inline(F.array(*kinds))).join(F.broadcast(named), ["_kind", "_heavy"])
-                   .groupBy(*by, "_kind", "_l", "_t", "_r").agg(F.sum("n").alias("_sum")))
+    heavy = heavy_keys(counts, sets, least_rows)
+    sums = None
+    if heavy:
+        # exact sums of the heavy keys, in one pass: every row is offered under the keys that it has
+        kinds = [F.struct(F.lit(name).alias("_kind"), *[(F.col(c) if c in MARGINALS[name] else F.lit(None).cast("string")).alias(f"_{c}")
+                                                        for c in "ltr"], key_hash(sets[name]).alias("_heavy")) for name in heavy]
+        named = None
+        for name, keys in heavy.items():
+            part = keys.withColumn("_kind", F.lit(name))
+            named = part if named is None else named.unionByName(part)
+        sums = written(counts.select(*by, "n", F.inline(F.array(*kinds))).join(F.broadcast(named), ["_kind", "_heavy"])
+                       .groupBy(*by, "_kind", "_l", "_t", "_r").agg(F.sum("n").alias("_sum")))
 
     def with_heavy(df: DataFrame, name: str) -> DataFrame:
+        if name not in heavy:
+            return df.withColumn(f"_{name}", F.lit(None).cast("long"))
         keys = MARGINALS[name]
         few = sums.filter(F.col("_kind") == name).select(*by, *[F.col(f"_{c}").alias(c) for c in keys],
                                                          F.col("_sum").alias(f"_{name}"))

@@ -182,7 +182,7 @@ def test_hot_token_in_nine_of_ten_contexts(spark):
     try:
         tight, loose = (M.loss_table(model, max_hot=h).select("l", "t", "r", "loss") for h in (50, 100_000))
         assert sorted(tight.collect()) == sorted(loose.collect())
-        wide = M.own_marginals(model.counts)
+        wide = M.own_marginals(model.counts, least_rows=20)
         assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
         sizes = [r["n"] for r in wide.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("n_t")).collect()]
         assert max(sizes) <= 2 * sum(sizes) / len(sizes)       # the last of the three exchanges is by t
@@ -207,8 +207,9 @@ def test_own_marginals_equal_plain_sums(spark):
         for name, keys in M.MARGINALS.items():
             want = want.join(own.groupBy(*by, *keys).agg(F.sum("n").alias(name)), [*by, *keys])
         cols = [*by, "l", "t", "r", "n", *M.MARGINALS]
-        got = M.own_marginals(own, by).select(*cols)
-        assert sorted(got.collect()) == sorted(want.select(*cols).collect())
+        for least in (30, 10**6):
+            got = M.own_marginals(own, by, least).select(*cols)
+            assert sorted(got.collect()) == sorted(want.select(*cols).collect())
 
 
 def test_unseen_token_in_half_of_the_contexts(spark):
@@ -218,7 +219,8 @@ def test_unseen_token_in_half_of_the_contexts(spark):
     new = spark.createDataFrame([(i, f"a{i % 50} never c{i}" if i % 2 else f"b{i % 7} d{i}") for i in range(3000)], "log_id bigint, message string")
     model = M.fit(M.positions(tokenize(seen), "log_id", "tokens"))
     contexts = M.written(M.positions(tokenize(new), "log_id", "tokens").groupBy("l", "t", "r").agg(F.count("*").alias("m")))
-    heavy = M.heavy_keys(contexts, {"t": ["t"], "r": ["r"]})
+    heavy = M.heavy_keys(contexts, {"t": ["t"], "r": ["r"]}, least_rows=200)
+    assert not M.heavy_keys(contexts, {"t": ["t"]})
     assert {r["_heavy"] for r in contexts.filter("t = 'never'").select(M.key_hash(["t"]).alias("_heavy")).distinct().collect()} \
         <= {r["_heavy"] for r in heavy["t"].collect()}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
