@@ -1,17 +1,16 @@
-"""Make library helpers usable inside Python tasks without installing the package on
-the executors: functions of the given modules are pickled by value with the task."""
+"""Make the library usable inside Python tasks without installing it on the executors: its functions,
+classes and modules are pickled by value with the task."""
 
 from __future__ import annotations
 
-import sys
-
 
 def ship_by_value(*module_names: str) -> None:
+    """Call it before a task is made.  Registering the package covers all of its modules, also those that a
+    shipped function reaches through others; further modules (of a caller's own scorer) can be named."""
+    import sys
+
     from pyspark import cloudpickle
-    for name in module_names:
-        mod = sys.modules.get(name)
-        if mod is not None:
-            try:
-                cloudpickle.register_pickle_by_value(mod)
-            except ValueError:
-                pass  # already registered
+    for name in (__name__.partition(".")[0], *module_names):
+        module = sys.modules.get(name)
+        if module is not None and not name.startswith("__main__"):
+            cloudpickle.register_pickle_by_value(module)

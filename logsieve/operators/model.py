@@ -193,6 +193,26 @@ def looked_up(model: ContextModel, contexts: DataFrame, max_hot: int = 50_000, s
     return q
 
 
+def loss_of(model: ContextModel, pos: DataFrame) -> DataFrame:
+    """`pos` (a table or a stream, with l, t, r) with the loss of every row, by joins with the model's tables
+    alone: nothing is written or aggregated on the way."""
+    if model.by:
+        raise ValueError("one model at a time")
+    q = pos.join(model.counts.select("l", "t", "r", F.col("n").alias("n3")), ["l", "t", "r"], "left")
+    for name, keys in MARGINALS.items():
+        q = q.join(model.marginal(name).drop("rows"), keys, "left")
+    parts = _estimates(_attach_totals(q, model), model.alpha, pos.columns)
+    return parts.select(*pos.columns, round_loss(-F.log(mixture(model.weights))).alias("loss"))
+
+
+def _estimates(q: DataFrame, alpha: float, keep: list) -> DataFrame:
+    a = F.lit(alpha)
+    smooth = (F.coalesce(F.col("n_t"), F.lit(0)) + a) / (F.col("_N") + a * (F.col("_V") + F.lit(1)))
+    return q.select(*keep, _ratio(F.col("n3"), F.col("n_lr")).alias("p1"),
+                    _ratio(F.col("n_lt"), F.col("n_l")).alias("p2"), _ratio(F.col("n_tr"), F.col("n_r")).alias("p3"),
+                    smooth.alias("p4"))
+
+
 def components(model: ContextModel, contexts: DataFrame | None = None, max_hot: int = 50_000,
                sketched: bool = True) -> DataFrame:
     """(by..., l, t, r, m, p1..p4): the four estimates that the mixture weighs, for the model's own
@@ -202,12 +222,7 @@ def components(model: ContextModel, contexts: DataFrame | None = None, max_hot:
         q = own_marginals(model.counts, model.by).withColumn("n3", F.col("n")).withColumn("m", F.col("n"))
     else:
         q = looked_up(model, contexts, max_hot, sketched)
-    q = _attach_totals(q, model)
-    a = F.lit(model.alpha)
-    smooth = (F.coalesce(F.col("n_t"), F.lit(0)) + a) / (F.col("_N") + a * (F.col("_V") + F.lit(1)))
-    return q.select(*by, "l", "t", "r", "m", _ratio(F.col("n3"), F.col("n_lr")).alias("p1"),
-                    _ratio(F.col("n_lt"), F.col("n_l")).alias("p2"), _ratio(F.col("n_tr"), F.col("n_r")).alias("p3"),
-                    smooth.alias("p4"))
+    return _estimates(_attach_totals(q, model), model.alpha, [*by, "l", "t", "r", "m"])
 
 
 def mixture(weights) -> Column:

@@ -75,3 +75,32 @@ def heatmap_long(df: DataFrame, index_col: str = "idx", id_col: str = "log_id")
         F.struct(F.lit(HEATMAP_LABELS[0]).alias("measure"), F.round(scaled, 6).alias("value")),
         F.struct(F.lit(HEATMAP_LABELS[1]).alias("measure"), F.col("confidence_score").cast("double").alias("value")),
         F.struct(F.lit(HEATMAP_LABELS[2]).alias("measure"), F.col("combined_anomaly").cast("double").alias("value")))))
+
+
+# ---------------------------------------------------------------- chart tables of a bounded size
+def series_reduced(series: DataFrame, pixels: int = 500, by: str = "anomaly_type", ts_col: str = "ts",
+                   score_col: str = "anomaly_score", id_col: str = "log_id") -> DataFrame:
+    """The score-over-time chart with at most `pixels` columns per series: of each column the first, last, least and
+    greatest score, which draw the same line as all points do.  (by, bucket, n, first_score, last_score, least,
+    greatest); rows without a time are bucket -1.  One aggregate after the range of times; ties of time go
+    by the id."""
+    seconds = F.col(ts_col).cast("timestamp").cast("long")
+    d = series.withColumn("_s", seconds)
+    ends = d.agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
+    bucket = F.coalesce(F.expr(f"(_s - _lo) * {int(pixels)} div (_hi - _lo + 1)"), F.lit(-1).cast("long"))
+    d = d.crossJoin(F.broadcast(ends)).withColumn("bucket", bucket)
+    order, score = F.struct("_s", id_col), F.col(score_col)
+    return d.groupBy(by, "bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(score, order).alias("first_score"), F.max_by(score, order).alias("last_score"),
+        F.min(score).alias("least"), F.max(score).alias("greatest"))
+
+
+def heatmap_reduced(long: DataFrame, positions: DataFrame, cells: int = 200, id_col: str = "log_id") -> DataFrame:
+    """The heat map with at most `cells` columns: of each column and measure the number of logs, the least, the greatest
+    and the mean value (exact decimal, rounded to 6 places).  `positions` is (id, idx), the logs' 0-based order."""
+    size = positions.agg(F.count(F.lit(1)).alias("_n"))
+    cell = positions.crossJoin(F.broadcast(size)).select(id_col, F.expr(f"idx * least({int(cells)}, _n) div _n").alias("cell"))
+    value = F.col("value").cast("decimal(18,6)")
+    return long.join(cell, id_col).groupBy("cell", "measure").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"),
+        F.round(F.sum(value) / F.count(F.lit(1)), 6).cast("double").alias("mean"))

@@ -32,13 +32,15 @@ def token_sequence(tokens: Column, max_length: int = MAX_LENGTH) -> Column:
 
 
 def build_vocab(df: DataFrame, tokens_col: str = "tokens", min_count: int = 1,
-                max_size: int | None = None) -> DataFrame:
+                max_size: int | None = None, times: str | None = None) -> DataFrame:
     """(token_id INT, token STRING, count BIGINT): specials 0-4, then tokens by count
     desc, token asc, numbered by one distributed global numbering; max_size keeps the
-    smallest ids."""
+    smallest ids.  `times` is a column with the number of rows that a row stands for."""
+    n = F.count(F.lit(1)) if times is None else F.sum("_times")
+    rows = df.select(tokens_col, (F.lit(1) if times is None else F.col(times)).cast("long").alias("_times"))
     # outer: for a plain explode the optimizer adds a filter that would tokenize once more
-    counts = (df.select(F.explode_outer(tokens_col).alias("token")).filter(F.col("token").isNotNull())
-              .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    counts = (rows.select("_times", F.explode_outer(tokens_col).alias("token")).filter(F.col("token").isNotNull())
+              .groupBy("token").agg(n.alias("count"))
               .filter((F.col("count") >= min_count) & ~F.col("token").isin(*SPECIAL_TOKENS)))
     ranked = with_global_index(counts, [descending("count"), "token"], "_rank")
     if max_size is not None:
@@ -124,20 +126,34 @@ def distinct_words(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("m"))
 
 
-def split_words_greedily(words: DataFrame, pieces: DataFrame, max_chars: int | None = None) -> DataFrame:
+#: A longer word is not split but becomes `[UNK]`.
+MAX_WORD_CHARS = 100
+
+
+def split_words_greedily(words: DataFrame, pieces: DataFrame, max_chars: int = MAX_WORD_CHARS) -> DataFrame:
     """(word, wp): greedy longest-match pieces of each distinct word; continuation pieces start
     with `##`; a word that cannot be covered becomes `[UNK]`, as does one longer than `max_chars`.
 
-    Every place of a word is paired with the lengths that pieces have, the candidates are
-    joined with the piece table, and a word keeps the longest match of each place.  The
-    greedy walk over those is an in-row fold.  So the work is linear in a word's length and
-    the piece table may have any size."""
-    body = F.regexp_replace("piece", "^##(?=.)", "")
-    sizes = pieces.agg(F.collect_set(F.length(body)).alias("sizes"))     # one row: distinct lengths
+    The pieces' lengths are gathered by their first one or two letters, so a place of a word is paired only with the
+    lengths that pieces beginning with its letters have.  Those candidates are joined with the piece table, a
+    word keeps the longest match of each place, and the greedy walk over those is an in-row fold.  A
+    word has at most `max_chars` places and a piece as many letters, so the work is linear in the number of
+    distinct words; the piece table may have any size."""
     n = F.length("word")
-    short = words.select("word") if max_chars is None else words.select("word").filter(n <= max_chars)
-    places = short.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("at")).crossJoin(F.broadcast(sizes))
-    spans = places.select("word", "at", F.explode("sizes").alias("size")).filter(F.col("at") + F.col("size") <= n)
+    short = words.select("word").filter(n <= max_chars)
+    # a piece as a word's start, and without its mark as a continuation
+    roles = F.array(F.struct(F.lit(False).alias("inner"), F.col("piece").alias("body")),
+                    F.struct(F.lit(True).alias("inner"), F.expr("substring(piece, 3)").alias("body")))
+    bodies = (pieces.select(F.inline(roles), "piece").filter(~F.col("inner") | F.col("piece").startswith("##"))
+              .filter((F.col("body") != "") & (F.length("body") <= max_chars)))
+    heads = (bodies.groupBy("inner", F.substring("body", 1, 2).alias("head"))
+             .agg(F.collect_set(F.length("body")).alias("sizes")))       # at most max_chars lengths
+    places = short.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
+    letters = lambda k: F.substring(F.col("word"), F.col("at") + 1, F.lit(k))
+    places = places.select("word", "at", (F.col("at") > 0).alias("inner"),
+                           F.explode(F.array_distinct(F.array(letters(1), letters(2)))).alias("head"))
+    spans = (places.join(heads, ["inner", "head"]).select("word", "at", F.explode("sizes").alias("size"))
+             .filter(F.col("at") + F.col("size") <= n).distinct())
     part = F.substring(F.col("word"), F.col("at") + 1, F.col("size"))
     spelled = F.when(F.col("at") == 0, part).otherwise(F.concat(F.lit("##"), part))
     # one row per piece on the other side; candidates of a frequent piece are split by AQE
@@ -156,13 +172,13 @@ def split_words_greedily(words: DataFrame, pieces: DataFrame, max_chars: int | N
             F.struct((i + size).alias("next"), F.concat(acc["out"], F.array(piece)).alias("out")))
 
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
-    walk = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
+    walk = F.aggregate(F.sequence(F.lit(0), F.least(n, F.lit(max_chars)) - 1), start, step)
     return (cover.withColumn("_walk", walk)
             .select("word", F.when(F.col("_walk.next") == n, F.col("_walk.out")).otherwise(F.array(F.lit(UNK))).alias("wp")))
 
 
 def encode_subword(df: DataFrame, pieces: DataFrame, id_col: str = "log_id", tokens_col: str = "tokens",
-                   out: str = "pieces", max_chars: int | None = None) -> DataFrame:
+                   out: str = "pieces", max_chars: int = MAX_WORD_CHARS) -> DataFrame:
     """Split every token into word pieces: once per distinct word, then joined back to the token
     positions (hot words broadcast, see joins)."""
     words = written(distinct_words(df, tokens_col))

@@ -272,6 +272,36 @@ def q_heatmap_long(spark, sf_dir):
     return rp.heatmap_long(d)
 
 
+_TYPED_SQL = (f"SELECT log_id, anomaly_type, epoch(CAST(try_strptime(timestamp, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP))::BIGINT AS s, "
+              f"anomaly_score FROM (SELECT *, {_TYPE_SQL} AS anomaly_type FROM ({_DET_MESSY}) WHERE combined_anomaly)")
+
+
+@register("anomaly_series_reduced",
+          f"WITH d AS ({_TYPED_SQL}), b AS (SELECT d.*, coalesce((s - lo) * 500 // (hi - lo + 1), -1) AS bucket "
+          "FROM d, (SELECT min(s) AS lo, max(s) AS hi FROM d)) "
+          "SELECT anomaly_type, bucket, count(*) AS n, arg_min(anomaly_score, (coalesce(s, -1), log_id)) AS first_score, "
+          "arg_max(anomaly_score, (coalesce(s, -1), log_id)) AS last_score, min(anomaly_score) AS least, max(anomaly_score) AS greatest "
+          "FROM b GROUP BY anomaly_type, bucket")
+def q_anomaly_series_reduced(spark, sf_dir):
+    return rp.series_reduced(rp.anomaly_series(_detect(spark, sf_dir, "messy")))
+
+
+@register("heatmap_reduced",
+          "WITH d AS (SELECT log_id, anomaly_score, confidence_score, combined_anomaly, row_number() OVER (ORDER BY log_id) - 1 AS idx, "
+          f"count(*) OVER () AS n FROM ({_DET_MESSY})), "
+          "h AS (SELECT idx * least(200, n) // n AS cell, m.measure, CAST(m.value AS DOUBLE) AS value "
+          "FROM (SELECT d.*, round((anomaly_score - mn) / (mx - mn + 1e-5), 6) AS v1 FROM d, "
+          "(SELECT min(anomaly_score) AS mn, max(anomaly_score) AS mx FROM d)) s, LATERAL (VALUES ('Anomaly Score', v1), "
+          "('Confidence Score', CAST(confidence_score AS DOUBLE)), ('Combined Anomaly', CAST(CAST(combined_anomaly AS INTEGER) AS DOUBLE))) m(measure, value)) "
+          "SELECT cell, measure, count(*) AS n, min(value) AS least, max(value) AS greatest, "
+          "round(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(*), 6) AS mean FROM h GROUP BY cell, measure")
+def q_heatmap_reduced(spark, sf_dir):
+    from logsieve.operators.prep import with_global_index
+    d = written(_detect(spark, sf_dir, "messy").select("log_id", "anomaly_score", "confidence_score", "combined_anomaly"))
+    idx = written(with_global_index(d.select("log_id"), ["log_id"], "idx"))
+    return rp.heatmap_reduced(rp.heatmap_long(d.join(idx, "log_id")), idx)
+
+
 # ---------------------------------------------------------------- embeddings, metrics
 @register("cross_entropy",
           "SELECT vec_id, label, round(list_max(e) + ln(list_sum(list_transform(e, lambda v: exp(v - list_max(e))))) "
@@ -445,7 +475,7 @@ words AS (SELECT DISTINCT unnest(tks) AS w FROM tk),
 pieces AS ({_PIECES_SQL}),
 sizes AS (SELECT DISTINCT length(CASE WHEN p LIKE '##_%' THEN substr(p, 3) ELSE p END) AS n FROM pieces),
 walk(w, place, out) AS (
-  SELECT w, 0, CAST([] AS VARCHAR[]) FROM words
+  SELECT w, 0, CAST([] AS VARCHAR[]) FROM words WHERE length(w) <= 100
   UNION ALL
   SELECT s.w, CASE WHEN max(s.n) IS NULL THEN -1 ELSE s.place + max(s.n) END,
          CASE WHEN max(s.n) IS NULL THEN ['[UNK]'] ELSE list_append(any_value(s.out), any_value(s.mark) || substr(s.w, CAST(s.place + 1 AS BIGINT), CAST(max(s.n) AS BIGINT))) END
@@ -454,7 +484,7 @@ walk(w, place, out) AS (
               WHERE walk.place >= 0 AND walk.place < length(walk.w) AND walk.place + sizes.n <= length(walk.w)) c
         LEFT JOIN pieces p ON p.p = c.mark || substr(c.w, CAST(c.place + 1 AS BIGINT), CAST(c.n AS BIGINT))) s
   GROUP BY s.w, s.place),
-done AS (SELECT w, out FROM walk WHERE place = length(w) OR place = -1),
+done AS (SELECT w, out FROM walk WHERE place = length(w) OR place = -1 UNION ALL SELECT w, ['[UNK]'] FROM words WHERE length(w) > 100),
 ex AS (SELECT doc_id, tks, unnest(generate_series(1, len(tks))) AS pos FROM tk),
 per AS (SELECT ex.doc_id, flatten(list(d.out ORDER BY ex.pos)) AS ps FROM ex JOIN done d ON d.w = ex.tks[ex.pos] GROUP BY ex.doc_id)
 SELECT tk.doc_id, CAST(coalesce(len(per.ps), 0) AS INTEGER) AS n_pieces, coalesce(array_to_string(per.ps, ' '), '') AS pieces
@@ -757,17 +787,29 @@ _WEIGHTS_SQL = f"WITH {_weights_ctes()} " + " UNION ALL ".join(
     + f", round(sum(m * -ln({_MIX_SQL})) / sum(m), 6) AS loss FROM parts, s{i}" for i in range(WEIGHT_ROUNDS + 1))
 
 
-def _labelled_model(spark, sf_dir):
-    """(model of the labelled logs' training part, its weights by round, fitted on the held-out part)."""
-    from logsieve.operators.model import fit, fit_weights, positions
+def _labelled_positions(spark, sf_dir):
+    """Token positions of the labelled logs' training and held-out parts."""
+    from logsieve.operators.model import positions
     labelled = parse_labelled(clean_lines(lines(spark, sf_dir, "labelled")), strip_timestamp=True)
     split = written(_split(spark, sf_dir).select("log_id", "is_test").join(labelled, "log_id"))
     of = lambda part: positions(tokenize(split.filter(part).select("log_id", "message")))
-    model = fit(of(~F.col("is_test"))).summed()
-    held = written(of(F.col("is_test")).groupBy("l", "t", "r").agg(F.count(F.lit(1)).alias("m")))
+    return of(~F.col("is_test")), of(F.col("is_test"))
+
+
+def _labelled_model(spark, sf_dir):
+    """(model of the labelled logs' training part, its weights by round, fitted on the held-out part)."""
+    from logsieve.operators.model import fit, fit_weights
+    train, test = _labelled_positions(spark, sf_dir)
+    model = fit(train).summed()
+    held = written(test.groupBy("l", "t", "r").agg(F.count(F.lit(1)).alias("m")))
     return model, fit_weights(model, held, WEIGHT_ROUNDS)
 
 
+def _labelled_model_counts(spark, sf_dir):
+    from logsieve.operators.model import fit
+    return fit(_labelled_positions(spark, sf_dir)[0]).counts
+
+
 @register("fitted_weights", _WEIGHTS_SQL)
 def q_fitted_weights(spark, sf_dir):
     """Mixture weights after each round of expectation-maximisation, and the held-out loss under them."""
@@ -801,6 +843,49 @@ def q_detect_stored(spark, sf_dir):
     return detect(lines(spark, sf_dir, "plain"), _fitted_model(spark, sf_dir)).select("log_id", "anomaly_score", "is_anomaly")
 
 
+@register("low_rank_scores")
+def q_low_rank_scores(spark, sf_dir):
+    """A low-rank token model of the labelled logs' training part scores the plain logs in Arrow batches."""
+    from logsieve.operators.lowrank import fit_low_rank, low_rank_losses
+    model = fit_low_rank(_labelled_model_counts(spark, sf_dir))
+    out = detect(lines(spark, sf_dir, "plain"), losses=low_rank_losses(model))
+    return out.select("log_id", F.round("anomaly_score", 3).alias("anomaly_score"))
+
+
+@register("stream_scores", f"{_STORED_CTES} SELECT log_id, anomaly_score FROM sc")
+def q_stream_scores(spark, sf_dir):
+    """The events files as a stream, scored in one streaming plan with the stored model."""
+    import uuid
+
+    from logsieve.session import checkpoint_dir
+    from logsieve.streaming.scoring import run_scores, score_stream
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    # a pattern, because a stream reads a folder or a pattern, and the table may be one file
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
+    base = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    scores = score_stream(logs_from_events(events), _fitted_model(spark, sf_dir))
+    run_scores(scores, f"{base}/sink", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/sink/scores").select("log_id", "anomaly_score")
+
+
+_DAYS_SQL = f"SELECT substr(timestamp, 1, 10) AS day, anomaly_score FROM ({_DET_PLAIN})"
+
+
+@register("daily_thresholds",
+          f"SELECT day, count(*) AS n, TRUE AS within FROM ({_DAYS_SQL}) GROUP BY day "
+          f"UNION ALL SELECT 'all', count(*), TRUE FROM ({_DAYS_SQL})")
+def q_daily_thresholds(spark, sf_dir):
+    """Thresholds of each day and of all days, from one sketch per day: the days' sketches are stored, and the
+    whole threshold is their merge.  `within`: the threshold's rank is as close to the percentile as promised."""
+    from logsieve.operators import sketch as sk
+    d = _scored(spark, sf_dir).select(F.substring("timestamp", 1, 10).alias("day"), "anomaly_score")
+    days = written(sk.rank_sketches(d, ["day"]))
+    whole = sk.merged(days).withColumn("day", F.lit("all"))
+    rows = d.withColumn("day", F.explode(F.array("day", F.lit("all"))))
+    errors = sk.rank_errors(rows, sk.sketch_thresholds(days.unionByName(whole), 70), ["day"], 70)
+    return errors.select("day", "n", (F.col("error") <= sk.RANK_ERROR).alias("within"))
+
+
 _DOC_WORDS_SQL = f"SELECT doc_id, t AS token, count(*) AS n FROM (SELECT doc_id, unnest(tks) AS t FROM ({_TOKS_SQL})) GROUP BY ALL"
 
 

@@ -111,8 +111,11 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
 
 def write_report_rows(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
     """One HTML fragment per log, files in log order: range partitioning by log id, each
-    partition sorted -- part files concatenated in name order give the whole report."""
+    partition sorted -- part files concatenated in name order give the whole report.  The rows are stored
+    once, before they are counted, sampled for the ranges and sorted."""
     from logsieve.operators.report import report_row
+    from logsieve.session import written
+    df = written(df)
     rows = report_row(df).select("log_id", "html")
     n = max(1, -(-df.count() // rows_per_file))
     (rows.repartitionByRange(n, "log_id").sortWithinPartitions("log_id")

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logsieve.functions.text import strip
+from logsieve.session import written
+
+#: Rows of the table of splits (about 200 bytes each) that are broadcast: at most some 20 MB.
+SPLITS_AT_ONCE = 100_000
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -27,7 +31,9 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     Spark packs the splits of several files into partitions by size, but the lines of one split
     stay together and in order.  So the splits are numbered (one row per split: its path, offset,
     first row number and line count), and a line's id is the count of lines before its
-    split plus its place in it: no sort, no exchange of lines."""
+    split plus its place in it.  There is one row per split (some 100 MB of text, or a file), so that table is
+    a small fraction of the input; it is broadcast up to SPLITS_AT_ONCE rows, counted first, and beyond that
+    the join is left to the planner.  The lines are never sorted."""
     at = ["file_path", "block_start"]
     df = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"),
                                        F.col("_metadata.file_block_start").alias("block_start"),
@@ -35,7 +41,9 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
           .filter(F.col("line") != "").withColumn("_row", F.monotonically_increasing_id()))
     splits = df.groupBy(*at).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy(*at)) - F.col("_n")        # one task over the splits
-    return (df.join(splits.withColumn("_before", before), at)
+    table = written(splits.withColumn("_before", before))
+    few = table.count() <= SPLITS_AT_ONCE
+    return (df.join(F.broadcast(table) if few else table, at)
             .select((F.col("_before") + F.col("_row") - F.col("_first")).cast("bigint").alias("log_id"), "line"))
 
 
