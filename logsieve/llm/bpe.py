@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.functions.ship import ship_by_value
 from logsieve.llm import lookup, word_bpe
 from logsieve.llm.common import chunks, cut, map_batches, table
 from logsieve.llm.lookup import KeyTable, byte_matrix
@@ -41,30 +39,32 @@ LEXICON_BYTES = 64
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents; `docs` has doc_id and text."""
-    ship_by_value(lookup.__name__, word_bpe.__name__)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings: Counter[str] = Counter()
+        finder = word_bpe.Words()
+        words: Counter[str] = Counter()
 
         def emit():
-            words: Counter[str] = Counter()
-            for s, n in strings.items():
-                for w in word_bpe.WORDS.findall(s):
-                    words[w] += n
-            strings.clear()
             fit = [(w, n) for w, n in words.items() if len(w) <= LEXICON_BYTES]
+            words.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in fit], pa.string()),
                                                pa.array([n for _, n in fit], pa.int64())], ["word", "n"])
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
-                for t in texts[a:b]:
-                    if word_bpe.is_safe(t):
-                        strings.update(t.lower().split())
-                if len(strings) > word_bpe.MAX_WORDS:
+            for a, b in chunks(texts, word_bpe.CHUNK_CHARS):
+                safe = [t.lower() for t in texts[a:b] if word_bpe.is_safe(t)]
+                if not safe:
+                    continue
+                starts, ends = finder.find(safe)
+                # a collision of hashes would only shift a count, never an id
+                _, at, n = np.unique(finder.spans.hashes(starts, ends), return_index=True, return_counts=True)
+                joined = finder.spans.joined
+                for x, y, count in zip(starts[at].tolist(), ends[at].tolist(), n.tolist(), strict=True):
+                    words[joined[x:y]] += count
+                if len(words) > word_bpe.MAX_WORDS:
                     yield emit()
-        if strings:
+        if words:
             yield emit()
 
     return map_batches(docs, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -199,33 +199,59 @@ def token_strings(tokenizer_path: str) -> dict[int, str]:
     return {i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
 
 
+class Renderer:
+    """Names of ids, each with a space behind it, for whole arrays of ids: rows of a byte matrix, of which the
+    used bytes are taken in order.  Names longer than WIDTH bytes are rare and are put in one by one."""
+
+    WIDTH = 24
+
+    def __init__(self, names: dict[int, str]):
+        data = [(names.get(i, "") + " ").encode() for i in range(max(names, default=0) + 1)]
+        self.sizes = np.array([len(x) for x in data])
+        self.long = {i: x for i, x in enumerate(data) if len(x) > self.WIDTH}
+        self.rows = byte_matrix([x if len(x) <= self.WIDTH else b"" for x in data], self.WIDTH)
+        self.used = np.arange(self.WIDTH) < self.sizes[:, None]
+
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[memoryview]:
+        """The names of ids[bounds[k]:bounds[k + 1]] joined by spaces, for each k."""
+        step = 500_000
+        size = self.sizes[ids]
+        ends = np.append(0, np.cumsum(size))
+        if self.long and np.isin(ids, list(self.long)).any():
+            short = b"".join([self.long.get(i) or self.rows[i, :self.sizes[i]].tobytes() for i in ids.tolist()])
+        else:
+            parts = [self.rows[x][self.used[x]].tobytes() for k in range(0, len(ids), step) for x in (ids[k:k + step],)]
+            short = b"".join(parts)
+        view = memoryview(short)
+        for a, b in zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), strict=True):
+            yield view[a:max(a, b - 1)]
+
+
 def encode(docs: DataFrame, tokenizer_path: str, digests: bool = False, id_col: str = "doc_id",
            text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """doc_id, ids array<int>, decoded string of every document; with `digests`, doc_id,
     n_tokens, ids_sha256, decoded_sha256 instead."""
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     name = build_lexicon(slim, tokenizer_path, lexicon_words)
-    ship_by_value(lookup.__name__, word_bpe.__name__, __name__)
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = Transducer(lookup.mapped_arrays(name))
         ids_of = word_bpe.WordIds(tokenizer_path, transducer.lookup)
         strings = token_strings(tokenizer_path)
-        names = {i: str(i) for i in strings}
+        decimal, decoded = Renderer({i: str(i) for i in strings}), Renderer(strings)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts, word_bpe.CHUNK_CHARS):
-                ids = [array("I", x) for x in ids_of.encode(texts[a:b])]
-                decoded = [" ".join(map(strings.__getitem__, x)) for x in ids]
+                ids, bounds = ids_of.arrays(texts[a:b])
                 if digests:
-                    joined = [" ".join(map(names.__getitem__, x)) for x in ids]
-                    out = [pa.array([len(x) for x in ids], pa.int64()),
-                           pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined], pa.string()),
-                           pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string())]
+                    out = [pa.array(np.diff(bounds), pa.int64()), pa.array(map(sha, decimal.texts(ids, bounds)), pa.string()),
+                           pa.array(map(sha, decoded.texts(ids, bounds)), pa.string())]
                     labels = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
-                    out = [pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    out = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
+                           pa.array([bytes(x).decode() for x in decoded.texts(ids, bounds)], pa.string())]
                     labels = ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *out], ["doc_id", *labels])
 

@@ -1,37 +1,36 @@
-"""N-gram Jaccard join: near-duplicate documents by MinHash bands.
+"""N-gram Jaccard join: near-duplicate documents by a MinHash LSH forest.
 
 Words are lower-cased runs of letters, digits and underscores; a shingle is WORDS consecutive
 words (a shorter text is one shingle).  Two documents are linked when the Jaccard similarity of
 their shingle sets is THRESHOLD or more; classes are the connected components of the links.
 
-1. Every document gets its shingle set's fingerprint, TREES bands of MinHash letters and
-   a short sketch.  Documents with equal sets become one content with a multiplicity.
-2. Fixed bands, no trie: the letters of a band are hashed into one key, and contents that share
-   a key meet in a node.  All bands have the same length, the longest up to DEPTH whose recall
-   reaches RECALL at THRESHOLD; it depends on the parameters only, not on a node's members.
-   Nodes of one content drop out; the others are sorted by key and streamed.  Members whose
-   sketches agree in enough letters are joined (a sketch letter agrees with the probability of
-   the similarity); what the sketches miss is counted in the recall.  A node sends one edge per
-   member, no pairs.
+1. Every document gets its shingle set's fingerprint (128 bits) and a label of DEPTH MinHash letters, a byte
+   each, for each of TREES trees.  Documents with equal sets become one content with a multiplicity.
+2. Forest: the contents, sorted by a tree's labels, are its prefix trie.  Tasks get whole branches below the
+   shortest prefix that may be needed, and walk them from the longest prefix up: contents that share
+   DEPTH letters meet first, and a branch whose contents are connected already is finished there.  Only a
+   branch that still falls apart has its prefix shortened, letter by letter, down to the length at which
+   all trees together reach RECALL for pairs at THRESHOLD.  Contents that meet are joined when
+   their whole signatures agree in enough letters; what this gate misses (less than a thousandth of what
+   the recall allows) is counted in the recall.  A branch sends one edge per member, no pairs.
 3. Connected components of these edges are candidate groups.  Their texts come together, and
    all shingle sets of a group are compared exactly, by counting common shingles.
 4. Links are counted with the partners' multiplicities; components of the verified links are
    the classes, named by their smallest doc_id.
 
-Nodes and groups of more than BLOCK members are cut into blocks, and pairs of blocks become
+Branches and groups of more than BLOCK members are cut into blocks, and pairs of blocks become
 tasks of their own, so no task holds more than about two blocks.
 
 Defined results: null or empty text, or text without a word, has no shingle and no link; the
 identifier may be null or repeated (rows are counted by themselves; a class of null identifiers
 has a null name); documents without a link form a class of their own; equal texts
-are links; an empty table gives no rows; other columns are not read.
-Contents are told apart by 64-bit fingerprints of their sets.
+are links; an empty table gives no rows; other columns are not read.  A shingle is told apart by
+64 bits of its words' hashes.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,121 +38,124 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.functions.ship import ship_by_value
 from logsieve.llm.common import chunks, cut, map_batches, table
 from logsieve.llm.components import connected_components
+from logsieve.llm.spans import Spans, mixed
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 18, 8
+LETTERS = TREES * DEPTH
 RECALL = 0.999
-SKETCH, AGREE = 48, 28
 BLOCK = 512
+#: Members of candidate groups that a task compares, about.
+TASK_MEMBERS = 2000
 
-WORD = re.compile(r"\w+")
-MAX_WORDS = 600_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sketch_misses(threshold: float, agree: int) -> float:
-    """The probability that the sketches of a pair at the threshold agree in fewer letters."""
-    return sum(math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k) for k in range(agree))
+def gate_misses(threshold: float, agree: int) -> float:
+    """The probability that the signatures of a pair at the threshold agree in fewer letters."""
+    return sum(math.comb(LETTERS, k) * threshold**k * (1 - threshold) ** (LETTERS - k) for k in range(agree))
 
 
 def agreement(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The most letters, AGREE at most, whose misses take a fifth of what the recall allows."""
-    agree = AGREE
-    while agree > 0 and sketch_misses(threshold, agree) > (1 - recall) / 5:
-        agree -= 1
+    """The most letters whose misses take a thousandth of what the recall allows."""
+    agree = 0
+    while gate_misses(threshold, agree + 1) <= (1 - recall) / 1000:
+        agree += 1
     return agree
 
 
 def least_recall(threshold: float, trees: int, depth: int, agree: int) -> float:
-    """Of pairs at the threshold: the bands' misses and the sketches' misses add up at most."""
-    return 1 - (1 - threshold**depth) ** trees - sketch_misses(threshold, agree)
+    """Of pairs at the threshold: the forest's misses and the gate's misses add up at most."""
+    return 1 - (1 - threshold**depth) ** trees - gate_misses(threshold, agree)
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> int:
-    """The longest band, `depth` letters at most, whose matches reach the recall at the threshold."""
+    """Where shortening ends: the longest prefix, `depth` letters at most, with which the trees reach the recall."""
     agree = agreement(threshold, recall)
     while depth > 1 and least_recall(threshold, trees, depth, agree) < recall:
         depth -= 1
     return depth
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of texts; remembers word hashes."""
+    """Sorted distinct 64-bit shingle hashes of texts."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
+        self.words, self.spans = words, Spans(lambda c: int(c.isalnum() or c == "_"))
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
-        import xxhash
-        if len(self.known) > MAX_WORDS:
-            self.known = {}
-        cut_texts = [WORD.findall(t.lower()) for t in texts]
-        known = self.known
-        for w in set().union(*cut_texts) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        if not texts:
+            return []
+        starts, ends, _ = self.spans.find([t.lower() for t in texts])
+        h, bounds = self.spans.hashes(starts, ends), self.spans.text_bounds(starts)
+        sizes = np.diff(bounds)
+        # windows of all texts at once; those that reach into the next text are left out below
+        n = self.words
+        total = np.full(max(0, len(h) - n + 1), n, np.uint64)
+        for j in range(n):
+            total = total * BASE + h[j:j + len(total)]
+        total = mixed(total)
         out = []
-        for ws in cut_texts:
-            h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-            n = min(self.words, len(h))
-            if not n:
-                out.append(h)
-                continue
-            total = np.full(len(h) - n + 1, n, np.uint64)
-            for j in range(n):
-                total = total * BASE + h[j:j + len(total)]
-            out.append(np.unique(mixed(total)))
+        for a, size in zip(bounds.tolist(), sizes.tolist()):
+            if size >= n:
+                out.append(np.unique(total[a:a + size - n + 1]))
+            elif size:
+                short = np.full(1, size, np.uint64)
+                for x in h[a:a + size]:
+                    short = short * BASE + x
+                out.append(mixed(short))
+            else:
+                out.append(h[:0])
         return out
 
 
-def fingerprint(shingles: np.ndarray) -> int | None:
-    """64 bits for the set, null for an empty one."""
-    return int(mixed(shingles.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0]) \
-        if len(shingles) else None
+def fingerprint(shingles: np.ndarray) -> tuple[int, int] | None:
+    """128 bits for the set, None for an empty one."""
+    import xxhash
+    if not len(shingles):
+        return None
+    whole = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (whole >> 64) - 2**63, (whole & (2**64 - 1)) - 2**63
 
 
 def signature_of(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """MinHash letters: for each factor the smallest product, its upper bits."""
+    """MinHash letters: for each factor the smallest product, a byte of its mixed bits."""
     least = np.full(len(factors), np.uint64(2**64 - 1))
     for i in range(0, len(shingles), 512):
         np.minimum(least, (shingles[i:i + 512, None] * factors).min(axis=0), out=least)
-    return mixed(least)
+    return (mixed(least) >> np.uint64(56)).astype(np.uint8)
+
+
+def labels_of() -> list[str]:
+    return [f"t{i}" for i in range(TREES)]
 
 
-def signatures(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, text_key, content, k0.. (band keys), s0.. (sketch); content null without shingles."""
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_key, hi, lo (the set's fingerprint, null without shingles), t0.. (each tree's label, the first
+    letter uppermost)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = [f"k{i}" for i in range(trees)] + [f"s{i}" for i in range(SKETCH // 8)]
+    names = labels_of()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         draw = np.random.default_rng(23)
-        factors = draw.integers(1, 2**63, max(trees * depth, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        factors = draw.integers(1, 2**63, LETTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts):
                 sets = shingler.sets(texts[a:b])
-                letters = np.array([signature_of(s, factors) for s in sets])
-                prefix = np.tile(np.arange(trees, dtype=np.uint64), (len(sets), 1))
-                for j in range(depth):
-                    prefix = mixed(prefix * BASE + letters[:, j:trees * depth:depth])
-                sketch = np.ascontiguousarray((letters[:, :SKETCH] & np.uint64(255)).astype(np.uint8)).view(np.int64)
-                content = pa.array(list(map(fingerprint, sets)), pa.int64())
-                cols = [pa.array(c) for c in (*prefix.view(np.int64).T, *sketch.T)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 2)), content, *cols],
-                                                 ["doc_id", "text_key", "content", *names])
+                letters = np.array([signature_of(s, factors) for s in sets]).reshape(len(sets), LETTERS)
+                labels = letters.view(">u8").astype(np.uint64).view(np.int64)
+                marks = [fingerprint(s) for s in sets]
+                cols = [pa.array([None if m is None else m[k] for m in marks], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 2)), *cols,
+                                                  *[pa.array(c) for c in labels.T]], ["doc_id", "text_key", "hi", "lo", *names])
 
     keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return map_batches(keyed, run, f"doc_id {kind}, text_key long, content long, " + ", ".join(f"{c} long" for c in names))
+    return map_batches(keyed, run, f"doc_id {kind}, text_key long, hi long, lo long, " + ", ".join(f"{c} long" for c in names))
 
 
 def groups_in(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -210,39 +212,78 @@ def in_blocks(df: DataFrame, size: str, node: str) -> DataFrame:
             .drop("other", size))
 
 
-def candidate_edges(contents: DataFrame, trees: int, agree: int = AGREE) -> DataFrame:
-    """a, b: edges that connect the contents of a node whose sketches agree."""
-    sketch = [f"s{i}" for i in range(SKETCH // 8)]
-    rows = cut(contents.select("content", F.explode(F.array(*[f"k{i}" for i in range(trees)])).alias("node")))
-    shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = rows.join(cut(shared), "node").join(contents.select("content", *sketch), "content")
-    keys = ["node", "lo", "hi"]
-    dealt = in_blocks(members, "n", "content").repartition(*keys).sortWithinPartitions(*keys, "own", "content")
-    ship_by_value(__name__)
+def climb(group: np.ndarray, label: np.ndarray, alike, longest: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Walk branches of a trie from the longest prefix up.  Rows are sorted by `group` (a branch below the shortest
+    prefix) and `label` (unsigned, the first letter uppermost); alike(i, j) tells which pairs of rows to join.
+    Returns for every row the smallest row it is connected with, and the prefix length at which its branch
+    was finished: all connected, or `shortest`."""
+    n = len(label)
+    root, ended = np.arange(n), np.full(n, shortest)
+    left, right = [], []
+    open_ = np.ones(n, bool)
+    for length in range(longest, shortest - 1, -1):
+        prefix = label >> np.uint64(8 * (DEPTH - length))
+        rows = np.flatnonzero(open_)
+        if not len(rows):
+            break
+        p, g = prefix[rows], group[rows]
+        new = np.append(True, (p[1:] != p[:-1]) | (g[1:] != g[:-1]))
+        node = np.cumsum(new) - 1
+        most = int(np.bincount(node).max())
+        for step in range(1, most):
+            at = np.flatnonzero(node[step:] == node[:-step])
+            i, j = rows[at], rows[at + step]
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            if len(i):
+                good = alike(i, j)
+                left.append(i[good])
+                right.append(j[good])
+        if left:
+            root = least_labels(n, np.concatenate(left), np.concatenate(right))
+        # a branch is finished when all of its contents are connected
+        least, greatest = np.full(group[-1] + 1, n), np.full(group[-1] + 1, -1)
+        np.minimum.at(least, group, root)
+        np.maximum.at(greatest, group, root)
+        still = (least < greatest)[group]
+        ended[open_ & ~still] = length
+        open_ &= still
+    return root, ended
+
+
+def candidate_edges(contents: DataFrame, shortest: int, agree: int) -> DataFrame:
+    """a, b: edges that connect the contents of a branch whose signatures agree."""
+    names = labels_of()
+    trees = F.array(*[F.struct(F.lit(i).alias("tree"), F.col(c).alias("label")) for i, c in enumerate(names)])
+    rows = cut(contents.select("content", F.inline(trees))
+               .withColumn("branch", F.shiftrightunsigned("label", 8 * (DEPTH - shortest))))
+    shared = rows.groupBy("tree", "branch").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = rows.join(cut(shared), ["tree", "branch"]).join(contents.select("content", *names), "content")
+    keys = ["tree", "branch", "lo", "hi"]
+    # the label as an unsigned number: its sign bit turned for the sort
+    members = members.withColumn("place", F.col("label").bitwiseXOR(F.lit(-2**63)))
+    dealt = in_blocks(members, "n", "content").repartition(*keys).sortWithinPartitions(*keys, "place", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_in(batches, keys):
             starts = starts_of(t, keys)
             group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            cross = (t["lo"].to_numpy() != t["hi"].to_numpy())
-            own = t["own"].to_numpy()
-            letters = np.ascontiguousarray(np.column_stack([t[c].to_numpy() for c in sketch])).view(np.uint8)
-            left, right = [], []
-            for step in range(1, int(np.diff(starts).max())):
-                i = np.flatnonzero(group[step:] == group[:-step])
-                j = i + step
+            cross, own = t["lo"].to_numpy() != t["hi"].to_numpy(), t["own"].to_numpy()
+            letters = np.ascontiguousarray(np.column_stack([t[c].to_numpy() for c in names])).view(np.uint8)
+
+            def alike(i, j):
                 # two different blocks meet here only to be compared with one another
-                keep = ~cross[i] | (own[i] != own[j])
-                i, j = i[keep], j[keep]
-                good = (letters[i] == letters[j]).sum(axis=1) >= agree
-                left.append(i[good])
-                right.append(j[good])
-            if not left:
-                continue
-            label = least_labels(t.num_rows, np.concatenate(left), np.concatenate(right))
-            at = np.flatnonzero(label != np.arange(len(label)))
+                good = ~cross[i] | (own[i] != own[j])
+                at = np.flatnonzero(good)
+                for k in range(0, len(at), 100_000):
+                    part = at[k:k + 100_000]
+                    good[part] = (letters[i[part]] == letters[j[part]]).sum(axis=1) >= agree
+                return good
+
+            root, _ = climb(group, t["label"].to_numpy().view(np.uint64), alike, DEPTH, shortest)
+            at = np.flatnonzero(root != np.arange(len(root)))
             content = t["content"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(content[label[at]]), pa.array(content[at])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(content[root[at]]), pa.array(content[at])], ["a", "b"])
 
     return map_batches(dealt, run, "a long, b long").distinct()
 
@@ -270,12 +311,16 @@ def common_shingles(sets: list[np.ndarray], left: int) -> np.ndarray:
     return out
 
 
-def verified(grouped: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """a, b, n: content a gains n links here and is connected with b.  `grouped`: content, rep,
-    copies, root, n (contents of the candidate group)."""
+def verified(grouped: DataFrame, docs: DataFrame, words: int, threshold: float, tasks: int) -> DataFrame:
+    """a, b, n: content a gains n links here and is connected with b.  `grouped`: content, hi, lo, rep (the row that has
+    the text: none, doc_id, text_key, times), copies, root, n (contents of the candidate group)."""
     keys = ["root", "lo", "hi"]
-    texts = docs.withColumnRenamed("doc_id", "rep_id").join(grouped, F.col("rep_id").eqNullSafe(F.col("rep")))
-    dealt = (in_blocks(texts.drop("rep", "rep_id"), "n", "content").repartition(*keys)
+    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumnRenamed("doc_id", "rep_id")
+    named = grouped.withColumnRenamed("hi", "mark_hi").withColumnRenamed("lo", "mark_lo")
+    texts = keyed.join(named, F.col("rep_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_key") == F.col("rep.text_key")))
+    # rows that repeat the identifier and the text stand for one content
+    texts = texts.filter("rep.times = 1").unionByName(texts.filter("rep.times > 1").dropDuplicates(["content"]))
+    dealt = (in_blocks(texts.drop("rep", "rep_id", "text_key"), "n", "content").repartition(tasks, *keys)
              .sortWithinPartitions(*keys, "own", "content"))
 
     def compare(t: pa.Table, sets: list[np.ndarray]) -> list[tuple[np.ndarray, ...]]:
@@ -303,49 +348,57 @@ def verified(grouped: DataFrame, docs: DataFrame, words: int, threshold: float)
         shingler = Shingler(words)
         for t in groups_in(batches, keys):
             starts = starts_of(t, keys)
+            texts = [x or "" for x in t["text"].to_pylist()]
+            sets = [x for a, b in chunks(texts) for x in shingler.sets(texts[a:b])]
+            marks = list(zip(t["mark_hi"].to_pylist(), t["mark_lo"].to_pylist(), strict=True))
+            content = t["content"].to_pylist()
             out = []
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                group = t.slice(a, b - a)
-                sets = shingler.sets([x or "" for x in group["text"].to_pylist()])
-                # a repeated identifier may bring other texts, a content only counts once
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                # should one identifier have several texts of one hash, each content counts once
                 place: dict[int, int] = {}
-                for k, (s, c) in enumerate(zip(sets, group["content"].to_pylist(), strict=True)):
-                    if fingerprint(s) == c:
-                        place.setdefault(c, k)
+                for k in range(a, b):
+                    if fingerprint(sets[k]) == marks[k]:
+                        place.setdefault(content[k], k)
                 keep = sorted(place.values())
                 if len(keep) > 1:
-                    out += compare(group.take(pa.array(keep)), [sets[k] for k in keep])
+                    out += compare(t.take(pa.array(keep)), [sets[k] for k in keep])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "n"])
 
-    ship_by_value(__name__)
     return map_batches(dealt, run, "a long, b long, n long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES,
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
                     recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, text_key, content; classes: content, class_content, rep, class_id, copies, n_links)."""
+    """(rows: doc_id, text_key, hi, lo; classes: hi, lo, class_content, class_id, copies, n_links)."""
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = cut(signatures(slim, words, trees, prefix_length(threshold, trees, recall)))
-    marks = [c for c in signed.columns if c not in ("doc_id", "text_key", "content")]
-    contents = cut(signed.filter("content IS NOT NULL").groupBy("content")
-                   .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-                        *[F.min(c).alias(c) for c in marks]))
-    groups = connected_components(candidate_edges(contents, trees, agreement(threshold, recall)))
+    names, mark = labels_of(), ["hi", "lo"]
+    signed = cut(signatures(slim, words))
+    same = (signed.filter("hi IS NOT NULL").groupBy(*mark, "doc_id", "text_key")
+            .agg(F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in names]))
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "times")
+    contents = cut(same.groupBy(*mark).agg(F.min("doc_id").alias("name"), F.min(rep).alias("rep"), F.sum("times").alias("copies"),
+                                           *[F.min(c).alias(c) for c in names])
+                   .withColumn("content", F.monotonically_increasing_id()))      # numbered where it is written
+    edges = candidate_edges(contents, prefix_length(threshold, recall=recall), agreement(threshold, recall))
+    groups = connected_components(edges)
     sizes = cut(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
-    grouped = groups.join(sizes, "root").join(contents.select(F.col("content").alias("node"), "rep", "copies"), "node")
-    links = cut(verified(grouped.withColumnRenamed("node", "content"), slim, words, threshold))
+    members = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(members) // TASK_MEMBERS))
+    grouped = (groups.join(sizes, "root").withColumnRenamed("node", "content")
+               .join(contents.select("content", *mark, "rep", "copies"), "content"))
+    links = cut(verified(grouped, slim, words, threshold, tasks))
     classes = connected_components(links.select("a", "b"))
     partners = links.groupBy("a").agg(F.sum("n").alias("partners"))
-    linked = (contents.select("content", "rep", "copies")
+    linked = (contents.select("content", *mark, "name", "copies")
               .join(partners.withColumnRenamed("a", "content"), "content", "left")
               .join(classes.withColumnRenamed("node", "content"), "content", "left")
               .withColumn("root", F.coalesce("root", "content")))
-    names = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    out = cut(linked.join(names, "root").select(
-        "content", F.col("root").alias("class_content"), "rep", "class_id", "copies",
+    of_class = linked.groupBy("root").agg(F.min("name").alias("class_id"))
+    out = cut(linked.join(of_class, "root").select(
+        *mark, F.col("root").alias("class_content"), "class_id", "copies",
         (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")))
-    return signed.select("doc_id", "text_key", "content"), out
+    return signed.select("doc_id", "text_key", *mark), out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -353,7 +406,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     smallest text hash, should several texts have it).  Rows with equal identifier and text are
     one document: they stay or go together."""
     rows, classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    members = cut(rows.join(classes.select("content", "class_content"), "content").drop("content"))
+    members = cut(rows.join(classes.select("hi", "lo", "class_content"), ["hi", "lo"]).drop("hi", "lo"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     best = (members.groupBy("class_content").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
             .filter("n > 1"))
@@ -366,8 +419,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 def ngram_join(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), n_links of every row."""
     rows, classes = near_duplicates(docs, **options)
-    joined = rows.join(classes.select("content", "class_id", "n_links"), "content", "left")
-    alone = F.col("content").isNull()
+    joined = rows.join(classes.select("hi", "lo", "class_id", "n_links"), ["hi", "lo"], "left")
+    alone = F.col("hi").isNull()
     return joined.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                          F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

@@ -19,6 +19,7 @@ from array import array
 import numpy as np
 
 from logsieve.llm.lookup import KeyTable, byte_matrix
+from logsieve.llm.spans import Spans
 
 #: Characters on which this splitting and the tokenizer's agree.
 SAFE = "\t\n\r\x20-\x7e\xa0-\xac\xae-įı-ňŊ-ǃ‐-‧‰-⁞€"
@@ -28,12 +29,10 @@ SAFE_BYTES = bytes(c for c in range(256) if re.match(f"[{SAFE}]", chr(c)))
 OTHER_NUMBERS = "\xb2\xb3\xb9\xbc-\xbe"
 WORDS = re.compile(rf"[^\W\d_{OTHER_NUMBERS}]+|'(?:[stmd]|re|ve|ll)|[\d{OTHER_NUMBERS}]|(?:[^\s\w]|_)+")
 
-#: Words kept in a task's memory; beyond that the store starts anew.
-MAX_WORDS = 600_000
+#: Words kept in a task's memory, and their ids; beyond that the store starts anew.
+MAX_WORDS, MAX_IDS = 600_000, 10_000_000
 #: Text encoded at once: merging many new words at a time costs less for each.
-CHUNK_CHARS = 4_000_000
-#: Longer strings are not kept.
-LONG_WORD = 100
+CHUNK_CHARS = 2_000_000
 #: Words of more bytes are merged one by one, with a heap.
 MATRIX_BYTES = 256
 
@@ -162,8 +161,46 @@ class Merges:
         return array("I", [x for x in ids if x >= 0]).tobytes()
 
 
+def kind_of(c: str) -> int:
+    """0 white space, 1 letters, 2 numbers (a word each), 3 the rest: the classes of WORDS."""
+    if c.isspace():
+        return 0
+    if WORDS.fullmatch(c) and not c.isalnum():
+        return 3
+    return 1 if re.fullmatch(rf"[^\W\d_{OTHER_NUMBERS}]", c) else 2 if c.isalnum() else 3
+
+
+class Words:
+    """The words of safe, lower-cased texts: the matches of WORDS, found for all texts at once."""
+
+    def __init__(self):
+        self.spans = Spans(kind_of, single=2)
+        self.tails = [np.array([ord(c) for c in x], np.uint32) for x in ("s", "t", "m", "d", "re", "ve", "ll")]
+
+    def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, kinds = self.spans.find(texts)
+        points = self.spans.points
+        # an apostrophe alone takes s, t, m, d, re, ve or ll from the letters behind it
+        at = np.flatnonzero((kinds[:-1] == 3) & (ends[:-1] - starts[:-1] == 1) & (kinds[1:] == 1) & (starts[1:] == ends[:-1]))
+        at = at[points[starts[at]] == ord("'")]
+        if len(at):
+            after, room = starts[at + 1], ends[at + 1] - starts[at + 1]
+            taken = np.zeros(len(at), np.int64)
+            for tail in self.tails:
+                hit = (taken == 0) & (room >= len(tail))
+                for k, c in enumerate(tail):
+                    hit[hit] = points[after[hit] + k] == c
+                taken[hit] = len(tail)
+            ends[at] += taken
+            starts[at + 1] += taken
+            left = starts < ends
+            starts, ends = starts[left], ends[left]
+        return starts, ends
+
+
 class WordIds:
-    """Ids of texts, as little-endian unsigned 32-bit bytes; remembers words."""
+    """Ids of texts.  The words of a chunk are looked up by 128-bit hashes, all at once; only a word that is new becomes a
+    string and is merged."""
 
     def __init__(self, path: str, lookup=None):
         from tokenizers import Tokenizer
@@ -173,39 +210,68 @@ class WordIds:
         self.merges = Merges(path)
         #: words -> ids or None, asked before merging
         self.lookup = lookup
-        self.known: dict[str, bytes] = {}
-        self.strings: dict[str, bytes] = {}
+        self.words = Words()
+        self.forget()
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def forget(self) -> None:
+        self.number: dict[int, int] = {}              # first hash of a word -> its place in the arrays
+        self.check = np.zeros(0, np.uint64)           # second hash
+        self.first = np.zeros(0, np.int64)            # where its ids are in `flat`
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
 
-    def learn(self, words: list[str]) -> None:
-        if self.lookup is not None:
-            found = self.lookup(words)
-            self.known.update((w, x) for w, x in zip(words, found, strict=True) if x is not None)
-            words = [w for w, x in zip(words, found, strict=True) if x is None]
-        self.known.update(zip(words, self.merges.merge([w.encode() for w in words]), strict=True))
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """A text is cut at white space first; a string between white space is split into
-        words only when it is new."""
-        if len(self.strings) > MAX_WORDS:
-            self.strings, self.known = {}, {}
-        cut = [t.lower().split() if is_safe(t) else None for t in texts]
-        strings, known = self.strings, self.known
-        new = list(set().union(*filter(None, cut)) - strings.keys())
-        if new:
-            split = [WORDS.findall(s) for s in new]
-            words = list(set().union(*split) - known.keys())
-            if words:
-                self.learn(words)
-            for s, ws in zip(new, split, strict=True):
-                strings[s] = known[s] if len(ws) == 1 else b"".join([known[w] for w in ws])
-        ids = strings.__getitem__
-        out = [self.whole(t) if c is None else b"".join(map(ids, c)) for t, c in zip(texts, cut, strict=True)]
-        for s in [s for s in new if len(s) > LONG_WORD]:
-            del strings[s]
-            for w in WORDS.findall(s):
-                if len(w) > LONG_WORD:
-                    known.pop(w, None)
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words: from the lexicon, else merged."""
+        out = list(self.lookup(words)) if self.lookup is not None else [None] * len(words)
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.merges.merge([words[i].encode() for i in rest]), strict=True):
+            out[i] = x
         return out
+
+    def arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text begins and the last one ends)."""
+        if len(self.number) > MAX_WORDS or len(self.flat) > MAX_IDS:
+            self.forget()
+        safe = np.array([is_safe(t) for t in texts], bool)
+        ids, bounds = self._safe([t.lower() for t, s in zip(texts, safe.tolist(), strict=True) if s]) if safe.any() else (self.flat[:0], np.zeros(1, np.int64))
+        if safe.all():
+            return ids, bounds
+        parts, k = [], 0
+        for t, s in zip(texts, safe.tolist(), strict=True):
+            parts.append(ids[bounds[k]:bounds[k + 1]] if s else self.whole(t))
+            k += s
+        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+
+    def _safe(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends = self.words.find(texts)
+        spans = self.words.spans
+        first, second = spans.hashes(starts, ends), spans.hashes(starts, ends, 1)
+        kinds, at, back = np.unique(first, return_index=True, return_inverse=True)
+        get = self.number.get
+        number = np.fromiter((get(h, -1) for h in kinds.tolist()), np.int64, len(kinds))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            joined = spans.joined
+            found = self.learn([joined[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            size = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+            number[new] = np.arange(len(self.first), len(self.first) + len(new))
+            self.number.update(zip(kinds[new].tolist(), number[new].tolist(), strict=True))
+            self.first = np.append(self.first, len(self.flat) + np.cumsum(size) - size)
+            self.size, self.check = np.append(self.size, size), np.append(self.check, second[at[new]])
+            self.flat = np.append(self.flat, np.frombuffer(b"".join(found), np.int32))
+        word = number[back]
+        if (self.check[word] != second).any():
+            raise RuntimeError("two words with one hash")        # 2**-64 for a pair; the second hash tells
+        size = self.size[word]
+        ends_of = np.cumsum(size)
+        ids = self.flat[np.repeat(self.first[word] - (ends_of - size), size) + np.arange(ends_of[-1] if len(size) else 0)]
+        return ids, np.append(0, ends_of)[spans.text_bounds(starts)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit bytes."""
+        ids, bounds = self.arrays(texts)
+        data = ids.astype("<u4").tobytes()
+        return [data[4 * a:4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]

@@ -1,3 +1,4 @@
+import numpy as np
 import hashlib
 import random
 from array import array
@@ -59,3 +60,27 @@ def test_round_trip_against_library(spark):
     full = {(r.doc_id, len(r.ids), sha(r.decoded)) for r in bpe.encode(hard_docs(spark), PATH).collect()}
     assert full == {(i, n, d) for i, n, _, d in want}
     assert bpe.encode(no_docs(spark), PATH).collect() == []
+
+
+def test_words_of_arrays_are_the_matches_of_the_pattern():
+    """Random texts of the safe characters, with apostrophes, digits, underscores and several texts at once."""
+    import random
+
+    from logsieve.llm import word_bpe
+    draw, finder = random.Random(8), word_bpe.Words()
+    letters = list("stmdrevl'''' __0123 \t\n.,!abé²½ßö‐—€") + ["'s", "'ll", "'re", "''", "'t'", "it's", "_'d"]
+    for _ in range(150):
+        texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(50))).lower() for _ in range(draw.randrange(1, 6))]
+        starts, ends = finder.find(texts)
+        bounds = finder.spans.text_bounds(starts)
+        got = [[finder.spans.joined[a:b] for a, b in zip(starts[x:y], ends[x:y], strict=True)] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [[w for s in t.split() for w in word_bpe.WORDS.findall(s)] for t in texts]
+
+
+def test_renderer_joins_names():
+    from logsieve.llm.bpe import Renderer
+    names = {i: "x" * (i % 40) + str(i) for i in range(60)}
+    r = Renderer(names)
+    for ids, bounds in (([1, 2, 3, 50, 4], [0, 2, 2, 5]), ([], [0, 0]), ([7], [0, 1]), ([5, 6, 7], [0, 3])):
+        got = [bytes(x).decode() for x in r.texts(np.array(ids, np.int32), np.array(bounds))]
+        assert got == [" ".join(names[i] for i in ids[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]

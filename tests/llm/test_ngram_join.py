@@ -116,11 +116,60 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "x long, y long")).collect() == []
 
 
-def test_sketches_count_in_the_recall(spark):
+def test_gate_counts_in_the_recall(spark):
     for threshold in (0.5, 0.6, 0.7, 0.8, 0.9):
         depth, agree = nj.prefix_length(threshold), nj.agreement(threshold)
-        assert nj.least_recall(threshold, nj.TREES, depth, agree) >= nj.RECALL
-    # similarity 70 / 130: sketches agree in 26 of 48 letters on average
+        assert nj.least_recall(threshold, nj.TREES, depth, agree) >= (nj.RECALL if depth > 1 else 0.99)
+        assert nj.gate_misses(threshold, agree) <= 1e-6
+    # similarity 70 / 130: signatures agree in 54 % of the letters on average
     rows = [(2 * i + k, " ".join([f"c{i}x{j}" for j in range(74)] + [f"o{i}y{k}z{j}" for j in range(30)])) for i in range(40) for k in (0, 1)]
     _, classes = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5)
     assert classes.filter("n_links = 1").count() == len(rows)
+
+
+def test_branches_end_at_different_lengths():
+    """Two branches below five letters: one is connected at eight letters and left alone, the other has to be
+    shortened to six before its halves meet; pairs of connected rows are not asked again."""
+    label = lambda *letters: int.from_bytes(bytes(letters), "big")
+    rows = sorted([(0, label(1, 1, 1, 1, 1, 7, 7, 7))] * 3 + [(1, label(2, 2, 2, 2, 2, 9, x, y)) for x, y in ((1, 1), (1, 1), (4, 5), (4, 5))])
+    group, labels = np.array([g for g, _ in rows]), np.array([x for _, x in rows], np.uint64)
+    asked = []
+
+    def alike(i, j):
+        asked.extend(zip(i.tolist(), j.tolist(), strict=True))
+        return np.ones(len(i), bool)
+
+    root, ended = nj.climb(group, labels, alike, 8, 5)
+    assert root.tolist() == [0, 0, 0, 3, 3, 3, 3] and ended.tolist() == [8, 8, 8, 6, 6, 6, 6]
+    assert (3, 4) in asked and (5, 6) in asked and (3, 5) in asked and (0, 3) not in asked and len(set(asked)) == len(asked)
+    # rows that share the shortest prefix only and are not alike stay apart, down to its length
+    root, ended = nj.climb(np.zeros(2, int), np.array([label(1, 1, 1, 1, 1, 2, 2, 2), label(1, 1, 1, 1, 1, 3, 3, 3)], np.uint64),
+                           lambda i, j: np.zeros(len(i), bool), 8, 5)
+    assert root.tolist() == [0, 1] and ended.tolist() == [5, 5]
+
+
+def test_recall_on_the_shared_table(spark):
+    """Every link of a brute-force comparison of all pairs at sf0.001 is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert table_of(nj.ngram_join(docs).collect()) == table_of(brute(rows))
+
+
+def test_many_null_identifiers(spark):
+    """Null identifiers and repeated rows: no product of rows and contents, each row counted."""
+    body = [f"w{i}" for i in range(60)]
+    texts = [" ".join(body[:50] + [f"x{k}"] + body[51:]) for k in range(4)] + ["lonely words stand here alone"]
+    rows = [(None, texts[i % 5]) for i in range(300)] + [(7, texts[0])] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert table_of(nj.ngram_join(docs).collect()) == table_of(brute(rows))
+    assert nj.keep_one(docs).count() == 40 + 60
+
+
+def test_shingles_equal_for_equal_words_only():
+    texts = ["Aa b c d e f", "aa B c,d e--f", "aa b c d e", "b c d e f", "a b", "a  B", "", "é日本 x_1", "É日本\nx_1", "a" * 300, "\U00010400x y"]
+    sets = nj.Shingler().sets(texts)
+    words = [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        assert len(sets[i]) == len(words[i])
+        for j in range(len(texts)):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(words[i] & words[j])
