@@ -14,8 +14,8 @@ products in double precision, and passes its k best of the block on; the best of
 blocks are merged per query.  Queries are a fixed set
 against all rows, in blocks; no pair of rows leaves a task but a query's k best of a block.
 
-Defined results: vectors that are null, zero, empty, of another length than most, or that hold
-null or non-finite components take no part; a query's own row is never its neighbour;
+Defined results: vectors that are null, zero or empty, or that hold null or non-finite components take no part;
+vectors meet those of their own length; a query's own row is never its neighbour;
 rows repeated with equal identifier and vector count once, other vectors under the same
 identifier are rows of their own; ties go to the smaller identifier; fewer than k candidates give
 fewer rows; an empty table gives none.
@@ -105,54 +105,56 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query, k: int = NEAREST, id_col: str = "vec_id",
             vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score.  `is_query`: Column -> Column, of the identifier."""
-    all_rows = cut(usable(vectors, id_col, vector_col))
-    sizes = all_rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim, count = (sizes["dim"], sizes["count"]) if sizes else (1, 0)
-    rows = all_rows.filter(F.size("vec") == dim)
-    blocks = max(1, -(-count // CANDIDATES))
+    rows = cut(usable(vectors, id_col, vector_col)).withColumn("dim", F.size("vec"))
+    # blocks and strips of each length of vectors, by their number; a table as long as there are lengths
+    asked = F.count_if(is_query(F.col("vec_id")))
+    sizes = cut(rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).cast("int").alias("blocks"),
+                                        F.greatest(F.ceil(asked / QUERIES), F.lit(1)).cast("int").alias("strips")))
+    dealt = rows.join(sizes, "dim")
     hashed = F.xxhash64("vec_id", "vec")
-    candidates = rows.select("vec_id", "vec", F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"))
-    asked = rows.filter(is_query(F.col("vec_id")))
-    strips = max(1, -(-asked.count() // QUERIES))
-    queries = asked.select("vec_id", "vec", F.pmod(hashed, F.lit(strips)).cast("int").alias("strip"))
+    candidates = dealt.select("dim", "vec_id", "vec", F.pmod(hashed, F.col("blocks")).cast("int").alias("block"))
+    queries = (dealt.filter(is_query(F.col("vec_id")))
+               .select("dim", "blocks", "vec_id", "vec", F.pmod(hashed, F.col("strips")).cast("int").alias("strip")))
     ship_by_value(__name__)
-    bits = bits_for(dim)
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return column.combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    def matrix(group: pa.Table) -> np.ndarray:
+        return group["vec"].combine_chunks().flatten().to_numpy().reshape(-1, group["dim"][0].as_py())
 
     def index(group: pa.Table) -> pa.Table:
-        codes, length, a = codes_of(matrix(group["vec"]), rotation(dim, bits))
-        return pa.table({"block": group["block"][:1], "vec_ids": pa.array([group["vec_id"].to_numpy()], pa.list_(pa.int64())),
-                         "vecs": pa.array([matrix(group["vec"]).tobytes()], pa.binary()),
-                         "codes": pa.array([codes.tobytes()], pa.binary()),
+        dim, vectors = group["dim"][0].as_py(), matrix(group)
+        codes, length, a = codes_of(vectors, rotation(dim, bits_for(dim)))
+        return pa.table({"dim": group["dim"][:1], "block": group["block"][:1],
+                         "vec_ids": pa.array([group["vec_id"].to_numpy()], pa.list_(pa.int64())),
+                         "vecs": pa.array([vectors.tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary()),
                          "lengths": pa.array([length], pa.list_(pa.float64())), "a": pa.array([a], pa.list_(pa.float64()))})
 
     def pack(group: pa.Table) -> pa.Table:
-        return pa.table({"strip": group["strip"][:1], "query_ids": pa.array([group["vec_id"].to_numpy()], pa.list_(pa.int64())),
-                         "queries": pa.array([matrix(group["vec"]).tobytes()], pa.binary())})
+        return pa.table({"dim": group["dim"][:1], "strip": group["strip"][:1], "blocks": group["blocks"][:1],
+                         "query_ids": pa.array([group["vec_id"].to_numpy()], pa.list_(pa.int64())),
+                         "queries": pa.array([matrix(group).tobytes()], pa.binary())})
 
     # a block is one row; every row has the codes, their scalars and the original vectors
-    indexed = candidates.groupBy("block").applyInArrow(
-        index, "block int, vec_ids array<long>, vecs binary, codes binary, lengths array<double>, a array<double>")
-    packed = (queries.groupBy("strip").applyInArrow(pack, "strip int, query_ids array<long>, queries binary")
-              .select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")))
+    indexed = candidates.groupBy("dim", "block").applyInArrow(
+        index, "dim int, block int, vec_ids array<long>, vecs binary, codes binary, lengths array<double>, a array<double>")
+    packed = (queries.groupBy("dim", "strip").applyInArrow(pack, "dim int, strip int, blocks int, query_ids array<long>, queries binary")
+              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 x = {n: batch.column(n)[r] for n in batch.schema.names}
                 array = lambda n: x[n].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
+                dim = x["dim"].as_py()
                 grid = lambda n: np.frombuffer(x[n].as_buffer(), np.float64).reshape(-1, dim)  # noqa: E731, B023
-                codes = np.frombuffer(x["codes"].as_buffer(), np.uint8).reshape(-1, bits // 8)
+                codes = np.frombuffer(x["codes"].as_buffer(), np.uint8).reshape(-1, bits_for(dim) // 8)
                 row, found, scores = search_block(grid("queries"), array("query_ids"), grid("vecs"), array("vec_ids"),
                                                   codes, array("lengths"), array("a"), k)
                 # the query's number in its strip tells apart queries with one identifier
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(array("query_ids")[row]), pa.array((x["strip"].as_py() << 32) + row, pa.int64()),
+                    [pa.array(array("query_ids")[row]), pa.array((x["strip"].as_py() << 32) + (dim << 12) + row, pa.int64()),
                      pa.array(array("vec_ids")[found]), pa.array(scores)], ["query_id", "query_copy", "vec_id", "score"])
 
-    pairs = packed.join(indexed.hint("shuffle_hash"), "block")
+    pairs = packed.join(indexed.hint("shuffle_hash"), ["dim", "block"])
     hits = pairs.mapInArrow(search, FOUND)
 
     # k best of each query; the group limit of the window drops the others before the shuffle

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.functions.ship import ship_by_value
-from logsieve.session import checkpoint_dir
+from logsieve.session import written as cut  # noqa: F401  the operators cut their plans with it
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -39,16 +38,6 @@ def unwrap(df: DataFrame, row: str = "__row", **replaced: Column) -> DataFrame:
     return df.select(*[replaced.get(c, F.col(row).getField(c)).alias(c) for c in fields])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the frame as a table in the session's shared checkpoint folder and go on from
-    the files: the plan above is not run again, and losing an executor loses nothing.
-    The tables live as long as that folder."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str, *modules: str) -> DataFrame:
     """mapInArrow with the code of `modules` sent along with the task."""
     ship_by_value(__name__, *modules)

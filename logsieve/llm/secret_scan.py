@@ -55,6 +55,8 @@ PART = re.compile(r"[A-Za-z0-9]+")
 JOINING = "+/_=-"
 #: Characters between parts that a span takes in at either end of its run, at most.
 EDGE = 2
+#: Characters of a sample string, at most.
+PIECE = 64
 #: Strings with a digit and a letter, for choosing samples; the scan asks for neither.
 MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
 
@@ -142,8 +144,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             rows = set()
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text or "")
-                rows |= {(text[a:b], True) for a, b, _ in spans}
-                rows |= {(w, False) for w in identifiers(text or "")}
+                # in pieces, so that a sample of bounded number is bounded in size too
+                rows |= {(text[i:min(i + PIECE, b)], True) for a, b, _ in spans for i in range(a, b, PIECE)}
+                rows |= {(w[i:i + PIECE], False) for w in identifiers(text or "") for i in range(0, len(w), PIECE)}
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.string()),
                                               pa.array([x for _, x in rows], pa.bool_())], ["s", "random"])
 

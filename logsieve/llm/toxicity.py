@@ -141,8 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column | None = None, id_co
              .filter("__id IS NOT NULL AND __grade IS NOT NULL").groupBy("__id").agg(F.max("__grade").alias("__grade"))
              .orderBy(F.xxhash64("__id"), "__id").limit(sample_docs))        # <= sample_docs rows
     slim = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    sample = cut(slim.join(F.broadcast(marks), "__id").select("__grade", "__text")
-                 .dropDuplicates(["__text"]).limit(sample_docs))
+    # equal texts with different grades count once, with the highest
+    sample = cut(slim.join(F.broadcast(marks), "__id").groupBy("__text").agg(F.max("__grade").alias("__grade"))
+                 .orderBy(F.xxhash64("__text"), "__text").limit(sample_docs).select("__grade", "__text"))
     ship_by_value(__name__)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

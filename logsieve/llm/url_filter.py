@@ -5,12 +5,15 @@ url's path starts with the rule's path, and the longest fitting rule wins.  Urls
 fits are judged by a list of canonical urls: a blocked Bloom filter of the list lets possible
 hits through, and a hash join on the whole canonical url removes the false positives.
 
-The filter is a table of at most 2**BLOCK_BITS rows (block, four 64-bit words): its size has
-that bound whatever the list holds, so it is broadcast.  A longer list only lets more false
-positives through to the join; the verdicts stay exact.  Urls that the filter rejects never
-move.  The list side of the join is a written table, so that both sides of the join are plain
+The filter is a table of blocks (number, four 64-bit words), one block for every URLS_PER_BLOCK listed urls, so
+false positives stay rare however long the list is.  Up to 2**BROADCAST_BITS blocks (8 MB) it is broadcast, and
+urls that it rejects never move; a larger one is joined by block, where only the page's key and bits travel.
+The list side of the exact join is a written table, so that both sides of it are plain
 exchanges, which adaptive execution splits when one url holds many rows.
 
+The production list is made from what the pages hold, not from their urls: the canonical urls of pages whose
+html has words with all of LISTED_MARKS (symbol junk).  Other pages under the same canonical url are then judged by it.
+
 Canonical form: host without a leading `www.`, then the path without trailing slashes; scheme,
 query and fragment do not count.
 
@@ -39,11 +42,11 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-#: Host labels whose pages make up the production list (fixed values).
-LISTED_LABELS = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+#: Marks of junk; a page that holds all of them puts its url on the production list (fixed values).
+LISTED_MARKS = ["###", "$$$", "%%%"]
 
-#: At most 65,536 blocks of 256 bits: 2 MB.
-BLOCK_BITS = 16
+#: 256 bits for so many urls, about; and the largest filter that is broadcast: 262,144 blocks.
+URLS_PER_BLOCK, BROADCAST_BITS, MOST_BITS = 12, 18, 30
 WORDS = ["w0", "w1", "w2", "w3"]
 
 
@@ -72,8 +75,13 @@ def first_rule(host: Column, path: Column, rules: list[tuple[str, str, str]], va
     return F.coalesce(*[F.when(rule_fits(host, path, r), F.lit(value(r))) for r in longest], F.lit(None).cast("string"))
 
 
-def block_of(key: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(0)), 64 - BLOCK_BITS).cast("int")
+def bits_for(urls: int) -> int:
+    """Bits of the block numbers for a list of so many urls."""
+    return min(MOST_BITS, max(1, (-(-urls // URLS_PER_BLOCK) - 1).bit_length()))
+
+
+def block_of(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(0)), 64 - bits).cast("int")
 
 
 def word_bits(key: Column) -> dict[str, Column]:
@@ -83,21 +91,22 @@ def word_bits(key: Column) -> dict[str, Column]:
     return {"__h": h} | {w: bit(2 * i).bitwiseOR(bit(2 * i + 1)) for i, w in enumerate(WORDS)}
 
 
-def with_bits(df: DataFrame, key: Column) -> DataFrame:
+def with_bits(df: DataFrame, key: Column, bits: int) -> DataFrame:
     cols = word_bits(key)
-    df = df.withColumn("__h", cols.pop("__h")).withColumn("__block", block_of(key))
+    df = df.withColumn("__h", cols.pop("__h")).withColumn("__block", block_of(key, bits))
     return df.withColumns({f"__{w}": c for w, c in cols.items()}).drop("__h")
 
 
-def bloom_filter(listed: DataFrame) -> DataFrame:
+def bloom_filter(listed: DataFrame, bits: int) -> DataFrame:
     """One row per used block; `listed` has the column `listed_url`."""
-    bits = with_bits(listed, F.col("listed_url"))
-    return bits.groupBy("__block").agg(*[F.bit_or(f"__{w}").alias(f"__f{w}") for w in WORDS])
+    rows = with_bits(listed, F.col("listed_url"), bits)
+    return rows.groupBy("__block").agg(*[F.bit_or(f"__{w}").alias(f"__f{w}") for w in WORDS])
 
 
-def possible_hits(urls: DataFrame, blocks: DataFrame) -> DataFrame:
+def possible_hits(urls: DataFrame, blocks: DataFrame, bits: int) -> DataFrame:
     """`urls` has `__url`; adds `__maybe`: the filter does not rule the url out."""
-    probe = with_bits(urls, F.col("__url")).join(F.broadcast(blocks), "__block", "left")
+    table = F.broadcast(blocks) if bits <= BROADCAST_BITS else blocks
+    probe = with_bits(urls, F.col("__url"), bits).join(table, "__block", "left")
     inside = reduce(lambda a, b: a & b, [F.col(f"__f{w}").bitwiseAND(F.col(f"__{w}")) == F.col(f"__{w}") for w in WORDS])
     return (probe.withColumn("__maybe", F.coalesce(inside, F.lit(False)))
             .drop("__block", *[f"__{w}" for w in WORDS], *[f"__f{w}" for w in WORDS]))
@@ -117,7 +126,8 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     names = listed.select(F.col(f"`{listed.columns[0]}`").alias("listed_url"))
     names = cut(names.filter("listed_url IS NOT NULL AND listed_url <> ''").distinct())
 
-    judged = possible_hits(urls, bloom_filter(names))
+    bits = bits_for(names.count())
+    judged = possible_hits(urls, bloom_filter(names, bits), bits)
     open_hit = F.col("__maybe") & F.col("rule").isNull()
     hits = (judged.filter(open_hit).join(names, F.col("__url") == F.col("listed_url"), "left")
             .withColumn("listed", F.col("listed_url").isNotNull()).drop("listed_url"))
@@ -126,16 +136,16 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     return hits.unionByName(rest).select(id_col, "host", "path", "rule", verdict.alias("verdict"), "listed")
 
 
-def listed_urls(pages: DataFrame, labels: list[str] = LISTED_LABELS) -> DataFrame:
-    """The production list: canonical urls seen on hosts that carry one of `labels`."""
+def listed_urls(pages: DataFrame, marks: list[str] = LISTED_MARKS) -> DataFrame:
+    """The production list: canonical urls of pages whose html holds all of `marks`."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    pattern = r"(^|\.)(" + "|".join(labels) + r")\."
-    return pages.filter(host.rlike(pattern)).select(canonical(host, path).alias("listed_url"))
+    junk = reduce(lambda a, b: a & b, [F.contains(F.col("html"), F.lit(m)) for m in marks])
+    return pages.filter(junk).select(canonical(host, path).alias("listed_url"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter(pages, listed_urls(pages))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter(pages.select("page_id", "url"), listed_urls(pages.select("url", "html")))
 
 
 SQL = r"""
@@ -144,6 +154,7 @@ WITH u AS (
          translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*(/[^?#]*)', 1, 's') AS path
+  , contains(html, '###') AND contains(html, '$$$') AND contains(html, '%%%') AS bad
   FROM pages),
 r(rhost, rpath, rverdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
   ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
@@ -153,8 +164,7 @@ fit AS (
   FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
   GROUP BY page_id),
 c AS (
-  SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS canon,
-         regexp_matches(host, '(^|\.)(ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.') AS bad FROM u),
+  SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS canon FROM u),
 l AS (SELECT DISTINCT canon FROM c WHERE bad AND canon <> ''),
 j AS (SELECT c.page_id, c.host, c.path, fit.rule, fit.rverdict, l.canon IS NOT NULL AS hit
       FROM c LEFT JOIN fit USING (page_id) LEFT JOIN l USING (canon))

@@ -61,3 +61,15 @@ def test_hard_vectors(spark):
     few = result(ann.nearest(docs.filter("vec_id < 4"), lambda i: i % 20 == 0))
     assert [v for v, _ in few[0]] == [v for v, _ in brute(fine[:4])[0]]
     assert ann.nearest(docs.limit(0), lambda i: i % 20 == 0).collect() == []
+
+
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    """Each length is searched among its own, also the rare one."""
+    monkeypatch.setattr(ann, "CANDIDATES", 20)
+    rnd = np.random.default_rng(1)
+    long = [(i, [float(x) for x in rnd.standard_normal(5)]) for i in range(0, 200, 2)]
+    short = [(i, [float(x) for x in rnd.standard_normal(3)]) for i in range(1, 90, 2)] + [(1000, [1.0, 0.5, -1.0])]
+    docs = spark.createDataFrame(long + short, "vec_id long, embedding array<double>")
+    got = result(ann.nearest(docs, lambda i: i % 20 == 0))
+    want = brute(long) | brute(short)
+    assert {q: [v for v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
