@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,17 +74,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+#: The folder of the innermost `scratch` block.
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that are written inside the block lie in a folder of their own in the checkpoint folder, and go with it
+    at the end of the block.  Store or collect what is needed before: results made inside cannot be read
+    afterwards."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    token = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, spread: bool = False) -> DataFrame:
     """Write the frame as a table in the shared checkpoint folder and go on from the files.
 
     Used where several later steps read one result: the plan above is run once, nothing stays
     in the executors' memory, and a lost executor costs no recomputation.  The tables live
-    as long as the folder.  With `spread` the rows are dealt over the shuffle partitions first: for
-    narrow rows that much work follows on (token positions), which may come from one file."""
+    as long as the folder, or as the `scratch` block around.  With `spread` the rows are dealt over the shuffle
+    partitions first: for narrow rows that much work follows on (token positions), which may come from one file."""
     spark = df.sparkSession
     if spread:
         df = dealt(df)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{(_FOLDER.get() or checkpoint_dir(spark)).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

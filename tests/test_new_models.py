@@ -220,3 +220,20 @@ def test_vocabulary_with_times(spark):
     df = spark.createDataFrame([(["a", "b"], 3), (["b"], 2), (None, 9)], "tokens array<string>, n long")
     got = {r["token"]: (r["token_id"], r["count"]) for r in build_vocab(df, times="n").collect() if r["token_id"] > 4}
     assert got == {"b": (5, 5), "a": (6, 3)}
+
+
+# ------------------------------------------------------------ lifetimes
+def test_scratch_tables_go_with_their_block(spark, tmpdir_path):
+    from logsieve.plans.detect import detect
+    from logsieve.session import scratch
+    lines = logs_from_events(spark.read.parquet(f"{SF001}/events.parquet"))
+    with scratch(spark) as folder:
+        detect(lines).write.parquet(os.path.join(tmpdir_path, "out"))
+        with scratch(spark) as inner:
+            assert written(spark.range(3)).count() == 3 and inner != folder
+        local = folder.removeprefix("file:")
+        assert len([f for f in os.listdir(local) if os.path.isdir(os.path.join(local, f))]) >= 4
+    assert not os.path.exists(local)
+    assert spark.read.parquet(os.path.join(tmpdir_path, "out")).count() == lines.count()
+    kept = written(spark.range(3))                                        # outside of a block: as before
+    assert kept.count() == 3
