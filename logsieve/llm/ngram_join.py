@@ -18,8 +18,12 @@ their shingle sets is THRESHOLD or more; classes are the connected components of
 4. Links are counted with the partners' multiplicities; components of the verified links are
    the classes, named by their smallest doc_id.
 
-Branches and groups of more than BLOCK members are cut into blocks, and pairs of blocks become
-tasks of their own, so no task holds more than about two blocks.
+Branches and groups of more than BLOCK members are first compared with one member, their pivot.  In a branch,
+members that agree with the pivot are connected by it.  In a group, members within half of the allowed distance
+of the pivot are linked with each other, as the Jaccard distance is a metric; they are counted, not compared.
+Only the far members meet all others: they are cut into blocks, and pairs of blocks that hold far members become
+tasks of their own, so no task holds more than about two blocks, and near members are copied once per
+block of far ones.  A group of a million copies of nearly one text costs a million comparisons.
 
 Defined results: null or empty text, or text without a word, has no shingle and no link; the
 identifier may be null or repeated (rows are counted by themselves; a class of null identifiers
@@ -202,14 +206,19 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def in_blocks(df: DataFrame, size: str, node: str) -> DataFrame:
-    """Deal the members of groups (of `size` rows) to blocks: adds own (the row's block), lo, hi
-    (the pair of blocks that meet).  A group of one block has the pair (0, 0)."""
-    n = F.ceil(F.col(size) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(node, F.lit("block")), n).cast("int")
-    df = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+def in_blocks(df: DataFrame, node: str) -> DataFrame:
+    """Deal the members of groups to blocks: adds own (the row's block), lo, hi (the pair of blocks that meet).
+    `df` has n and n_far, the members and the far members of the row's group, and far.  Far members have blocks
+    0, 1, ... and meet all blocks; the blocks of the others follow and meet those of the far ones only."""
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    df = df.withColumn("_far", blocks(F.col("n_far"))).withColumn("_near", blocks(F.col("n") - F.col("n_far")))
+    place = lambda n: F.pmod(F.xxhash64(node, F.lit("block")), F.greatest(F.col(n), F.lit(1))).cast("int")
+    df = df.withColumn("own", F.when(F.col("far"), place("_far")).otherwise(F.col("_far") + place("_near")))
+    met = F.when(F.col("far"), F.sequence(F.lit(0), F.greatest(F.col("_far") + F.col("_near") - 1, F.lit(0)))).when(
+        F.col("_far") > 0, F.sequence(F.lit(0), F.greatest(F.col("_far") - 1, F.lit(0))))
+    df = df.withColumn("other", F.explode(met))
     return (df.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-            .drop("other", size))
+            .drop("other", "n", "n_far", "far", "_far", "_near"))
 
 
 def climb(group: np.ndarray, label: np.ndarray, alike, longest: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,10 +268,31 @@ def candidate_edges(contents: DataFrame, shortest: int, agree: int) -> DataFrame
                .withColumn("branch", F.shiftrightunsigned("label", 8 * (DEPTH - shortest))))
     shared = rows.groupBy("tree", "branch").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = rows.join(cut(shared), ["tree", "branch"]).join(contents.select("content", *names), "content")
+    node = ["tree", "branch"]
+    large = members.filter(F.col("n") > BLOCK)
+    pivots = large.groupBy(*node).agg(F.min(F.struct("content", *names)).alias("pivot"))
+    paired = large.join(pivots, node).select(*node, "n", "content", "label", *names, F.col("pivot.content").alias("pivot"),
+                                             *[F.col(f"pivot.{c}").alias(f"p{c}") for c in names])
+
+    def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c) for c in [*node, "n", "content", "label", *names, "pivot"]]
+            grid = lambda prefix: np.ascontiguousarray(np.column_stack(
+                [batch.column(prefix + c).to_numpy() for c in names])).view(np.uint8)  # noqa: B023
+            agreeing = (grid("") == grid("p")).sum(axis=1) >= agree
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(~agreeing)], [*node, "n", "content", "label", *names, "pivot", "far"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in paired.schema}
+    layout = [*node, "n", "content", "label", *names, "pivot"]
+    judged = cut(map_batches(paired, with_pivot, ", ".join(f"{c} {kinds[c]}" for c in layout) + ", far boolean"))
+    starred = judged.filter(~F.col("far") & (F.col("content") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("content").alias("b"))
+    far = judged.groupBy(*node).agg(F.count_if("far").alias("n_far")).filter("n_far > 0")
+    rest = judged.drop("pivot").join(far, node)
+    small = members.filter(F.col("n") <= BLOCK).withColumn("far", F.lit(True)).withColumn("n_far", F.col("n"))
     keys = ["tree", "branch", "lo", "hi"]
     # the label as an unsigned number: its sign bit turned for the sort
-    members = members.withColumn("place", F.col("label").bitwiseXOR(F.lit(-2**63)))
-    dealt = in_blocks(members, "n", "content").repartition(*keys).sortWithinPartitions(*keys, "place", "content")
+    meeting = small.unionByName(rest).withColumn("place", F.col("label").bitwiseXOR(F.lit(-2**63)))
+    dealt = in_blocks(meeting, "content").repartition(*keys).sortWithinPartitions(*keys, "place", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_in(batches, keys):
@@ -285,7 +315,7 @@ def candidate_edges(contents: DataFrame, shortest: int, agree: int) -> DataFrame
             content = t["content"].to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(content[root[at]]), pa.array(content[at])], ["a", "b"])
 
-    return map_batches(dealt, run, "a long, b long").distinct()
+    return map_batches(dealt, run, "a long, b long").unionByName(starred).distinct()
 
 
 def common_shingles(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -320,7 +350,35 @@ def verified(grouped: DataFrame, docs: DataFrame, words: int, threshold: float,
     texts = keyed.join(named, F.col("rep_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_key") == F.col("rep.text_key")))
     # rows that repeat the identifier and the text stand for one content
     texts = texts.filter("rep.times = 1").unionByName(texts.filter("rep.times > 1").dropDuplicates(["content"]))
-    dealt = (in_blocks(texts.drop("rep", "rep_id", "text_key"), "n", "content").repartition(tasks, *keys)
+    texts = texts.drop("rep", "rep_id", "text_key")
+    large = cut(texts.filter(F.col("n") > BLOCK))
+    pivots = large.filter("content = root").select("root", F.col("text").alias("pivot_text"))
+
+    def near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            both = [[x or "" for x in batch.column(c).to_pylist()] for c in ("text", "pivot_text")]
+            out = []
+            known: dict[str, np.ndarray] = {}
+            for a, b in chunks(both[0]):
+                own = shingler.sets(both[0][a:b])
+                new = list(set(both[1][a:b]) - known.keys())
+                known.update(zip(new, shingler.sets(new), strict=True))
+                for x, pivot in zip(own, both[1][a:b], strict=True):
+                    common = len(np.intersect1d(x, known[pivot], assume_unique=True))
+                    # half of the distance allowed, and no rounding in favour of it
+                    out.append(2 * common < (1 + threshold) * (len(x) + len(known[pivot]) - common) + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("content"), batch.column("copies"),
+                                              pa.array(out, pa.bool_())], ["root", "content", "copies", "far"])
+
+    flags = cut(map_batches(large.join(pivots, "root").select("root", "content", "copies", "text", "pivot_text"), near_pivot,
+                            "root long, content long, copies long, far boolean"))
+    sides = flags.groupBy("root").agg(F.count_if("far").alias("n_far"), F.sum(F.when(~F.col("far"), F.col("copies"))).alias("near"))
+    counted = (flags.filter(~F.col("far")).join(sides, "root")
+               .select(F.col("content").alias("a"), F.col("root").alias("b"), (F.col("near") - F.col("copies")).alias("n")).filter("n > 0"))
+    rest = large.join(flags.select("root", "content", "far"), ["root", "content"]).join(sides.select("root", "n_far"), "root")
+    small = texts.filter(F.col("n") <= BLOCK).withColumn("far", F.lit(True)).withColumn("n_far", F.col("n"))
+    dealt = (in_blocks(small.unionByName(rest), "content").repartition(tasks, *keys)
              .sortWithinPartitions(*keys, "own", "content"))
 
     def compare(t: pa.Table, sets: list[np.ndarray]) -> list[tuple[np.ndarray, ...]]:
@@ -365,7 +423,7 @@ def verified(grouped: DataFrame, docs: DataFrame, words: int, threshold: float,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "n"])
 
-    return map_batches(dealt, run, "a long, b long, n long")
+    return map_batches(dealt, run, "a long, b long, n long").unionByName(counted)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
@@ -383,7 +441,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     edges = candidate_edges(contents, prefix_length(threshold, recall=recall), agreement(threshold, recall))
     groups = connected_components(edges)
     sizes = cut(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
-    members = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0
+    members = sizes.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(members) // TASK_MEMBERS))
     grouped = (groups.join(sizes, "root").withColumnRenamed("node", "content")
                .join(contents.select("content", *mark, "rep", "copies"), "content"))

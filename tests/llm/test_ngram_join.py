@@ -80,6 +80,28 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert table_of(nj.ngram_join(docs).collect()) == table_of(brute(rows))
 
 
+def test_a_large_group_of_near_copies_is_counted_not_compared(spark, monkeypatch):
+    """Tight copies, looser ones and a second family in one table, with blocks of 6: all links as by brute force; the
+    tight ones are not copied to blocks of their own."""
+    monkeypatch.setattr(nj, "BLOCK", 6)
+    rnd = random.Random(4)
+    body = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(70):
+        text = list(body)
+        for _ in range(rnd.choice([0, 1, 1, 2, 5, 6])):
+            text[rnd.randrange(300)] = f"x{rnd.randrange(9999)}"
+        rows += [(len(rows), " ".join(text))] * rnd.choice([1, 1, 2])
+    rows += [(1000 + i, " ".join([f"v{j}" for j in range(80)] + [f"y{i}"])) for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert table_of(nj.ngram_join(docs).collect()) == table_of(brute(rows))
+    made = spark.createDataFrame([(c, 100, 5, c < 5) for c in range(100)], "content long, n long, n_far long, far boolean")
+    dealt = nj.in_blocks(made, "content").collect()
+    assert all(r.lo == 0 for r in dealt)                                   # one block of far members meets the others
+    assert sum(r.content >= 5 for r in dealt) == 95
+    assert nj.in_blocks(made.filter("NOT far").withColumn("n_far", nj.F.lit(0).cast("long")), "content").count() == 0
+
+
 def test_hard_rows(spark):
     assert table_of(nj.ngram_join(hard_docs(spark)).collect()) == table_of(
         (i, c if shingles(t) else i, n) for (i, c, n), (_, t) in zip(brute([r[:2] for r in ROWS]), [r[:2] for r in ROWS], strict=True))
