@@ -53,7 +53,7 @@ RULES = (
     Rule("few_words", "n_words < 50"),
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "10 * n_dup_lines > 4 * n_lines"),
     Rule("word_length", "word_chars < 3 * n_words OR word_chars > 12 * n_words"),
     Rule("upper_case", "10 * n_upper > 3 * word_chars"),
     Rule("few_letters", "10 * n_letters < 6 * word_chars"),
@@ -194,7 +194,7 @@ m AS (
   FROM d LEFT JOIN covered USING (r)),
 b AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 4 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 3 * n_words OR word_chars > 12 * n_words THEN 16 ELSE 0 END
     + CASE WHEN 10 * n_upper > 3 * word_chars THEN 32 ELSE 0 END
     + CASE WHEN 10 * n_letters < 6 * word_chars THEN 64 ELSE 0 END)::BIGINT AS fail_bits
