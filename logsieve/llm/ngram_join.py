@@ -347,11 +347,12 @@ def verified(grouped: DataFrame, docs: DataFrame, words: int, threshold: float,
     keys = ["root", "lo", "hi"]
     keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumnRenamed("doc_id", "rep_id")
     named = grouped.withColumnRenamed("hi", "mark_hi").withColumnRenamed("lo", "mark_lo")
-    texts = keyed.join(named, F.col("rep_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_key") == F.col("rep.text_key")))
+    # written, as several branches follow: the documents are exchanged once
+    texts = cut(keyed.join(named, F.col("rep_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_key") == F.col("rep.text_key"))))
     # rows that repeat the identifier and the text stand for one content
     texts = texts.filter("rep.times = 1").unionByName(texts.filter("rep.times > 1").dropDuplicates(["content"]))
     texts = texts.drop("rep", "rep_id", "text_key")
-    large = cut(texts.filter(F.col("n") > BLOCK))
+    large = texts.filter(F.col("n") > BLOCK)
     pivots = large.filter("content = root").select("root", F.col("text").alias("pivot_text"))
 
     def near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
