@@ -106,3 +106,57 @@ def test_segments_are_the_maximal_ones(spark):
 def test_spans_leave_base_values(spark):
     assert list(ss.left_over(0, 10, [(2, 4, "hex"), (3, 6, "assign"), (9, 12, "hex")])) == [(0, 2), (6, 9)]
     assert list(ss.left_over(0, 10, [])) == [(0, 10)] and list(ss.left_over(3, 6, [(0, 9, "hex")])) == []
+
+
+def test_segments_equal_a_search_of_all_stretches():
+    """The best stretch of whole parts by trying all of them, then the same left and right of it."""
+    rnd = random.Random(6)
+    models = ss.MarkovModel(ss.random_strings(200)), ss.MarkovModel(["report_final_v2", "user_name", "path/to/file", "Total", "12345"] * 20)
+
+    def best(items, a, b):
+        """items: (start, end, score) of parts at even places, of gaps at odd ones."""
+        found = [(sum(s for *_, s in items[i:j]), -(j - i), i, j) for i in range(a, b, 2) for j in range(i + 1, b + 1, 2)]
+        found = [x for x in found if x[0] > 0]
+        if not found:
+            return []
+        total, _, i, j = max(found)
+        return best(items, a, i - 1) + [(items[i][0], items[j - 1][1], total)] + best(items, j + 1, b)
+
+    for _ in range(300):
+        run = "".join(rnd.choice(["user", "name", "path", "x9Kf", "72LmQ0", "aZ81bT", "/", "_", "-", "=", "+", "report", "Q7", "zz"])
+                      for _ in range(rnd.randrange(1, 14)))
+        parts = [m.span() for m in ss.PART.finditer(run)]
+        before, items, done = len(ss.ALPHABET), [], None
+
+        def score(a, b):
+            global_before = before
+            out = 0.0
+            for c in run[a:b]:
+                out += models[0].table[global_before][ss.CODE[c]] - models[1].table[global_before][ss.CODE[c]] - 0.4
+                global_before = ss.CODE[c]
+            return out, global_before
+
+        for a, b in parts:
+            if done is not None:
+                gap, before = score(done, a)
+                items.append((done, a, min(0.0, gap)))
+            own, before = score(a, b)
+            items.append((a, b, own))
+            done = b
+        want = best(items, 0, len(items)) if items else []
+        got = ss.segments(run, models, 0.4)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, want, strict=True))
+
+
+def test_sample_strings_are_cut(spark):
+    long = "k" * 5000 + "9" + "Zq" * 3000
+    docs = spark.createDataFrame([(1, f"password = {long} and words {'w' * 4000}")], "doc_id long, text string")
+    held = []
+    old = ss.MarkovModel.__init__
+    try:
+        ss.MarkovModel.__init__ = lambda self, strings: held.append(strings) or old(self, strings)
+        ss.train(docs)
+    finally:
+        ss.MarkovModel.__init__ = old
+    assert max(len(s) for strings in held for s in strings) <= ss.PIECE
