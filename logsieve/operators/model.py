@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logsieve.operators.joins import LEAST_ROWS, frequency_split_join, heavy_keys, key_hash
+from logsieve.operators.joins import LEAST_ROWS, apart_join, frequency_split_join, heavy_keys, key_hash
 from logsieve.operators.tokens import MAX_LENGTH, PAD, SPECIAL_TOKENS, token_sequence
 from logsieve.session import written
 
@@ -179,11 +179,24 @@ def own_marginals(counts: DataFrame, by: tuple = (), least_rows: int = LEAST_ROW
     return out
 
 
+def summed_together(model: ContextModel, contexts: DataFrame) -> DataFrame:
+    """`looked_up` for a model without summed tables: its counts and the contexts (which count 0) are put
+    together, so the marginals are summed beside the contexts by the three exchanges of `own_marginals`.  A marginal
+    that the model has not is 0, like its estimate."""
+    zero = F.lit(0).cast("long")
+    both = (model.counts.select("l", "t", "r", "n", zero.alias("m"))
+            .unionByName(contexts.select("l", "t", "r", zero.alias("n"), F.col("m").cast("long"))))
+    counts = written(both.groupBy("l", "t", "r").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    return own_marginals(counts).filter("m > 0").withColumnRenamed("n", "n3")
+
+
 def looked_up(model: ContextModel, contexts: DataFrame, max_hot: int = 50_000, sketched: bool = True) -> DataFrame:
     """`contexts` (by..., l, t, r, m: distinct) with n3 and all marginals, null where the model has none.
     With `sketched`, keys that hold a large share of the contexts are found first, so that a token
     that the model never saw is dealt evenly too; `contexts` should then be a written table."""
     by = list(model.by)
+    if sketched and not by and not model.tables:
+        return summed_together(model, contexts)
     own = model.counts.select(*by, "l", "t", "r", F.col("n").alias("n3"))
     q = contexts.select(*by, "l", "t", "r", "m")
     heavy = heavy_keys(q, {name: [*by, *keys] for name, keys in MARGINALS.items()}) if sketched else {}
@@ -288,7 +301,7 @@ def token_losses(pos: DataFrame, model: ContextModel | None = None, max_hot: int
                  times: str | None = None, keep=written) -> DataFrame:
     """Loss of every position.  Without a model, the positions themselves are the fit
     corpus.  `keep` stores the distinct contexts and the loss table (one row per distinct context), which
-    several joins read; without storing (in a micro-batch) heavy keys are not looked for."""
+    several joins read; without storing (in a micro-batch) heavy keys are not looked for, and the positions are read once."""
     by = list(model.by) if model is not None else []
     if model is None:
         table = loss_table(fit(pos, times=times), max_hot=max_hot)
@@ -296,8 +309,10 @@ def token_losses(pos: DataFrame, model: ContextModel | None = None, max_hot: int
         n = F.count(F.lit(1)) if times is None else F.sum(times)
         contexts = keep(pos.groupBy(*by, "l", "t", "r").agg(n.alias("m")))
         table = loss_table(model, contexts, max_hot, sketched=keep is written)
-    return frequency_split_join(pos, keep(table.select(*by, "l", "t", "r", "m", "loss")),
-                                by + ["l", "t", "r"], "m", max_hot=max_hot)
+    table, keys = keep(table.select(*by, "l", "t", "r", "m", "loss")), [*by, "l", "t", "r"]
+    if keep is written:
+        return apart_join(pos, table, keys, "m", max_hot)      # most positions have a frequent context and stay
+    return frequency_split_join(pos, table, keys, "m", max_hot=max_hot)
 
 
 def score(losses: DataFrame, id_col: str = "log_id", max_length: int = MAX_LENGTH,
@@ -318,6 +333,35 @@ def score(losses: DataFrame, id_col: str = "log_id", max_length: int = MAX_LENGT
     return agg.select(id_col, "anomaly_score", kept.alias("top_tokens"))
 
 
+#: Bits of a packed place that hold the position.
+PLACE_BITS = 20
+
+
+def score_rounded(losses: DataFrame, id_col: str = "log_id", max_length: int = MAX_LENGTH,
+                  denominator: str = "max_length", top_k: int = 3) -> DataFrame:
+    """`score` for losses of at most LOSS_DIGITS places (the count model's): (id, anomaly_score, _top), where `_top` are
+    the positions of the top_k tokens.  A position travels as one number, its loss in units of the last place
+    and below it its place (under 2**PLACE_BITS), so that sums are whole numbers and numbers sort as `score` ranks;
+    the tokens are read off the sequence by `tokens_at`."""
+    if max_length >= 1 << PLACE_BITS:
+        raise ValueError(f"sequences of less than {1 << PLACE_BITS} positions")
+    units = F.round(F.col("loss") * F.lit(10 ** LOSS_DIGITS)).cast("long")
+    packed = losses.select(id_col, (units * F.lit(1 << PLACE_BITS) + F.col("pos")).alias("_place"))
+    total = F.sum(F.shiftright("_place", PLACE_BITS)).cast("decimal(22,0)") / F.lit(10 ** LOSS_DIGITS).cast("decimal(10,0)")
+    den = (F.lit(max_length) if denominator == "max_length" else F.count(F.lit(1))).cast("decimal(10,0)")
+    agg = packed.groupBy(id_col).agg(F.round(total.cast("decimal(28,6)") / den, LOSS_DIGITS).cast("double").alias("anomaly_score"),
+                                     F.slice(F.sort_array(F.collect_list("_place"), asc=False), 1, top_k).alias("_best"))
+    place = F.transform("_best", lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+    return agg.select(id_col, "anomaly_score", place.alias("_top"))
+
+
+def tokens_at(tokens: Column, places: Column, max_length: int = MAX_LENGTH) -> Column:
+    """The tokens at these positions of the sequence, without special tokens."""
+    found = F.transform(F.arrays_zip(places.alias("p"), F.array_repeat(token_sequence(tokens, max_length), F.size(places)).alias("s")),
+                        lambda x: F.element_at(x["s"], x["p"]))
+    return F.filter(found, lambda t: ~t.isin(*SPECIAL_TOKENS))
+
+
 def best_tokens(model: ContextModel) -> dict:
     """Most likely token per context for back-off prediction: by (l,r), by l, by r and
     overall; ties broken by the smaller token.  (keys..., p_<name>, rows)."""

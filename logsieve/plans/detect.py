@@ -5,7 +5,8 @@ Plan shape: equal messages are scored once.  The parsed logs, the distinct messa
 often each occurs), the context counts, the loss table and the scored logs are written to the shared
 checkpoint folder as tables, so nothing is cached, each is computed once, and the threshold and
 the min/max read single columns of the scored table.  Token positions are never stored: they are
-exploded again where they are read.
+exploded again where they are read, and those of frequent contexts, which are most, meet their losses where
+they are; only the others are shuffled, and a message's sum and highest losses are gathered as numbers.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.functions.text import tokenize_expr
 from logsieve.operators import explain as ex
 from logsieve.operators import flags as fl
-from logsieve.operators.model import ContextModel, positions, score, token_losses
+from logsieve.operators.model import ContextModel, positions, score, score_rounded, token_losses, tokens_at
 from logsieve.operators.parse import drop_blank, parse_positional
 from logsieve.operators.tokens import MAX_LENGTH, tokenize
 from logsieve.session import dealt, written
@@ -44,10 +46,13 @@ def score_messages(logs: DataFrame, model: ContextModel | None = None, message_c
     count model: any function that adds a column `loss` to positions (_mid, pos, l, t, r)."""
     distinct = distinct_messages(logs, message_col)
     pos = positions(tokenize(distinct, "_text"), "_mid", "tokens", max_length, keep=("_times",))
-    found = losses(pos) if losses is not None else token_losses(pos, model, times="_times")
-    scores = score(found, "_mid", max_length, denominator)
-    return (distinct.join(scores, "_mid")
-            .select(F.col("_text").alias(message_col), "anomaly_score", "top_tokens"))
+    if losses is not None:
+        scored = distinct.join(score(losses(pos), "_mid", max_length, denominator), "_mid")
+    else:
+        scores = score_rounded(token_losses(pos, model, times="_times"), "_mid", max_length, denominator)
+        top = tokens_at(tokenize_expr(F.col("_text")), F.col("_top"), max_length)
+        scored = distinct.join(scores, "_mid").withColumn("top_tokens", top)
+    return scored.select(F.col("_text").alias(message_col), "anomaly_score", "top_tokens")
 
 
 def score_logs(logs: DataFrame, model: ContextModel | None = None, id_col: str = "log_id",
