@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logsieve.functions.text import tokenize_expr
 from logsieve.operators import model as M
 from logsieve.operators.joins import apart_join
-from logsieve.operators.tokens import tokenize
+from logsieve.operators.tokens import encode_subword, split_words_greedily, tokenize
 from logsieve.session import written
 
 ROWS = [(i, ["a b c", "a b c d", f"a user {i % 7} x", "", "a a a a"][i % 5]) for i in range(60)]
@@ -57,3 +57,26 @@ def test_other_contexts_are_summed_beside_the_models(spark):
                    .unionByName(spark.createDataFrame([("new", "newer", "newest", 2)], "l string, t string, r string, m long")))
     assert "Window" in M.looked_up(model, held)._jdf.queryExecution().optimizedPlan().toString()
     assert found(M.components(model, held)) == found(M.components(model.summed(), held))
+
+
+def greedy(word, pieces):
+    out, at = [], 0
+    while at < len(word):
+        size = next((k for k in range(len(word) - at, 0, -1) if "##" * (at > 0) + word[at:at + k] in pieces), None)
+        if size is None:
+            return ["[UNK]"]
+        out.append("##" * (at > 0) + word[at:at + size])
+        at += size
+    return out
+
+
+def test_short_pieces_need_no_lookup_and_frequent_words_stay(spark):
+    pieces = ["a", "##a", "ab", "##ab", "abc", "##b", "##bcd", "b", "##", "###", "###a", "é", "##\U0001f600", "\U0001f600a", "abc"]
+    words = ["a", "b", "ab", "abc", "abcd", "abab", "aabcd", "c", "ac", "##", "##a", "a##", "éa", "é\U0001f600", "\U0001f600ab", "bcd"]
+    table = spark.createDataFrame([(p,) for p in pieces], "piece string")
+    split = split_words_greedily(spark.createDataFrame([(w,) for w in words], "word string"), table)
+    assert {r.word: r.wp for r in split.collect()} == {w: greedy(w, set(pieces)) for w in words}
+    rows = [(i, [words[(i * k) % len(words)] for k in range(i % 9)] or None) for i in range(40)]
+    out = encode_subword(spark.createDataFrame(rows, "log_id long, tokens array<string>"), table)
+    assert "LeftAnti" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.log_id: r.pieces for r in out.collect()} == {i: [p for w in ws or [] for p in greedy(w, set(pieces))] for i, ws in rows}
