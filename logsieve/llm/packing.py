@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.ship import ship_by_value
 from logsieve.llm import common, lookup, word_bpe
-from logsieve.llm.common import chunks, cut, map_batches, table
+from logsieve.llm.common import cut, map_batches, ranges, table
 
 SEQUENCE = 4096
 CLOSING_ID = 2
@@ -87,10 +87,11 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE,
         place = 0
         for batch in batches:
             doc_ids = batch.column(0)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts, word_bpe.CHUNK_CHARS):
+            # only a chunk's texts become strings
+            for a, b in ranges(batch.column(1), word_bpe.CHUNK_CHARS):
+                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 rows = []
-                for k, ids in enumerate(ids_of.encode(texts[a:b]), a):
+                for k, ids in enumerate(ids_of.encode(texts), a):
                     ids += closing
                     rows += [(k, *piece, len(ids) // 4) for piece in cut_pieces(ids, length)]
                 at, start, size, crc, tokens = np.array(rows, np.int64).T

@@ -15,6 +15,7 @@ import heapq
 import json
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 
@@ -31,8 +32,11 @@ WORDS = re.compile(rf"[^\W\d_{OTHER_NUMBERS}]+|'(?:[stmd]|re|ve|ll)|[\d{OTHER_NU
 
 #: Words kept in a task's memory, and their ids; beyond that the store starts anew.
 MAX_WORDS, MAX_IDS = 600_000, 10_000_000
-#: Text encoded at once: merging many new words at a time costs less for each.
-CHUNK_CHARS = 2_000_000
+#: Text encoded at once: merging many new words at a time costs less for each, but an executor's tasks hold the arrays
+#: of their chunks (some 100 bytes a character) at the same time.
+CHUNK_CHARS = 1_000_000
+#: Cells of the matrices in which words are merged.
+CELLS = 250_000
 #: Words of more bytes are merged one by one, with a heap.
 MATRIX_BYTES = 256
 
@@ -68,9 +72,14 @@ class Merges:
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        self.rank = {(a, b): i for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True))}
+        self.left, self.right = left, right
         self.table = KeyTable.build((left << 32) | right, np.arange(len(pairs)))
 
+    @cached_property
+    def rank(self) -> dict[tuple[int, int], int]:
+        """Ranks by pair, for the words that are merged one by one."""
+        return {p: i for i, p in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True))}
+
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge ranks of pairs of ids; negative ids (padding) have none."""
         found = self.table.find((left.astype(np.int64) << 32) | right.astype(np.int64)).astype(np.int32)
@@ -84,7 +93,7 @@ class Merges:
         for width in (4, 8, 12, 16, 24, 32, 64, 128, MATRIX_BYTES):
             at = np.flatnonzero((lens > low) & (lens <= width))
             low = width
-            step = max(1, 2_000_000 // width)
+            step = max(1, CELLS // width)
             for i in range(0, len(at), step):
                 part = at[i:i + step]
                 self._merge_matrix([words[j] for j in part], lens[part], width, part, out)
@@ -203,18 +212,25 @@ class WordIds:
     string and is merged."""
 
     def __init__(self, path: str, lookup=None):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         self.merges = Merges(path)
         #: words -> ids or None, asked before merging
         self.lookup = lookup
         self.words = Words()
         self.forget()
 
+    @cached_property
+    def tokenizer(self):
+        """The library's, loaded by the first text that goes to it whole."""
+        from tokenizers import Tokenizer
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
     def forget(self) -> None:
-        self.number: dict[int, int] = {}              # first hash of a word -> its place in the arrays
+        self.known = np.zeros(0, np.uint64)           # first hashes of the words, sorted
+        self.place = np.zeros(0, np.int64)            # each one's place in the arrays below
         self.check = np.zeros(0, np.uint64)           # second hash
         self.first = np.zeros(0, np.int64)            # where its ids are in `flat`
         self.size = np.zeros(0, np.int64)
@@ -233,7 +249,7 @@ class WordIds:
 
     def arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text begins and the last one ends)."""
-        if len(self.number) > MAX_WORDS or len(self.flat) > MAX_IDS:
+        if len(self.known) > MAX_WORDS or len(self.flat) > MAX_IDS:
             self.forget()
         safe = np.array([is_safe(t) for t in texts], bool)
         ids, bounds = self._safe([t.lower() for t, s in zip(texts, safe.tolist(), strict=True) if s]) if safe.any() else (self.flat[:0], np.zeros(1, np.int64))
@@ -250,15 +266,18 @@ class WordIds:
         spans = self.words.spans
         first, second = spans.hashes(starts, ends), spans.hashes(starts, ends, 1)
         kinds, at, back = np.unique(first, return_index=True, return_inverse=True)
-        get = self.number.get
-        number = np.fromiter((get(h, -1) for h in kinds.tolist()), np.int64, len(kinds))
+        slot = np.searchsorted(self.known, kinds)
+        number = np.full(len(kinds), -1, np.int64)
+        seen = np.flatnonzero(slot < len(self.known))
+        seen = seen[self.known[slot[seen]] == kinds[seen]]
+        number[seen] = self.place[slot[seen]]
         new = np.flatnonzero(number < 0)
         if len(new):
             joined = spans.joined
             found = self.learn([joined[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
             size = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
             number[new] = np.arange(len(self.first), len(self.first) + len(new))
-            self.number.update(zip(kinds[new].tolist(), number[new].tolist(), strict=True))
+            self.known, self.place = np.insert(self.known, slot[new], kinds[new]), np.insert(self.place, slot[new], number[new])
             self.first = np.append(self.first, len(self.flat) + np.cumsum(size) - size)
             self.size, self.check = np.append(self.size, size), np.append(self.check, second[at[new]])
             self.flat = np.append(self.flat, np.frombuffer(b"".join(found), np.int32))

@@ -66,3 +66,37 @@ def test_groups_come_from_the_pieces(spark):
     assert len(got) > 4 * packing.GROUP_PIECES and got.sequence_id.is_unique
     assert len(sizes) == round(len(got) / packing.GROUP_PIECES)
     assert sizes.max() < 1.2 * packing.GROUP_PIECES
+
+
+def test_a_tasks_memory():
+    """Many new words are merged in small matrices, and only a chunk's texts become strings."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from logsieve.llm import common, word_bpe
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("theinganr") for _ in range(30)) for _ in range(40_000)]
+    merges = word_bpe.Merges(PATH)
+    tracemalloc.start()
+    merges.merge([w.encode() for w in words])
+    assert tracemalloc.get_traced_memory()[1] < 40e6                     # 57 MB in matrices of 2 million cells
+    tracemalloc.stop()
+    texts = ["ab", None, "", "é" * 7, "abc", None]
+    column = pa.array(["zz", *texts]).slice(1)
+    for limit in (1, 3, 8, 100):
+        assert list(common.ranges(column, limit)) == list(common.chunks([t or "" for t in texts], limit))
+    assert list(common.ranges(column.slice(0, 0))) == []
+
+
+def test_words_kept_over_chunks(monkeypatch):
+    """Ids of words met in earlier chunks, in any order, and after the store starts anew."""
+    from logsieve.llm import word_bpe
+    rnd, tokenizer = random.Random(4), Tokenizer.from_file(PATH)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 9))) for _ in range(300)]
+    monkeypatch.setattr(word_bpe, "MAX_WORDS", 150)
+    ids = word_bpe.WordIds(PATH)
+    for _ in range(12):
+        texts = [" ".join(rnd.choices(words, k=20)) for _ in range(rnd.randint(0, 4))] + ["", "日本 <|x"][:rnd.randint(0, 2)]
+        want = [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+        assert ids.encode(texts) == want if texts else True
