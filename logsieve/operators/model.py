@@ -206,16 +206,27 @@ def looked_up(model: ContextModel, contexts: DataFrame, max_hot: int = 50_000, s
     return q
 
 
-def loss_of(model: ContextModel, pos: DataFrame) -> DataFrame:
+def loss_of(model: ContextModel, pos: DataFrame, own: DataFrame | None = None, max_hot: int = 50_000) -> DataFrame:
     """`pos` (a table or a stream, with l, t, r) with the loss of every row, by joins with the model's tables
-    alone: nothing is written or aggregated on the way."""
+    alone: nothing of `pos` is written or aggregated on the way.
+
+    `own` is the written loss table of the model's own contexts.  Rows with one of its frequent contexts (at most `max_hot`, broadcast)
+    stay where they are, the other contexts of the model cost one exchange, and only rows with a context that the
+    model never saw look its marginals up."""
     if model.by:
         raise ValueError("one model at a time")
-    q = pos.join(model.counts.select("l", "t", "r", F.col("n").alias("n3")), ["l", "t", "r"], "left")
-    for name, keys in MARGINALS.items():
-        q = q.join(model.marginal(name).drop("rows"), keys, "left")
+    keys = ["l", "t", "r"]
+    own = written(loss_table(model)) if own is None else own
+    seen = apart_join(pos, own, keys, "m", max_hot)
+    total = own.agg(F.sum("m")).scalar()
+    hot, cold = own.filter(F.col("m") * F.lit(max_hot) >= total), own.filter(F.col("m") * F.lit(max_hot) < total)
+    q = (pos.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.select(*keys), keys, "left_anti")
+         .withColumn("n3", F.lit(0).cast("long")))
+    for name, part in MARGINALS.items():
+        q = frequency_split_join(q, model.marginal(name), part, "rows", "left", max_hot)
     parts = _estimates(_attach_totals(q, model), model.alpha, pos.columns)
-    return parts.select(*pos.columns, round_loss(-F.log(mixture(model.weights))).alias("loss"))
+    unseen = parts.select(*pos.columns, round_loss(-F.log(mixture(model.weights))).alias("loss"))
+    return seen.select(*unseen.columns).unionByName(unseen)
 
 
 def _estimates(q: DataFrame, alpha: float, keep: list) -> DataFrame:
@@ -333,6 +344,17 @@ def score(losses: DataFrame, id_col: str = "log_id", max_length: int = MAX_LENGT
     return agg.select(id_col, "anomaly_score", kept.alias("top_tokens"))
 
 
+def units_of(loss: Column) -> Column:
+    """A loss of at most LOSS_DIGITS places as a whole number of units of the last one."""
+    return F.round(loss * F.lit(10 ** LOSS_DIGITS)).cast("long")
+
+
+def mean_of_units(units: Column, den: Column) -> Column:
+    """A sum of `units_of` by `den`, divided in exact decimal and rounded once, as in `score`."""
+    total = units.cast("decimal(22,0)") / F.lit(10 ** LOSS_DIGITS).cast("decimal(10,0)")
+    return F.round(total.cast("decimal(28,6)") / den.cast("decimal(10,0)"), LOSS_DIGITS).cast("double")
+
+
 #: Bits of a packed place that hold the position.
 PLACE_BITS = 20
 
@@ -345,11 +367,9 @@ def score_rounded(losses: DataFrame, id_col: str = "log_id", max_length: int = M
     the tokens are read off the sequence by `tokens_at`."""
     if max_length >= 1 << PLACE_BITS:
         raise ValueError(f"sequences of less than {1 << PLACE_BITS} positions")
-    units = F.round(F.col("loss") * F.lit(10 ** LOSS_DIGITS)).cast("long")
-    packed = losses.select(id_col, (units * F.lit(1 << PLACE_BITS) + F.col("pos")).alias("_place"))
-    total = F.sum(F.shiftright("_place", PLACE_BITS)).cast("decimal(22,0)") / F.lit(10 ** LOSS_DIGITS).cast("decimal(10,0)")
-    den = (F.lit(max_length) if denominator == "max_length" else F.count(F.lit(1))).cast("decimal(10,0)")
-    agg = packed.groupBy(id_col).agg(F.round(total.cast("decimal(28,6)") / den, LOSS_DIGITS).cast("double").alias("anomaly_score"),
+    packed = losses.select(id_col, (units_of(F.col("loss")) * F.lit(1 << PLACE_BITS) + F.col("pos")).alias("_place"))
+    den = F.lit(max_length) if denominator == "max_length" else F.count(F.lit(1))
+    agg = packed.groupBy(id_col).agg(mean_of_units(F.sum(F.shiftright("_place", PLACE_BITS)), den).alias("anomaly_score"),
                                      F.slice(F.sort_array(F.collect_list("_place"), asc=False), 1, top_k).alias("_best"))
     place = F.transform("_best", lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
     return agg.select(id_col, "anomaly_score", place.alias("_top"))

@@ -59,6 +59,32 @@ def test_other_contexts_are_summed_beside_the_models(spark):
     assert found(M.components(model, held)) == found(M.components(model.summed(), held))
 
 
+def test_stream_losses_by_own_and_unseen_contexts(spark):
+    """Frequent contexts of the model are not shuffled, and only contexts that it never saw look up marginals; all
+    losses are those of the batch plan."""
+    import re
+
+    from logsieve.streaming.scoring import score_stream
+    pos = M.positions(sequences(spark))
+    model = M.fit(pos.filter("log_id % 3 > 0")).summed()
+    new = spark.createDataFrame([(-1, "a new b"), (-2, "never seen"), (-3, "a b c")], "log_id long, message string")
+    pos = pos.unionByName(M.positions(tokenize(new)))
+    want = found(M.token_losses(pos, model).select("log_id", "l", "t", "r", "loss"))
+    for max_hot in (3, 50_000):
+        got = M.loss_of(model, pos.select("log_id", "l", "t", "r"), max_hot=max_hot)
+        assert found(got.select("log_id", "l", "t", "r", "loss")) == want
+    assert "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
+    lines = spark.createDataFrame([(i, f"2024-01-01 00:00:0{i % 10} {m}") for i, m in ROWS if m], "log_id long, line string")
+    scored = score_stream(lines, model)
+    want = M.score(M.token_losses(M.positions(sequences(spark).filter("message != ''")), model)).select("log_id", "anomaly_score")
+    assert found(scored.select("log_id", "anomaly_score")) == found(want)
+    texts = lines.select("log_id", F.substring("line", 1, 19), F.substring("line", 21, 99))
+    assert found(scored.select("log_id", "timestamp", "message")) == found(texts)
+    # the text of a line goes through no join but as the head of its first position
+    joins = re.findall(r"Join .*", scored._jdf.queryExecution().optimizedPlan().toString())
+    assert joins and not any("message" in j for j in joins)
+
+
 def greedy(word, pieces):
     out, at = [], 0
     while at < len(word):
