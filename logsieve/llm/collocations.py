@@ -29,6 +29,7 @@ the ranks are unique.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logsieve.functions.ship import ship_by_value
-from logsieve.llm.common import map_batches, table
+from logsieve.llm.common import map_batches, ranges, table
 from logsieve.session import written
 
 MIN_COUNT = 100
@@ -56,6 +57,9 @@ BREAKS = bytes.maketrans(PIECE_ENDS, b"." * len(PIECE_ENDS))
 #: Counts that a part sums, about.
 PART_ENTRIES = 1_000_000
 
+#: Rows of a batch that a task returns: those of a shard with many words go out in several.
+BATCH_ROWS = 10_000
+
 #: Level 1: a row for each word of a shard (its number, count and letters), and one for the shard itself: start -1
 #: and the packed sequence.
 WORDS = "shard long, lang string, start int, n long, word string, data binary"
@@ -81,15 +85,15 @@ class Numbers(dict):
 def pack(numbers: np.ndarray) -> bytes:
     """Whole numbers by byte planes: the upper ones are nearly all zeros, which compresses well.  Up to 2**31 in size
     as 4 bytes, larger ones as 8, told apart by the first byte."""
-    kind = "<i4" if not len(numbers) or np.abs(numbers).max() < 2**31 else "<i8"
+    kind = "<i4" if not len(numbers) or max(int(numbers.max()), -int(numbers.min())) < 2**31 else "<i8"
     width = int(kind[-1])
-    return kind[-1].encode() + numbers.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes()
+    return kind[-1].encode() + numbers.astype(kind, copy=False).view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
+def unpack(data: bytes, kind=np.int64) -> np.ndarray:
     width = int(data[:1])
     planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
-    return planes.T.copy().view(f"<i{width}").reshape(-1).astype(np.int64)
+    return planes.T.copy().view(f"<i{width}").reshape(-1).astype(kind, copy=False)
 
 
 def pack_steps(numbers: np.ndarray) -> bytes:
@@ -97,8 +101,8 @@ def pack_steps(numbers: np.ndarray) -> bytes:
     return pack(np.diff(numbers, prepend=0))
 
 
-def unpack_steps(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data))
+def unpack_steps(data: bytes, kind=np.int64) -> np.ndarray:
+    return np.cumsum(unpack(data, kind), dtype=kind)
 
 
 def part_of(prefix: np.ndarray, last: np.ndarray, parts: int) -> np.ndarray:
@@ -107,30 +111,33 @@ def part_of(prefix: np.ndarray, last: np.ndarray, parts: int) -> np.ndarray:
     return ((x >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def word_rows(shard: int, lang: str, counts: np.ndarray, names: pa.Array, data: bytes) -> pa.Table:
+def word_rows(shard: int, lang: str, counts: np.ndarray, names: pa.Array, data: bytes) -> list[pa.RecordBatch]:
+    """The shard's row, and its words in batches of BATCH_ROWS."""
     n = len(counts)
-    return pa.table({
-        "shard": pa.array(np.full(n + 1, shard, np.int64)), "lang": pa.array([lang] * (n + 1), pa.string()),
-        "start": pa.array(np.append(-1, np.arange(1, n + 1)).astype(np.int32)),
-        "n": pa.array(np.append(0, counts).astype(np.int64)),
-        "word": pa.concat_arrays([pa.array([None], pa.string()), names]),
-        "data": pa.concat_arrays([pa.array([data], pa.binary()), pa.nulls(n, pa.binary())])})
+    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("start", pa.int32()), ("n", pa.int64()),
+                        ("word", pa.string()), ("data", pa.binary())])
+    own = pa.table([[shard], [lang], [-1], [0], [None], [data]], schema=schema)
+    words = pa.table([np.full(n, shard, np.int64), pa.array([lang] * n, pa.string()), np.arange(1, n + 1, dtype=np.int32),
+                      counts.astype(np.int64, copy=False), names, pa.nulls(n, pa.binary())], schema=schema)
+    return own.to_batches() + words.to_batches(max_chunksize=BATCH_ROWS)
 
 
 def phrase_rows(shard: int, lang: str, parts: int, prefix, last, starts, counts, data: bytes) -> pa.Table:
     """The shard's row and one row for each part that has phrases."""
     part = part_of(prefix, last, parts)
     order = np.argsort(part, kind="stable")                        # first rows ascend within a part
-    part, prefix, last, starts, counts = (x[order] for x in (part, prefix, last, starts, counts))
+    part = part[order]
     at = np.flatnonzero(np.diff(part, prepend=-1))
     columns = {"prefix": [data], "last": [b""], "start": [b""], "n": [b""]}
     for a, b in zip(at, np.append(at, len(part))[1:], strict=True):
+        own = order[a:b]
         for name, how, x in (("prefix", pack, prefix), ("last", pack, last), ("start", pack_steps, starts), ("n", pack, counts)):
-            columns[name].append(how(x[a:b]))
+            columns[name].append(how(x[own]))
     rows = len(at) + 1
-    return pa.table({"shard": pa.array(np.full(rows, shard, np.int64)), "lang": pa.array([lang] * rows, pa.string()),
+    both = pa.table({"shard": pa.array(np.full(rows, shard, np.int64)), "lang": pa.array([lang] * rows, pa.string()),
                      "part": pa.array(np.append(-1, part[at]).astype(np.int32))}
                     | {name: pa.array(x, pa.binary()) for name, x in columns.items()})
+    return pa.concat_tables([both.slice(0, 1), both.slice(1)])     # sent as two batches
 
 
 def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -139,34 +146,33 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         number = TaskContext.get().partitionId() << 24
-        open_: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
-        size: dict[str, int] = {}
+        # a sequence grows in one piece: a piece for every text would keep the texts' memory from being given back
+        open_: dict[str, tuple[Numbers, array]] = {}
 
         def close(lang: str) -> list[pa.RecordBatch]:
             nonlocal number
-            numbers, parts = open_.pop(lang)
-            size.pop(lang)
-            words = np.concatenate(parts)
+            numbers, sequence = open_.pop(lang)
+            words = np.frombuffer(sequence, np.int32)
             counts = np.bincount(words, minlength=len(numbers))[1:]
             names = pa.array(list(numbers)[1:], pa.binary()).cast(pa.string())
             number += 1
-            return word_rows(number, lang, counts, names, pack(words)).to_batches()
+            return word_rows(number, lang, counts, names, pack(words))
 
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for lang, text in zip(langs, texts, strict=True):
-                if not text:
-                    continue
-                words = text.lower().translate(BREAKS).replace(b".", b" . ").split()
-                words.append(b".")
-                numbers, parts = open_.setdefault(lang, (Numbers(), []))
-                parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                size[lang] = size.get(lang, 0) + len(words)
-                if size[lang] >= shard_words:
-                    yield from close(lang)
-            while sum(len(n) for n, _ in open_.values()) > NUMBERED or sum(size.values()) > 2 * shard_words:
-                yield from close(max(size, key=size.__getitem__))
+            for a, b in ranges(batch.column(1)):
+                langs = batch.column(0)[a:b].to_pylist()
+                texts = batch.column(1)[a:b].cast(pa.binary()).to_pylist()
+                for lang, text in zip(langs, texts, strict=True):
+                    if not text:
+                        continue
+                    words = text.lower().translate(BREAKS).replace(b".", b" . ").split()
+                    words.append(b".")
+                    numbers, sequence = open_.setdefault(lang, (Numbers(), array("i")))
+                    sequence.extend(map(numbers.__getitem__, words))
+                    if len(sequence) >= shard_words:
+                        yield from close(lang)
+            while sum(len(n) for n, _ in open_.values()) > NUMBERED or sum(len(x) for _, x in open_.values()) > 2 * shard_words:
+                yield from close(max(open_, key=lambda x: len(open_[x][1])))
         for lang in list(open_):
             yield from close(lang)
 
@@ -176,9 +182,10 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
 def without_rare(words: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """The sequence with the kept numbers as 1, 2, ... in their order, one 0 for each stretch of others, and without kept
     words that have no kept neighbour: a cyclic sequence of runs of two or more words, each with a 0 before it."""
-    new = np.zeros(int(max(words.max(initial=0), kept.max(initial=0))) + 1, np.int64)
+    new = np.zeros(int(max(words.max(initial=0), kept.max(initial=0))) + 1, np.int32)
     new[kept] = np.arange(1, len(kept) + 1)
-    ids = np.concatenate([[0], new[words], [0]])
+    ids = np.zeros(len(words) + 2, np.int32)
+    ids[1:-1] = new[words]
     word = ids > 0
     run = word[1:-1] & (word[:-2] | word[2:])
     run = np.concatenate([[False], run, [False]])
@@ -186,6 +193,18 @@ def without_rare(words: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return ids[run | np.append(starts, False)]
 
 
+def ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Ranks of the pairs, from 0 on without gaps."""
+    key = first.astype(np.int64)
+    key *= int(second.max(initial=0)) + 1
+    key += second
+    order = np.argsort(key)
+    key = key[order]
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1])[:len(key)], dtype=np.int32)
+    return rank
+
+
 def last_to_first(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(first, source) of the index of a cyclic sequence whose suffixes are sorted by their first `depth` words: the first
     word of each sorted suffix, and the row of the suffix without it.  `source` inverts the mapping of the
@@ -195,25 +214,27 @@ def last_to_first(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     while known < depth:  # ranks by twice as many words, or by the rest
         step = min(known, depth - known)
         follower = np.roll(rank, -known) if step == known else np.roll(words, -known)
-        width = int(follower.max(initial=0)) + 1
-        _, rank = np.unique(rank * width + follower, return_inverse=True)
+        rank = ranks(rank, follower)
         known += step if step == known else 1
     order = np.argsort(rank, kind="stable")
     transform = words[order - 1]                               # order - 1 is -1 for the first: the sequence is cyclic
     small = transform.astype(np.uint16) if size <= 2**16 else transform
-    return words[order], np.argsort(small, kind="stable")
+    first = words[order]
+    del order, transform, rank
+    return first, np.argsort(small, kind="stable").astype(np.int32)
 
 
 def extend(source: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One step in both directions.  held[j] is the phrase (of d words) whose interval holds row j, -1 for none; source[j]
     the row of the suffix without its first word, -1 where it is not kept.  Returns the first row, the count, and the
     phrases of the first d and of the last d words of every phrase of d + 1 words."""
-    left = np.where(source >= 0, held[source], -1)             # the phrase that has a word put before it
+    left = np.where(source >= 0, held[source], held.dtype.type(-1))    # the phrase that has a word put before it
     row = np.flatnonzero((held >= 0) & (left >= 0))
     before, after = held[row], left[row]
     if not len(row):
         return row, row, before, after
-    begins = np.append(True, (np.diff(row) != 1) | (np.diff(before) != 0) | (np.diff(after) != 0))
+    begins = np.ones(len(row), bool)
+    begins[1:] = (row[1:] != row[:-1] + 1) | (before[1:] != before[:-1]) | (after[1:] != after[:-1])
     at = np.flatnonzero(begins)
     return row[at], np.diff(np.append(at, len(row))), before[at], after[at]
 
@@ -221,9 +242,10 @@ def extend(source: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def compact(source: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Without the rows that no phrase holds."""
     keep = held >= 0
-    number = np.where(keep, np.cumsum(keep) - 1, -1)
+    number = np.cumsum(keep, dtype=source.dtype) - 1
+    number[~keep] = -1
     source = source[keep]
-    return np.where(source >= 0, number[source], -1), held[keep]
+    return np.where(source >= 0, number[source], source.dtype.type(-1)), held[keep]
 
 
 def step_of(depth: int, longest: int, parts: int):
@@ -239,21 +261,25 @@ def step_of(depth: int, longest: int, parts: int):
             order = np.argsort(start)
             start, ids = start[order], ids[order]
             lasts = ids
-            first, source = last_to_first(without_rare(unpack(data), start), longest)
+            first, source = last_to_first(without_rare(unpack(data, np.int32), start), longest)
             held = first - 1                                       # words are numbered in the order of `start`
-            source = np.where(held >= 0, source, -1)
+            del first
+            source[held < 0] = -1
         else:
             gather = lambda name, how: np.concatenate([how(x) for x in kept[name].to_pylist()])
             start, size, ids, lasts = gather("start", unpack_steps), gather("n", unpack), gather("ids", unpack), gather("lasts", unpack)
-            source = unpack_steps(data) - 1                        # stored one higher
-            held = np.full(len(source), -1, np.int64)
+            source = unpack_steps(data, np.int32) - 1              # stored one higher
+            held = np.full(len(source), -1, np.int32)
             ends = np.cumsum(size)
             rows = np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
             # phrases by their first rows, so that neighbours in the index keep the order
             held[rows] = np.repeat(np.arange(len(start)), size)
+        del data
         source, held = compact(source, held)
         starts, counts, before, after = extend(source, held)
+        del held
         stored = pack_steps(source + 1) if depth + 1 < longest else b""
+        del source
         return phrase_rows(shard, lang, parts, ids[before], lasts[after], starts, counts, stored)
 
     return run

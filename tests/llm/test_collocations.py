@@ -1,6 +1,7 @@
 """Collocations: counts, cuts, removals and ranks against plain loops; the index against searches in the text."""
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -107,6 +108,28 @@ def test_intervals_are_those_of_the_text():
             phrases = longer
 
 
+def test_memory_of_a_shard():
+    words = np.random.default_rng(3).integers(0, 50_000, 400_000).astype(np.int32)
+    kept = C.without_rare(words, np.arange(1, 50_000))
+    tracemalloc.start()
+    try:
+        C.last_to_first(kept, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 * len(kept)
+
+
+def test_rows_of_a_shard_go_out_in_batches():
+    n = 2 * C.BATCH_ROWS + 5
+    names = C.pa.array([f"w{i}" for i in range(n)])
+    batches = C.word_rows(7, "en", np.ones(n, np.int64), names, b"sequence")
+    assert [b.num_rows for b in batches] == [1, C.BATCH_ROWS, C.BATCH_ROWS, 5]
+    rows = C.pa.Table.from_batches(batches).to_pylist()
+    assert rows[0] == {"shard": 7, "lang": "en", "start": -1, "n": 0, "word": None, "data": b"sequence"}
+    assert [(r["start"], r["n"], r["word"], r["data"]) for r in rows[1:]] == [(i + 1, 1, f"w{i}", None) for i in range(n)]
+
+
 def test_packed_numbers():
     for x in ([], [0], [5, 2**30, 0, 70_000], [-1, 2**40, -2**40], list(range(300))):
         a = np.array(x, np.int64)
