@@ -83,16 +83,17 @@ class Numbers(dict):
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Whole numbers by byte planes: the upper ones are nearly all zeros, which compresses well.  Up to 2**31 in size
-    as 4 bytes, larger ones as 8, told apart by the first byte."""
+    """Whole numbers by byte planes, compressed: the upper ones are nearly all zeros, and in the others some bytes are
+    much more frequent.  Up to 2**31 in size as 4 bytes, larger ones as 8; before them that size and how many there are."""
     kind = "<i4" if not len(numbers) or max(int(numbers.max()), -int(numbers.min())) < 2**31 else "<i8"
     width = int(kind[-1])
-    return kind[-1].encode() + numbers.astype(kind, copy=False).view(np.uint8).reshape(-1, width).T.tobytes()
+    planes = numbers.astype(kind, copy=False).view(np.uint8).reshape(-1, width).T.tobytes()
+    return kind[-1].encode() + len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes, kind=np.int64) -> np.ndarray:
-    width = int(data[:1])
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    width, n = int(data[:1]), int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(memoryview(data)[9:], n * width, "zstd"), np.uint8).reshape(width, -1)
     return planes.T.copy().view(f"<i{width}").reshape(-1).astype(kind, copy=False)
 
 
@@ -344,11 +345,14 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     level = written(shards(slim, shard_words))
     own = level.filter("start >= 0")
     sizes = written(own.groupBy("lang").agg(F.sum("n").alias("n")))
-    words = written(own.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-                    .withColumn("id", F.monotonically_increasing_id()))        # numbered where it is written
+    # a word has one row per shard; one exchange sums them, and the frequent words are numbered by one of their rows
+    same = Window.partitionBy("lang", "word")
+    held = written(own.select("lang", "word", "shard", "start", F.sum("n").over(same).alias("f")).filter(F.col("f") >= min_count)
+                   .withColumn("_at", F.monotonically_increasing_id()).withColumn("id", F.min("_at").over(same)))
+    words = written(held.filter("_at = id").select("lang", "word", "f", "id"))
     frequent = words.select("lang", F.col("word").alias("phrase"), "f", "id")
     state = level.filter("start = -1").select("shard", "lang", "data")
-    kept = (own.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("of"), "start", "id"))
+    kept = held.select(F.col("shard").alias("of"), "start", "id")
     out = frequent.select("lang", "phrase", "f").withColumn("words", F.lit(1))
     for depth in range(1, max_words):
         level = written(state.groupBy("shard").cogroup(kept.groupBy("of"))
