@@ -57,6 +57,8 @@ BREAKS = bytes.maketrans(PIECE_ENDS, b"." * len(PIECE_ENDS))
 #: Counts that a part sums, about.
 PART_ENTRIES = 1_000_000
 
+#: Buckets that number their words apart.
+BUCKETS = 1024
 #: Rows of a batch that a task returns: those of a shard with many words go out in several.
 BATCH_ROWS = 10_000
 
@@ -345,11 +347,14 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     level = written(shards(slim, shard_words))
     own = level.filter("start >= 0")
     sizes = written(own.groupBy("lang").agg(F.sum("n").alias("n")))
-    # a word has one row per shard; one exchange sums them, and the frequent words are numbered by one of their rows
-    same = Window.partitionBy("lang", "word")
-    held = written(own.select("lang", "word", "shard", "start", F.sum("n").over(same).alias("f")).filter(F.col("f") >= min_count)
-                   .withColumn("_at", F.monotonically_increasing_id()).withColumn("id", F.min("_at").over(same)))
-    words = written(held.filter("_at = id").select("lang", "word", "f", "id"))
+    # a word has one row per shard; one exchange sums them and numbers the frequent ones, in each bucket by how frequent
+    # they are: so the numbers that occur most are alike in their upper bytes
+    bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(BUCKETS))
+    dealt = own.select("lang", "word", "shard", "start", "n", bucket.alias("_bucket")).repartition("_bucket")
+    place = F.dense_rank().over(Window.partitionBy("_bucket").orderBy(F.col("f").desc(), "lang", "word"))
+    held = written(dealt.withColumn("f", F.sum("n").over(Window.partitionBy("_bucket", "lang", "word"))).filter(F.col("f") >= min_count)
+                   .select("lang", "word", "shard", "start", "f", (place.cast("long") * BUCKETS + F.col("_bucket")).alias("id")))
+    words = written(held.groupBy("id").agg(F.any_value("lang").alias("lang"), F.any_value("word").alias("word"), F.any_value("f").alias("f")))
     frequent = words.select("lang", F.col("word").alias("phrase"), "f", "id")
     state = level.filter("start = -1").select("shard", "lang", "data")
     kept = held.select(F.col("shard").alias("of"), "start", "id")
