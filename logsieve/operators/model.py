@@ -168,11 +168,15 @@ def own_marginals(counts: DataFrame, by: tuple = (), least_rows: int = LEAST_ROW
     for x, y, z, one, pair in EXCHANGES:
         out = with_heavy(with_heavy(out, one), pair)
         is_heavy = F.col(f"_{one}").isNotNull()
-        out = (out.withColumn("_a", F.when(is_heavy, F.col(y)))
-               .withColumn("_b", F.when(is_heavy & F.col(f"_{pair}").isNotNull(), F.col(z)))
-               .repartition(*by, x, "_a", "_b"))
-        inner = Window.partitionBy(*by, x, "_a", "_b", y)
-        outer = Window.partitionBy(*by, x, "_a", "_b")
+        # further keys only where some key is heavy: dealt by a constant too, the rows would be exchanged again for the windows
+        dealt_by = [*by, x]
+        if one in heavy:
+            out, dealt_by = out.withColumn("_a", F.when(is_heavy, F.col(y))), [*dealt_by, "_a"]
+        if one in heavy and pair in heavy:
+            out = out.withColumn("_b", F.when(is_heavy & F.col(f"_{pair}").isNotNull(), F.col(z)))
+            dealt_by = [*dealt_by, "_b"]
+        out = out.repartition(*dealt_by)
+        inner, outer = Window.partitionBy(*dealt_by, y), Window.partitionBy(*dealt_by)
         out = (out.withColumn(pair, F.coalesce(f"_{pair}", F.sum("n").over(inner)))
                .withColumn(one, F.coalesce(f"_{one}", F.sum("n").over(outer)))
                .drop("_a", "_b", f"_{one}", f"_{pair}"))
@@ -309,16 +313,18 @@ def with_weights(model: ContextModel, fitted: DataFrame, digits: int = 6, least:
 
 
 def token_losses(pos: DataFrame, model: ContextModel | None = None, max_hot: int = 50_000,
-                 times: str | None = None, keep=written) -> DataFrame:
+                 times: str | None = None, keep=written, counted: DataFrame | None = None) -> DataFrame:
     """Loss of every position.  Without a model, the positions themselves are the fit
     corpus.  `keep` stores the distinct contexts and the loss table (one row per distinct context), which
-    several joins read; without storing (in a micro-batch) heavy keys are not looked for, and the positions are read once."""
+    several joins read; without storing (in a micro-batch) heavy keys are not looked for, and the positions are read once.
+    `counted` is the same positions, with `times`, for the counting, where those to be scored come from an exchange."""
     by = list(model.by) if model is not None else []
+    counted = pos if counted is None else counted
     if model is None:
-        table = loss_table(fit(pos, times=times), max_hot=max_hot)
+        table = loss_table(fit(counted, times=times), max_hot=max_hot)
     else:
         n = F.count(F.lit(1)) if times is None else F.sum(times)
-        contexts = keep(pos.groupBy(*by, "l", "t", "r").agg(n.alias("m")))
+        contexts = keep(counted.groupBy(*by, "l", "t", "r").agg(n.alias("m")))
         table = loss_table(model, contexts, max_hot, sketched=keep is written)
     table, keys = keep(table.select(*by, "l", "t", "r", "m", "loss")), [*by, "l", "t", "r"]
     if keep is written:

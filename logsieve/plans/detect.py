@@ -49,9 +49,13 @@ def score_messages(logs: DataFrame, model: ContextModel | None = None, message_c
     if losses is not None:
         scored = distinct.join(score(losses(pos), "_mid", max_length, denominator), "_mid")
     else:
-        scores = score_rounded(token_losses(pos, model, times="_times"), "_mid", max_length, denominator)
+        # dealt once, by the key that the scores come back by: a file's few splits would be few large tasks, whose places
+        # are sorted by message and spilled
+        texts = dealt(distinct.select("_mid", "_text"), "_mid")
+        places = positions(tokenize(texts, "_text"), "_mid", "tokens", max_length)
+        scores = score_rounded(token_losses(places, model, times="_times", counted=pos), "_mid", max_length, denominator)
         top = tokens_at(tokenize_expr(F.col("_text")), F.col("_top"), max_length)
-        scored = distinct.join(scores, "_mid").withColumn("top_tokens", top)
+        scored = texts.join(scores, "_mid").withColumn("top_tokens", top)
     return scored.select(F.col("_text").alias(message_col), "anomaly_score", "top_tokens")
 
 

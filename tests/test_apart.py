@@ -49,6 +49,30 @@ def test_packed_scores_are_the_scores(spark):
         assert found(packed.filter("log_id < 0").select("anomaly_score")) == found(M.score(losses, denominator=kind).filter("log_id < 0").select("anomaly_score"))
 
 
+def test_messages_are_dealt_once_before_they_are_scored(spark):
+    """The messages' tokens come from one exchange by number, also read by the join with the scores; equal and null
+    messages and those without words are scored as before."""
+    from logsieve.plans.detect import score_messages
+    rows = [(i, m) for i, m in ROWS] + [(i + 60, m) for i, m in ROWS] + [(200, None), (201, " ")]
+    logs = spark.createDataFrame(rows, "log_id long, message string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = score_messages(logs)
+        plan = scored._jdf.queryExecution().executedPlan().toString().splitlines()
+        dealt = [line for line in plan if "REPARTITION_BY_NUM" in line]
+        assert sum("ReusedExchange" not in line for line in dealt) == 1 and len(dealt) == 3
+        assert "hashpartitioning(_mid" in dealt[0]
+        got = found(scored.select("message", "anomaly_score", F.concat_ws(" ", "top_tokens")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    toks = tokenize(logs.filter("message IS NOT NULL"))
+    each = M.score(M.token_losses(M.positions(toks)))
+    want = toks.join(each, "log_id").select("message", "anomaly_score", F.concat_ws(" ", "top_tokens")).distinct()
+    assert got == found(want)
+
+
 def test_other_contexts_are_summed_beside_the_models(spark):
     """A model without summed tables gives the same estimates, also for contexts and tokens that it never saw."""
     pos = M.positions(sequences(spark))

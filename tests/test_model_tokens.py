@@ -212,6 +212,22 @@ def test_own_marginals_equal_plain_sums(spark):
             assert sorted(got.collect()) == sorted(want.select(*cols).collect())
 
 
+def test_own_marginals_take_three_exchanges(spark):
+    """With no heavy key, with single heavy keys and with heavy pairs: the windows need no exchange of their own."""
+    rows = [("a", f"t{i % 7}", f"r{i % 5}") for i in range(400)] + [(f"l{i}", f"t{i}", "z") for i in range(100)]
+    counts = M.written(spark.createDataFrame(rows, "l string, t string, r string")
+                       .groupBy("l", "t", "r").agg(F.count(F.lit(1)).alias("n")))
+    want = counts
+    for name, keys in M.MARGINALS.items():
+        want = want.join(counts.groupBy(*keys).agg(F.sum("n").alias(name)), keys)
+    cols = ["l", "t", "r", "n", *M.MARGINALS]
+    want = sorted(want.select(*cols).collect())
+    for least in (250_000, 20, 3):
+        wide = M.own_marginals(counts, least_rows=least)
+        assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+        assert sorted(wide.select(*cols).collect()) == want
+
+
 def test_unseen_token_in_half_of_the_contexts(spark):
     """A token that the model never saw stands in half of the scored contexts: the sketch of the scored side
     names it, the losses stay the same and its rows are dealt evenly."""
